@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from graphloom.llm import language, packing, token_output, url_rules, warc
+from graphloom.llm import language, packing, quality, substring, token_output, topk, url_rules, warc
 from graphloom.llm.common import table
 
 
@@ -18,6 +19,18 @@ def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.filter_urls(table(spark, sf_dir, "pages"), url_rules.rule_table(spark, url_rules.RULES))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digest(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -31,7 +44,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_language": op1_language, "op2_url_rules": op2_url_rules, "op8_packing": op8_packing, "op9_token_output": op9_token_output, "op10_warc": op10_warc,
+    "op1_language": op1_language, "op2_url_rules": op2_url_rules, "op4_quality": op4_quality, "op6_topk": op6_topk, "op7_substring": op7_substring,
+    "op8_packing": op8_packing, "op9_token_output": op9_token_output, "op10_warc": op10_warc,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_url_rules": url_rules.SQL, "op10_warc": warc.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_url_rules": url_rules.SQL, "op4_quality": quality.SQL, "op6_topk": topk.SQL, "op7_substring": substring.SQL, "op10_warc": warc.SQL}
