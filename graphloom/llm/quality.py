@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import discard, materialize
 
 #: Rows on which costs and rejections are estimated.
-SAMPLE_ROWS = 2000
+SAMPLE_ROWS = 500
 WINDOW = 8
 SPACES = " \t\n\x0b\f\r"
 _GAP, _WORD, _SYMBOL = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]", r"[#*$%&|<>]"
