@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,8 +22,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a session's context, so that Python workers can import it anywhere."""
+    context = spark.sparkContext
+    if getattr(context, "_graphloom_shipped", None):
+        return
+    root = Path(__file__).resolve().parents[1]
+    folder = tempfile.mkdtemp(prefix="graphloom-ship-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = f"{folder}/graphloom.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for p in sorted(root.rglob("*.py")):
+            out.write(p, p.relative_to(root.parent))
+    context.addPyFile(path)
+    context._graphloom_shipped = True
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the rows of an Arrow batch, so that Python workers hold a few MB of text at a time."""
+    """Bound the rows of an Arrow batch, so that Python workers hold a few MB of text at a time, and ship their code."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
@@ -31,8 +51,6 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         if _own_dir is None:
             _own_dir = tempfile.mkdtemp(prefix="graphloom-")
-            import shutil
-
             atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
         base = _own_dir
     return base.rstrip("/")

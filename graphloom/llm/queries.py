@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import language, packing, quality, substring, token_output, topk, url_rules, warc
+from graphloom.llm import language, mixing, near_dups, packing, quality, substring, token_output, topk, url_rules, warc
 from graphloom.llm.common import table
 
 
@@ -19,10 +19,18 @@ def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.filter_urls(table(spark, sf_dir, "pages"), url_rules.rule_table(spark, url_rules.RULES))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -44,7 +52,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_language": op1_language, "op2_url_rules": op2_url_rules, "op4_quality": op4_quality, "op6_topk": op6_topk, "op7_substring": op7_substring,
+    "op1_language": op1_language, "op2_url_rules": op2_url_rules, "op3_near_duplicates": op3_near_duplicates, "op4_quality": op4_quality, "op5_mixing": op5_mixing, "op6_topk": op6_topk, "op7_substring": op7_substring,
     "op8_packing": op8_packing, "op9_token_output": op9_token_output, "op10_warc": op10_warc,
 }
 
