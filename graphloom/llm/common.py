@@ -10,10 +10,14 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch sent to Python. Texts average a few KB and may reach some 100 KB, so this keeps a batch at a few MB.
 BATCH_ROWS = 512
 
+#: Tables of up to so many rows of two or three numbers (some 40 bytes each in a hash table) are broadcast; beyond, joins shuffle.
+BROADCAST_ROWS = 250_000
+
 _own_dir: str | None = None
 
 
@@ -78,3 +82,8 @@ def discard(*tables: DataFrame) -> None:
             jvm = t.sparkSession._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, a table of a few numbers a row, marked for broadcast if a count shows that it has few rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

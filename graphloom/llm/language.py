@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.llm.common import small_batches
 from graphloom.llm.textops import mix, utf8
@@ -30,8 +31,6 @@ TRAIN_ROWS = 4000
 SLOTS_A_GRAM, HASHES = 16, 3
 MAX_LANGUAGES = 64
 UNKNOWN = "und"
-SCHEMA = "doc_id long, lang_pred string, score double"
-_ARROW = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
 
 def _normal(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -133,14 +132,15 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Filters:
     return build_filters(learned)
 
 
-def predict(documents: DataFrame, filters: Filters) -> DataFrame:
-    """doc_id, lang_pred and score of each row of documents(doc_id, text).
+def annotate(documents: DataFrame, filters: Filters) -> DataFrame:
+    """documents(text, ...) with lang_pred and score; columns of these names are replaced.
 
     score is the winner's corrected share of the text's n-grams, 0 to 1; ties fall to the first language by code
     point. A null text or one without a letter is UNKNOWN with score 0, as is every text if nothing was learned.
-    Texts of any length are read whole; repeated rows are judged each on its own; other columns are ignored.
+    Texts of any length are read whole; repeated rows are judged each on its own; nothing is shuffled.
     """
     small_batches(documents.sparkSession)
+    documents = documents.drop("lang_pred", "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [*filters.languages, UNKNOWN]
@@ -155,9 +155,15 @@ def predict(documents: DataFrame, filters: Filters) -> DataFrame:
                 share[i] = np.clip((found - rate * n) / np.maximum(n * (1 - rate), 1e-9), 0, 1)
             best = np.where(letter, np.argmax(share[: max(1, len(names) - 1)], axis=0), len(names) - 1)
             score = np.where(best < len(names) - 1, share[best, np.arange(len(n))], 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([names[k] for k in best.tolist()], pa.string()), pa.array(score)], schema=_ARROW)
+            arrays = [*batch.columns, pa.array([names[k] for k in best.tolist()], pa.string()), pa.array(score)]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, "lang_pred", "score"])
+
+    return documents.mapInArrow(run, T.StructType([*documents.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
-    return documents.select("doc_id", "text").mapInArrow(run, SCHEMA)
+
+def predict(documents: DataFrame, filters: Filters) -> DataFrame:
+    """doc_id, lang_pred and score of each row of documents(doc_id, text); see annotate."""
+    return annotate(documents.select("doc_id", "text"), filters).select("doc_id", "lang_pred", "score")
 
 
 def held_out(doc_id: Column) -> Column:

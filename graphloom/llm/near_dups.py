@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import discard, materialize, small_batches
+from graphloom.llm.common import discard, materialize, small, small_batches
 from graphloom.llm.components import components
 from graphloom.llm.textops import gram_owner, grams, mix, pair, utf8, word_hashes, word_spans
 
@@ -32,8 +32,6 @@ ESTIMATE = 0.65
 POINTS = 1 << 19
 #: A hub's text is sent once for every so many documents that are compared with it.
 SALT_ROWS = 512
-#: Tables of up to so many rows of two or three numbers (some 40 bytes in a hash table) are broadcast; beyond, joins shuffle.
-BROADCAST_ROWS = 250_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -160,11 +158,6 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if it has few rows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 class _Search:
     def __init__(self, documents: DataFrame) -> None:
         small_batches(documents.sparkSession)
@@ -178,7 +171,7 @@ class _Search:
         buckets = self.signed.select("node", F.explode("buckets").alias("bucket"))
         hubs = buckets.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("bucket", "hub")
         self.hubs = materialize(hubs, "near-hubs")
-        self.members = materialize(buckets.join(_small(self.hubs), "bucket"), "near-members")  # the buckets that hold two texts or more
+        self.members = materialize(buckets.join(small(self.hubs), "bucket"), "near-members")  # the buckets that hold two texts or more
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """Links of pairs(a, b): estimated by signature, then compared by whole text."""
@@ -187,11 +180,11 @@ class _Search:
         near = materialize(pairs.select("a", "b").join(b, "b").join(a, "a").mapInArrow(_alike, "a long, b long"), "near-pairs")
         wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         wanted = materialize(wanted.join(self.nodes, "node").select(F.col("node").alias("w_node"), "rep"), "near-wanted")
-        texts = self.texts.join(_small(wanted), (F.col("node") == F.col("w_node")) & F.col("doc_id").eqNullSafe(F.col("rep")))
+        texts = self.texts.join(small(wanted), (F.col("node") == F.col("w_node")) & F.col("doc_id").eqNullSafe(F.col("rep")))
         texts = materialize(texts.select("node", "text").dropDuplicates(["node"]) if self.repeated() else texts.select("node", "text"), "near-texts")
         salts = near.groupBy("a").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
         salts = materialize(salts, "near-salts")
-        salted = near.join(_small(salts), "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
+        salted = near.join(small(salts), "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
         compared = salted.join(texts.withColumnRenamed("node", "b").hint("shuffle_hash"), "b").select("a", "salt", "b", "text")
         heads = salts.join(texts.withColumnRenamed("node", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "text")
         met = heads.unionByName(compared).repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
@@ -229,7 +222,7 @@ def classes(documents: DataFrame) -> DataFrame:
 
     def apart(pairs: DataFrame) -> DataFrame:
         """Pairs that lie in different classes so far."""
-        known = _small(label)
+        known = small(label)
         a, b = known.select(F.col("node").alias("a"), F.col("label").alias("a_label")), known.select(F.col("node").alias("b"), F.col("label").alias("b_label"))
         out = pairs.join(a, "a", "left").join(b, "b", "left")
         return out.filter(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select(*pairs.columns)
@@ -241,9 +234,9 @@ def classes(documents: DataFrame) -> DataFrame:
             links = links.unionByName(more)
             label = components(links)
     known = label.select("node", "label")
-    mixed = s.members.join(_small(known), "node", "left").select("bucket", "hub", "node", F.coalesce("label", "node").alias("label"))
+    mixed = s.members.join(small(known), "node", "left").select("bucket", "hub", "node", F.coalesce("label", "node").alias("label"))
     hub_label = known.select(F.col("node").alias("hub"), F.col("label").alias("hub_label"))
-    mixed = materialize(mixed.join(_small(hub_label), "hub", "left").withColumn("hub_label", F.coalesce("hub_label", "hub")), "near-mixed")
+    mixed = materialize(mixed.join(small(hub_label), "hub", "left").withColumn("hub_label", F.coalesce("hub_label", "hub")), "near-mixed")
     outside = mixed.filter("label <> hub_label").select("bucket", F.col("node").alias("b"), F.col("label").alias("b_label"))
     inside = mixed.filter("node <> hub").select("bucket", F.col("node").alias("a"), F.col("label").alias("a_label"), "hub_label")
     cross = outside.join(inside, "bucket").filter("a_label <> b_label AND (a_label = hub_label OR a < b)")
@@ -253,11 +246,11 @@ def classes(documents: DataFrame) -> DataFrame:
         if more.head(1):
             label = components(links.unionByName(more))
 
-    named = s.nodes.join(_small(label), "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
+    named = s.nodes.join(small(label), "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
     least = named.filter("label <> node").groupBy("label").agg(F.min("rep").alias("low"))
     roots = named.select(F.col("node").alias("root"), F.col("rep").alias("root_rep")).join(least.withColumnRenamed("label", "root"), "root")
     roots = materialize(roots.select(F.col("root").alias("label"), F.least("root_rep", "low").alias("class_id")), "near-roots")  # least skips nulls
-    known = materialize(named.join(_small(roots), "label", "left").select(F.col("node").alias("c_node"), F.coalesce("class_id", "rep").alias("class_id")), "near-classes")
+    known = materialize(named.join(small(roots), "label", "left").select(F.col("node").alias("c_node"), F.coalesce("class_id", "rep").alias("class_id")), "near-classes")
     out = s.rows.select("doc_id", "node", F.col("bytes").isNotNull().alias("some"))
     out = out.join(known, F.col("some") & (F.col("node") == F.col("c_node")), "left")
     return out.select("doc_id", "node", F.when(F.col("some"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
