@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import discard, materialize, small_batches
+from graphloom.llm.common import small_batches
 from graphloom.llm.textops import gram_owner, grams, mix, utf8, word_hashes, word_spans
 
 WINDOW, CORE = 13, 8
@@ -197,7 +197,7 @@ def _remove(columns: list[str], schema: pa.Schema):  # noqa: ANN202
                 if n < WINDOW:
                     continue
                 hit = np.zeros(n - WINDOW + 1, bool)
-                if late[i].is_valid:
+                if late[i].is_valid and len(late[i].values):
                     own = word_hashes(raw, starts[first[i] : first[i + 1]], ends[first[i] : first[i + 1]])
                     hit |= np.isin(grams(own, WINDOW, seed=1), np.asarray(late[i].values).view(np.uint64))
                 for x in places[i].as_py() or ():
@@ -245,13 +245,14 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     del bits
 
     text_hash = F.xxhash64("text")
-    found = materialize(rows.withColumn("text_hash", text_hash).mapInArrow(_find(shared, log2), _FOUND), "substring-found")
-    shared.unpersist()
-    first = F.min("doc_id").over(Window.partitionBy("hash", "second"))  # at most a row a chunk and window
-    late = found.filter("places IS NULL").select("hash", "second", "doc_id", first.alias("first")).filter("doc_id > first")
-    late = late.groupBy("doc_id").agg(F.collect_list("hash").alias("gl_hashes"))
-    settled = found.filter("places IS NOT NULL").groupBy("doc_id").agg(F.collect_list(F.struct("text_hash", "places")).alias("gl_places"))
-    marks = late.join(settled, "doc_id", "full_outer").withColumnRenamed("doc_id", "gl_doc_id")
+    found = rows.withColumn("text_hash", text_hash).mapInArrow(_find(shared, log2), _FOUND)
+    # Places that are settled go through the same exchange, each as a group of its own, so that the windows are found once.
+    found = found.withColumn("settled", F.col("places").isNotNull()).withColumn("hash", F.coalesce("hash", "text_hash")).withColumn("second", F.coalesce("second", "doc_id"))
+    first = F.min("doc_id").over(Window.partitionBy("hash", "second", "settled"))  # at most a row a chunk and window
+    late = found.withColumn("first", first).filter("settled OR doc_id > first")
+    marks = late.groupBy(F.col("doc_id").alias("gl_doc_id")).agg(
+        F.collect_list(F.when(~F.col("settled"), F.col("hash"))).alias("gl_hashes"), F.collect_list(F.when(F.col("settled"), F.struct("text_hash", "places"))).alias("gl_places")
+    )
 
     joined = documents.withColumn("gl_text_hash", text_hash).join(marks.hint("shuffle_hash"), F.col("doc_id") == F.col("gl_doc_id"), "left")
     out = documents.schema.simpleString()[7:-1]
