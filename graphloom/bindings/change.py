@@ -1,2 +1,87 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""Change tracking over events: a file is a user, a function a user and parity, kinds are event types."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from graphloom.bindings import graph as BG
+from graphloom.bindings.tables import read, registry
+from graphloom.operators import change as C
+from graphloom.operators import graph as G
+
+QUERIES, ORACLE_SQL, query = registry()
+GAP_HOURS = 2
+
+ORACLE_DEBOUNCE = f"""WITH e AS (SELECT user_id, epoch_us(ts) AS us FROM events), f AS (SELECT *, coalesce((us - lag(us) OVER w > {GAP_HOURS * 3600 * 1000000})::INT, 1) AS fresh FROM e WINDOW w AS (PARTITION BY user_id ORDER BY us)),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS run FROM f)
+SELECT user_id, max(us)::BIGINT + {GAP_HOURS * 3600 * 1000000} AS fired_at_us, count(*)::BIGINT AS triggers FROM r GROUP BY user_id, run"""
+
+
+@query("r1_debounce", ORACLE_DEBOUNCE)
+def _debounce(spark, sf):
+    return C.debounce(read(spark, sf, "events"), "user_id", "ts", GAP_HOURS * 3600)
+
+
+def changes(spark, sf):
+    e = read(spark, sf, "events")
+    kind = F.when(F.col("event_type") == "click", "edit").when(F.col("event_type") == "purchase", "save").when(F.col("event_type") == "error", "flush")
+    fn = F.concat(F.lit("fn"), (F.col("event_id") % 7).cast("string"))
+    return e.select(F.col("event_id").alias("seq"), F.col("user_id").alias("file"), fn.alias("fn"), kind.alias("kind")).filter("kind IS NOT NULL")
+
+
+CHANGES = "WITH c AS (SELECT event_id AS seq, user_id AS file, 'fn' || (event_id % 7) AS fn, CASE event_type WHEN 'click' THEN 'edit' WHEN 'purchase' THEN 'save' WHEN 'error' THEN 'flush' END AS kind FROM events WHERE event_type IN ('click', 'purchase', 'error'))"
+DIRTY = f"""{CHANGES}, d AS (SELECT file, fn FROM c e WHERE kind = 'edit' AND NOT EXISTS (SELECT 1 FROM c x WHERE x.file = e.file AND x.seq > e.seq AND (x.kind = 'save' OR x.fn = e.fn AND x.kind IN ('edit', 'flush'))))"""
+
+
+@query("r3_dirty_set", f"{DIRTY} SELECT file, fn FROM d")
+def _dirty(spark, sf):
+    return C.dirty_functions(changes(spark, sf))
+
+
+@query("r4_flush", f"{DIRTY} SELECT file, fn, CASE WHEN fn = 'fn0' THEN 'vanished' WHEN fn IN ('fn1', 'fn2') THEN 'unchanged' WHEN fn IN ('fn3', 'fn4') THEN 'regenerated' ELSE 'failed' END AS outcome FROM d")
+def _flush(spark, sf):
+    names = lambda *n: spark.sql("SELECT * FROM VALUES " + ", ".join(f"('fn{i}')" for i in n) + " AS t(fn)")
+    return C.flush(C.dirty_functions(changes(spark, sf)), names(1, 2, 3, 4, 5, 6), names(1, 2), names(3, 4))
+
+
+@query("u7_dirty_minus_flushed", f"{DIRTY} SELECT file, fn FROM d WHERE fn IN ('fn5', 'fn6')")
+def _left(spark, sf):
+    names = lambda *n: spark.sql("SELECT * FROM VALUES " + ", ".join(f"('fn{i}')" for i in n) + " AS t(fn)")
+    return C.flush(C.dirty_functions(changes(spark, sf)), names(1, 2, 3, 4, 5, 6), names(1, 2), names(3, 4)).filter("outcome = 'failed'").select("file", "fn")
+
+
+STALE = f"""{BG.CONTEXT}, near AS (SELECT DISTINCT r FROM ctx WHERE ctx.k % {BG.ROOT_MOD} = 0)
+SELECT file AS rel_fname, name, r AS line FROM near JOIN parts ON p_partkey = r WHERE r % 5 <> 0"""
+
+
+@query("r5_stale_propagation", "WITH " + STALE)
+def _stale(spark, sf):
+    e, imp = BG.ranked_graph(spark, sf)
+    regenerated = BG.parts(spark, sf).filter("p_partkey % 5 = 0").select(F.col("file").alias("rel_fname"), "name", F.col("p_partkey").alias("line"))
+    return C.stale_dependents(BG.roots(spark, sf).drop("root"), G.function_context(e, imp), regenerated)
+
+
+for _name in ("j10_stale_dependents", "u3_callers_union_callees"):
+    QUERIES[_name], ORACLE_SQL[_name] = QUERIES["r5_stale_propagation"], ORACLE_SQL["r5_stale_propagation"]
+
+
+@query("r7_background_pass", f"WITH {BG.RANKED}, t AS (SELECT k, row_number() OVER (ORDER BY importance DESC, file, name, k) AS pos FROM imp QUALIFY pos <= 200) SELECT k AS line, pos::INTEGER AS pos, CASE WHEN k % 3 = 0 THEN 'skip' ELSE 'generate' END AS action FROM t")
+def _pass(spark, sf):
+    ranked = BG._top(spark, sf, 200).select("line", "pos")
+    cached = BG.parts(spark, sf).filter("p_partkey % 3 = 0").select(F.col("p_partkey").alias("line"))
+    return C.pass_plan(ranked, cached, ["line"], 200)
+
+
+@query("r2_save_reindex", f"""WITH e AS (SELECT user_id, epoch_us(ts) AS us FROM events WHERE event_type = 'purchase'), f AS (SELECT *, coalesce((us - lag(us) OVER w > {GAP_HOURS * 3600 * 1000000})::INT, 1) AS fresh FROM e WINDOW w AS (PARTITION BY user_id ORDER BY us))
+SELECT user_id AS file, sum(fresh)::BIGINT AS runs, count(*)::BIGINT AS saves FROM f GROUP BY user_id""")
+def _saves(spark, sf):
+    runs = C.debounce(read(spark, sf, "events").filter("event_type = 'purchase'"), "user_id", "ts", GAP_HOURS * 3600)
+    return runs.groupBy(F.col("user_id").alias("file")).agg(F.count("*").alias("runs"), F.sum("triggers").alias("saves"))
+
+
+@query("r11_back_target", "SELECT event_id, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) < 15000000, false) AS live FROM events")
+def _back(spark, sf):
+    from pyspark.sql import Window
+
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    return read(spark, sf, "events").select("event_id", F.coalesce(us - F.lag(us).over(Window.partitionBy("user_id").orderBy("ts", "event_id")) < 15_000_000, F.lit(False)).alias("live"))

@@ -1,2 +1,377 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""Scalar functions over the columns of the provided tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from graphloom.bindings.tables import read, registry
+from graphloom.functions import text as T
+
+QUERIES, ORACLE_SQL, query = registry()
+_s = lambda c: F.col(c).cast("string")
+
+
+@query("f1_sha256", "SELECT doc_id, sha256(text) AS h FROM documents")
+def _f1(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", T.sha256(F.col("text")).alias("h"))
+
+
+@query("f2_fn_id", "SELECT p_partkey, p_brand || '::' || p_name AS fn_id FROM part")
+def _f2(spark, sf):
+    return read(spark, sf, "part").select("p_partkey", T.fn_id(F.col("p_brand"), F.col("p_name")).alias("fn_id"))
+
+
+QUERIES["f3_fn_hash"], ORACLE_SQL["f3_fn_hash"] = QUERIES["f1_sha256"], ORACLE_SQL["f1_sha256"]
+
+
+@query("f4_cache_key", "SELECT event_id, sha256(props || user_id || event_type || 'e' || 'v7') AS cache_key FROM events")
+def _f4(spark, sf):
+    return read(spark, sf, "events").select("event_id", T.cache_key(F.col("props"), _s("user_id"), F.col("event_type"), F.lit("e"), F.lit("v7")).alias("cache_key"))
+
+
+@query("f5_summary_hash", "SELECT p_brand AS file, sha256(string_agg(sha256(p_name), ',' ORDER BY sha256(p_name))) AS h FROM part GROUP BY 1")
+def _f5(spark, sf):
+    return read(spark, sf, "part").groupBy(F.col("p_brand").alias("file")).agg(T.set_hash(F.sha2("p_name", 256), ",").alias("h"))
+
+
+@query("f6_context_hash", """WITH r AS (SELECT o_custkey AS k, o_orderkey AS line FROM orders WHERE o_orderkey % 2 = 0), c AS (
+SELECT k, 'caller:f' || k || ':n' || line || ':' || line AS chunk FROM r UNION ALL SELECT k, 'callee:f' || k || ':n' || line || ':' || line FROM r
+UNION ALL SELECT k, 'callers_omitted:' || (count(*) - 5) FROM r GROUP BY k HAVING count(*) > 5)
+SELECT k, sha256(string_agg(sha256(chunk), '' ORDER BY sha256(chunk))) AS context_hash FROM c GROUP BY k""")
+def _f6(spark, sf):
+    o = read(spark, sf, "orders").filter("o_orderkey % 2 = 0")
+    node = F.struct(F.concat(F.lit("n"), _s("o_orderkey")).alias("name"), F.concat(F.lit("f"), _s("o_custkey")).alias("file"), F.col("o_orderkey").alias("line"))
+    g = o.groupBy(F.col("o_custkey").alias("k")).agg(F.collect_list(node).alias("r"), F.greatest(F.count("*") - 5, F.lit(0)).alias("left"))
+    return g.select("k", T.context_hash(F.col("r"), F.col("left"), F.col("r"), F.lit(0)).alias("context_hash"))
+
+
+IDS = "CASE p_partkey % 4 WHEN 0 THEN 'src/' || p_brand || '.ts::' || replace(p_name, ' ', '.') WHEN 1 THEN p_brand || '::A.b#' || p_partkey WHEN 2 THEN p_name ELSE p_brand || '::x::' || p_name || '#2' END"
+
+
+def _ids(spark, sf):
+    p = F.col("p_partkey") % 4
+    x = F.when(p == 0, F.concat(F.lit("src/"), "p_brand", F.lit(".ts::"), F.replace("p_name", F.lit(" "), F.lit(".")))).when(p == 1, F.concat("p_brand", F.lit("::A.b#"), _s("p_partkey"))).when(p == 2, F.col("p_name"))
+    return read(spark, sf, "part").select("p_partkey", x.otherwise(F.concat("p_brand", F.lit("::x::"), "p_name", F.lit("#2"))).alias("id"))
+
+
+@query("f7_parse_fn_id", f"SELECT p_partkey, split_part(id, '::', 1) AS file, CASE WHEN instr(id, '::') > 0 THEN substr(id, instr(id, '::') + 2) ELSE id END AS qualified FROM (SELECT p_partkey, {IDS} AS id FROM part)")
+def _f7(spark, sf):
+    return _ids(spark, sf).select("p_partkey", T.id_file(F.col("id")).alias("file"), T.id_qualified(F.col("id")).alias("qualified"))
+
+
+@query("f8_fn_name", rf"SELECT p_partkey, string_split(regexp_replace(string_split(id, '::')[-1], '#[0-9]+$', ''), '.')[-1] AS name FROM (SELECT p_partkey, {IDS} AS id FROM part)")
+def _f8(spark, sf):
+    return _ids(spark, sf).select("p_partkey", T.id_name(F.col("id")).alias("name"))
+
+
+@query("f9_rel_file", f"SELECT p_partkey, split_part(id, '::', 1) AS file FROM (SELECT p_partkey, {IDS} AS id FROM part)")
+def _f9(spark, sf):
+    return _ids(spark, sf).select("p_partkey", T.id_file(F.col("id")).alias("file"))
+
+
+#: Words that make roles out of part numbers, so that each category occurs.
+_WORDS = ["Input Validator", "cache Loader", "http wrapper", "Route", "spec runner", "Bootstrap", "date FORMATTER", "thing", " ", "guarded store"]
+_ROLE_SQL = f"(['{"', '".join(_WORDS)}'])[(p_partkey % {len(_WORDS)} + 1)::INTEGER]"
+_CASE = "CASE " + " ".join(f"WHEN {' OR '.join(f"contains(lower(role), '{w}')" for w in words)} THEN '{name}'" for name, words, _ in T.ROLES) + " ELSE 'generic' END"
+_ICON = "CASE cat " + " ".join(f"WHEN '{name}' THEN '{icon}'" for name, _, icon in T.ROLES) + f" ELSE '{T.GENERIC_ICON}' END"
+
+
+def _roles(spark, sf):
+    return read(spark, sf, "part").select("p_partkey", "p_brand", F.get(F.array(*map(F.lit, _WORDS)), (F.col("p_partkey") % len(_WORDS)).cast("int")).alias("role"))
+
+
+@query("f10_role_category", f"SELECT p_partkey, role, {_CASE} AS category FROM (SELECT p_partkey, {_ROLE_SQL} AS role FROM part)")
+def _f10(spark, sf):
+    return _roles(spark, sf).select("p_partkey", "role", T.role_category(F.col("role")).alias("category"))
+
+
+@query("f11_category_icon", f"SELECT p_partkey, {_ICON} AS icon FROM (SELECT p_partkey, {_CASE} AS cat FROM (SELECT p_partkey, {_ROLE_SQL} AS role FROM part))")
+def _f11(spark, sf):
+    return _roles(spark, sf).select("p_partkey", T.role_icon(T.role_category(F.col("role"))).alias("icon"))
+
+
+@query("a16_role_gutter", f"SELECT p_brand AS file, category, string_agg(p_partkey, ',' ORDER BY p_partkey) AS lines FROM (SELECT p_partkey, p_brand, CASE WHEN p_partkey % 3 = 0 THEN 'pending' ELSE {_CASE} END AS category FROM (SELECT p_partkey, p_brand, {_ROLE_SQL} AS role FROM part)) GROUP BY ALL")
+def _a16(spark, sf):
+    r = _roles(spark, sf).withColumn("category", F.coalesce(F.when(F.col("p_partkey") % 3 != 0, T.role_category(F.col("role"))), F.lit("pending")))
+    return r.groupBy(F.col("p_brand").alias("file"), "category").agg(F.array_join(F.transform(F.sort_array(F.collect_list("p_partkey")), lambda x: x.cast("string")), ",").alias("lines"))
+
+
+@query("f12_duration", """SELECT event_id, CASE WHEN m < 1 THEN 'under a minute' WHEN m < 60 THEN m || ' min' WHEN m % 60 > 0 THEN (m // 60) || 'h ' || (m % 60) || 'm' ELSE (m // 60) || 'h' END AS text
+FROM (SELECT event_id, floor(event_id * 7919 / 60000 + 0.5)::BIGINT AS m FROM events)""")
+def _f12(spark, sf):
+    return read(spark, sf, "events").select("event_id", T.duration(F.col("event_id") * 7919).alias("text"))
+
+
+_AGE = "CASE " + " ".join(f"WHEN s >= {n} THEN (s // {n}) || ' {u}' || CASE WHEN s // {n} = 1 THEN '' ELSE 's' END || ' ago'" for u, n in T.UNITS) + " ELSE 'just now' END"
+
+
+@query("f13_relative_time", f"SELECT event_id, {_AGE} AS age FROM (SELECT event_id, event_id * event_id AS s FROM events)")
+def _f13(spark, sf):
+    return read(spark, sf, "events").select("event_id", T.age(F.col("event_id") * F.col("event_id")).alias("age"))
+
+
+@query("f14_truncate_path", """WITH p AS (SELECT page_id, url AS path, string_split(url, '/') AS parts FROM pages), q AS (SELECT *, parts[-1] AS base, 30 - length(parts[-1]) - 2 AS room FROM p),
+r AS (SELECT *, list_filter(list_transform(range(1, len(parts)), lambda i: array_to_string(parts[1:i], '/')), lambda x: length(x) <= room)[-1] AS front FROM q)
+SELECT page_id, CASE WHEN length(path) <= 30 THEN path WHEN room <= 0 THEN '…' || right(base, 29) ELSE coalesce(nullif(front, ''), substr(path, 1, room)) || '…/' || base END AS short FROM r""")
+def _f14(spark, sf):
+    return read(spark, sf, "pages").select("page_id", T.short_path(F.col("url"), 30).alias("short"))
+
+
+@query("f15_first_sentence", r"SELECT conv_id, turn, coalesce(nullif(regexp_extract(text, '(?s)^(.*?[.!?])(\s|$)', 1), ''), text) AS sentence FROM conversations")
+def _f15(spark, sf):
+    return read(spark, sf, "conversations").select("conv_id", "turn", T.first_sentence(F.col("text")).alias("sentence"))
+
+
+@query("f16_escape_cells", r"SELECT doc_id, md5(replace(text, '|', '\|')) AS cell FROM documents")
+def _f16(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", F.md5(T.table_cell(F.col("text"))).alias("cell"))
+
+
+@query("f17_detail_line", f"SELECT p_partkey, concat_ws(' — ', nullif(trim(role), ''), CASE WHEN p_partkey % 2 = 0 THEN p_name END) AS detail FROM (SELECT p_partkey, p_name, {_ROLE_SQL} AS role FROM part)")
+def _f17(spark, sf):
+    r = _roles(spark, sf).join(read(spark, sf, "part").select("p_partkey", "p_name"), "p_partkey")
+    return r.select("p_partkey", T.detail_line(F.col("role"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_name"))).alias("detail"))
+
+
+@query("f18_json_fields", "SELECT event_id, (props->>'k')::BIGINT AS k FROM events")
+def _f18(spark, sf):
+    return read(spark, sf, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+@query("f19_strict_json", "SELECT event_id, json_valid(CASE WHEN event_id % 3 = 0 THEN '{' || props ELSE props END) AS valid FROM events")
+def _f19(spark, sf):
+    x = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("{"), "props")).otherwise(F.col("props"))
+    return read(spark, sf, "events").select("event_id", F.try_parse_json(x).isNotNull().alias("valid"))
+
+
+#: Sentences that trip the checks, dealt to conversation turns.
+_SAYS = ["It calls nothing. Really.", "There are no callers here.", "Does not have any callees, etc.", "TODO later", "reads a file; sends a message or notification", "An unknown thing", "fine", ""]
+_SAY_SQL = "(['" + "', '".join(_SAYS) + f"'])[((conv_id + turn) % {len(_SAYS)} + 1)::INTEGER]"
+
+
+def _says(spark, sf):
+    c = read(spark, sf, "conversations")
+    return c.select("conv_id", "turn", "role", F.get(F.array(*map(F.lit, _SAYS)), ((F.col("conv_id") + F.col("turn")) % len(_SAYS)).cast("int")).alias("say"))
+
+
+_SIX = "\n".join(f", CASE WHEN contains(lower({x}), '{p}') THEN '{f} has {p}' END" for f, x in (("role_tag", "role"), ("one_liner", "say"), ("why_it_exists", "say")) for p in T.PLACEHOLDERS)
+
+
+@query("f20_quality_issues", rf"""SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN trim(role) = '' THEN 'empty role_tag' END, CASE WHEN trim(say) = '' THEN 'empty one_liner' END,
+CASE WHEN len(regexp_extract_all(trim(say), '[.!?](\s|$)')) > 1 THEN 'one_liner of several sentences' END{_SIX}], lambda x: x IS NOT NULL), '; ') AS issues FROM (SELECT conv_id, turn, role, {_SAY_SQL} AS say FROM conversations)""")
+def _f20(spark, sf):
+    say = F.col("say")
+    return _says(spark, sf).select("conv_id", "turn", F.array_join(T.quality_issues(F.col("role"), say, say, F.lit(None).cast("string")), "; ").alias("issues"))
+
+
+_q = lambda p: "'" + p.replace("'", "''") + "'"
+
+
+@query("f21_quality_notes", f"""SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN len(regexp_extract_all(say, ',')) >= 2 THEN 'effects joined by commas' END,
+CASE WHEN {" + ".join(f"regexp_matches(say, {_q(p)})::INT" for p in T.BOILERPLATE)} >= 2 THEN 'boilerplate effects' END, CASE WHEN regexp_matches(say, {_q(T.NO_CALLEES)}) THEN 'denies its callees' END,
+CASE WHEN regexp_matches(say, {_q(T.NO_CALLERS)}) THEN 'denies its callers' END, CASE WHEN contains(lower(say), 'unknown') THEN 'says unknown' END, CASE WHEN NOT contains(say, role) THEN 'names no neighbour' END], lambda x: x IS NOT NULL), '; ') AS notes
+FROM (SELECT conv_id, turn, role, {_SAY_SQL} AS say FROM conversations)""")
+def _f21(spark, sf):
+    say, one = F.col("say"), F.array(F.col("role"))
+    return _says(spark, sf).select("conv_id", "turn", F.array_join(T.quality_notes(say, F.array(say), one, one, one), "; ").alias("notes"))
+
+
+@query("a14_quality_passes", f"SELECT role, count(*)::BIGINT AS n, count_if(issues = '')::BIGINT AS passed FROM ({ORACLE_SQL['f20_quality_issues'].replace('SELECT conv_id, turn,', 'SELECT role,', 1)}) GROUP BY role")
+def _a14(spark, sf):
+    say = F.col("say")
+    ok = F.size(T.quality_issues(F.col("role"), say, say, F.lit(None).cast("string"))) == 0
+    return _says(spark, sf).groupBy("role").agg(F.count("*").alias("n"), F.count_if(ok).alias("passed"))
+
+
+@query("f22_line_ops", "SELECT doc_id, len(string_split(text, chr(10)))::BIGINT AS n_lines, count_if(trim(l) <> '')::BIGINT AS filled FROM (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS l FROM documents) GROUP BY doc_id, text")
+def _f22(spark, sf):
+    lines = F.split("text", "\n", -1)
+    return read(spark, sf, "documents").select("doc_id", F.size(lines).cast("long").alias("n_lines"), F.size(F.filter(lines, lambda x: F.trim(x) != "")).cast("long").alias("filled"))
+
+
+@query("f24_normal_path", r"SELECT page_id, replace(replace(url, '/', '\'), '\', '/') AS path FROM pages")
+def _f24(spark, sf):
+    return read(spark, sf, "pages").select("page_id", F.regexp_replace(F.regexp_replace("url", "/", r"\\"), r"\\", "/").alias("path"))
+
+
+@query("f25_copy_text", """SELECT event_id, 'fn' || user_id || CASE WHEN event_id % 2 = 0 THEN '
+
+Why it exists:
+' || event_type ELSE '' END || '
+
+Used by:
+a, ' || event_type || '
+
+Side effects:
+' || CASE WHEN event_id % 3 = 0 THEN '- ' || event_type || chr(10) || '- z' ELSE 'None detected -- pure function' END AS text FROM events""")
+def _f25(spark, sf):
+    e, none = F.col("event_id"), F.array().cast("array<string>")
+    why, effects = F.when(e % 2 == 0, F.col("event_type")), F.when(e % 3 == 0, F.array("event_type", F.lit("z"))).otherwise(none)
+    return read(spark, sf, "events").select("event_id", T.copy_text(F.concat(F.lit("fn"), _s("user_id")), why, F.array(F.lit("a"), "event_type"), none, effects, F.lit(None).cast("string")).alias("text"))
+
+
+@query("f26_context_bundle", """WITH r AS (SELECT o_custkey AS k, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)
+SELECT k, 'Callers (' || any_value(n) || '):' || CASE WHEN any_value(n) > 3 THEN chr(10) || '  Most significant (top 3, ranked by importance):' || chr(10)
+ || string_agg('    - n' || o_orderkey || ' (f:' || o_orderkey || ')', chr(10) ORDER BY i) FILTER (i <= 3) || chr(10) || '  Full list (most significant first):' ELSE '' END
+ || chr(10) || string_agg('  - n' || o_orderkey || ' (f:' || o_orderkey || ')', chr(10) ORDER BY i) || CASE WHEN k % 2 = 1 THEN chr(10) || '  ... and 1 more caller(s) not shown' ELSE '' END AS section FROM r GROUP BY k""")
+def _f26(spark, sf):
+    node = F.struct(F.col("o_orderkey").alias("line"), F.concat(F.lit("n"), _s("o_orderkey")).alias("name"), F.lit("f").alias("file"))
+    g = read(spark, sf, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.sort_array(F.collect_list(node)).alias("r"))
+    return g.select("k", T.related_section("caller", F.col("r"), F.col("k") % 2).alias("section"))
+
+
+QUERIES["t6_top_highlight"], ORACLE_SQL["t6_top_highlight"] = QUERIES["f26_context_bundle"], ORACLE_SQL["f26_context_bundle"]
+
+
+@query("f27_file_summary_prompt", f"""SELECT p_brand AS file, 'File: ' || p_brand || chr(10) || chr(10) || 'Functions:' || chr(10) || string_agg('  - ' || p_name || ' (' || coalesce(nullif(trim(role), ''), 'unknown role') || '): no summary available', chr(10) ORDER BY p_partkey) || chr(10) || chr(10) || 'Purpose paragraph:' AS prompt
+FROM (SELECT p_partkey, p_brand, p_name, {_ROLE_SQL} AS role FROM part) GROUP BY p_brand""")
+def _f27(spark, sf):
+    r = _roles(spark, sf).join(read(spark, sf, "part").select("p_partkey", "p_name"), "p_partkey")
+    line = F.concat(F.lit("  - "), "p_name", F.lit(" ("), F.coalesce(F.nullif(F.trim("role"), F.lit("")), F.lit("unknown role")), F.lit("): no summary available"))
+    g = r.groupBy(F.col("p_brand").alias("file")).agg(F.sort_array(F.collect_list(F.struct("p_partkey", line.alias("line")))).alias("l"))
+    body = F.array_join(F.transform("l", lambda x: x["line"]), "\n")
+    return g.select("file", F.concat(F.lit("File: "), "file", F.lit("\n\nFunctions:\n"), body, F.lit("\n\nPurpose paragraph:")).alias("prompt"))
+
+
+@query("f29_poll_interval", "SELECT event_id, CASE WHEN user_id % 5 = 0 OR value < 2.0 THEN 0.02 ELSE 0.25 END::DOUBLE AS wait FROM events")
+def _f29(spark, sf):
+    return read(spark, sf, "events").select("event_id", T.poll_interval((F.col("user_id") % 5 == 0).cast("int"), F.col("value")).alias("wait"))
+
+
+@query("f30_restart_backoff", "SELECT c_custkey, CASE WHEN n < 5 THEN least(2000 * 2 ** (n - 1), 30000) END::BIGINT AS delay FROM (SELECT c_custkey, c_custkey % 7 + 1 AS n FROM customer)")
+def _f30(spark, sf):
+    return read(spark, sf, "customer").select("c_custkey", T.restart_delay(F.col("c_custkey") % 7 + 1).alias("delay"))
+
+
+@query("f31_failure_cause", "SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'spawn-failed' WHEN c_custkey % 3 = 0 THEN 'unknown' WHEN c_custkey % 2 = 0 THEN 'process-crashed' ELSE 'slow-first-index' END AS cause FROM customer")
+def _f31(spark, sf):
+    k = F.col("c_custkey")
+    return read(spark, sf, "customer").select("c_custkey", T.failure_cause(k % 5 == 0, k % 3 != 0, k % 2 == 0).alias("cause"))
+
+
+QUERIES["r9_heartbeat"], ORACLE_SQL["r9_heartbeat"] = QUERIES["f31_failure_cause"], ORACLE_SQL["f31_failure_cause"]
+
+
+@query("f32_settings", "SELECT c_custkey, CASE WHEN v >= 1 THEN floor(v) ELSE 200 END::BIGINT AS top_n, CASE WHEN v >= 5 THEN v ELSE 25.0 END::DOUBLE AS flush FROM (SELECT c_custkey, CASE WHEN c_custkey % 6 > 0 THEN c_acctbal / 100 END AS v FROM customer)")
+def _f32(spark, sf):
+    v = F.when(F.col("c_custkey") % 6 > 0, F.col("c_acctbal") / 100)
+    return read(spark, sf, "customer").select("c_custkey", T.top_n_setting(v).alias("top_n"), T.flush_setting(v).alias("flush"))
+
+
+@query("f33_hover_and_lens", f"""SELECT p_partkey, '#### ' || role || ' · *fresh*' || chr(10) || chr(10) || '**' || p_partkey || '**' || chr(10) || chr(10) || '---' || chr(10) AS hover,
+CASE WHEN p_partkey % 3 = 0 THEN '{T.PENDING_TITLE}' ELSE {_ICON} || ' ' || shown END AS lens FROM (SELECT *, {_CASE.replace("role", "shown")} AS cat FROM (SELECT p_partkey, role, CASE WHEN trim(role) = '' THEN 'Unknown' ELSE role END AS shown FROM (SELECT p_partkey, {_ROLE_SQL} AS role FROM part)))""")
+def _f33(spark, sf):
+    return _roles(spark, sf).select("p_partkey", T.hover_text(F.col("role"), _s("p_partkey"), F.lit("fresh")).alias("hover"), T.lens_title(F.col("role"), F.col("p_partkey") % 3 != 0).alias("lens"))
+
+
+@query("f34_fuzzy_search", "SELECT p_partkey, CASE WHEN contains(lower(p_name), 'ring') THEN 2 WHEN regexp_matches(lower(p_name), '(?s)r.*i.*n.*g') THEN 1 ELSE 0 END::INTEGER AS match FROM part")
+def _f34(spark, sf):
+    return read(spark, sf, "part").select("p_partkey", T.subsequence_match(F.col("p_name"), "Ring").alias("match"))
+
+
+@query("p2_excluded_names", "SELECT p_partkey, p_name FROM part WHERE NOT (p_brand IN ('Brand#1', 'Brand#2') AND p_name LIKE '%ring') AND NOT (p_brand = 'Brand#3' AND p_name LIKE 'red%')")
+def _p2(spark, sf):
+    b, n = F.col("p_brand"), F.col("p_name")
+    return read(spark, sf, "part").filter(~(b.isin("Brand#1", "Brand#2") & n.like("%ring")) & ~((b == "Brand#3") & n.like("red%"))).select("p_partkey", "p_name")
+
+
+@query("p3_component_names", r"SELECT doc_id, regexp_extract(name, '^[^.]+') AS root FROM (SELECT doc_id, regexp_extract(text, '^\S+') AS name FROM documents) WHERE contains(name, '.') OR regexp_matches(name, '^\p{Lu}')")
+def _p3(spark, sf):
+    name = F.regexp_extract("text", r"^\S+", 0)
+    return read(spark, sf, "documents").select("doc_id", name.alias("name")).filter(F.contains("name", F.lit(".")) | F.col("name").rlike(r"^\p{Lu}")).select("doc_id", F.regexp_extract("name", r"^[^.]+", 0).alias("root"))
+
+
+@query("p6_binary_head", "SELECT doc_id, strlen(text) > 1024 AND hex(encode(text))[2049:2050] BETWEEN '80' AND 'BF' AS binary_head FROM documents")
+def _p6(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", T.binary_head(F.encode("text", "UTF-8")).alias("binary_head"))
+
+
+@query("p7_too_large", "SELECT doc_id, strlen(text)::BIGINT AS size FROM documents WHERE strlen(text) > 5000")
+def _p7(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", F.octet_length("text").cast("long").alias("size")).filter("size > 5000")
+
+
+@query("p9_extension", "SELECT page_id, url FROM pages WHERE ends_with(url, '.html') OR ends_with(url, '/')")
+def _p9(spark, sf):
+    return read(spark, sf, "pages").filter(F.endswith("url", F.lit(".html")) | F.endswith("url", F.lit("/"))).select("page_id", "url")
+
+
+QUERIES["s13_changed_files"], ORACLE_SQL["s13_changed_files"] = QUERIES["p9_extension"], ORACLE_SQL["p9_extension"]
+
+
+@query("p10_function_like", "SELECT event_id, event_type IN ('click') OR (event_type IN ('view', 'error') AND contains(props, '1')) AS is_function FROM events")
+def _p10(spark, sf):
+    kind = F.when(F.col("event_type") == "click", "Method").when(F.col("event_type").isin("view", "error"), "Field").otherwise("Class")
+    return read(spark, sf, "events").select("event_id", T.function_like(kind, F.replace("props", F.lit("1"), F.lit("=>"))).alias("is_function"))
+
+
+@query("p11_loopback", "SELECT page_id, page_id % 3 = 0 AS local FROM pages")
+def _p11(spark, sf):
+    url = F.when(F.col("page_id") % 3 == 0, F.get(F.array(F.lit("http://localhost:11434"), F.lit("HTTP://127.0.0.1/x"), F.lit("http://[::1]:80/")), (F.col("page_id") % 9 / 3).cast("int"))).otherwise(F.col("url"))
+    return read(spark, sf, "pages").select("page_id", T.loopback(url).alias("local"))
+
+
+@query("p12_known_names", "SELECT o_custkey AS k, string_agg(o_orderpriority, ',' ORDER BY o_orderkey) AS names FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') GROUP BY 1")
+def _p12(spark, sf):
+    g = read(spark, sf, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))).alias("l"))
+    kept = T.keep_known(F.transform("l", lambda x: x["o_orderpriority"]), F.array(F.lit("1-URGENT"), F.lit("2-HIGH")))
+    return g.select("k", F.array_join(kept, ",").alias("names")).filter("names <> ''")
+
+
+@query("p13_freshness", "SELECT event_id, CASE WHEN event_type = 'click' THEN 'dirty' WHEN value < 10 THEN 'stale' ELSE 'fresh' END AS state FROM events")
+def _p13(spark, sf):
+    return read(spark, sf, "events").select("event_id", T.freshness(F.col("event_type") == "click", F.col("value") < 10).alias("state"))
+
+
+@query("p14_named_or_top", "SELECT p_partkey FROM (SELECT p_partkey FROM part WHERE p_name = 'red ring' UNION ALL SELECT * FROM (SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_name = 'red ring') ORDER BY p_retailprice DESC, p_partkey LIMIT 15))")
+def _p14(spark, sf):
+    p = read(spark, sf, "part")
+    named = p.filter("p_name = 'red ring'")
+    return (named if named.head(1) else p.orderBy(F.desc("p_retailprice"), "p_partkey").limit(15)).select("p_partkey")
+
+
+@query("s3_excluded_dirs", "SELECT page_id FROM pages WHERE NOT regexp_matches(url, '/(de|build[^/]*)/')")
+def _s3(spark, sf):
+    parts = F.split("url", "/")
+    return read(spark, sf, "pages").filter(~F.exists(F.slice(parts, 1, F.size(parts) - 1), lambda d: d.isin("de") | d.rlike("^build.*$"))).select("page_id")
+
+
+@query("s4_language_by_extension", "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'javascript' WHEN 1 THEN 'javascript' WHEN 2 THEN 'typescript' WHEN 3 THEN 'tsx' ELSE 'python' END AS language FROM documents")
+def _s4(spark, sf):
+    from graphloom.sources.manifest import extension_table
+
+    ext = F.get(F.array(*map(F.lit, (".js", ".jsx", ".ts", ".tsx", ".py"))), (F.col("doc_id") % 5).cast("int"))
+    return read(spark, sf, "documents").select("doc_id", ext.alias("ext")).join(F.broadcast(extension_table(spark)), "ext").select("doc_id", "language")  # five rows
+
+
+@query("s10_manifest", "SELECT * FROM (VALUES ('.js', 'javascript'), ('.jsx', 'javascript'), ('.ts', 'typescript'), ('.tsx', 'tsx'), ('.py', 'python')) t(ext, language)")
+def _s10(spark, sf):
+    from graphloom.sources.manifest import extension_table
+
+    return extension_table(spark)
+
+
+@query("s14_byte_slice", "SELECT doc_id, lower(hex(encode(text)))[21:60] AS bytes FROM documents WHERE strlen(text) >= 30")
+def _s14(spark, sf):
+    return read(spark, sf, "documents").filter(F.octet_length("text") >= 30).select("doc_id", F.lower(F.hex(F.substring(F.encode("text", "UTF-8"), 11, 20))).alias("bytes"))
+
+
+@query("a8_progress", "SELECT user_id, count(*)::BIGINT AS total, count_if(event_type = 'click')::BIGINT AS generated, count_if(event_type = 'view')::BIGINT AS skipped, floor(100.0 * count_if(event_type IN ('click', 'view')) / count(*) + 0.5)::BIGINT AS percent FROM events GROUP BY user_id")
+def _a8(spark, sf):
+    t = F.col("event_type")
+    done = F.count_if(t.isin("click", "view"))
+    return read(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("total"), F.count_if(t == "click").alias("generated"), F.count_if(t == "view").alias("skipped"), F.floor(100.0 * done / F.count("*") + 0.5).alias("percent"))
+
+
+@query("a9_rolling_eta", """SELECT event_id, round(CASE WHEN n > 1 AND last_us > first_us THEN 100 / ((n - 1) / ((last_us - first_us) / 1000.0)) END, 3) AS eta_ms FROM (SELECT event_id, count(*) OVER w AS n, epoch_us(ts) AS last_us, min(epoch_us(ts)) OVER w AS first_us
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND CURRENT ROW))""")
+def _a9(spark, sf):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-5, 0)
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    e = read(spark, sf, "events").select("event_id", F.count("*").over(w).alias("n"), us.alias("last_us"), F.min(us).over(w).alias("first_us"))
+    eta = 100 / ((F.col("n") - 1) / ((F.col("last_us") - F.col("first_us")) / 1000.0))
+    return e.select("event_id", F.round(F.when((F.col("n") > 1) & (F.col("last_us") > F.col("first_us")), eta), 3).alias("eta_ms"))
+
+
+QUERIES["w10_rolling_completions"], ORACLE_SQL["w10_rolling_completions"] = QUERIES["a9_rolling_eta"], ORACLE_SQL["a9_rolling_eta"]

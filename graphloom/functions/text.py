@@ -68,10 +68,14 @@ def role_category(role: Column) -> Column:
 
 
 def role_icon(category: Column) -> Column:
-    out = F.when(category == ROLES[0][0], ROLES[0][2])
-    for name, _, icon in ROLES[1:]:
-        out = out.when(category == name, icon)
-    return out.otherwise(GENERIC_ICON)
+    icons = F.create_map(*[F.lit(x) for name, _, icon in ROLES for x in (name, icon)])
+    return F.coalesce(F.element_at(icons, category), F.lit(GENERIC_ICON))
+
+
+def binary_head(content: Column) -> Column:
+    """Whether the first 1,024 bytes hold a NUL or are not valid UTF-8 (a character cut at their end counts)."""
+    head = F.substring(content, 1, 1024).cast("string")
+    return F.contains(head, F.lit("\x00")) | ~F.is_valid_utf8(head)
 
 
 def lens_title(role: Column, cached: Column) -> Column:
