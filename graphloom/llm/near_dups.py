@@ -26,8 +26,10 @@ SHINGLE, THRESHOLD = 5, 0.8
 #: A band misses a pair of similarity 0.8 with probability 1 - 0.8**6; all 42 do so with 3e-6.
 BANDS, ROWS = 42, 6
 LABELS = BANDS * ROWS
-#: Pairs whose signatures agree in less than this share are not compared by text: six standard deviations below 0.8.
-ESTIMATE = 0.65
+#: Pairs whose signatures agree in less than this share are not compared by text: four standard deviations below 0.8.
+ESTIMATE = 0.70
+#: Texts of a bucket that meet at once where a bucket is compared in blocks.
+BLOCK = 1024
 #: Points generated at once.
 POINTS = 1 << 19
 #: A hub's text is sent once for every so many documents that are compared with it.
@@ -136,6 +138,53 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(share >= ESTIMATE))
 
 
+
+
+def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (bucket, band, i, j, own, node, label, buckets, bytes) sorted by bucket and block pair (i, j), the pairs of texts of different classes whose estimate is ESTIMATE or more.
+
+    A pair counts only in the first bucket that its texts share, so it goes out once however many they share.
+    """
+    keys, held, now = ("bucket", "i", "j"), [], None
+
+    def search(table: pa.Table) -> pa.RecordBatch:
+        node, label, own = (np.asarray(table.column(c)) for c in ("node", "label", "own"))
+        band, i, j = (table.column(c)[0].as_py() for c in ("band", "i", "j"))
+        sig = np.frombuffer(b"".join(table.column("bytes").to_pylist()), np.uint8).reshape(-1, LABELS)
+        buckets = np.asarray(table.column("buckets").combine_chunks().flatten()).reshape(-1, BANDS)[:, :band]
+        names, counts = np.unique(label, return_counts=True)
+        few = np.flatnonzero(label != names[np.argmax(counts)])  # a pair of two classes has one outside of the largest
+        first = np.zeros(len(node), bool)
+        first[few] = True
+        order, found = np.arange(len(node)), []
+        for x in few.tolist():
+            other = (label != label[x]) & (~first | (order > x))
+            if i != j:
+                other &= own != own[x]
+            at = np.flatnonzero(other)
+            share = ((sig[at] == sig[x]).mean(axis=1) - 1 / 256) / (1 - 1 / 256) if len(at) else np.zeros(0)
+            at = at[share >= ESTIMATE]
+            at = at[~(buckets[at] == buckets[x]).any(axis=1)] if band else at
+            found += [(min(node[x], node[y]), max(node[x], node[y])) for y in at.tolist()]
+        return pa.RecordBatch.from_pydict({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+    for batch in batches:
+        key = list(zip(*(batch.column(c).to_pylist() for c in keys), strict=True))
+        at = 0
+        while at < len(key):
+            end = at
+            while end < len(key) and key[end] == key[at]:
+                end += 1
+            if now is not None and now != key[at]:
+                yield search(pa.Table.from_batches(held))
+                held = []
+            now = key[at]
+            held.append(batch.slice(at, end - at))
+            at = end
+    if held:
+        yield search(pa.Table.from_batches(held))
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links among rows (a, salt, b, text) sorted by a, salt and b: a hub's own row (b null) comes before those compared with it."""
     hub = None
@@ -168,16 +217,17 @@ class _Search:
         # One row of each text. A text whose ids are all null stands for itself by its first row in hash order.
         signed = some.join(self.nodes.select(F.col("node").alias("n_node"), "rep"), (F.col("node") == F.col("n_node")) & F.col("doc_id").eqNullSafe(F.col("rep")))
         self.signed = materialize(signed.select("node", "buckets", "bytes").dropDuplicates(["node"]), "near-signed")
-        buckets = self.signed.select("node", F.explode("buckets").alias("bucket"))
+        buckets = self.signed.select("node", F.posexplode("buckets").alias("band", "bucket"))
         hubs = buckets.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("bucket", "hub")
         self.hubs = materialize(hubs, "near-hubs")
         self.members = materialize(buckets.join(small(self.hubs), "bucket"), "near-members")  # the buckets that hold two texts or more
 
-    def verify(self, pairs: DataFrame) -> DataFrame:
-        """Links of pairs(a, b): estimated by signature, then compared by whole text."""
+    def verify(self, pairs: DataFrame, estimated: bool = False) -> DataFrame:
+        """Links of pairs(a, b): estimated by signature, unless they were, then compared by whole text."""
         sig = self.signed.select("node", "bytes")
         a, b = sig.select(F.col("node").alias("a"), F.col("bytes").alias("a_bytes")), sig.select(F.col("node").alias("b"), F.col("bytes").alias("b_bytes"))
-        near = materialize(pairs.select("a", "b").join(b, "b").join(a, "a").mapInArrow(_alike, "a long, b long"), "near-pairs")
+        near = pairs.select("a", "b") if estimated else pairs.select("a", "b").join(b, "b").join(a, "a").mapInArrow(_alike, "a long, b long")
+        near = materialize(near, "near-pairs")
         wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         wanted = materialize(wanted.join(self.nodes, "node").select(F.col("node").alias("w_node"), "rep"), "near-wanted")
         texts = self.texts.join(small(wanted), (F.col("node") == F.col("w_node")) & F.col("doc_id").eqNullSafe(F.col("rep")))
@@ -205,10 +255,9 @@ def classes(documents: DataFrame) -> DataFrame:
 
     A class is a connected component of the links of similarity THRESHOLD or more. Exact copies are one text, and all
     the following is about different texts. Every text is compared first with the text that is the least in most of
-    its buckets; then with the other least ones that are still in another class; last, in each bucket that still
-    holds several classes, the texts outside of its least one's class with all those of other classes. So every
-    candidate pair is compared unless its two texts are in one class already, and no bucket is expanded into all
-    pairs. Defined cases: a text without words (null, empty, blank) is its own class; fewer than five words are one
+    its buckets; then with the other least ones that are still in another class; last, each bucket that still holds
+    several classes is searched in blocks by signature for pairs of different classes. So every candidate pair is
+    compared unless its two texts are in one class already, and no bucket is expanded into all pairs. Defined cases: a text without words (null, empty, blank) is its own class; fewer than five words are one
     shingle; a null doc_id is never a class's id unless no other is there; ties fall to the smaller id; extra columns
     are ignored; an empty table gives no rows.
     """
@@ -234,15 +283,17 @@ def classes(documents: DataFrame) -> DataFrame:
             links = links.unionByName(more)
             label = components(links)
     known = label.select("node", "label")
-    mixed = s.members.join(small(known), "node", "left").select("bucket", "hub", "node", F.coalesce("label", "node").alias("label"))
+    mixed = s.members.join(small(known), "node", "left").select("bucket", "band", "hub", "node", F.coalesce("label", "node").alias("label"))
     hub_label = known.select(F.col("node").alias("hub"), F.col("label").alias("hub_label"))
     mixed = materialize(mixed.join(small(hub_label), "hub", "left").withColumn("hub_label", F.coalesce("hub_label", "hub")), "near-mixed")
-    outside = mixed.filter("label <> hub_label").select("bucket", F.col("node").alias("b"), F.col("label").alias("b_label"))
-    inside = mixed.filter("node <> hub").select("bucket", F.col("node").alias("a"), F.col("label").alias("a_label"), "hub_label")
-    cross = outside.join(inside, "bucket").filter("a_label <> b_label AND (a_label = hub_label OR a < b)")
-    cross = materialize(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-cross")
+    impure = mixed.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count_if(F.col("label") != F.col("hub_label")).alias("out")).filter("out > 0").select("bucket", "blocks")
+    impure = materialize(impure, "near-impure")
+    rows = mixed.join(small(impure), "bucket").join(s.signed, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("bucket", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "buckets", "bytes")
+    cross = materialize(rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_cross, "a long, b long"), "near-cross")
     if cross.head(1):
-        more = s.verify(cross)
+        more = s.verify(cross, estimated=True)
         if more.head(1):
             label = components(links.unionByName(more))
 
