@@ -60,15 +60,17 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back.
 
+    codec: zstd is for tables of text; its buffers lie outside of the heap, so tables of numbers go without.
+
     This cuts the lineage in a way that survives lost executors: the files are in storage that every node sees.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/graphloom/{label}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out._graphloom_path = path
     return out

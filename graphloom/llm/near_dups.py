@@ -231,7 +231,7 @@ class _Search:
         wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         wanted = materialize(wanted.join(self.nodes, "node").select(F.col("node").alias("w_node"), "rep"), "near-wanted")
         texts = self.texts.join(small(wanted), (F.col("node") == F.col("w_node")) & F.col("doc_id").eqNullSafe(F.col("rep")))
-        texts = materialize(texts.select("node", "text").dropDuplicates(["node"]) if self.repeated() else texts.select("node", "text"), "near-texts")
+        texts = materialize(texts.select("node", "text").dropDuplicates(["node"]) if self.repeated() else texts.select("node", "text"), "near-texts", "zstd")
         salts = near.groupBy("a").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
         salts = materialize(salts, "near-salts")
         salted = near.join(small(salts), "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))

@@ -105,7 +105,7 @@ def write_archives(pages: DataFrame) -> DataFrame:
     One archive per task. Other columns are ignored. Defined cases: see plan_records.
     """
     small_batches(pages.sparkSession, 128)
-    return materialize(plan_records(pages).mapInArrow(_write, CHUNK_SCHEMA), "warc-chunks")
+    return materialize(plan_records(pages).mapInArrow(_write, CHUNK_SCHEMA), "warc-chunks", "zstd")
 
 
 def _fields(block: bytes) -> tuple[dict[str, str], int]:
