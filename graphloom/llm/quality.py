@@ -123,19 +123,19 @@ def verdict(ordered: list[Rule]) -> Column:
 def cascade(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """documents with rejected_by (null: kept); a metric is evaluated only for texts that reach its rule.
 
-    Defined cases: a null text has no words and no lines; tables may be empty; columns of documents other than text
-    pass through, but must not bear a metric's name or 'words'.
+    Defined cases: a null text has no words and no lines; tables may be empty; all columns of documents pass through,
+    whatever their names, but for one named rejected_by, which is replaced.
     """
-    out, reached = documents.withColumn("words", words_of(F.col("text"))), F.lit(None).cast("string")
-    helpers = ["words"]
+    rows = documents.drop("rejected_by")
+    out = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("gl_row"), F.col("text"), words_of(F.col("text")).alias("words"), F.lit(None).cast("string").alias("rejected_by"))
+    measured = set()
     for r in order_rules(documents, rules):
         for name in r.metrics:
-            if name not in helpers:
-                out = out.withColumn(name, F.when(F.col("rejected_by").isNull(), metric(name)) if "rejected_by" in out.columns else metric(name))
-                helpers.append(name)
-        found = F.coalesce(F.col("rejected_by"), F.when(F.expr(r.rejects), r.name)) if "rejected_by" in out.columns else F.when(F.expr(r.rejects), r.name)
-        out = out.withColumn("rejected_by", found)
-    return out.drop(*helpers) if "rejected_by" in out.columns else documents.withColumn("rejected_by", reached)
+            if name not in measured:
+                out = out.withColumn(name, F.when(F.col("rejected_by").isNull(), metric(name)))
+                measured.add(name)
+        out = out.withColumn("rejected_by", F.coalesce("rejected_by", F.when(F.expr(r.rejects), r.name)))
+    return out.select("gl_row.*", "rejected_by")
 
 
 def judge(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
