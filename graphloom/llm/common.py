@@ -12,14 +12,14 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.storage import shared_dir
+
 #: Rows in one Arrow batch sent to Python. Texts average a few KB and may reach some 100 KB, so this keeps a batch at a few MB.
 BATCH_ROWS = 512
 
 #: Tables of up to so many rows of two or three numbers (some 40 bytes each in a hash table) are broadcast; beyond, joins shuffle.
 BROADCAST_ROWS = 250_000
 
-_own_dir: str | None = None
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables; only Spark's readers touch the path."""
@@ -48,18 +48,6 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a private one only where that is unset, as in local tests."""
-    global _own_dir
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if _own_dir is None:
-            _own_dir = tempfile.mkdtemp(prefix="graphloom-")
-            atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
-        base = _own_dir
-    return base.rstrip("/")
-
-
 def materialize(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back.
 
