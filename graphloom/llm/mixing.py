@@ -22,6 +22,8 @@ from graphloom.llm.quality import words_of
 #: Weights of the sources in the order of their names (fixed values), the mix's share of all words, and the bound on a source's repeats.
 WEIGHTS, SHARE, MOST_REPEATS = (3.0, 1.0, 2.0), 1.5, 2.0
 SHARDS = 16
+#: Parts that a shard is written in.
+SHARD_PARTS = 64
 #: Blocks of all sources together are at most this many and one more a source: the bound on what the driver plans.
 BLOCKS = 1 << 14
 #: Least words of a block.
@@ -165,7 +167,7 @@ def mixed_documents(documents: DataFrame, **options: object) -> DataFrame:
     """The mix as rows of documents: one for each taken copy, or for each taken run of its words (then joined by one space).
 
     Pieces of a copy that follow each other are put together, whichever shards their blocks fell to, so that only the
-    edge of a source's last draw cuts documents. Rows lie by shard, in the shard's shuffled order.
+    edge of a source's last draw cuts documents. Rows lie by shard and part of it, in shuffled order.
     """
     columns = documents.columns
     placed, pieces = draw(documents, **options)
@@ -182,5 +184,6 @@ def mixed_documents(documents: DataFrame, **options: object) -> DataFrame:
     words = words_of(F.col("text"))
     whole = (F.col("gl_first") == 0) & (F.col("gl_last") == F.size(words))
     text = F.when(whole, F.col("text")).otherwise(F.array_join(F.slice(words, (F.col("gl_first") + 1).cast("int"), (F.col("gl_last") - F.col("gl_first")).cast("int")), " "))
-    met = met.withColumn("text", text).repartition("gl_shard").sortWithinPartitions("gl_shard", "gl_place")
+    part = F.pmod("gl_place", F.lit(SHARD_PARTS))  # a shard is as many tasks, not one
+    met = met.withColumn("text", text).repartition("gl_shard", part).sortWithinPartitions("gl_shard", part, "gl_place")
     return met.select(*columns)
