@@ -140,10 +140,11 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 
-def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cross(batches: Iterator[pa.RecordBatch], best: bool) -> Iterator[pa.RecordBatch]:
     """Of rows (bucket, band, i, j, own, node, label, buckets, bytes) sorted by bucket and block pair (i, j), the pairs of texts of different classes whose estimate is ESTIMATE or more.
 
-    A pair counts only in the first bucket that its texts share, so it goes out once however many they share.
+    A pair counts only in the first bucket that its texts share, so it goes out once however many they share. With
+    best, each text outside of the largest class goes out with its most similar partner only.
     """
     keys, held, now = ("bucket", "i", "j"), [], None
 
@@ -163,8 +164,13 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 other &= own != own[x]
             at = np.flatnonzero(other)
             share = ((sig[at] == sig[x]).mean(axis=1) - 1 / 256) / (1 - 1 / 256) if len(at) else np.zeros(0)
-            at = at[share >= ESTIMATE]
-            at = at[~(buckets[at] == buckets[x]).any(axis=1)] if band else at
+            keep = share >= ESTIMATE
+            at, share = at[keep], share[keep]
+            if band and len(at):
+                keep = ~(buckets[at] == buckets[x]).any(axis=1)
+                at, share = at[keep], share[keep]
+            if best and len(at):
+                at = at[[int(np.argmax(share))]]
             found += [(min(node[x], node[y]), max(node[x], node[y])) for y in at.tolist()]
         return pa.RecordBatch.from_pydict({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
@@ -256,7 +262,8 @@ def classes(documents: DataFrame) -> DataFrame:
     A class is a connected component of the links of similarity THRESHOLD or more. Exact copies are one text, and all
     the following is about different texts. Every text is compared first with the text that is the least in most of
     its buckets; then with the other least ones that are still in another class; last, each bucket that still holds
-    several classes is searched in blocks by signature for pairs of different classes. So every candidate pair is
+    several classes is searched in blocks by signature for pairs of different classes, twice for each text's best
+    partner only and then for all. So every candidate pair is
     compared unless its two texts are in one class already, and no bucket is expanded into all pairs. Defined cases: a text without words (null, empty, blank) is its own class; fewer than five words are one
     shingle; a null doc_id is never a class's id unless no other is there; ties fall to the smaller id; extra columns
     are ignored; an empty table gives no rows.
@@ -282,20 +289,27 @@ def classes(documents: DataFrame) -> DataFrame:
         if more.head(1):
             links = links.unionByName(more)
             label = components(links)
-    known = label.select("node", "label")
-    mixed = s.members.join(small(known), "node", "left").select("bucket", "band", "hub", "node", F.coalesce("label", "node").alias("label"))
-    hub_label = known.select(F.col("node").alias("hub"), F.col("label").alias("hub_label"))
-    mixed = materialize(mixed.join(small(hub_label), "hub", "left").withColumn("hub_label", F.coalesce("hub_label", "hub")), "near-mixed")
-    impure = mixed.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count_if(F.col("label") != F.col("hub_label")).alias("out")).filter("out > 0").select("bucket", "blocks")
-    impure = materialize(impure, "near-impure")
-    rows = mixed.join(small(impure), "bucket").join(s.signed, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("bucket", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "buckets", "bytes")
-    cross = materialize(rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_cross, "a long, b long"), "near-cross")
-    if cross.head(1):
-        more = s.verify(cross, estimated=True)
-        if more.head(1):
-            label = components(links.unionByName(more))
+    def cross(best: bool) -> DataFrame:
+        """Pairs of different classes in the buckets that hold several."""
+        known = label.select("node", "label")
+        mixed = s.members.join(small(known), "node", "left").select("bucket", "band", "hub", "node", F.coalesce("label", "node").alias("label"))
+        hub_label = known.select(F.col("node").alias("hub"), F.col("label").alias("hub_label"))
+        mixed = materialize(mixed.join(small(hub_label), "hub", "left").withColumn("hub_label", F.coalesce("hub_label", "hub")), "near-mixed")
+        impure = mixed.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count_if(F.col("label") != F.col("hub_label")).alias("out")).filter("out > 0").select("bucket", "blocks")
+        impure = materialize(impure, "near-impure")
+        rows = mixed.join(small(impure), "bucket").join(s.signed, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = rows.select("bucket", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "buckets", "bytes")
+        pairs = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(lambda batches: _cross(batches, best), "a long, b long")
+        return materialize(pairs.distinct() if best else pairs, "near-cross")
+
+    for best in (True, True, False):  # the best partners first: they join most classes, and leave few pairs for the last, full search
+        pairs = cross(best)
+        if pairs.head(1):
+            more = s.verify(pairs, estimated=True)
+            if more.head(1):
+                links = links.unionByName(more)
+                label = components(links)
 
     named = s.nodes.join(small(label), "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
     least = named.filter("label <> node").groupBy("label").agg(F.min("rep").alias("low"))
