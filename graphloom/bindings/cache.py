@@ -103,37 +103,42 @@ def _changed(spark, sf):
 
 
 WANTED = "w AS (SELECT 'fn' || user_id AS fn_id, sha256(props) AS fn_hash, 'view' AS model_id FROM events WHERE event_id % 4 = 0 GROUP BY ALL)"
+SOME_WANTED = "seq % 4 = 0"
 
 
-def _wanted(spark, sf):
-    c = rows(spark, sf).filter("seq % 4 = 0")
+def _wanted(spark, sf, only):
+    c = rows(spark, sf).filter(only)
     return c.select("fn_id", "fn_hash", F.lit("view").alias("model_id"), "embedding_model_id", "prompt_version").distinct()
 
 
 @query("p8_uncached_targets", f"{CACHE}, {WANTED} SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.fn_id = w.fn_id AND c.fn_hash = w.fn_hash AND c.model_id = w.model_id)")
-def _uncached(spark, sf):
-    return C.uncached(_wanted(spark, sf), rows(spark, sf)).select("fn_id", "fn_hash", "model_id")
+def _uncached(spark, sf, only=SOME_WANTED):
+    return C.uncached(_wanted(spark, sf, only), rows(spark, sf)).select("fn_id", "fn_hash", "model_id")
 
 
 @query("j8_cached_targets", f"{CACHE}, {WANTED} SELECT * FROM w WHERE EXISTS (SELECT 1 FROM c WHERE c.fn_id = w.fn_id AND c.fn_hash = w.fn_hash AND c.model_id = w.model_id)")
-def _cached(spark, sf):
-    return _wanted(spark, sf).join(rows(spark, sf).select(*C.LOOKUP).distinct(), C.LOOKUP, "left_semi").select("fn_id", "fn_hash", "model_id")
+def _cached(spark, sf, only=SOME_WANTED):
+    return _wanted(spark, sf, only).join(rows(spark, sf).select(*C.LOOKUP).distinct(), C.LOOKUP, "left_semi").select("fn_id", "fn_hash", "model_id")
 
 
 @query("j7_enrich", f"""{CACHE}, {WANTED} SELECT w.fn_id, w.fn_hash, k.cache_key, (k.explanation_json->>'k')::BIGINT AS k FROM w LEFT JOIN
 (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY fn_id, fn_hash, model_id ORDER BY generated_at DESC, seq DESC) = 1) k ON k.fn_id = w.fn_id AND k.fn_hash = w.fn_hash AND k.model_id = w.model_id""")
-def _enrich(spark, sf):
-    hit = C.lookup(rows(spark, sf), _wanted(spark, sf))
+def _enrich(spark, sf, only=SOME_WANTED):
+    hit = C.lookup(rows(spark, sf), _wanted(spark, sf, only))
     return hit.select("fn_id", "fn_hash", "cache_key", F.from_json("explanation_json", "k long")["k"].alias("k"))
 
 
 @query("a13_cluster_members", f"{CACHE}, {WANTED} SELECT fn_id, count(*)::BIGINT AS members, count_if(cached)::BIGINT AS cached, count_if(cached) > 1 AS can_synthesize FROM (SELECT fn_id, EXISTS (SELECT 1 FROM c WHERE c.fn_id = w.fn_id AND c.fn_hash = w.fn_hash AND c.model_id = w.model_id) AS cached FROM w) GROUP BY fn_id")
-def _members(spark, sf):
-    hit = C.lookup(rows(spark, sf), _wanted(spark, sf))
+def _members(spark, sf, only=SOME_WANTED):
+    hit = C.lookup(rows(spark, sf), _wanted(spark, sf, only))
     n = F.count_if(F.col("cache_key").isNotNull())
     return hit.groupBy("fn_id").agg(F.count("*").alias("members"), n.alias("cached"), (n > 1).alias("can_synthesize"))
 
 
+for _name, _f in (("p8_uncached_targets", _uncached), ("j8_cached_targets", _cached), ("j7_enrich", _enrich), ("a13_cluster_members", _members)):
+    query(f"{_name}_all", ORACLE_SQL[_name].replace(" WHERE event_id % 4 = 0", ""))(lambda spark, sf, f=_f: f(spark, sf, "true"))
+
+
 @query("g12_cluster_identity", f"{CACHE}, k AS (SELECT DISTINCT fn_id, cache_key FROM c WHERE model_id = 'view') SELECT fn_id || '::__cluster_summary__' AS fn_id, sha256(string_agg(sha256(cache_key), '' ORDER BY sha256(cache_key))) AS fn_hash FROM k GROUP BY fn_id")
 def _cluster(spark, sf):
     members = rows(spark, sf).filter("model_id = 'view'").select("fn_id", "cache_key").distinct()

@@ -55,14 +55,15 @@ SELECT file AS rel_fname, name, r AS line FROM near JOIN parts ON p_partkey = r
 
 
 @query("r5_stale_propagation", "WITH " + STALE)
-def _stale(spark, sf):
+def _stale(spark, sf, changed=BG.roots):
     e, imp = BG.ranked_graph(spark, sf)
     regenerated = BG.parts(spark, sf).filter("p_partkey % 5 = 0").select(F.col("file").alias("rel_fname"), "name", F.col("p_partkey").alias("line"))
-    return C.stale_dependents(BG.roots(spark, sf).drop("root"), G.function_context(e, imp), regenerated)
+    return C.stale_dependents(changed(spark, sf).drop("root"), G.function_context(e, imp), regenerated)
 
 
 for _name in ("j10_stale_dependents", "u3_callers_union_callees"):
     QUERIES[_name], ORACLE_SQL[_name] = QUERIES["r5_stale_propagation"], ORACLE_SQL["r5_stale_propagation"]
+query("r5_stale_propagation_all", ORACLE_SQL["r5_stale_propagation"].replace(f" WHERE ctx.k % {BG.ROOT_MOD} = 0", ""))(lambda spark, sf: _stale(spark, sf, BG.every_root))
 
 
 @query("r7_background_pass", f"WITH {BG.RANKED}, t AS (SELECT k, row_number() OVER (ORDER BY importance DESC, file, name, k) AS pos FROM imp QUALIFY pos <= 200) SELECT k AS line, pos::INTEGER AS pos, CASE WHEN k % 3 = 0 THEN 'skip' ELSE 'generate' END AS action FROM t")

@@ -52,9 +52,13 @@ def ranked_graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return e, G.cut(G.fan_in(G.nodes(tags(spark, sf)), e), "importance")
 
 
+def every_root(spark: SparkSession, sf: str) -> DataFrame:
+    return parts(spark, sf).select(F.col("p_partkey").alias("root"), F.col("file").alias("rel_fname"), "name", F.col("p_partkey").alias("line"))
+
+
 def roots(spark: SparkSession, sf: str) -> DataFrame:
-    p = parts(spark, sf).filter(F.col("p_partkey") % ROOT_MOD == 0)
-    return p.select(F.col("p_partkey").alias("root"), F.col("file").alias("rel_fname"), "name", F.col("p_partkey").alias("line"))
+    """The part of every_root() that the given SQL compares; the queries ending in _all take every root."""
+    return every_root(spark, sf).filter(F.col("root") % ROOT_MOD == 0)
 
 
 PARTS = f"""
@@ -259,9 +263,9 @@ def _file_context(spark, sf):
     return G.function_context(own, imp).filter("rel_fname = 'Brand#5'")
 
 
-def _blast_sql() -> str:
+def _blast_sql(only: str) -> str:
     out = [f"""WITH {RANKED},
-v0 AS MATERIALIZED (SELECT p_partkey AS root, p_partkey AS k, 'kept' AS status FROM parts WHERE p_partkey % {ROOT_MOD} = 0),
+v0 AS MATERIALIZED (SELECT p_partkey AS root, p_partkey AS k, 'kept' AS status FROM parts{only}),
 f0 AS (SELECT root, k FROM v0)"""]
     for d in (1, 2, 3):
         out.append(f"""q{d} AS MATERIALIZED (SELECT f.root, a, c, v.status FROM f{d - 1} f JOIN sure ON c = f.k LEFT JOIN v{d - 1} v ON v.root = f.root AND v.k = a),
@@ -271,71 +275,77 @@ v{d} AS MATERIALIZED (FROM v{d - 1} UNION ALL SELECT root, k, CASE WHEN pos <= 1
     return ",\n".join(out)
 
 
-BLAST = _blast_sql()
+SOME_ROOTS = f" WHERE p_partkey % {ROOT_MOD} = 0"
+BLAST, BLAST_ALL = _blast_sql(SOME_ROOTS), _blast_sql("")
 _each = lambda sql: " UNION ALL ".join(sql.format(d=d) for d in (1, 2, 3))
 
 
 @query("g7_blast_radius", BLAST + " " + _each("SELECT root, {d} AS depth, file AS rel_fname, name, n{d}.k AS line, n{d}.importance FROM n{d} JOIN imp ON imp.k = n{d}.k WHERE pos <= 15"))
-def _blast(spark, sf):
-    return _blast_parts(spark, sf)[0].select("root", "depth", "rel_fname", "name", "line", "importance")
+def _blast(spark, sf, of=roots):
+    return _blast_parts(spark, sf, of)[0].select("root", "depth", "rel_fname", "name", "line", "importance")
 
 
-def _blast_parts(spark, sf):
+def _blast_parts(spark, sf, of):
     e, imp = ranked_graph(spark, sf)
-    return G.blast_radius(e, imp, roots(spark, sf))
+    return G.blast_radius(e, imp, of(spark, sf))
 
 
 @query("g7_blast_radius_edges", BLAST + " " + _each("SELECT q.root, {d} AS depth, a AS caller_line, c AS callee_line FROM q{d} q LEFT JOIN f{d} f ON f.root = q.root AND f.k = a WHERE status = 'kept' OR f.k IS NOT NULL"))
-def _blast_edges(spark, sf):
-    return _blast_parts(spark, sf)[1].select("root", "depth", "caller_line", "callee_line")
+def _blast_edges(spark, sf, of=roots):
+    return _blast_parts(spark, sf, of)[1].select("root", "depth", "caller_line", "callee_line")
 
 
 @query("g7_blast_radius_omissions", BLAST + " " + _each("SELECT root, {d} AS depth, count(*)::BIGINT AS omitted_count FROM n{d} WHERE pos > 15 GROUP BY root"))
-def _blast_omissions(spark, sf):
-    return _blast_parts(spark, sf)[2].select("root", "depth", "omitted_count")
+def _blast_omissions(spark, sf, of=roots):
+    return _blast_parts(spark, sf, of)[2].select("root", "depth", "omitted_count")
 
 
 for _name in ("w5_level_cap", "u4_visited_difference"):
     QUERIES[_name], ORACLE_SQL[_name] = QUERIES["g7_blast_radius"], ORACLE_SQL["g7_blast_radius"]
+for _name, _f in (("g7_blast_radius", _blast), ("g7_blast_radius_edges", _blast_edges), ("g7_blast_radius_omissions", _blast_omissions)):
+    query(f"{_name}_all", BLAST_ALL + ORACLE_SQL[_name].removeprefix(BLAST))(lambda spark, sf, f=_f: f(spark, sf, every_root))
 
 
-def _trace_sql() -> str:
+def _trace_sql(only: str) -> str:
     out = [f"""WITH {RANKED},
 ranked AS MATERIALIZED (SELECT a, c, row_number() OVER (PARTITION BY a ORDER BY importance DESC, file, name, c) AS pos, count(*) OVER (PARTITION BY a) AS n FROM sure JOIN imp ON imp.k = c),
-t0 AS (SELECT p_partkey AS root, p_partkey AS k, [p_partkey] AS path FROM parts WHERE p_partkey % {ROOT_MOD} = 0)"""]
+t0 AS (SELECT p_partkey AS root, p_partkey AS k, [p_partkey] AS path FROM parts{only})"""]
     for d in (1, 2, 3):
         out.append(f"""s{d} AS MATERIALIZED (SELECT root, a, c, n, list_contains(path, c) AS loops, path FROM t{d - 1} JOIN ranked ON a = k WHERE pos = 1),
 t{d} AS (SELECT root, c AS k, list_append(path, c) AS path FROM s{d} WHERE NOT loops)""")
     return ",\n".join(out)
 
 
-TRACE = _trace_sql()
+TRACE, TRACE_ALL = _trace_sql(SOME_ROOTS), _trace_sql("")
 
 
 @query("g8_call_trace", TRACE + " " + _each("SELECT root, {d} AS depth, a AS caller_line, c AS callee_line, loops FROM s{d}"))
-def _trace(spark, sf):
+def _trace(spark, sf, of=roots):
     e, imp = ranked_graph(spark, sf)
-    return G.call_trace(e, imp, roots(spark, sf))[0].select("root", "depth", "caller_line", "callee_line", "loops")
+    return G.call_trace(e, imp, of(spark, sf))[0].select("root", "depth", "caller_line", "callee_line", "loops")
 
 
 @query("g8_call_trace_branches", TRACE + " " + _each("SELECT s.root, {d} AS depth, (r.pos - 1)::INTEGER AS pos, r.c AS line, greatest(r.n - 16, 0)::BIGINT AS omitted FROM s{d} s JOIN ranked r ON r.a = s.a WHERE NOT loops AND r.pos BETWEEN 2 AND 16"))
-def _branches(spark, sf):
+def _branches(spark, sf, of=roots):
     e, imp = ranked_graph(spark, sf)
-    return G.call_trace(e, imp, roots(spark, sf))[1].select("root", "depth", "pos", F.col("callee_line").alias("line"), "omitted")
+    return G.call_trace(e, imp, of(spark, sf))[1].select("root", "depth", "pos", F.col("callee_line").alias("line"), "omitted")
 
 
 QUERIES["w6_first_callee"], ORACLE_SQL["w6_first_callee"] = QUERIES["g8_call_trace_branches"], ORACLE_SQL["g8_call_trace_branches"]
+for _name, _f in (("g8_call_trace", _trace), ("g8_call_trace_branches", _branches)):
+    query(f"{_name}_all", TRACE_ALL + ORACLE_SQL[_name].removeprefix(TRACE))(lambda spark, sf, f=_f: f(spark, sf, every_root))
 
 
 @query("j6_nearest_def", f"""WITH {PARTS}, probes AS (SELECT p_partkey AS probe, file, name, p_partkey + 37 AS at_line FROM parts WHERE p_partkey % 3 = 0)
 SELECT probe, probes.file AS rel_fname, probes.name, at_line, p_partkey AS line FROM probes LEFT JOIN parts USING (file, name)
 QUALIFY row_number() OVER (PARTITION BY probe ORDER BY abs(p_partkey - at_line), p_partkey) = 1""")
-def _nearest(spark, sf):
-    probes = parts(spark, sf).filter("p_partkey % 3 = 0").select(F.col("p_partkey").alias("probe"), F.col("file").alias("rel_fname"), "name", (F.col("p_partkey") + 37).alias("at_line"))
+def _nearest(spark, sf, only="p_partkey % 3 = 0"):
+    probes = parts(spark, sf).filter(only).select(F.col("p_partkey").alias("probe"), F.col("file").alias("rel_fname"), "name", (F.col("p_partkey") + 37).alias("at_line"))
     return G.nearest_def(probes, tags(spark, sf).filter("kind = 'def'"))
 
 
 QUERIES["w9_nearest_row"], ORACLE_SQL["w9_nearest_row"] = QUERIES["j6_nearest_def"], ORACLE_SQL["j6_nearest_def"]
+query("j6_nearest_def_all", ORACLE_SQL["j6_nearest_def"].replace(" WHERE p_partkey % 3 = 0", ""))(lambda spark, sf: _nearest(spark, sf, "true"))
 
 
 @query("j11_resolve_function", f"""WITH {RANKED}, names AS (SELECT DISTINCT name FROM parts UNION ALL SELECT 'nowhere')

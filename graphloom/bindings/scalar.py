@@ -39,13 +39,16 @@ def _f5(spark, sf):
 SELECT k, 'caller:f' || k || ':n' || line || ':' || line AS chunk FROM r UNION ALL SELECT k, 'callee:f' || k || ':n' || line || ':' || line FROM r
 UNION ALL SELECT k, 'callers_omitted:' || (count(*) - 5) FROM r GROUP BY k HAVING count(*) > 5)
 SELECT k, sha256(string_agg(sha256(chunk), '' ORDER BY sha256(chunk))) AS context_hash FROM c GROUP BY k""")
-def _f6(spark, sf):
-    o = read(spark, sf, "orders").filter("o_orderkey % 2 = 0")
+def _f6(spark, sf, only="o_orderkey % 2 = 0"):
+    o = read(spark, sf, "orders").filter(only)
     node = F.struct(F.concat(F.lit("n"), _s("o_orderkey")).alias("name"), F.concat(F.lit("f"), _s("o_custkey")).alias("file"), F.col("o_orderkey").alias("line"))
     g = o.groupBy(F.col("o_custkey").alias("k")).agg(F.collect_list(node).alias("r"), F.greatest(F.count("*") - 5, F.lit(0)).alias("left"))
     return g.select("k", T.context_hash(F.col("r"), F.col("left"), F.col("r"), F.lit(0)).alias("context_hash"))
 
 
+query("f6_context_hash_all", ORACLE_SQL["f6_context_hash"].replace(" WHERE o_orderkey % 2 = 0", ""))(lambda spark, sf: _f6(spark, sf, "true"))
+
+
 IDS = "CASE p_partkey % 4 WHEN 0 THEN 'src/' || p_brand || '.ts::' || replace(p_name, ' ', '.') WHEN 1 THEN p_brand || '::A.b#' || p_partkey WHEN 2 THEN p_name ELSE p_brand || '::x::' || p_name || '#2' END"
 
 
