@@ -257,7 +257,9 @@ class _Search:
 
 
 def classes(documents: DataFrame) -> DataFrame:
-    """(doc_id, node, class_id) of each row of documents(doc_id, text); class_id is the least doc_id of the class.
+    """(doc_id, node, label, class_id) of each row of documents(doc_id, text); class_id is the least doc_id of the class.
+
+    label tells classes of one class_id apart (an id may stand at several texts); it is null where a text has no words.
 
     A class is a connected component of the links of similarity THRESHOLD or more. Exact copies are one text, and all
     the following is about different texts. Every text is compared first with the text that is the least in most of
@@ -315,10 +317,10 @@ def classes(documents: DataFrame) -> DataFrame:
     least = named.filter("label <> node").groupBy("label").agg(F.min("rep").alias("low"))
     roots = named.select(F.col("node").alias("root"), F.col("rep").alias("root_rep")).join(least.withColumnRenamed("label", "root"), "root")
     roots = materialize(roots.select(F.col("root").alias("label"), F.least("root_rep", "low").alias("class_id")), "near-roots")  # least skips nulls
-    known = materialize(named.join(small(roots), "label", "left").select(F.col("node").alias("c_node"), F.coalesce("class_id", "rep").alias("class_id")), "near-classes")
+    known = materialize(named.join(small(roots), "label", "left").select(F.col("node").alias("c_node"), "label", F.coalesce("class_id", "rep").alias("class_id")), "near-classes")
     out = s.rows.select("doc_id", "node", F.col("bytes").isNotNull().alias("some"))
     out = out.join(known, F.col("some") & (F.col("node") == F.col("c_node")), "left")
-    return out.select("doc_id", "node", F.when(F.col("some"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
+    return out.select("doc_id", "node", "label", F.when(F.col("some"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
