@@ -17,13 +17,19 @@ from graphloom.llm.common import materialize, small, table
 #: A document stays in if its language is known and this corrected share of its n-grams belongs to that language.
 #: Clean prose scores above 0.8; junk without a language's n-grams scores near 0.
 LEAST_SCORE = 0.25
+#: A text of fewer n-grams (some eight words) is not judged by its score, which tells little there.
+LEAST_GRAMS = 40
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the n-gram filters know; lang becomes the predicted one."""
+    """Documents whose language the n-gram filters know; lang becomes the predicted one.
+
+    A text with letters but too few n-grams to tell junk from language stays, with its own lang if its score is low.
+    """
     filters = language.fit(docs.filter(~language.held_out(F.col("doc_id"))))
-    found = language.annotate(docs, filters).filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    known = F.col("score") >= LEAST_SCORE
+    found = language.annotate(docs, filters).filter((F.col("lang_pred") != language.UNKNOWN) & (known | (F.col("grams") < LEAST_GRAMS)))
+    return found.withColumn("lang", F.when(known, F.col("lang_pred")).otherwise(F.col("lang"))).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -133,14 +133,14 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Filters:
 
 
 def annotate(documents: DataFrame, filters: Filters) -> DataFrame:
-    """documents(text, ...) with lang_pred and score; columns of these names are replaced.
+    """documents(text, ...) with lang_pred, score and grams, the number of the text's n-grams; columns of these names are replaced.
 
     score is the winner's corrected share of the text's n-grams, 0 to 1; ties fall to the first language by code
     point. A null text or one without a letter is UNKNOWN with score 0, as is every text if nothing was learned.
     Texts of any length are read whole; repeated rows are judged each on its own; nothing is shuffled.
     """
     small_batches(documents.sparkSession)
-    documents = documents.drop("lang_pred", "score")
+    documents = documents.drop("lang_pred", "score", "grams")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [*filters.languages, UNKNOWN]
@@ -155,10 +155,10 @@ def annotate(documents: DataFrame, filters: Filters) -> DataFrame:
                 share[i] = np.clip((found - rate * n) / np.maximum(n * (1 - rate), 1e-9), 0, 1)
             best = np.where(letter, np.argmax(share[: max(1, len(names) - 1)], axis=0), len(names) - 1)
             score = np.where(best < len(names) - 1, share[best, np.arange(len(n))], 0.0)
-            arrays = [*batch.columns, pa.array([names[k] for k in best.tolist()], pa.string()), pa.array(score)]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, "lang_pred", "score"])
+            arrays = [*batch.columns, pa.array([names[k] for k in best.tolist()], pa.string()), pa.array(score), pa.array(n.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, "lang_pred", "score", "grams"])
 
-    return documents.mapInArrow(run, T.StructType([*documents.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return documents.mapInArrow(run, T.StructType([*documents.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("grams", T.LongType())]))
 
 
 def predict(documents: DataFrame, filters: Filters) -> DataFrame:
