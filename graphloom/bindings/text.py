@@ -44,14 +44,24 @@ n AS (SELECT q.s AS query, q.f AS qf, q.s AS qs, q.e AS qe, v.f, v.s, v.e, round
 SELECT query, row_number() OVER (PARTITION BY query ORDER BY d, f, s)::INTEGER AS rank, f AS rel_fname, s AS start_line, e AS end_line, d AS distance FROM n WHERE NOT (f = qf AND s < qe AND e > qs) QUALIFY rank <= 5""")
 def _v2(spark, sf):
     v = _vectors(spark, sf)
-    q = v.filter("start_line < 10").select(F.col("start_line").alias("query"), F.col("rel_fname").alias("q_file"), F.col("start_line").alias("q_start"), F.col("end_line").alias("q_end"), F.col("vector").alias("q_vector"))
-    return V.nearest(q, v)
+    return V.nearest(_asked(v.filter("start_line < 10")), v)
+
+
+def _asked(v):
+    return v.select(F.col("start_line").alias("query"), F.col("rel_fname").alias("q_file"), F.col("start_line").alias("q_start"), F.col("end_line").alias("q_end"), F.col("vector").alias("q_vector"))
 
 
 for _name in ("t7_overfetch_then_keep", "s12_vector_table"):
     QUERIES[_name], ORACLE_SQL[_name] = QUERIES["v2_knn_overlap_filtered"], ORACLE_SQL["v2_knn_overlap_filtered"]
 
 
+@query("v2_knn_overlap_filtered_all", ORACLE_SQL["v2_knn_overlap_filtered"].replace(" WHERE s < 10)", ")"))
+def _v2_all(spark, sf):
+    """Every vector asks, not only those of the first ten ids."""
+    v = _vectors(spark, sf)
+    return V.nearest_blocks(_asked(v), v)
+
+
 @query("v3_query_window", "SELECT doc_id, md5(substr(text, 1, 500)) AS digest FROM documents")
 def _v3(spark, sf):
     return read(spark, sf, "documents").select("doc_id", F.md5(F.substring("text", 1, V.MAX_CHARS)).alias("digest"))

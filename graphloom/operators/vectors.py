@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 MAX_LINES, MAX_CHARS = 12, 500
 EMBED_BATCH = 64
 OVERFETCH, KEEP = 20, 5
+#: Rows of a block in nearest_blocks(): a task holds two blocks and the distances of 256 queries.
+BLOCK = 2048
 
 
 def chunk_lines(lines: list[str]) -> Iterator[tuple[int, int, str]]:
@@ -86,6 +88,53 @@ def nearest(queries: DataFrame, vectors: DataFrame, fetch: int = OVERFETCH, keep
     met = met.withColumn("distance", F.round(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x), 9))
     order = Window.partitionBy("query").orderBy("distance", "rel_fname", "start_line")
     near = met.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= fetch)
+    return _kept(near, keep)
+
+
+def _kept(near: DataFrame, keep: int) -> DataFrame:
+    """The keep nearest rows of each query that do not overlap its own lines."""
+    order = Window.partitionBy("query").orderBy("distance", "rel_fname", "start_line")
     own = (F.col("rel_fname") == F.col("q_file")) & (F.col("start_line") < F.col("q_end")) & (F.col("end_line") > F.col("q_start"))
     left = near.filter(~own).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= keep)
     return left.select("query", "rank", "rel_fname", "start_line", "end_line", "distance")
+
+
+def nearest_blocks(queries: DataFrame, vectors: DataFrame, fetch: int = OVERFETCH, keep: int = KEEP, block: int = BLOCK) -> DataFrame:
+    """nearest() for any number of queries: every block of queries meets every block of vectors in a task of its own.
+
+    A pair of blocks sends the fetch nearest rows of each query on, ties by file and line, so the work is queries x
+    vectors and the shuffle each table's rows once a block of the other. Blocks go by hash of row; none holds all.
+    """
+    nq, nv = (max(1, -(-t.count() // block)) for t in (queries, vectors))
+    own = [F.lit(None).cast(t).alias(n) for n, t in vectors.select("rel_fname", "start_line", "end_line").dtypes]
+    none = [F.lit(None).cast(t).alias(n) for n, t in queries.select("query").dtypes]
+    q = queries.select("query", F.pmod(F.xxhash64("query"), F.lit(nq)).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(nv - 1))).alias("j"), *own, F.col("q_vector").cast("array<double>").alias("x"))
+    v = vectors.select(*none, F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("i"), F.pmod(F.xxhash64("rel_fname", "start_line", "end_line"), F.lit(nv)).cast("int").alias("j"), "rel_fname", "start_line", "end_line", F.col("vector").cast("array<double>").alias("x"))
+    types = dict(q.dtypes)
+    out = f"query {types['query']}, rel_fname {types['rel_fname']}, start_line {types['start_line']}, end_line {types['end_line']}, distance double"
+
+    def top(met: pa.Table) -> pa.Table:
+        import numpy as np
+
+        asks = np.asarray(met.column("query").is_valid())
+        a, b = met.filter(pa.array(asks)), met.filter(pa.array(~asks)).sort_by([("rel_fname", "ascending"), ("start_line", "ascending")])
+        x, y = (np.array(t.column("x").to_pylist(), np.float64).reshape(t.num_rows, -1) for t in (a, b))
+        rows, columns, far = [], [], []
+        for at in range(0, len(x) if len(y) else 0, 256):
+            part = x[at : at + 256]
+            d = np.zeros((len(part), len(y)))
+            for k in range(part.shape[1]):  # in the order of the dimensions, as a sum over the array goes
+                d += (part[:, k, None] - y[None, :, k]) ** 2
+            d = np.floor(d * 1e9 + 0.5) / 1e9
+            best = np.argsort(d, axis=1, kind="stable")[:, :fetch]  # rows lie by file and line, so ties fall to the first
+            rows.append(np.repeat(np.arange(at, at + len(part)), best.shape[1]))
+            columns.append(best.ravel())
+            far.append(np.take_along_axis(d, best, 1).ravel())
+        rows, columns, far = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (rows, columns, far))
+        hit = b.take(pa.array(columns, pa.int64()))
+        return pa.table([a.column("query").take(pa.array(rows, pa.int64())), hit.column("rel_fname"), hit.column("start_line"), hit.column("end_line"), pa.array(far, pa.float64())], ["query", "rel_fname", "start_line", "end_line", "distance"])
+
+    met = q.unionByName(v).groupBy("i", "j").applyInArrow(top, out)
+    order = Window.partitionBy("query").orderBy("distance", "rel_fname", "start_line")
+    near = met.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= fetch)
+    return _kept(near.join(queries.drop("q_vector"), "query"), keep)

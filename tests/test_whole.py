@@ -40,3 +40,15 @@ def test_every_row_is_a_probe(spark):
     wanted = spark.read.parquet(f"{SF}/events.parquet").select("user_id", "props").distinct().count()
     assert run(spark, "p8_uncached_targets_all").count() + run(spark, "j8_cached_targets_all").count() == wanted
     assert run(spark, "a13_cluster_members_all").agg(F.sum("members")).first()[0] == wanted
+
+
+def test_every_vector_has_its_neighbours(spark):
+    from graphloom.operators import vectors as V
+
+    v = spark.createDataFrame([(f"f{i % 3}", i, i + 3, [float(i // 4), float(i % 2)]) for i in range(60)], "rel_fname string, start_line long, end_line long, vector array<float>")
+    q = v.selectExpr("start_line AS query", "rel_fname AS q_file", "start_line AS q_start", "end_line AS q_end", "vector AS q_vector")
+    want = sorted(map(tuple, V.nearest(q, v).collect()))
+    assert len({x[0] for x in want}) == 60
+    assert sorted(map(tuple, V.nearest_blocks(q, v, block=16).collect())) == want  # many ties, several blocks
+    embeddings = spark.read.parquet(f"{SF}/embeddings.parquet").count()
+    assert run(spark, "v2_knn_overlap_filtered_all").select("query").distinct().count() == embeddings
