@@ -230,6 +230,13 @@ def _top(spark, sf, n):
 
 for _name, _n in (("t2_startup_scope", 200), ("t3_most_important", 20), ("t4_key_functions", 25), ("t8_acceptance_sample", 15)):
     query(_name, f"WITH {RANKED} SELECT file AS rel_fname, name, k AS line, importance, row_number() OVER (ORDER BY importance DESC, file, name, k)::INTEGER AS pos FROM imp QUALIFY pos <= {_n}")(lambda spark, sf, n=_n: _top(spark, sf, n))
+query("t1_ranked_functions_all", ORACLE_SQL["t1_ranked_functions"].removesuffix(" QUALIFY pos <= 500"))(lambda spark, sf: _ranked_all(ranked_graph(spark, sf)[1]))
+
+
+def _ranked_all(imp):
+    return G.positions(imp, F.desc("importance"), "rel_fname", "name", "line")
+
+
 QUERIES["k10_ranked_dump"], ORACLE_SQL["k10_ranked_dump"] = QUERIES["t1_ranked_functions"], ORACLE_SQL["t1_ranked_functions"]
 
 CONTEXT = f"""{RANKED},
@@ -247,6 +254,15 @@ def _context(spark, sf):
     return G.function_context(e, imp)
 
 
+@query("k10_ranked_dump_all", f"""WITH {CONTEXT}, ranked AS (SELECT k, file, name, importance, row_number() OVER (ORDER BY importance DESC, file, name, k)::INTEGER AS pos FROM imp)
+SELECT ranked.pos, file AS rel_fname, name, ranked.k AS line, ranked.importance, direction, ctx.pos AS r_pos, r_file, r_name, r AS r_line, ctx.importance AS r_importance, omitted FROM ranked LEFT JOIN ctx ON ctx.k = ranked.k""")
+def _dump(spark, sf):
+    """Every function in order of importance with its callers and callees; one of neither keeps a row."""
+    e, imp = ranked_graph(spark, sf)
+    near = G.function_context(e, imp).withColumnsRenamed({"pos": "r_pos", "importance": "r_importance"})
+    return _ranked_all(imp).join(near, ["rel_fname", "name", "line"], "left")
+
+
 for _name in ("w4_capped_neighbours", "t5_related_cap", "j5_edge_importance"):
     QUERIES[_name], ORACLE_SQL[_name] = QUERIES["g5_function_context"], ORACLE_SQL["g5_function_context"]
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from graphloom.bindings.tables import read, registry
 from graphloom.operators import vectors as V
+from graphloom.operators.graph import positions
 
 QUERIES, ORACLE_SQL, query = registry()
 
@@ -87,3 +88,9 @@ def _t9(spark, sf):
 
     hits = read(spark, sf, "part").filter(F.contains("p_name", F.lit("ring"))).select("p_partkey", "p_name").orderBy("p_name", "p_partkey").limit(100)
     return hits.withColumn("pos", F.row_number().over(Window.orderBy("p_name", "p_partkey")))
+
+
+@query("t9_search_by_label_all", ORACLE_SQL["t9_search_by_label"].replace(" ORDER BY p_name, p_partkey LIMIT 100)", ")"))
+def _t9_all(spark, sf):
+    """Every hit, as the reference's search lists them."""
+    return positions(read(spark, sf, "part").filter(F.contains("p_name", F.lit("ring"))).select("p_partkey", "p_name"), "p_name", "p_partkey")

@@ -214,6 +214,15 @@ def nearest_def(probes: DataFrame, defs: DataFrame) -> DataFrame:
     return probes.join(d, ["rel_fname", "name"], "left").groupBy(*probes.columns).agg(F.min_by("line", gap).alias("line"))
 
 
+def positions(rows: DataFrame, *order: Column | str) -> DataFrame:
+    """rows with pos, from 1, in the given total order; the rows are sorted in ranges, and no task holds all."""
+    ranged = cut(rows.orderBy(*order).withColumn("range", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy("range").agg(F.count("*").alias("n"))  # a row a partition
+    before = sizes.withColumn("before", F.sum("n").over(Window.orderBy("range")) - F.col("n")).select("range", "before")
+    own = F.row_number().over(Window.partitionBy("range").orderBy(*order))
+    return ranged.withColumn("own", own).join(F.broadcast(before), "range").withColumn("pos", (F.col("before") + F.col("own")).cast("int")).drop("range", "own", "before")
+
+
 def best_def(names: DataFrame, importance: DataFrame) -> DataFrame:
     """names(name) with found and the most important node of that name."""
     order = F.struct((-F.col("importance")).alias("i"), F.col("rel_fname"), F.col("line"))

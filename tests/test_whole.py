@@ -52,3 +52,26 @@ def test_every_vector_has_its_neighbours(spark):
     assert sorted(map(tuple, V.nearest_blocks(q, v, block=16).collect())) == want  # many ties, several blocks
     embeddings = spark.read.parquet(f"{SF}/embeddings.parquet").count()
     assert run(spark, "v2_knn_overlap_filtered_all").select("query").distinct().count() == embeddings
+
+
+def test_ranked_functions_hits_and_files_are_all_listed(spark):
+    parts = spark.read.parquet(f"{SF}/part.parquet")
+    ranked = run(spark, "t1_ranked_functions_all")
+    assert sorted(x.pos for x in ranked.collect()) == list(range(1, parts.count() + 1))
+    assert run(spark, "k10_ranked_dump_all").select("line").distinct().count() == parts.count()
+    assert run(spark, "t9_search_by_label_all").count() == parts.filter("contains(p_name, 'ring')").count()
+    from graphloom.bindings import digest
+
+    assert digest.WHOLE == (5000, 100_000, 2_000_000)
+    many = spark.range(2000).selectExpr("concat('f', id) AS name", "id")
+    spread = BG.G.positions(many.repartition(7), F.desc("id")).collect()
+    assert {x.id: x.pos for x in spread} == {i: 2000 - i for i in range(2000)}
+
+
+def test_whole_queries_pass_their_limits(spark, tmp_path):
+    """More rows than the parts that the compared queries list."""
+    spark.range(700).selectExpr("id AS doc_id", "repeat('x', 7000) AS text", "'en' AS lang", "'s' AS source", "7000L AS n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(150).selectExpr("id AS p_partkey", "'ring' AS p_name").write.parquet(f"{tmp_path}/part.parquet")
+    at = lambda name: bindings.QUERIES[name](spark, str(tmp_path))
+    assert at("s6_walk_files_all").count() == 700 and at("t9_search_by_label_all").count() == 150
+    assert at("a7_digest_counts_all").collect() == [(700, 285, 415, True)]
