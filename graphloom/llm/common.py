@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from graphloom.storage import shared_dir
 
-#: Rows in one Arrow batch sent to Python. Texts average a few KB and may reach some 100 KB, so this keeps a batch at a few MB.
-BATCH_ROWS = 512
+#: Rows and bytes of one Arrow batch sent to Python: a few MB of common texts, and one by one if they are very long.
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
 #: Tables of up to so many rows of two or three numbers (some 40 bytes each in a hash table) are broadcast; beyond, joins shuffle.
 BROADCAST_ROWS = 250_000
@@ -42,10 +42,20 @@ def ship(spark: SparkSession) -> None:
     context._graphloom_shipped = True
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the rows of an Arrow batch, so that Python workers hold a few MB of text at a time, and ship their code."""
+def small_batches(spark: SparkSession) -> None:
+    """Bound the rows and bytes of an Arrow batch, always alike, and ship the code of Python workers."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+def packed(df: DataFrame, name: str = "gl_row") -> DataFrame:
+    """df as one struct column, so that joins beside it cannot clash with its columns' names."""
+    return df.select(F.struct(*[F.col(quoted(c)) for c in df.columns]).alias(name))
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def materialize(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:

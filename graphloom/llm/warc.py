@@ -104,7 +104,7 @@ def write_archives(pages: DataFrame) -> DataFrame:
 
     One archive per task. Other columns are ignored. Defined cases: see plan_records.
     """
-    small_batches(pages.sparkSession, 128)
+    small_batches(pages.sparkSession)
     return materialize(plan_records(pages).mapInArrow(_write, CHUNK_SCHEMA), "warc-chunks", "zstd")
 
 
@@ -166,7 +166,7 @@ def read_archives(chunks: DataFrame) -> DataFrame:
     Records of one chunk are read where they lie. Only the chunks of oversized ones are brought together, in order,
     and stream through without the record ever being held.
     """
-    small_batches(chunks.sparkSession, 128)
+    small_batches(chunks.sparkSession)
     whole = chunks.filter("n_chunks = 1").mapInArrow(_read, RECORD_SCHEMA)
     cut = chunks.filter("n_chunks > 1").repartition("archive", "record").sortWithinPartitions("archive", "record", "chunk")
     return whole.unionByName(cut.mapInArrow(_read, RECORD_SCHEMA))
