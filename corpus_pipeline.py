@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import language, mixing, near_dups, packing, substring
-from graphloom.llm.common import materialize, small, table
+from graphloom.llm.common import materialize, table
 
 #: A document stays in if its language is known and this corrected share of its n-grams belongs to that language.
 #: Clean prose scores above 0.8; junk without a language's n-grams scores near 0.
@@ -33,26 +33,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each near-duplicate class: of the least doc_id, null only where there is no other, and then of the least text hash.
-
-    Rows are told apart by id and text: an id that stands at texts of several classes keeps one row in each. Texts without words stay.
-    """
-    found = materialize(near_dups.classes(docs).select("doc_id", "node", "label", (~F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("late")), "pipeline-classes")
-    late = found.filter("late").select("doc_id", "node")
-    many = found.filter("NOT late AND label IS NOT NULL").groupBy("label").agg(F.min("node").alias("low"), F.count("*").alias("n")).filter("n > 1").select("label", "low")
-    many = materialize(many, "pipeline-many")  # classes in which several rows have the least id
-    again = many.head(1)
-    if again:
-        held = found.filter("NOT late").join(small(many), "label")
-        late = late.unionByName(held.filter("node <> low").select("doc_id", "node"))
-    late = late.select(F.col("doc_id").alias("l_doc_id"), F.col("node").alias("l_node"))
-    out = docs.join(small(late), docs["doc_id"].eqNullSafe(F.col("l_doc_id")) & (F.xxhash64(docs["text"]) == F.col("l_node")), "left_anti")
-    if not again:
-        return out
-    repeated = materialize(held.filter("node = low").groupBy("node").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("node").alias("r_node")), "pipeline-repeated")
-    known = F.xxhash64(docs["text"]) == F.col("r_node")
-    once = out.join(small(repeated), known, "left_semi").withColumn("r_node", F.xxhash64("text")).dropDuplicates(["r_node"]).drop("r_node")
-    return out.join(small(repeated), known, "left_anti").unionByName(once)
+    """One row of each near-duplicate class; see near_dups.one_of_each for the defined cases."""
+    return near_dups.one_of_each(docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
