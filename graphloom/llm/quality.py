@@ -1,21 +1,21 @@
 """Quality rules as a short-circuit cascade, in DataFrame operations only.
 
-The cost and the rejections of each rule are estimated on a sample; rules then run by falling rejection per cost, and
-a text that one rule rejects is not measured for the next. The order never changes which texts are kept.
+The cost and the rejections of each rule are estimated on a seeded sample; rules then run by falling rejection per
+cost, and a text that one rule rejects is not measured for the next. The order never changes which texts are kept.
 """
 
 from __future__ import annotations
 
-import time
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import discard, materialize
+from graphloom.llm.common import quoted
 
-#: Rows on which costs and rejections are estimated.
-SAMPLE_ROWS = 500
+#: Expected rows of the sample on which costs and rejections are estimated, and its seed.
+SAMPLE_ROWS, SEED = 2000, 42
 WINDOW = 8
 SPACES = " \t\n\x0b\f\r"
 _GAP, _WORD, _SYMBOL = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]", r"[#*$%&|<>]"
@@ -87,68 +87,93 @@ RULES = (
 BASE = "n_words < 20 OR 100 * n_repeat_words > 30 * n_words"
 
 
-def _with_metrics(df: DataFrame, names: list[str]) -> DataFrame:
-    return df.select("*", *[metric(n).alias(n) for n in names])
+#: Metrics that the contract wants of every text, whatever the verdict.
+WANTED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+#: What a metric reads once for each text, and the work a unit of it takes, relative to a character looked at (fixed values).
+COSTS = {
+    "n_words": ("chars", 0.1), "word_chars": ("chars", 0.5), "n_symbols": ("chars", 1.0), "n_lines": ("chars", 1.0), "n_dup_lines": ("chars", 1.5), "n_double_marks": ("chars", 0.3), "n_repeat_words": ("words", 40.0),
+}
 
 
-def order_rules(documents: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules by falling rejections per second, as measured on the first sample_rows rows."""
-    sample = materialize(documents.select("text").limit(sample_rows), "quality-sample")
-    words = sample.select("text", words_of(F.col("text")).alias("words"))
+@dataclass(frozen=True)
+class Estimate:
+    """What a sample tells: mean units a text, and how many of its texts each set of rules rejects."""
+
+    units: dict[str, float]
+    rejected: dict[frozenset[str], int]
+
+    def cost(self, rule: Rule, measured: set[str]) -> float:
+        """Work of a text that reaches the rule, without metrics already measured; at least a comparison."""
+        return 1.0 + sum(self.units[COSTS[m][0]] * COSTS[m][1] for m in rule.metrics if m not in measured)
+
+
+def _with_words(documents: DataFrame, *columns: Column) -> DataFrame:
+    return documents.select(*columns, F.col("text"), words_of(F.col("text")).alias("words"))
+
 
-    def run(rule: Rule | None) -> tuple[float, int]:
-        began = time.perf_counter()
-        rejected = F.expr(rule.rejects) if rule else F.size("words") < 0
-        n = _with_metrics(words, list(rule.metrics) if rule else []).agg(F.count_if(rejected)).first()[0]
-        return time.perf_counter() - began, n
+def estimate(documents: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS, seed: int = SEED) -> Estimate:
+    """Costs and rejections of the rules on a seeded random sample of about sample_rows texts (all, if there are no more), in one job."""
+    total = documents.count()
+    rows = _with_words(documents.filter(F.rand(seed) < sample_rows / max(total, 1)))  # by row, so that no text's copies come in together
+    names = sorted({m for r in rules for m in r.metrics})
+    rows = rows.select(F.length(F.coalesce("text", F.lit(""))).alias("chars"), F.size("words").alias("gl_words"), *[metric(n).alias(n) for n in names])
+    rows = rows.select("chars", "gl_words", F.array(*[F.when(F.expr(r.rejects), r.name) for r in rules]).alias("hit"))
+    got = rows.groupBy(F.array_compact("hit").alias("hit")).agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.sum("gl_words").alias("words")).collect()  # a row for each set of rules that reject a sampled text
+    n = max(1, sum(r.n for r in got))
+    return Estimate({"chars": sum(r.chars for r in got) / n, "words": sum(r.words for r in got) / n}, dict(Counter({frozenset(r.hit): r.n for r in got})))
 
-    run(None)  # warms up
-    floor = min(run(None)[0] for _ in range(2))
-    worth = {}
-    for rule in rules:
-        took, rejected = min(run(rule) for _ in range(2))
-        worth[rule] = rejected / max(took - floor, 1e-4)
-    discard(sample)
-    return sorted(rules, key=lambda r: (-worth[r], rules.index(r)))
 
+def order_rules(known: Estimate, rules: tuple[Rule, ...] = RULES, measured: tuple[str, ...] = ()) -> list[Rule]:
+    """The rules by falling rejections per cost: again and again the one that rejects most of the sampled texts still in, for the work that its metrics add.
 
-def verdict(ordered: list[Rule]) -> Column:
-    """Name of the first rule that rejects, or null; later rules are not evaluated then."""
-    out = None
+    measured: metrics that are there in any case. Ties fall to the rule that stands first, so reruns agree.
+    """
+    left, have, rejected, out = list(rules), set(measured), dict(known.rejected), []
+    while left:
+        best = max(left, key=lambda r: (sum(n for hit, n in rejected.items() if r.name in hit) / known.cost(r, have), -rules.index(r)))
+        out.append(best)
+        left.remove(best)
+        have |= set(best.metrics)
+        rejected = {hit: n for hit, n in rejected.items() if best.name not in hit}
+    return out
+
+
+def _run(rows: DataFrame, ordered: list[Rule], measured: set[str]) -> DataFrame:
+    """rows(text, words, gl_out, measured metrics) through the rules: gl_out names the first that rejects; a metric is evaluated only for texts that reach its rule."""
     for r in ordered:
-        out = F.when(F.expr(r.rejects), r.name) if out is None else out.when(F.expr(r.rejects), r.name)
-    return F.lit(None).cast("string") if out is None else out
+        for name in r.metrics:
+            if name not in measured:
+                rows = rows.withColumn(name, F.when(F.col("gl_out").isNull(), metric(name)))
+                measured = measured | {name}
+        rows = rows.withColumn("gl_out", F.coalesce("gl_out", F.when(F.expr(r.rejects), r.name)))
+    return rows
 
 
 def cascade(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """documents with rejected_by (null: kept); a metric is evaluated only for texts that reach its rule.
 
-    Defined cases: a null text has no words and no lines; tables may be empty; all columns of documents pass through,
-    whatever their names, but for one named rejected_by, which is replaced.
+    Defined cases: a null text has no words and no lines; texts of any length are measured whole; repeated rows are
+    judged each on its own; tables may be empty; all columns of documents pass through, whatever their names, but for
+    one named rejected_by, which is replaced.
     """
+    ordered = order_rules(estimate(documents, rules), rules)
     rows = documents.drop("rejected_by")
-    out = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("gl_row"), F.col("text"), words_of(F.col("text")).alias("words"), F.lit(None).cast("string").alias("rejected_by"))
-    measured = set()
-    for r in order_rules(documents, rules):
-        for name in r.metrics:
-            if name not in measured:
-                out = out.withColumn(name, F.when(F.col("rejected_by").isNull(), metric(name)))
-                measured.add(name)
-        out = out.withColumn("rejected_by", F.coalesce("rejected_by", F.when(F.expr(r.rejects), r.name)))
-    return out.select("gl_row.*", "rejected_by")
+    out = _with_words(rows, F.struct(*[F.col(quoted(c)) for c in rows.columns]).alias("gl_row")).withColumn("gl_out", F.lit(None).cast("string"))
+    return _run(out, ordered, set()).select("gl_row.*", F.col("gl_out").alias("rejected_by"))
 
 
 def judge(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id, the metrics, base_failed and kept of each row of documents(doc_id, text); see cascade.
+    """doc_id, the metrics of WANTED, base_failed and kept of each row of documents(doc_id, text).
 
-    All metrics are wanted here, so each is computed once a text; the rules still decide in the measured order.
+    The wanted metrics are measured once for every text. Texts that fail BASE go no further; the others run through
+    the cascade, in which the metrics that only rules want are measured for the texts that reach them. Defined cases:
+    see cascade.
     """
-    names = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_double_marks", "n_repeat_words"]
-    rows = documents.select("doc_id", "text", words_of(F.col("text")).alias("words"))
-    rows = _with_metrics(rows, names).drop("text", "words")
-    rows = rows.withColumn("base_failed", F.expr(BASE))
-    first = verdict(order_rules(documents, rules))
-    return rows.withColumn("kept", ~F.col("base_failed") & first.isNull())
+    ordered = order_rules(estimate(documents, rules), rules, WANTED)
+    rows = _with_words(documents, F.col("doc_id"))
+    rows = rows.select("doc_id", "text", "words", *[metric(n).alias(n) for n in WANTED]).withColumn("base_failed", F.expr(BASE))
+    rows = _run(rows.withColumn("gl_out", F.when(F.col("base_failed"), "base")), ordered, set(WANTED))
+    return rows.select("doc_id", *WANTED, "base_failed", F.col("gl_out").isNull().alias("kept"))
 
 
 SQL = r"""
@@ -174,6 +199,6 @@ WITH w AS (
 ), b AS (
   SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m
 )
-SELECT *, NOT base_failed AND NOT (word_chars < 2 * n_words OR word_chars > 15 * n_words) AND NOT 10 * n_symbols > n_words
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (word_chars < 2 * n_words OR word_chars > 15 * n_words) AND NOT 10 * n_symbols > n_words
   AND NOT 10 * n_double_marks > n_words AND NOT 10 * n_dup_lines > 3 * n_lines AS kept FROM b
 """
