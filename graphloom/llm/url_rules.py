@@ -1,7 +1,8 @@
 """URL filtering by host and path rules, in DataFrame operations only.
 
-Every URL is expanded into host-suffix x path-prefix expressions. These meet the rules in an equi-join on a short
-prefix of their SHA-256 digests; full digests confirm a match, and the longest rule wins.
+Every URL is expanded into host-suffix x path-prefix expressions. These meet the rules, listed by the short prefix of
+their SHA-256 digests, in an equi-join on that prefix alone. The full digests of a list then confirm or refute the
+match, and the longest rule wins.
 """
 
 from __future__ import annotations
@@ -55,9 +56,11 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
         F.sha2(F.concat_ws("\x00", "r_host", "r_path"), 256).alias("r_digest"),
     )
     known = rules.agg(F.count("*"), F.array_sort(F.collect_set("r_len"))).first()  # two numbers and the few distinct lengths of rule paths
-    rules = rules.withColumn("r_prefix", F.substring("r_digest", 1, PREFIX_DIGITS))
+    order = F.struct(F.length("r_rule").alias("length"), F.length("r_host").alias("host"), F.when(F.col("r_verdict") == "block", 1).otherwise(0).alias("block"), "r_rule", "r_verdict")
+    rules = rules.groupBy("r_digest").agg(F.max(order).alias("r_best"))  # the rule that wins among those of one host and path
+    lists = rules.groupBy(F.substring("r_digest", 1, PREFIX_DIGITS).alias("r_prefix")).agg(F.collect_list(F.struct("r_digest", "r_best")).alias("r_list"))
     if known[0] <= BROADCAST_RULES:
-        rules = F.broadcast(rules)
+        lists = F.broadcast(lists)
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("row", F.monotonically_increasing_id())
     labels = F.split("host", r"\.", -1)
@@ -70,9 +73,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
     expressions = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.sha2(F.concat_ws("\x00", h, p), 256))))
     spread = rows.select("row", "page_id", "host", "path", F.explode_outer(expressions).alias("digest"))
     spread = spread.withColumn("prefix", F.substring("digest", 1, PREFIX_DIGITS))
-    met = spread.join(rules, (F.col("prefix") == F.col("r_prefix")) & (F.col("digest") == F.col("r_digest")), "left")
-    order = F.struct(F.length("r_rule"), F.length("r_host"), F.when(F.col("r_verdict") == "block", 1).otherwise(0), "r_rule", "r_verdict")
-    best = F.max(F.when(F.col("r_digest").isNotNull(), order)).alias("best")
+    met = spread.join(lists, F.col("prefix") == F.col("r_prefix"), "left")
+    confirmed = F.filter("r_list", lambda x: x["r_digest"] == F.col("digest"))  # at most one
+    best = F.max(F.get(confirmed, F.lit(0))["r_best"]).alias("best")
     judged = met.groupBy("row", "page_id", "host", "path").agg(best)  # a row's expressions lie in one task, so they fold before the shuffle
     return judged.select("page_id", "host", "path", F.col("best.r_rule").alias("rule"), F.coalesce("best.r_verdict", F.lit(default)).alias("verdict"))
 
