@@ -16,22 +16,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialize
+from graphloom.llm.common import identity, materialize, packed
 from graphloom.llm.quality import words_of
 
 #: Weights of the sources in the order of their names (fixed values), the mix's share of all words, and the bound on a source's repeats.
 WEIGHTS, SHARE, MOST_REPEATS = (3.0, 1.0, 2.0), 1.5, 2.0
-SHARDS = 16
-#: Parts that a shard is written in.
-SHARD_PARTS = 64
+#: Words of a shard, and least number of shards; words of one of the parts, a task each, that a shard is written in.
+SHARD_WORDS, LEAST_SHARDS, PART_WORDS = 1 << 26, 16, 1 << 19
 #: Blocks of all sources together are at most this many and one more a source: the bound on what the driver plans.
 BLOCKS = 1 << 14
 #: Least words of a block.
 LEAST_BLOCK = 2048
 #: Bound on the number of sources, which the driver weighs.
 MAX_SOURCES = 100_000
-#: Cells of a source's hashed order within which a window sums sizes; each holds about a thousandth of a source.
-CELLS = 1024
+#: Words of all sources for each cell of a source's hashed order, within which a window sums sizes; least number of cells.
+CELL_WORDS, LEAST_CELLS = 1 << 24, 1024
+#: What tells the rows of the mix apart: a cell of a source's order, and a number in it.
+ROW = ["source_no", "cell", "number"]
 SEED = 42
 
 
@@ -70,7 +71,12 @@ class Plan:
     draws: pa.Table  # source_no, block, first, last (words of the source's stream), copy, shard
 
 
-def plan(sizes: list[int], wanted: list[int], shards: int = SHARDS, blocks: int = BLOCKS, seed: int = SEED) -> Plan:
+def shards_for(words: int) -> int:
+    """Shards of a mix of so many words; each holds 16 planned blocks or more, and is written in parts of PART_WORDS."""
+    return max(LEAST_SHARDS, min(-(-words // SHARD_WORDS), BLOCKS // 16))
+
+
+def plan(sizes: list[int], wanted: list[int], shards: int = LEAST_SHARDS, blocks: int = BLOCKS, seed: int = SEED) -> Plan:
     """Which words of each source's stream go to which shard; wanted words of each source are met exactly."""
     length = max(LEAST_BLOCK, -(-sum(sizes) // blocks))
     rows = []
@@ -100,20 +106,20 @@ def _seeded(seed: int, *columns: str):  # noqa: ANN202
     return F.xxhash64(F.lit(seed), *columns)
 
 
-def draw(documents: DataFrame, share: float = SHARE, weights: tuple[float, ...] = WEIGHTS, most: float = MOST_REPEATS, shards: int = SHARDS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """(rows, pieces) of a mix of documents(doc_id, text, source).
+def draw(documents: DataFrame, share: float = SHARE, weights: tuple[float, ...] = WEIGHTS, most: float = MOST_REPEATS, shards: int | None = None, seed: int = SEED) -> tuple[DataFrame, DataFrame, int]:
+    """(rows, pieces, words) of a mix of documents(doc_id, text, source).
 
-    rows: row_key, doc_id, text_hash, size, source_size, target of each row. pieces: row_key, doc_id, text_hash, shard, place (the shuffled order in
-    the shard), copy, first, last: words [first, last) of a row that the mix takes. A document cut by a block's edge
-    gives several pieces. Sources are ordered by
-    code point, null last. Defined cases: a null or empty text has size 0 and no pieces; rows repeated in every
-    column read here are told apart only by number, and share the order; a table of no words gives no pieces; ties in
-    the hashed order fall to the smaller doc_id; reruns agree; other columns are ignored.
+    rows: ROW, doc_id, h1, h2 (the text's identity), size, source_size, target of each row. pieces: ROW, doc_id, h1, h2,
+    shard, place (the shuffled order in the shard), copy, first, last: words [first, last) of a row that the mix
+    takes. words: of the whole mix. shards: shards_for(words) by default. A document cut by a block's edge gives
+    several pieces. Sources are ordered by code point, null last. Defined cases: a null or empty text has size 0 and
+    no pieces; texts of any length are counted whole; rows repeated in every column read here are told apart only by
+    number, and share the order; a table of no words gives no pieces; ties in the hashed order fall to the smaller
+    doc_id; reruns agree; other columns are ignored, whatever their names.
     """
     spark = documents.sparkSession
-    size = F.size(words_of(F.col("text"))).cast("long")
-    rows = documents.select("doc_id", "source", size.alias("size"), F.xxhash64("text").alias("text_hash"))
-    rows = rows.withColumn("cell", F.pmod(_seeded(seed, "doc_id", "text_hash"), F.lit(CELLS))).withColumn("order", _seeded(seed + 1, "doc_id", "text_hash"))
+    h1, h2 = identity(F.col("text"))
+    rows = documents.select("doc_id", "source", F.size(words_of(F.col("text"))).cast("long").alias("size"), h1.alias("h1"), h2.alias("h2"))
     rows = materialize(rows, "mix-rows")
     per_source = rows.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
     if len(per_source) > MAX_SOURCES:
@@ -121,7 +127,8 @@ def draw(documents: DataFrame, share: float = SHARE, weights: tuple[float, ...]
     per_source.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [r["size"] for r in per_source]
     goal = targets(sizes, share, weights, most)
-    planned = plan(sizes, [min(round(t), int(most * s)) for t, s in zip(goal, sizes, strict=True)], shards, seed=seed)
+    wanted = [min(round(t), int(most * s)) for t, s in zip(goal, sizes, strict=True)]
+    planned = plan(sizes, wanted, shards or shards_for(sum(wanted)), seed=seed)
 
     table = pa.table(
         {
@@ -130,60 +137,66 @@ def draw(documents: DataFrame, share: float = SHARE, weights: tuple[float, ...]
         }
     )
     sources = F.broadcast(spark.createDataFrame(table, "source string, source_no long, source_size long, target double").withColumnRenamed("source", "s_source"))
+    cells = max(LEAST_CELLS, -(-sum(sizes) // CELL_WORDS))
+    rows = rows.withColumn("cell", F.pmod(_seeded(seed, "doc_id", "h1", "h2"), F.lit(cells))).withColumn("order", _seeded(seed + 1, "doc_id", "h1", "h2"))
     rows = rows.join(sources, F.col("source").eqNullSafe(F.col("s_source")))
 
     # A row's place in its source's stream: words of the cells before, and of the rows before within the cell.
-    within = Window.partitionBy("source_no", "cell").orderBy("order", "doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
+    in_cell = Window.partitionBy("source_no", "cell").orderBy("order", "doc_id", "h1", "h2")
     across = Window.partitionBy("source_no").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = rows.groupBy("source_no", "cell").agg(F.sum("size").alias("cell_size"))
-    cells = cells.select("source_no", "cell", F.coalesce(F.sum("cell_size").over(across), F.lit(0)).alias("cell_start"))  # CELLS rows a source
-    number = F.row_number().over(Window.partitionBy("source_no", "cell").orderBy("order", "doc_id", "text_hash"))
-    placed = rows.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0))).withColumn("number", number).join(cells, ["source_no", "cell"])
-    placed = placed.withColumn("start", F.col("cell_start") + F.col("before")).withColumn("row_key", _seeded(seed, "source_no", "cell", "number"))
-    placed = placed.select("row_key", "doc_id", "text_hash", "source_no", "size", "source_size", "target", "start")
-    placed = materialize(placed, "mix-placed")
+    by_cell = rows.groupBy("source_no", "cell").agg(F.sum("size").alias("cell_size"))
+    by_cell = by_cell.select("source_no", "cell", F.coalesce(F.sum("cell_size").over(across), F.lit(0)).alias("cell_start"))  # a row a cell
+    before = F.coalesce(F.sum("size").over(in_cell.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.withColumn("before", before).withColumn("number", F.row_number().over(in_cell)).join(by_cell, ["source_no", "cell"])
+    placed = placed.withColumn("start", F.col("cell_start") + F.col("before"))
+    placed = materialize(placed.select(*ROW, "doc_id", "h1", "h2", "size", "source_size", "target", "start"), "mix-placed")
 
     covered = F.sequence(F.floor(F.col("start") / planned.block_words), F.floor((F.col("start") + F.col("size") - 1) / planned.block_words))
-    spread = placed.filter("size > 0").select("row_key", "doc_id", "text_hash", "source_no", "size", "start", F.explode(covered).alias("block"))
+    spread = placed.filter("size > 0").select(*ROW, "doc_id", "h1", "h2", "size", "start", F.explode(covered).alias("block"))
     draws = spark.createDataFrame(planned.draws, "source_no long, block long, first long, last long, copy long, shard long")
     draws = F.broadcast(draws.withColumnRenamed("first", "b_first").withColumnRenamed("last", "b_last"))  # at most MOST_REPEATS * (BLOCKS + sources) rows of six numbers
     met = spread.join(draws, ["source_no", "block"])
     first = F.greatest(F.col("b_first") - F.col("start"), F.lit(0))
     last = F.least(F.col("b_last") - F.col("start"), F.col("size"))
-    pieces = met.select("row_key", "doc_id", "text_hash", "shard", "copy", "block", first.alias("first"), last.alias("last")).filter("first < last")
-    pieces = pieces.withColumn("place", _seeded(seed + 2, "shard", "copy", "block", "row_key"))
-    return placed, pieces
+    pieces = met.select(*ROW, "doc_id", "h1", "h2", "shard", "copy", "block", first.alias("first"), last.alias("last")).filter("first < last")
+    return placed, pieces.withColumn("place", _seeded(seed + 2, "shard", "copy", "block", *ROW)), sum(wanted)
 
 
 def mix(documents: DataFrame, **options: object) -> DataFrame:
-    """doc_id, size, source_size, target and taken of each row of documents; options: see draw."""
-    placed, pieces = draw(documents, **options)
-    taken = pieces.groupBy("row_key").agg(F.sum(F.col("last") - F.col("first")).alias("taken"))
-    out = placed.join(taken, "row_key", "left")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    """doc_id, size, source_size, target, taken and shards of each row of documents; options: see draw.
+
+    shards lists the output shards that the splitting tree gave words of the row to, with their number; taken is the
+    sum of these words.
+    """
+    placed, pieces, _ = draw(documents, **options)
+    drawn = pieces.groupBy(*ROW, "shard").agg(F.sum(F.col("last") - F.col("first")).alias("words"))
+    taken = drawn.groupBy(*ROW).agg(F.sum("words").alias("taken"), F.sort_array(F.collect_list(F.struct("shard", "words"))).alias("shards"))  # a document's own shards
+    out = placed.join(taken, ROW, "left")
+    none = F.array().cast("array<struct<shard:bigint,words:bigint>>")
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("shards", none).alias("shards"))
 
 
 def mixed_documents(documents: DataFrame, **options: object) -> DataFrame:
     """The mix as rows of documents: one for each taken copy, or for each taken run of its words (then joined by one space).
 
     Pieces of a copy that follow each other are put together, whichever shards their blocks fell to, so that only the
-    edge of a source's last draw cuts documents. Rows lie by shard and part of it, in shuffled order.
+    edge of a source's last draw cuts documents. Rows lie by shard and part of it, in shuffled order. Columns pass
+    through, whatever their names; see draw for the other cases.
     """
-    columns = documents.columns
-    placed, pieces = draw(documents, **options)
-    by_copy = Window.partitionBy("row_key", "copy").orderBy("first")
+    placed, pieces, total = draw(documents, **options)
+    parts = -(-total // (PART_WORDS * shards_for(total))) or 1  # a shard is as many tasks, not one
+    by_copy = Window.partitionBy(*ROW, "copy").orderBy("first")
     fresh = F.coalesce((F.lag("last").over(by_copy) != F.col("first")).cast("int"), F.lit(1))
     runs = pieces.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(by_copy))
-    runs = runs.groupBy("row_key", "copy", "run", "doc_id", "text_hash").agg(F.min("first").alias("gl_first"), F.max("last").alias("gl_last"), F.min_by("shard", "first").alias("gl_shard"), F.min("place").alias("gl_place"))
-    runs = runs.select(F.col("doc_id").alias("gl_doc_id"), F.col("text_hash").alias("gl_hash"), "gl_first", "gl_last", "gl_shard", "gl_place")
-    texts = documents.withColumn("gl_text_hash", F.xxhash64("text"))
-    keys = placed.agg(F.count("*"), F.count_distinct(F.xxhash64("doc_id", "text_hash"))).first()
-    if keys[0] != keys[1]:  # rows that repeat in id and text have pieces of their own, but one text serves them all
-        texts = texts.dropDuplicates(["doc_id", "gl_text_hash"])
-    met = texts.join(runs.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("gl_doc_id")) & (F.col("gl_text_hash") == F.col("gl_hash")))
-    words = words_of(F.col("text"))
-    whole = (F.col("gl_first") == 0) & (F.col("gl_last") == F.size(words))
-    text = F.when(whole, F.col("text")).otherwise(F.array_join(F.slice(words, (F.col("gl_first") + 1).cast("int"), (F.col("gl_last") - F.col("gl_first")).cast("int")), " "))
-    part = F.pmod("gl_place", F.lit(SHARD_PARTS))  # a shard is as many tasks, not one
-    met = met.withColumn("text", text).repartition("gl_shard", part).sortWithinPartitions("gl_shard", part, "gl_place")
-    return met.select(*columns)
+    runs = runs.groupBy(*ROW, "copy", "run", "doc_id", "h1", "h2").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.min_by("shard", "first").alias("shard"), F.min("place").alias("place"))
+    runs = runs.select(F.col("doc_id").alias("r_id"), F.col("h1").alias("r1"), F.col("h2").alias("r2"), "first", "last", "shard", "place")
+    h1, h2 = identity(F.col("gl_row.text"))
+    texts = packed(documents).select("gl_row", F.col("gl_row.doc_id").alias("id"), h1.alias("h1"), h2.alias("h2"))
+    if placed.groupBy("doc_id", "h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").head(1):
+        texts = texts.dropDuplicates(["id", "h1", "h2"])  # rows that repeat in id and text have pieces of their own, but one text serves them all
+    met = texts.join(runs, F.col("id").eqNullSafe(F.col("r_id")) & (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2")))
+    words = words_of(F.col("gl_row.text"))
+    whole = (F.col("first") == 0) & (F.col("last") == F.size(words))
+    text = F.when(whole, F.col("gl_row.text")).otherwise(F.array_join(F.slice(words, (F.col("first") + 1).cast("int"), (F.col("last") - F.col("first")).cast("int")), " "))
+    met = met.select(F.col("gl_row").withField("text", text).alias("gl_row"), "shard", F.pmod("place", F.lit(parts)).alias("part"), "place")
+    return met.repartition("shard", "part").sortWithinPartitions("shard", "part", "place").select("gl_row.*")

@@ -15,10 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import discard, materialize, packed, small, small_batches
+from graphloom.llm.common import discard, identity, materialize, packed, small, small_batches
 from graphloom.llm.components import components
 from graphloom.llm.textops import gram_owner, grams, mix, pair, utf8, word_hashes, word_spans
 
@@ -114,11 +114,6 @@ _SIGNED = "doc_id long, h1 long, h2 long, size long, buckets array<long>, bytes
 _SIGNED_ARROW = pa.schema([("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("size", pa.int64()), ("buckets", pa.list_(pa.int64())), ("bytes", pa.binary())])
 
 
-def identity(text: Column) -> tuple[Column, Column]:
-    """128 bits that tell texts apart, as two numbers."""
-    return F.xxhash64(text), F.xxhash64(F.lit(20_011), text)
-
-
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for a in range(0, whole.num_rows, 256):
