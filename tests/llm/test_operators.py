@@ -56,7 +56,7 @@ def test_filters_hold_what_they_learned():
     learned = {f"l{i:02}": rng.integers(0, 2**32, 300).tolist() for i in range(20)}
     f = language.build_filters(learned)
     for i, lang in enumerate(f.languages):
-        assert ((f.masks(np.array(learned[lang], np.uint32)) >> np.uint32(i)) & np.uint32(1)).all()
+        assert ((f.masks(np.array(learned[lang], np.uint32))[0] >> np.uint32(i)) & np.uint32(1)).all()
     assert (f.false_rate < 0.02).all()
 
 
@@ -224,9 +224,37 @@ def test_top_k(spark):
 
 
 def test_large_components_are_exact(spark):
-    rows = [(0, [1e9, 3.0]), (1, [1e7, 1.0]), (2, [1e7, 2.0])]
-    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
-    assert [(r.vec_id, r["rank"]) for r in got] == [(1, 1), (2, 2)] or [(r.vec_id, r["rank"]) for r in got] == [(2, 1), (1, 2)]
+    big = [(0, [1e9, 3.0]), (1, [1e7, 1.0]), (2, [1e7, 2.0]), (3, [-1e9, 3.0]), (4, [0.5, 0.25]), (5, [1e300, -1e300])]
+    rows = [(i, [np.floor(256 * x) for x in e]) for i, e in big]
+    df = spark.createDataFrame(big, "vec_id long, embedding array<double>")
+    for q in (0, 4, 5):
+        scored = sorted((-sum(int(a) * int(b) for a, b in zip(rows[q][1], e, strict=True)), i) for i, e in rows if i != q)
+        clamp = [max(-(2**63), min(-s, 2**63 - 1)) for s, _ in scored]
+        got = sorted(topk.top_k(df, F.col("vec_id") == q).collect(), key=lambda r: r["rank"])
+        assert [(r.vec_id, r.score) for r in got] == [(i, s) for (_, i), s in zip(scored, clamp, strict=True)]
+    keys = [topk.score_key(s) for s in (-(10**40), -(2**64), -256, -255, -1, 0, 1, 255, 256, 2**64, 10**40)]
+    assert keys == sorted(keys)
+
+
+def test_many_query_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, [float(v) for v in rng.normal(0, 0.2, 8)]) for i in range(300)], "vec_id long, embedding array<double>")
+    want = {tuple(r) for r in topk.top_k(df, F.col("vec_id") % 3 == 0).collect()}
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 32)
+    got = topk.top_k(df, F.col("vec_id") % 3 == 0).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) == 500
+
+
+def test_lists_are_read_no_further_than_needed():
+    rng = np.random.default_rng(6)
+    x, q = np.floor(256 * rng.normal(0, 0.2, (1500, 16))), np.floor(256 * rng.normal(0, 0.2, (40, 16)))
+    best = topk.Best(40, 5)
+    ended = topk.search_block(x, np.arange(1500), q, np.full(40, -1), np.arange(40), best)
+    scores, (at, ids, s) = q @ x.T, best.held()
+    for j in range(40):
+        top = sorted(zip(-scores[j], range(1500), strict=True))[:5]
+        assert [(-v, i) for v, i in top] == list(zip(s[at == j], ids[at == j], strict=True))
+    assert ended < 0.1 * scores.size  # nine in ten pairs are out before the lists end
 
 
 # 7
