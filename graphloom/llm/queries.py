@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import language, mixing, near_dups, packing, quality, substring, token_output, topk, url_rules, warc
-from graphloom.llm.common import table
+from graphloom.llm.common import shared_dir, table
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +45,8 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_output.digest_rows(token_output.token_matrices(table(spark, sf_dir, "documents")))
+    path = f"{shared_dir(spark)}/graphloom/token-matrices-{uuid.uuid4().hex}"
+    return token_output.digest_rows(token_output.write_matrices(table(spark, sf_dir, "documents"), path))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

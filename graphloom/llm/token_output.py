@@ -123,13 +123,15 @@ def token_matrices(documents: DataFrame, vocabulary: str | None = None, capacity
     return documents.select("doc_id", "text").mapInArrow(run, ROW_SCHEMA)
 
 
+def write_matrices(documents: DataFrame, path: str, **options: object) -> DataFrame:
+    """Write token_matrices(documents, **options) as Parquet files with binary columns; returns the written table."""
+    matrices = token_matrices(documents, **options)
+    matrices.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return documents.sparkSession.read.schema(matrices.schema).parquet(path)
+
+
 def digest_rows(matrices: DataFrame) -> DataFrame:
-    """The rows of token_matrices with check sums in place of the two matrices."""
+    """The rows of a written table, as read back, with check sums in place of the two matrices."""
     return matrices.select(
         "sequence_id", "n_tokens", F.size("doc_ids").alias("n_segments"), "doc_ids", "starts", "cu_seqlens", F.crc32("input_ids").alias("ids_crc32"), F.crc32("position_ids").alias("positions_crc32")
     )
-
-
-def write_matrices(documents: DataFrame, path: str, **options: object) -> None:
-    """Write token_matrices(documents, **options) as Parquet files with binary columns."""
-    token_matrices(documents, **options).write.mode("overwrite").option("compression", "zstd").parquet(path)
