@@ -1,7 +1,7 @@
 """Language identification by bit-sliced Bloom filters over n-grams.
 
 One Bloom filter a language, stored bit-sliced: slot s holds a mask with a bit for each language whose filter has s
-set. An n-gram's masks, and-ed over its hash functions, tell at once all languages that contain it. A text's counts of
+set, in as many words of 64 bits as the languages need. An n-gram's masks, and-ed over its hash functions, tell at once all languages that contain it. A text's counts of
 set bits by language, corrected for each filter's false positives, decide.
 """
 
@@ -14,11 +14,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import small_batches
+from graphloom.llm.common import packed, small_batches
 from graphloom.llm.textops import mix, utf8
 
 #: Bytes in an n-gram of the normalised text (lower case, runs of other than letters made one space).
@@ -29,7 +29,8 @@ GRAMS_A_LANGUAGE = 4000
 TRAIN_ROWS = 4000
 #: Slots of a filter for each n-gram in it, and hash functions.
 SLOTS_A_GRAM, HASHES = 16, 3
-MAX_LANGUAGES = 64
+#: Bound on the languages that are learned: the most frequent ones, ties by code point.
+MAX_LANGUAGES = 2048
 UNKNOWN = "und"
 
 
@@ -61,38 +62,47 @@ def _grams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 @dataclass
 class Filters:
     languages: list[str]
-    slots: np.ndarray  # a mask of languages for each slot
+    slots: list[np.ndarray]  # a mask of languages for each slot, 64 languages an array
     false_rate: np.ndarray  # by language
 
-    def masks(self, grams: np.ndarray) -> np.ndarray:
+    def masks(self, grams: np.ndarray) -> list[np.ndarray]:
+        """The languages that contain each n-gram, as masks of 64 languages each."""
         h = mix(grams.astype(np.uint64) + np.uint64(1))
-        low, high, top = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1), np.uint64(len(self.slots) - 1)
-        out = self.slots[(low & top).astype(np.int64)]
-        for k in range(1, HASHES):
-            out &= self.slots[((low + np.uint64(k) * high) & top).astype(np.int64)]
+        low, high, top = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1), np.uint64(len(self.slots[0]) - 1) if self.slots else np.uint64(0)
+        at = [((low + np.uint64(k) * high) & top).astype(np.int64) for k in range(HASHES)]
+        return [np.bitwise_and.reduce([part[x] for x in at]) for part in self.slots]
+
+    def counts(self, grams: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """(languages x texts): how many of each text's n-grams a language's filter holds."""
+        out = np.zeros((len(self.languages), len(first) - 1), np.int64)
+        for part, masks in enumerate(self.masks(grams)):
+            for i in range(64 * part, min(64 * part + 64, len(self.languages))):
+                hits = np.concatenate(([0], np.cumsum((masks >> masks.dtype.type(i % 64)) & masks.dtype.type(1), dtype=np.int64)))
+                out[i] = hits[first[1:]] - hits[first[:-1]]
         return out
 
 
 def build_filters(learned: dict[str, list[int]]) -> Filters:
     """Filters of the given n-grams by language."""
     languages = sorted(learned)
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; a mask has {MAX_LANGUAGES} bits")
     most = max([1, *map(len, learned.values())])
     n = 1 << (most * SLOTS_A_GRAM - 1).bit_length()
-    out = Filters(languages, np.zeros(n, next(t for t, bits in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(languages) <= bits)), np.zeros(len(languages)))
-    kind = out.slots.dtype.type
+    kinds = ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64))
+    widths = [min(64, len(languages) - a) for a in range(0, len(languages), 64)]
+    out = Filters(languages, [np.zeros(n, next(t for t, bits in kinds if w <= bits)) for w in widths], np.zeros(len(languages)))
     for i, lang in enumerate(languages):
+        slots = out.slots[i // 64]
+        bit = slots.dtype.type(1 << i % 64)
         h = mix(np.asarray(learned[lang], dtype=np.uint64) + np.uint64(1))
         low, high = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
         for k in range(HASHES):
-            out.slots[((low + np.uint64(k) * high) & np.uint64(n - 1)).astype(np.int64)] |= kind(1 << i)
-        out.false_rate[i] = (np.count_nonzero(out.slots & kind(1 << i)) / n) ** HASHES
+            slots[((low + np.uint64(k) * high) & np.uint64(n - 1)).astype(np.int64)] |= bit
+        out.false_rate[i] = (np.count_nonzero(slots & bit) / n) ** HASHES
     return out
 
 
 def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Filters:
-    """Filters from labelled(doc_id, text, lang); rows with a null lang or text teach nothing.
+    """Filters from labelled(doc_id, text, lang); rows with a null lang or text teach nothing, nor do languages beyond the MAX_LANGUAGES most frequent.
 
     Each language is learned from a hash sample of about train_rows rows (all, where it has no more): a documented
     bound on what a classifier is fitted to. N-gram counts are summed on the executors; the driver gets at most
@@ -100,15 +110,10 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Filters:
     """
     small_batches(labelled.sparkSession)
     rows = labelled.select("doc_id", "text", "lang").filter("lang IS NOT NULL AND text IS NOT NULL")
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return build_filters({})
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"{len(counts)} languages; a mask has {MAX_LANGUAGES} bits")
-    share = F.lit(0.0)
-    for lang, n in sorted(counts.items()):
-        share = F.when(F.col("lang") == lang, min(1.0, train_rows / n)).otherwise(share)
-    sample = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
+    by_lang = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    shares = by_lang.select(F.col("lang").alias("s_lang"), F.least(F.lit(1.0), train_rows / F.col("n")).alias("share"))
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("share") * (1 << 20)
+    sample = rows.join(F.broadcast(shares), (F.col("lang") == F.col("s_lang")) & drawn)  # at most MAX_LANGUAGES rows
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter] = {}
@@ -122,8 +127,6 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Filters:
         for lang, c in seen.items():
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(c)), "gram": pa.array(list(c), pa.int64()), "n": pa.array(list(c.values()), pa.int64())})
 
-    from pyspark.sql import Window
-
     total = sample.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = total.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("k") <= GRAMS_A_LANGUAGE)
     learned: dict[str, list[int]] = {}
@@ -133,37 +136,36 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Filters:
 
 
 def annotate(documents: DataFrame, filters: Filters) -> DataFrame:
-    """documents(text, ...) with lang_pred, score and grams, the number of the text's n-grams; columns of these names are replaced.
+    """(gl_row, lang_pred, score, grams) of each row of documents(text, ...): gl_row holds the row itself, whatever its columns' names.
 
-    score is the winner's corrected share of the text's n-grams, 0 to 1; ties fall to the first language by code
-    point. A null text or one without a letter is UNKNOWN with score 0, as is every text if nothing was learned.
-    Texts of any length are read whole; repeated rows are judged each on its own; nothing is shuffled.
+    score is the winner's corrected share of the text's n-grams, 0 to 1; grams is their number. Ties fall to the first
+    language by code point. A null text or one without a letter is UNKNOWN with score 0, as is every text if nothing
+    was learned. Texts of any length are read whole; repeated rows are judged each on its own; nothing is shuffled; an
+    empty table gives no rows.
     """
     small_batches(documents.sparkSession)
-    documents = documents.drop("lang_pred", "score", "grams")
+    rows = packed(documents)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [*filters.languages, UNKNOWN]
         for batch in batches:
-            raw, offsets, letter = _normal(batch.column("text"))
+            raw, offsets, letter = _normal(pc.struct_field(batch.column("gl_row"), "text"))
             grams, first = _grams(raw, offsets)
-            masks, n = filters.masks(grams) if filters.languages else grams, np.diff(first)
-            share = np.zeros((len(names), len(n)))
-            for i, rate in enumerate(filters.false_rate):
-                hits = np.concatenate(([0], np.cumsum((masks >> masks.dtype.type(i)) & masks.dtype.type(1), dtype=np.int64)))
-                found = hits[first[1:]] - hits[first[:-1]]
-                share[i] = np.clip((found - rate * n) / np.maximum(n * (1 - rate), 1e-9), 0, 1)
-            best = np.where(letter, np.argmax(share[: max(1, len(names) - 1)], axis=0), len(names) - 1)
-            score = np.where(best < len(names) - 1, share[best, np.arange(len(n))], 0.0)
-            arrays = [*batch.columns, pa.array([names[k] for k in best.tolist()], pa.string()), pa.array(score), pa.array(n.astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, "lang_pred", "score", "grams"])
+            n, rate = np.diff(first), filters.false_rate[:, None]
+            share = np.clip((filters.counts(grams, first) - rate * n) / np.maximum(n * (1 - rate), 1e-9), 0, 1)
+            none = len(names) - 1
+            best = np.where(letter, np.argmax(share, axis=0), none) if none else np.zeros(len(n), np.int64)
+            score = np.where(best < none, share[np.minimum(best, none - 1), np.arange(len(n))], 0.0) if none else np.zeros(len(n))
+            arrays = [batch.column("gl_row"), pa.array([names[k] for k in best.tolist()], pa.string()), pa.array(score), pa.array(n.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["gl_row", "lang_pred", "score", "grams"])
 
-    return documents.mapInArrow(run, T.StructType([*documents.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("grams", T.LongType())]))
+    found = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("grams", T.LongType())]
+    return rows.mapInArrow(run, T.StructType([*rows.schema, *found]))
 
 
 def predict(documents: DataFrame, filters: Filters) -> DataFrame:
     """doc_id, lang_pred and score of each row of documents(doc_id, text); see annotate."""
-    return annotate(documents.select("doc_id", "text"), filters).select("doc_id", "lang_pred", "score")
+    return annotate(documents.select("doc_id", "text"), filters).select("gl_row.doc_id", "lang_pred", "score")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -172,6 +174,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 def identify(documents: DataFrame) -> DataFrame:
-    """fit() on the rows that are not held out, then predict() on all rows; with the column held_out."""
+    """fit() on the rows that are not held out, then predict() on all rows; with the column held_out.
+
+    Defined cases: a null doc_id is not held out; a null lang or text teaches nothing; repeated rows teach as often as
+    they occur and are judged each on its own; other columns are ignored, whatever their names; an empty table gives
+    no rows. See annotate for texts.
+    """
     filters = fit(documents.filter(~held_out(F.col("doc_id"))))
     return predict(documents, filters).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
