@@ -39,37 +39,40 @@ def plan_records(pages: DataFrame) -> DataFrame:
     """Digest, length, record type and reference of each row of pages(page_id, url, html).
 
     Among rows with equal payloads of MIN_REVISIT_BYTES or more, those with the largest page_id are responses and the
-    others revisit it. A null html is an empty payload. A null page_id is never the one referred to, unless all ids of
+    others revisit it. A null html is an empty payload; payloads of any length are digested whole. A null page_id is never the one referred to, unless all ids of
     the payload are null: then all are responses. Repeated rows are records of their own.
     """
     html = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", html.alias("html"), F.sha1(F.encode(html, "UTF-8")).alias("digest"), F.octet_length(html).cast("long").alias("size"))
     holders = (
-        rows.filter(F.col("size") >= MIN_REVISIT_BYTES).groupBy("digest", "size").agg(F.max("page_id").alias("holder"), F.count("*").alias("n")).filter("n > 1 AND holder IS NOT NULL")
+        rows.filter(F.col("size") >= MIN_REVISIT_BYTES).groupBy("digest", "size").agg(F.max("page_id").alias("holder"), F.max_by("url", F.struct("page_id", "url")).alias("holder_url"), F.count("*").alias("n")).filter("n > 1 AND holder IS NOT NULL")
     )
-    holders = materialize(holders.select(F.col("digest").alias("h_digest"), F.col("size").alias("h_size"), "holder"), "warc-holders")
+    holders = materialize(holders.select(F.col("digest").alias("h_digest"), F.col("size").alias("h_size"), "holder", "holder_url"), "warc-holders")
     if holders.count() <= BROADCAST_HOLDERS:
         holders = F.broadcast(holders)
     rows = rows.join(holders, (F.col("digest") == F.col("h_digest")) & (F.col("size") == F.col("h_size")), "left")
     revisit = F.col("holder").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("holder"))
     return rows.select(
-        "page_id", "url", "html", "digest", "size", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("holder")).alias("refers_to")
-    )
+        "page_id", "url", "html", "digest", "size", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("holder")).alias("refers_to"), F.when(revisit, F.col("holder_url")).alias("refers_url"),
+    )
 
 
-def _record_id(page_id: int | None, digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'page:{page_id}:{digest}')}>"
+def _uri(url: str) -> str:
+    return "".join(c if c > " " else f"%{ord(c):02X}" for c in url)
 
 
-def _head(page_id: int | None, url: str | None, digest: str, size: int, kind: str, refers_to: int | None) -> bytes:
+def _head(place: str, page_id: int | None, url: str | None, digest: str, size: int, kind: str, refers_to: int | None, refers_url: str | None) -> bytes:
+    """place: what tells the record from all others, also from those of a repeated row."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     base32 = base64.b32encode(bytes.fromhex(digest)).decode()
-    fields = [("WARC-Type", kind), ("WARC-Record-ID", _record_id(page_id, digest)), ("WARC-Date", DATE)]
+    fields = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(_SPACE, f'{place}:{page_id}:{digest}')}>"), ("WARC-Date", DATE)]
     if url is not None:
-        fields.append(("WARC-Target-URI", "".join(c if c > " " else f"%{ord(c):02X}" for c in url)))
+        fields.append(("WARC-Target-URI", _uri(url)))
     fields += [("WARC-Payload-Digest", f"sha1:{base32}"), ("X-Page-Id", "" if page_id is None else str(page_id))]
     if kind == "revisit":
-        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", _record_id(refers_to, digest)), ("X-Refers-To-Page", str(refers_to))]
+        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To-Date", DATE), ("X-Refers-To-Page", str(refers_to))]
+        if refers_url is not None:
+            fields.append(("WARC-Refers-To-Target-URI", _uri(refers_url)))
     fields += [("Content-Type", "application/http;msgtype=response"), ("Content-Length", str(len(http) + (size if kind == "response" else 0)))]
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n" + http
 
@@ -80,15 +83,15 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     archive, record, rows, held = TaskContext.get().partitionId(), 0, [], 0
     for batch in batches:
         columns = {name: batch.column(name) for name in batch.schema.names}
-        small = {k: columns[k].to_pylist() for k in ("page_id", "url", "digest", "size", "record_type", "refers_to")}
+        small = {k: columns[k].to_pylist() for k in ("page_id", "url", "digest", "size", "record_type", "refers_to", "refers_url")}
         for i in range(batch.num_rows):
-            page_id, url, digest, size, kind, refers_to = (small[k][i] for k in small)
+            page_id, url, digest, size, kind, refers_to, refers_url = (small[k][i] for k in small)
             payload = memoryview(columns["html"][i].as_buffer() or b"") if kind == "response" and size else memoryview(b"")
             n_chunks, sha = max(1, -(-len(payload) // CHUNK_BYTES)), hashlib.sha1()
             for chunk in range(n_chunks):
                 part = payload[chunk * CHUNK_BYTES : (chunk + 1) * CHUNK_BYTES]
                 sha.update(part)
-                data = b"".join((_head(page_id, url, digest, size, kind, refers_to) if not chunk else b"", part, b"\r\n\r\n" if chunk == n_chunks - 1 else b""))
+                data = b"".join((_head(f"{archive}:{record}", page_id, url, digest, size, kind, refers_to, refers_url) if not chunk else b"", part, b"\r\n\r\n" if chunk == n_chunks - 1 else b""))
                 rows.append((archive, record, chunk, n_chunks, sha.hexdigest(), data))
                 held += len(data)
                 if held > 4 << 20:
@@ -173,12 +176,16 @@ def read_archives(chunks: DataFrame) -> DataFrame:
 
 
 def export_archives(chunks: DataFrame, folder: str) -> DataFrame:
-    """Write each archive to folder/archive-N.warc.gz, one gzip member per record; folder must be mounted on all nodes.
+    """Write each archive to folder/archive-N.warc.gz, one gzip member per record; folder: a URI of a store that all nodes reach, or a path mounted on all.
 
     Returns archive, records.
     """
+    target = folder if "://" in folder else f"file://{folder}"
 
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(target)
         name, out, member, count, done = None, None, None, 0, []
         for batch in batches:
             for archive, _, chunk, n_chunks, _, data in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
@@ -186,7 +193,7 @@ def export_archives(chunks: DataFrame, folder: str) -> DataFrame:
                     if out:
                         out.close()
                         done.append((name, count))
-                    name, count, out = archive, 0, open(f"{folder}/archive-{archive:05d}.warc.gz", "wb")  # noqa: SIM115
+                    name, count, out = archive, 0, store.open_output_stream(f"{base}/archive-{archive:05d}.warc.gz", compression=None)
                 if chunk == 0:
                     member = zlib.compressobj(wbits=31)
                 out.write(member.compress(data))
