@@ -29,6 +29,8 @@ SKETCH_ROWS, MIN_LOG2_CELLS, MAX_LOG2_CELLS = 2, 16, 28
 SLICE_BITS = 20
 #: Words that are sketched or compared at once within a task.
 CHUNK_WORDS = 1 << 20
+#: Windows that a task remembers from its earlier chunks, so that one that stands in all documents goes out once a task, not once a chunk (24 bytes each).
+REMEMBERED = 1 << 20
 
 
 class _Texts:
@@ -139,16 +141,47 @@ def _repeated(bits: np.ndarray, minimizer: np.ndarray, log2: int) -> np.ndarray:
     return out
 
 
+class _Seen:
+    """Windows that several documents of a chunk held, with the least document that the task has sent on for each."""
+
+    def __init__(self) -> None:
+        self.hash, self.second, self.least = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def earlier(self, h: np.ndarray, s: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For windows by rising h, with their least and greatest documents in a chunk: the least document sent before (or the greatest number), and whether the window has to be sent on."""
+        before = np.full(len(h), np.iinfo(np.int64).max)
+        if len(self.hash) and len(h):
+            at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
+            known = (self.hash[at] == h) & (self.second[at] == s)
+            before[known] = self.least[at[known]]
+            self.least[at[known]] = np.minimum(self.least[at[known]], least[known])
+        fresh = least < before
+        room = REMEMBERED - len(self.hash)
+        alone = np.ones(len(h), bool)
+        alone[1:] = h[1:] != h[:-1]
+        add = np.flatnonzero((most > least) & alone & (before == np.iinfo(np.int64).max))
+        if len(self.hash) and len(add):
+            at = np.minimum(np.searchsorted(self.hash, h[add]), len(self.hash) - 1)
+            add = add[self.hash[at] != h[add]]
+        add = add[:room]
+        if len(add):
+            order = np.argsort(both := np.concatenate([self.hash, h[add]]), kind="stable")
+            self.hash, self.second, self.least = both[order], np.concatenate([self.second, s[add]])[order], np.concatenate([self.least, least[add]])[order]
+        return before, fresh
+
+
 _FOUND = "hash long, second long, doc_id long, text_hash long, places binary"
 _FOUND_ARROW = pa.schema([("hash", pa.int64()), ("second", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("places", pa.binary())])
 
 
 def _find(shared, log2: int):  # noqa: ANN001, ANN202
-    """Candidate windows. Those with an earlier document in the chunk are settled here and go out as places by document;
-    of the others, one row (hash, second, doc_id) a chunk and window goes out to be compared across chunks."""
+    """Candidate windows. Those with an earlier document in the chunk, or in an earlier chunk of the task if the window is
+    remembered, are settled here and go out as places by document; of the others, one row (hash, second, doc_id) a chunk
+    and window goes out to be compared across chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
+        seen = _Seen()
         for chunk in _chunks(batches):
             t = _Texts(chunk, exact=True)
             step = np.ones(len(t.minimizer), bool)  # a minimizer mostly serves several windows in a row
@@ -161,10 +194,13 @@ def _find(shared, log2: int):  # noqa: ANN001, ANN202
             h, s, doc, owner, place = h[order], s[order], doc[order], owner[order], place[order]
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (s[1:] != s[:-1])
-            least = doc[np.flatnonzero(new)][np.cumsum(new) - 1] if len(h) else doc
-            late = doc > least
-            for a in range(0, int(new.sum()), 1 << 16):
-                at = np.flatnonzero(new)[a : a + (1 << 16)]
+            first = np.flatnonzero(new)
+            window = np.cumsum(new) - 1
+            before, fresh = seen.earlier(h[first], s[first], doc[first], doc[np.append(first[1:], len(h)) - 1] if len(h) else doc)
+            late = doc > np.minimum(doc[first], before)[window] if len(h) else np.zeros(0, bool)
+            sent = first[fresh]
+            for a in range(0, len(sent), 1 << 16):
+                at = sent[a : a + (1 << 16)]
                 n = len(at)
                 yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(s[at].view(np.int64)), pa.array(doc[at]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], schema=_FOUND_ARROW)
             if late.any():
@@ -248,13 +284,13 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     found = rows.withColumn("text_hash", text_hash).mapInArrow(_find(shared, log2), _FOUND)
     # Places that are settled go through the same exchange, each as a group of its own, so that the windows are found once.
     found = found.withColumn("settled", F.col("places").isNotNull()).withColumn("hash", F.coalesce("hash", "text_hash")).withColumn("second", F.coalesce("second", "doc_id"))
-    first = F.min("doc_id").over(Window.partitionBy("hash", "second", "settled"))  # at most a row a chunk and window
+    first = F.min("doc_id").over(Window.partitionBy("hash", "second", "settled"))  # at most a row a chunk and window, and mostly a row a task where many documents hold it
     late = found.withColumn("first", first).filter("settled OR doc_id > first")
     marks = late.groupBy(F.col("doc_id").alias("gl_doc_id")).agg(
         F.collect_list(F.when(~F.col("settled"), F.col("hash"))).alias("gl_hashes"), F.collect_list(F.when(F.col("settled"), F.struct("text_hash", "places"))).alias("gl_places")
     )
 
-    joined = documents.withColumn("gl_text_hash", text_hash).join(marks.hint("shuffle_hash"), F.col("doc_id") == F.col("gl_doc_id"), "left")
+    joined = documents.withColumn("gl_text_hash", text_hash).join(marks, F.col("doc_id") == F.col("gl_doc_id"), "left")
     out = documents.schema.simpleString()[7:-1]
     probe = documents.limit(0).toArrow().schema
     schema = pa.schema([*[probe.field(c) if c != "text" else pa.field("text", pa.string()) for c in documents.columns], ("gl_words", pa.int64()), ("gl_removed", pa.int64())])
