@@ -13,10 +13,12 @@ _own_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a private one only where that is unset, as in local tests."""
+    """The folder all executors share (spark.checkpoint.dir); where that is unset, a private one of this machine, which only a local master can use."""
     global _own_dir
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: a cluster needs a folder that all executors share")
         if _own_dir is None:
             _own_dir = tempfile.mkdtemp(prefix="graphloom-")
             atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
