@@ -28,9 +28,9 @@ SKETCH_ROWS, MIN_LOG2_CELLS, MAX_LOG2_CELLS = 2, 16, 28
 #: Cells in a slice, the unit in which partial sketches are merged.
 SLICE_BITS = 20
 #: Words that are sketched or compared at once within a task.
-CHUNK_WORDS = 1 << 20
+CHUNK_WORDS = 1 << 19
 #: Windows that a task remembers from its earlier chunks, so that one that stands in all documents goes out once a task, not once a chunk (24 bytes each).
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 18
 
 
 class _Texts:
