@@ -1,4 +1,4 @@
-"""Definitions, references and aliases of one source file: Python by its own grammar, JavaScript and TypeScript by a scanner.
+"""Definitions, references and aliases of one source file: Python by its own grammar, JavaScript and TypeScript by a parser of our own.
 
 A tag is (name, kind, start_line, end_line, start_byte, end_byte, capture_kind); lines from 0, ends exclusive in bytes.
 Files that do not parse give no tags.
@@ -7,25 +7,24 @@ Files that do not parse give no tags.
 from __future__ import annotations
 
 import ast
-import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from graphloom.sources.manifest import LANGUAGES, Language
+from graphloom.sources import manifest
+from graphloom.sources.manifest import Language
+from graphloom.sources.script import Script, Tag
 
 
 @dataclass(frozen=True)
-class Tag:
-    name: str
-    kind: str
-    start_line: int
-    end_line: int
-    start_byte: int
-    end_byte: int
-    capture_kind: str
+class Parser:
+    """What a language needs: tags and aliases of a text, each a function of (text, language)."""
 
+    tags: Callable[[str, Language], list[Tag]]
+    aliases: Callable[[str, Language], list[tuple[str, str]]] = lambda text, language: []
 
-def language_of(path: str) -> Language | None:
-    return next((x for x in LANGUAGES if path.endswith(x.extensions)), None)
+
+def language_of(path: str, languages: list[Language] | None = None) -> Language | None:
+    return next((x for x in languages or manifest.LANGUAGES if path.endswith(x.extensions)), None)
 
 
 def python_tags(text: str) -> list[Tag]:
@@ -53,192 +52,62 @@ def python_tags(text: str) -> list[Tag]:
     return out
 
 
-_TOKEN = re.compile(
-    r"""(?P<space>\s+)|(?P<comment>//[^\n]*|/\*.*?\*/)|(?P<string>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*')|(?P<template>`)|(?P<number>\d[\w.]*)|(?P<name>\#?[A-Za-z_$][\w$]*)|(?P<arrow>=>)|(?P<mark>\?\.|\.\.\.|[=!]==?|[<>]=?|.)""",
-    re.S | re.X,
-)
-_BEFORE_REGEX = set("(,=:[!&|?{};+-*%~^<>") | {"return", "typeof", "case", "=>", "in", "of", "do", "else", "&&", "||", "==", "===", "!=", "!=="}
-_REGEX = re.compile(r"/(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*")
-#: Words that look like calls or methods but are not.
-_NOT_NAMES = {"if", "for", "while", "switch", "catch", "return", "function", "typeof", "await", "new", "super", "import", "with", "delete", "void", "in", "of", "do", "else", "yield", "throw", "case", "async", "static", "get", "set"}
-
-
-@dataclass
-class _Tok:
-    kind: str
-    text: str
-    at: int
-    end: int
-
-
-def _tokens(text: str) -> list[_Tok]:
-    out: list[_Tok] = []
-    at = 0
-    while at < len(text):
-        if text[at] == "/" and text[at : at + 2] not in ("//", "/*") and (not out or out[-1].text in _BEFORE_REGEX) and (m := _REGEX.match(text, at)):
-            out.append(_Tok("regex", m[0], at, m.end()))
-            at = m.end()
-            continue
-        m = _TOKEN.match(text, at)
-        kind, end = m.lastgroup, m.end()
-        if kind == "template":
-            end = at + 1
-            while end < len(text) and text[end] != "`":
-                if text[end] == "\\":
-                    end += 2
-                elif text.startswith("${", end):
-                    depth, start, end = 1, end + 2, end + 2
-                    while end < len(text) and depth:
-                        depth += (text[end] == "{") - (text[end] == "}")
-                        end += 1
-                    out += [_Tok(t.kind, t.text, t.at + start, t.end + start) for t in _tokens(text[start : end - 1])]
-                else:
-                    end += 1
-            end += 1
-        if kind not in ("space", "comment"):
-            out.append(_Tok(kind, m[0], at, end))
-        at = end
-    return out
+class _Unread:
+    tags: list[Tag] = []
+    aliases: list[tuple[str, str]] = []
 
 
-def _partners(toks: list[_Tok]) -> dict[int, int]:
-    """Index of the closing token of each opening bracket."""
-    stack, out = [], {}
-    for i, t in enumerate(toks):
-        if t.kind == "mark" and t.text in "([{":
-            stack.append(i)
-        elif t.kind == "mark" and t.text in ")]}" and stack:
-            out[stack.pop()] = i
-    return out
+def script(text: str, language: Language) -> Script | _Unread:
+    """The parsed file; nothing of one that is nested too deeply to be read."""
+    try:
+        return Script(text, language)
+    except RecursionError:
+        return _Unread()
 
 
-class _Script:
-    """The shapes that define and call functions, found over tokens with matched brackets."""
-
-    def __init__(self, text: str, language: Language) -> None:
-        self.text, self.language, self.toks = text, language, _tokens(text)
-        self.pair = _partners(self.toks)
-        self.byte = [0]
-        for c in text:
-            self.byte.append(self.byte[-1] + len(c.encode("utf-8", "surrogatepass")))
-        self.tags: list[Tag] = []
-        self.bodies: list[tuple[int, int]] = []
-
-    def text_at(self, i: int) -> str:
-        return self.toks[i].text if 0 <= i < len(self.toks) else ""
-
-    def tag(self, name: str, kind: str, first: int, last: int, capture: str) -> None:
-        excluded = self.language.excluded_defs if kind == "def" else self.language.excluded_refs
-        if name in excluded:
-            return
-        a, b = self.toks[first].at, self.toks[last].end
-        self.tags.append(Tag(name, kind, self.text.count("\n", 0, a), self.text.count("\n", 0, b), self.byte[a], self.byte[b], capture))
-
-    def function_at(self, i: int) -> int | None:
-        """Last token of the function expression or arrow function that begins at token i."""
-        if self.text_at(i) == "async":
-            i += 1
-        if self.text_at(i) == "function":
-            return self.body_after(next((k for k in range(i, min(i + 5, len(self.toks))) if self.text_at(k) == "("), -1))
-        close = self.pair.get(i) if self.text_at(i) == "(" else i if i < len(self.toks) and self.toks[i].kind == "name" else None
-        if close is None:
-            return None
-        k = close + 1
-        if self.text_at(k) == ":" and self.text_at(i) == "(":  # a return type
-            while k < len(self.toks) and self.text_at(k) not in ("=>", ";", "{", ")"):
-                k += 1
-        if self.text_at(k) != "=>":
-            return None
-        if self.text_at(k + 1) == "{":
-            end = self.pair.get(k + 1)
-            if end is not None:
-                self.bodies.append((k + 1, end))
-            return end
-        depth = k + 1  # an expression: up to where it ends
-        while depth < len(self.toks) and self.text_at(depth) not in (";", ",", ")", "}", "]"):
-            if depth in self.pair:
-                depth = self.pair[depth]
-            depth += 1
-            if depth < len(self.toks) and self.text.count("\n", self.toks[depth - 1].end, self.toks[depth].at) and self.text_at(depth) not in (".", "?", ":", "+", "&", "|"):
-                break
-        self.bodies.append((k + 1, depth - 1))
-        return depth - 1
-
-    def body_after(self, paren: int) -> int | None:
-        """Last token of the body that follows a parameter list."""
-        close = self.pair.get(paren)
-        if close is None:
-            return None
-        k = close + 1
-        while k < len(self.toks) and self.text_at(k) not in ("{", ";", ",", ")", "="):
-            k += 1
-        end = self.pair.get(k) if self.text_at(k) == "{" else None
-        if end is not None:
-            self.bodies.append((k, end))
-        return end
-
-    def run(self) -> list[Tag]:
-        for i, t in enumerate(self.toks):
-            if t.kind != "name":
-                if self.language.jsx and t.text == "<" and self.text_at(i - 1) in ("", "(", ",", "=", "?", ":", "=>", "return", ">", "}", "{", "&", "|") and i + 1 < len(self.toks) and self.toks[i + 1].kind == "name":
-                    self.jsx(i)
-                continue
-            before, after = self.text_at(i - 1), self.text_at(i + 1)
-            if before == "function" or (before == "*" and self.text_at(i - 2) == "function"):
-                first = i - 1 if before == "function" else i - 2
-                first -= self.text_at(first - 1) == "async"
-                if (end := self.body_after(next((k for k in range(i, min(i + 40, len(self.toks))) if self.text_at(k) == "("), -1))) is not None:
-                    self.tag(t.text, "def", first, end, "function")
-            elif after == "=" and (end := self.function_at(i + 2)) is not None:
-                self.tag(t.text, "def", i, end, "function")
-            elif after == ":" and before in ("{", ",") and (end := self.function_at(i + 2)) is not None:
-                self.tag(t.text, "def", i, end, "function")
-            elif after == "(" and before in ("{", "}", ";", ",", "async", "static", "get", "set", "*", "public", "private", "protected") and t.text not in _NOT_NAMES and (end := self.body_after(i + 1)) is not None:
-                self.tag(t.text, "def", i, end, "function")
-            elif after == "(" and t.text not in _NOT_NAMES and before != "new" and (end := self.pair.get(i + 1)) is not None:
-                self.tag(t.text, "ref", i + 1 if before in (".", "?.") else i, end, "call")  # of a member call, the arguments
-        return self.tags
-
-    def jsx(self, i: int) -> None:
-        k, name = i + 1, self.toks[i + 1].text
-        dotted = False
-        while self.text_at(k + 1) == "." and k + 2 < len(self.toks) and self.toks[k + 2].kind == "name":
-            k, dotted = k + 2, True
-        if dotted or name[:1].isupper():
-            self.tag(name, "ref", i, k, "jsx")
-
-    def aliases(self) -> list[tuple[str, str]]:
-        """(name, target): X.Name = target and Object.assign(X, {Name: target}) outside of any function."""
-        self.run()
-        inside = lambda i: any(a <= i <= b for a, b in self.bodies)
-        out = []
-        for i in range(len(self.toks)):
-            if inside(i):
-                continue
-            word = [self.text_at(i + k) for k in range(6)]
-            if self.toks[i].kind == "name" and word[1] == "." and word[3] == "=" and self.toks[i + 2].kind == "name" and i + 4 < len(self.toks) and self.toks[i + 4].kind == "name" and word[5] in (";", "", ",") or (
-                word[1:4:2] == [".", "="] and i + 4 < len(self.toks) and self.toks[i + 4].kind == "name" and self.text.count("\n", self.toks[i + 4].end, self.toks[min(i + 5, len(self.toks) - 1)].at)
-            ):
-                out.append((word[2], word[4]))
-            if word[:4] == ["Object", ".", "assign", "("]:
-                k = next((k for k in range(i + 4, self.pair.get(i + 3, i)) if self.text_at(k) == "{"), None)
-                end = self.pair.get(k, 0) if k is not None else 0
-                while k is not None and k < end:
-                    if self.toks[k].kind == "name" and self.text_at(k + 1) == ":" and self.toks[k + 2].kind == "name" and self.text_at(k + 3) in (",", "}"):
-                        out.append((self.text_at(k), self.text_at(k + 2)))
-                    elif self.toks[k].kind == "name" and self.text_at(k - 1) in ("{", ",") and self.text_at(k + 1) in (",", "}"):
-                        out.append((self.text_at(k), self.text_at(k)))
-                    k += 1
-        return list(dict.fromkeys(out))
+#: Parsers by the name that a Language gives; register() adds to them.
+PARSERS: dict[str, Parser] = {
+    "python": Parser(lambda text, language: python_tags(text)),
+    "js": Parser(lambda text, language: script(text, language).tags, lambda text, language: script(text, language).aliases),
+}
+
+
+def register(language: Language, parser: Parser | None = None) -> None:
+    """Support a language: its files are discovered, parsed and excluded as the manifest's own. parser: by the name language.parser, unless there is one already.
+
+    A language of a known name replaces the one before. Call it in the driver; each
+    job takes the registry along (see Registry).
+    """
+    if parser is not None:
+        PARSERS[language.parser] = parser
+    if language.parser not in PARSERS:
+        raise ValueError(f"no parser named {language.parser}")
+    manifest.LANGUAGES[:] = [x for x in manifest.LANGUAGES if x.name != language.name] + [language]
+
+
+@dataclass(frozen=True)
+class Registry:
+    """The languages and parsers of the moment, as a job takes them along to its workers."""
+
+    languages: list[Language]
+    parsers: dict[str, Parser]
+
+    @classmethod
+    def now(cls) -> Registry:
+        return cls(list(manifest.LANGUAGES), dict(PARSERS))
+
+    def tags(self, path: str, text: str) -> list[Tag]:
+        language = language_of(path, self.languages)
+        return [] if language is None else self.parsers[language.parser].tags(text, language)
+
+    def aliases(self, path: str, text: str) -> list[tuple[str, str]]:
+        language = language_of(path, self.languages)
+        return [] if language is None else list(dict.fromkeys(self.parsers[language.parser].aliases(text, language)))
 
 
 def extract_tags(path: str, text: str) -> list[Tag]:
-    language = language_of(path)
-    if language is None:
-        return []
-    return python_tags(text) if language.parser == "python" else _Script(text, language).run()
+    return Registry.now().tags(path, text)
 
 
 def extract_aliases(path: str, text: str) -> list[tuple[str, str]]:
-    language = language_of(path)
-    return _Script(text, language).aliases() if language is not None and language.parser == "js" else []
+    return Registry.now().aliases(path, text)

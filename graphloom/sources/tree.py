@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 
@@ -10,12 +11,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.sources.manifest import LANGUAGES, excluded_dirs, extension_table
-from graphloom.sources.parse import extract_aliases, extract_tags
+from graphloom.sources.parse import Registry
+from graphloom.storage import bounded_batches, cut
 
 TAG_SCHEMA = "rel_fname string, name string, kind string, start_line int, end_line int, start_byte int, end_byte int, capture_kind string, tag_seq int"
 ALIAS_SCHEMA = "rel_fname string, name string, target_name string"
 
 
+_WILD = re.compile(r"[*?\[]")
+
+
 def _glob(pattern: str) -> str:
     return "^" + "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in pattern) + "$"
 
@@ -23,8 +28,8 @@ def _glob(pattern: str) -> str:
 def in_excluded_dir(rel_path: Column) -> Column:
     """Whether a folder on the path is excluded: by name, or by pattern where the entry has a wildcard."""
     parts = F.split(rel_path, "/", -1)
-    names = [d for d in excluded_dirs() if not re.search(r"[*?\[]", d)]
-    globs = [d for d in excluded_dirs() if re.search(r"[*?\[]", d)]
+    names = [d for d in excluded_dirs() if not _WILD.search(d)]
+    globs = [d for d in excluded_dirs() if _WILD.search(d)]
     out = lambda d: d.isin(*names) | (d.rlike("|".join(map(_glob, globs))) if globs else F.lit(False))
     return F.exists(F.slice(parts, 1, F.size(parts) - 1), out)
 
@@ -51,28 +56,105 @@ def ignored(rel_path: Column, rules: list[tuple[bool, str]]) -> Column:
     return out
 
 
-def discover(spark: SparkSession, root: str, gitignore: str | None = None) -> DataFrame:
-    """(rel_fname, language, content) of all source files under root, less excluded folders and what gitignore names."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = root.rstrip("/").split("://")[-1].removeprefix("file:")
-    rel = F.substring_index(F.regexp_replace("path", r"^file:/+", "/"), base.rstrip("/") + "/", -1)
-    files = files.select(rel.alias("rel_fname"), "content", "length")
-    files = files.filter(~in_excluded_dir(F.col("rel_fname")))
-    if gitignore:
-        files = files.filter(~ignored(F.col("rel_fname"), ignore_rules(gitignore)))
+def _store(root: str):  # noqa: ANN202
+    """(file system, path in it) of a URI, or of a path that all nodes have mounted."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(root.rstrip("/") if "://" in root else f"file://{root.removeprefix('file:').rstrip('/')}")
+
+
+def root_ignore(root: str) -> str:
+    """The text of the tree's root .gitignore, empty if there is none."""
+    store, base = _store(root)
+    try:
+        with store.open_input_file(f"{base}/.gitignore") as f:
+            return f.read().decode("utf-8", "replace")
+    except FileNotFoundError:
+        return ""
+
+
+def tree_paths(spark: SparkSession, root: str, gitignore: str | None = None) -> DataFrame:
+    """(rel_fname, length) of all files under root, less what the root .gitignore names. Excluded folders are not entered.
+
+    Spark's own readers leave out names that begin with a dot or an underscore, which source trees have; so folders
+    are listed here level by level, each level's in parallel. Links to folders are not followed. gitignore: the text,
+    read from the root by default; "" applies none.
+    """
+    bounded_batches(spark)
+    names = [d for d in excluded_dirs() if not _WILD.search(d)]
+    globs = re.compile("|".join([_glob(d) for d in excluded_dirs() if _WILD.search(d)] or ["(?!)"]))
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, base = _store(root)
+        local = isinstance(store, fs.LocalFileSystem)
+        for batch in batches:
+            for folder in batch.column("rel_fname").to_pylist():
+                rows = []
+                for x in store.get_file_info(fs.FileSelector(f"{base}/{folder}".rstrip("/"))):
+                    inner = x.type == fs.FileType.Directory
+                    if x.type == fs.FileType.NotFound or inner and (x.base_name in names or globs.match(x.base_name) or local and os.path.islink(x.path)):
+                        continue
+                    rows.append((f"{folder}/{x.base_name}" if folder else x.base_name, x.size or 0, inner))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.bool_()))], names=["rel_fname", "length", "inner"])
+
+    level, found = spark.createDataFrame([("",)], "rel_fname string"), None
+    while True:
+        here = cut(level.mapInArrow(listed, "rel_fname string, length long, inner boolean"), "tree-level")
+        files = here.filter("NOT inner").drop("inner")
+        found = files if found is None else found.unionByName(files)
+        level = here.filter("inner").select("rel_fname")
+        if not level.head(1):
+            break
+        level = level.repartition(spark.sparkContext.defaultParallelism)
+    rules = ignore_rules(root_ignore(root) if gitignore is None else gitignore)
+    return found.filter(~ignored(F.col("rel_fname"), rules)) if rules else found
+
+
+def with_content(paths: DataFrame, root: str) -> DataFrame:
+    """paths(rel_fname, ...) with content, read where the rows lie."""
+    bounded_batches(paths.sparkSession)
+    columns = paths.columns
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = _store(root)
+        for batch in batches:
+            for i, path in enumerate(batch.column("rel_fname").to_pylist()):  # one by one: files may be large
+                with store.open_input_file(f"{base}/{path}") as f:
+                    yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns, pa.array([f.read()], pa.binary())], names=[*columns, "content"])
+
+    fields = ", ".join(f"{n} {t}" for n, t in paths.dtypes)
+    return paths.repartition(paths.sparkSession.sparkContext.defaultParallelism).mapInArrow(read, f"{fields}, content binary")
+
+
+def tree_files(spark: SparkSession, root: str, gitignore: str | None = None) -> DataFrame:
+    """(rel_fname, length, content) of all files under root; see tree_paths."""
+    return with_content(tree_paths(spark, root, gitignore), root)
+
+
+def with_language(files: DataFrame) -> DataFrame:
+    """files(rel_fname, ...) of a supported language, by the extension, with language."""
     ext = F.concat(F.lit("."), F.substring_index("rel_fname", ".", -1))
-    known = F.broadcast(extension_table(spark))  # a few rows
-    return files.withColumn("ext", ext).join(known, "ext").select("rel_fname", "language", "content")
+    known = F.broadcast(extension_table(files.sparkSession).withColumnRenamed("ext", "known_ext"))  # a few rows
+    return files.join(known, ext == F.col("known_ext")).drop("known_ext")
+
+
+def discover(spark: SparkSession, root: str, gitignore: str | None = None) -> DataFrame:
+    """(rel_fname, language, content) of all source files under root; only these are read. See tree_paths."""
+    return with_content(with_language(tree_paths(spark, root, gitignore)), root).select("rel_fname", "language", "content")
 
 
 def parse_tags(files: DataFrame) -> DataFrame:
     """Tags of files(rel_fname, content), parallel across files; tag_seq is the order within a file."""
+    bounded_batches(files.sparkSession)
+    registry = Registry.now()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for name, content in zip(batch.column("rel_fname").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                for i, t in enumerate(extract_tags(name, bytes(content or b"").decode("utf-8", "replace"))):
+                for i, t in enumerate(registry.tags(name, bytes(content or b"").decode("utf-8", "replace"))):
                     rows.append((name, t.name, t.kind, t.start_line, t.end_line, t.start_byte, t.end_byte, t.capture_kind, i))
             names = [c.split()[0] for c in TAG_SCHEMA.split(", ")]
             kinds = [pa.string() if c.endswith("string") else pa.int32() for c in TAG_SCHEMA.split(", ")]
@@ -84,10 +166,12 @@ def parse_tags(files: DataFrame) -> DataFrame:
 
 def parse_aliases(files: DataFrame) -> DataFrame:
     """Aliases at module level of files(rel_fname, content)."""
+    bounded_batches(files.sparkSession)
+    registry = Registry.now()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(n, a, t) for n, c in zip(batch.column("rel_fname").to_pylist(), batch.column("content").to_pylist(), strict=True) for a, t in extract_aliases(n, bytes(c or b"").decode("utf-8", "replace"))]
+            rows = [(n, a, t) for n, c in zip(batch.column("rel_fname").to_pylist(), batch.column("content").to_pylist(), strict=True) for a, t in registry.aliases(n, bytes(c or b"").decode("utf-8", "replace"))]
             columns = list(zip(*rows, strict=True)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["rel_fname", "name", "target_name"])
 
@@ -96,3 +180,37 @@ def parse_aliases(files: DataFrame) -> DataFrame:
 
 def supported_extensions() -> list[str]:
     return [e for x in LANGUAGES for e in x.extensions]
+
+
+def supported(path: Column) -> Column:
+    """Whether a path ends with a supported extension."""
+    out = F.lit(False)
+    for e in supported_extensions():
+        out = out | F.endswith(path, F.lit(e))
+    return out
+
+
+def marked_files(lines: DataFrame) -> DataFrame:
+    """(rel_fname): the supported files that the lines (value) of change markers name, each once."""
+    path = F.trim("value")
+    return lines.filter(supported(path)).select(path.alias("rel_fname")).distinct()
+
+
+def allowed_names(tags: DataFrame) -> DataFrame:
+    """tags(language, kind, name, ...) without the names that their language excludes as definitions or references."""
+    rows = [(x.name, kind, n) for x in LANGUAGES for kind, names in (("def", x.excluded_defs), ("ref", x.excluded_refs)) for n in names]
+    out = F.lit(False)
+    for language, kind, name in rows:
+        out = out | ((F.col("language") == language) & (F.col("kind") == kind) & (F.col("name") == name))
+    return tags.filter(~out)
+
+
+def component_root(name: Column) -> Column:
+    """The identifier that a JSX tag's name refers to: the root of a dotted name, a capitalized plain one; null for the page's own tags."""
+    return F.when(F.contains(name, F.lit(".")) | name.rlike(r"^\p{Lu}"), F.regexp_extract(name, r"^[^.]+", 0))
+
+
+def normal_path(path: Column) -> Column:
+    """A path with forward slashes, without '.' parts and doubled or leading ones."""
+    parts = F.filter(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/", -1), lambda p: (p != "") & (p != "."))
+    return F.array_join(parts, "/")

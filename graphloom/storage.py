@@ -26,9 +26,34 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back."""
+def cut(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
+    """Write df as a Parquet table in the shared folder and read it back.
+
+    This cuts the lineage in a way that survives lost executors: the files are in storage that every node sees.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/graphloom/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    schema = df.schema
+    df.write.option("compression", codec).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._graphloom_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that cut() made and nothing will read again; others are left alone."""
+    for t in tables:
+        path = getattr(t, "_graphloom_path", None)
+        if path:
+            delete_path(t.sparkSession, path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def bounded_batches(spark: SparkSession, rows: int = 512, size: int = 8 << 20) -> None:
+    """Bound the rows and bytes of an Arrow batch sent to Python workers, always alike, so that whole files and texts go a few MB at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

@@ -29,6 +29,7 @@ module.exports.stop = function stop() {};
 function* gen() { yield add(1, 2); }
 Box.Close = open;
 Object.assign(Box, { Item, Other: main });
+const Whole = Object.assign(Box, { Item });
 const lib = require('lib'); // add(3)
 """
 TSX = "export function View(): JSX.Element { return <Panel><Menu.Item x={go()} /><div /></Panel>; }\n"
@@ -46,9 +47,10 @@ def test_python_tags():
 def test_script_tags_and_aliases():
     t = parse.extract_tags("a.js", JS)
     defs, refs = [x.name for x in t if x.kind == "def"], sorted(x.name for x in t if x.kind == "ref")
-    assert set(defs) >= {"add", "main", "open", "handler", "get", "put", "stop", "gen"} and "constructor" not in defs
+    assert sorted(defs) == ["add", "gen", "get", "main", "open", "put", "stop", "stop"]  # a class field is one in TypeScript only
+    assert [x.name for x in parse.extract_tags("a.ts", JS) if x.name == "handler"] == ["handler"]
     assert refs.count("add") == 3 and refs.count("main") == 2 and "require" not in refs and "run" in refs
-    assert set(parse.extract_aliases("a.js", JS)) == {("Close", "open"), ("Item", "Item"), ("Other", "main")}
+    assert parse.extract_aliases("a.js", JS) == [("Close", "open"), ("Whole", "Box")]
 
 
 def test_components_by_case():
@@ -92,3 +94,75 @@ def test_embedding_keeps_order_and_checks_counts(spark):
     assert V.embed_chunks(chunks).count() == 150
     with pytest.raises(Exception, match="vectors"):
         V.embed_chunks(chunks, lambda texts: []).collect()
+
+
+def test_typed_shapes():
+    """Types, signatures and default values define nothing; what follows them is found."""
+    text = """
+const f: Map<string, (a: number) => void> = (a) => go(a);
+const g = (x?: { a: () => void }): x is Foo<Bar<string>> => stop(x);
+type T = { [K in keyof U]?: (x: K) => V } | ((a: string) => asserts a is B);
+interface I<A extends (x: any) => any> extends J<A> { (x: A): void; new (x: A): I<A>; m?<B>(b: B): B; readonly p: () => void }
+declare function ext(a: string): void;
+enum E { A = one(), B = 1 << 2 }
+class C { static x = (a) => a; declare y: () => void; accessor z = 1; static { init(); } async *it<T>(this: C, @In() a?: T) { yield* all(a); } 'quoted'() {} [comp()]() {} set v(x) {} }
+const h = async <T extends object>(x: T): Promise<void> => { await x?.m?.(1); };
+export default async function () { for await (const x of list()) { const { a = () => 1, ...b } = x; } }
+const n = cond ? { a: () => 1 } : (b as Fn)(2);
+const k = function named<T>(this: T) { return new Map<string, Foo>([[1, call(2)]]); };
+let s = a / b / c; const r = /['"`{(]/.test(s) ? `${(() => deep(`x${1}`))()}` : 'no()';
+o.p.q = async () => {}; o['r'] = () => {}; x ||= () => {};
+if (a) b(); else c();
+do { d(); } while (e());
+"""
+    t = parse.extract_tags("a.ts", text)
+    assert [x.name for x in t if x.kind == "def"] == ["f", "g", "x", "it", "v", "h", "a", "k", "named", "q"]
+    assert sorted(x.name for x in t if x.kind == "ref") == sorted(["go", "stop", "one", "init", "In", "all", "comp", "m", "list", "call", "test", "deep", "b", "c", "d", "e"])
+    assert parse.extract_tags("m.ts", "export interface A { f: (x) => void }\nexport type B = () => A;\nexport enum D { X }\n") == []
+
+
+def test_lines_and_bytes_of_wide_text():
+    text = "// é𝄞\nconst ü = () => {\n  run('é');\n};\n"
+    t = {x.name: x for x in parse.extract_tags("a.js", text)}
+    assert (t["ü"].start_line, t["ü"].end_line, t["run"].start_line) == (1, 3, 2)
+    assert text.encode()[t["run"].start_byte : t["run"].end_byte].decode() == "run('é')"
+    assert text.encode()[t["ü"].start_byte : t["ü"].end_byte].decode().startswith("ü = () =>")
+
+
+def test_broken_sources_end(spark):
+    import random
+
+    rng = random.Random(3)
+    pieces = ["function f(", "{", "}", "(", ")", "[", "]", "<", ">", "`", "${", "=>", "class A", "x", "=", ":", ",", ";", "'", "/", "<A", "/>", "async", "new", "type T =", "@", "\n", "return", "?"]
+    for _ in range(400):
+        text = " ".join(rng.choices(pieces, k=25))
+        for name in ("a.ts", "a.tsx", "a.js"):
+            parse.extract_tags(name, text)
+            parse.extract_aliases(name, text)
+
+
+def test_a_language_can_be_registered(spark):
+    from graphloom.sources import manifest
+
+    before = list(manifest.LANGUAGES)
+    try:
+        ruby = manifest.Language("ruby", (".rb",), ("vendor",), parser="ruby")
+        parse.register(ruby, parse.Parser(lambda text, language: [parse.Tag(w, "def", i, i, 0, 0, "function") for i, line in enumerate(text.splitlines()) for w in [line.partition("def ")[2]] if w]))
+        files = spark.createDataFrame([("a.rb", b"x\ndef one\ndef two\n"), ("vendor/b.rb", b"def no\n")], "rel_fname string, content binary")
+        kept = tree.with_language(files.filter(~tree.in_excluded_dir(files["rel_fname"])))
+        assert [(r.name, r.start_line) for r in tree.parse_tags(kept).collect()] == [("one", 1), ("two", 2)]
+    finally:
+        manifest.LANGUAGES[:] = before
+        parse.PARSERS.pop("ruby", None)
+
+
+def test_the_root_ignore_file_is_read(spark, tmp_path):
+    for name, text in {".gitignore": "gen/\n", "a.py": "def f(): pass\n", "gen/b.py": "def g(): pass\n", "sub/.gitignore": "c.py\n", "sub/c.py": "def h(): pass\n"}.items():
+        p = tmp_path / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text(text)
+    (tmp_path / "sub" / "__init__.py").write_text("")
+    (tmp_path / "sub" / "up").symlink_to(tmp_path)
+    assert sorted(r.rel_fname for r in tree.discover(spark, str(tmp_path)).collect()) == ["a.py", "sub/__init__.py", "sub/c.py"]
+    assert sorted(r.rel_fname for r in tree.tree_paths(spark, str(tmp_path)).collect()) == [".gitignore", "a.py", "sub/.gitignore", "sub/__init__.py", "sub/c.py"]
+    assert sorted(r.rel_fname for r in tree.discover(spark, f"file://{tmp_path}", "").collect()) == ["a.py", "gen/b.py", "sub/__init__.py", "sub/c.py"]
