@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions import text as T
+
 VERSION = ["model_id", "embedding_model_id", "prompt_version"]
 TUPLE = ["fn_id", *VERSION]
 LOOKUP = ["fn_id", "fn_hash", *VERSION]
@@ -62,9 +64,53 @@ def lookup(cache: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def uncached(wanted: DataFrame, cache: DataFrame) -> DataFrame:
+    """wanted(LOOKUP, ...) for which cache has no row."""
     return wanted.join(cache.select(*LOOKUP).distinct(), LOOKUP, "left_anti")
 
 
+def cached(wanted: DataFrame, cache: DataFrame) -> DataFrame:
+    """wanted(LOOKUP, ...) for which cache has a row."""
+    return wanted.join(cache.select(*LOOKUP).distinct(), LOOKUP, "left_semi")
+
+
+def purge(cache: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the current rows, one row (purged, left_rows)): superseded rows go."""
+    kept = current_rows(cache)
+    n = cache.agg(F.count("*").alias("all_rows")).join(kept.agg(F.count("*").alias("left_rows")))  # one row each
+    return kept, n.select((F.col("all_rows") - F.col("left_rows")).alias("purged"), "left_rows")
+
+
+def latest_of(cache: DataFrame, fn_id: str, model: str) -> DataFrame:
+    """The current row of one function and model, or none."""
+    return cache.filter((F.col("fn_id") == fn_id) & (F.col("model_id") == model)).orderBy(*_latest()).limit(1)
+
+
+def replace_all(rows: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The table after all its rows were replaced: fresh alone, in the table's columns. An empty fresh empties it."""
+    return fresh.select(*rows.columns)
+
+
+def enrich(nodes: DataFrame, cache: DataFrame) -> DataFrame:
+    """nodes(LOOKUP, ...) with cache_key, role_tag and one_liner of the row that matches; nulls where there is none, and for fields that are no strings."""
+    hit = lookup(cache, nodes)
+    return hit.select(*nodes.columns, "cache_key", T.json_string(F.col("explanation_json"), "role_tag").alias("role_tag"), T.json_string(F.col("explanation_json"), "one_liner").alias("one_liner"))
+
+
+CLUSTER = "::__cluster_summary__"
+
+
+def cluster_identity(members: DataFrame, cache: DataFrame) -> DataFrame:
+    """(root, fn_id, fn_hash, members, cached, can_synthesize) of each cluster in members(root, root_fn_id, LOOKUP).
+
+    members: the root itself and the nodes of its blast radius. fn_hash covers the cache keys of the members that have
+    a row, whatever their order; a cluster can be summed up once it has two of them.
+    """
+    hit = lookup(cache, members.select("root", "root_fn_id", *LOOKUP).distinct())
+    n = F.count_if(F.col("cache_key").isNotNull())
+    out = hit.groupBy("root", "root_fn_id").agg(F.count("*").alias("members"), n.alias("cached"), T.set_hash(F.sha2("cache_key", 256)).alias("fn_hash"), (n > 1).alias("can_synthesize"))
+    return out.select("root", F.concat("root_fn_id", F.lit(CLUSTER)).alias("fn_id"), "fn_hash", "members", "cached", "can_synthesize")
+
+
 def changed(cache: DataFrame) -> DataFrame:
     """Rows whose fn_hash differs from the one written before for their tuple; first rows have none before."""
     own = Window.partitionBy(*TUPLE).orderBy("generated_at", "seq")

@@ -6,13 +6,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Gaps in one bucket of debounce(): a key's events meet within a bucket, and only its runs beyond.
+GAPS = 256
+
+
 def debounce(events: DataFrame, key: str, ts: str, gap_seconds: float) -> DataFrame:
-    """(key, fired_at_us, triggers): one firing for each run of events of a key that are no more than the gap apart, a gap after the last."""
-    own = Window.partitionBy(key).orderBy(ts)
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
-    e = events.withColumn("us", us).withColumn("fresh", F.coalesce((F.col("us") - F.lag("us").over(own) > int(gap_seconds * 1e6)).cast("int"), F.lit(1)))
-    e = e.withColumn("run", F.sum("fresh").over(own))
-    return e.groupBy(key, "run").agg((F.max("us") + int(gap_seconds * 1e6)).alias("fired_at_us"), F.count("*").alias("triggers")).drop("run")
+    """(key, fired_at_us, triggers): one firing for each run of events of a key that are no more than the gap apart, a gap after the last.
+
+    Events fold into runs within buckets of time first, so that a hot key's events are dealt to many tasks.
+    """
+    gap = int(gap_seconds * 1e6)
+    e = events.select(F.col(key), F.unix_micros(F.col(ts).cast("timestamp")).alias("us")).withColumn("bucket", F.floor(F.col("us") / (gap * GAPS)))
+    near = Window.partitionBy(key, "bucket").orderBy("us")
+    fresh = lambda since, own: F.coalesce((F.col("us") - F.lag(since).over(own) > gap).cast("int"), F.lit(1))
+    e = e.withColumn("fresh", fresh("us", near)).withColumn("run", F.sum("fresh").over(near))
+    runs = e.groupBy(key, "bucket", "run").agg(F.min("us").alias("us"), F.max("us").alias("last"), F.count("*").alias("n"))
+    own = Window.partitionBy(key).orderBy("us")
+    runs = runs.withColumn("fresh", fresh("last", own)).withColumn("whole", F.sum("fresh").over(own))
+    return runs.groupBy(key, "whole").agg((F.max("last") + gap).alias("fired_at_us"), F.sum("n").alias("triggers")).drop("whole")
 
 
 def dirty_functions(changes: DataFrame) -> DataFrame:

@@ -8,10 +8,10 @@ importance falling, then file, name, line.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from graphloom.storage import cut
+from graphloom.storage import cut, discard
 
 CALLER, CALLEE = ["caller_file", "caller_name", "caller_line"], ["callee_file", "callee_name", "callee_line"]
 NODE = ["rel_fname", "name", "line"]
@@ -62,63 +62,100 @@ def candidates(tags: DataFrame, aliases: DataFrame) -> DataFrame:
     return by_node.withColumn("total", F.sum("tags").over(Window.partitionBy("name")))
 
 
+def contributions(refs: DataFrame, found: DataFrame) -> DataFrame:
+    """(caller, name, callee, weight, confident): what the references of a caller to a name add to each edge; refs of enclosed_refs(), found of candidates()."""
+    sure = (F.col("total") == 1) | (F.col("callee_file") == F.col("caller_file"))
+    return refs.join(found, "name").select(*CALLER, "name", *CALLEE, (F.col("refs") * F.col("tags")).alias("weight"), sure.alias("confident"))
+
+
+def fold(parts: DataFrame) -> DataFrame:
+    """Edges of contributions: weights added up, confident where some reference is."""
+    return parts.groupBy(*CALLER, *CALLEE).agg(F.sum("weight").alias("weight"), F.bool_or("confident").alias("confident"))
+
+
 def call_graph(tags: DataFrame, aliases: DataFrame) -> DataFrame:
     """Edges with weight (references times matching tags) and confident (some reference is unambiguous or stays in its file).
 
     References fold by caller and name before they meet candidates, so the many-to-many join carries one row for each
     caller, name and candidate node.
     """
-    met = enclosed_refs(tags).join(candidates(tags, aliases), "name")
-    sure = (F.col("total") == 1) | (F.col("callee_file") == F.col("caller_file"))
-    return met.groupBy(*CALLER, *CALLEE).agg(F.sum(F.col("refs") * F.col("tags")).alias("weight"), F.bool_or(sure).alias("confident"))
-
+    return fold(contributions(enclosed_refs(tags), candidates(tags, aliases)))
 
-def update_call_graph(edges: DataFrame, old_tags: DataFrame, new_tags: DataFrame, aliases: DataFrame, rel_fname: str) -> DataFrame:
-    """Edges after the tags of one file have changed, equal to call_graph(new_tags, aliases).
 
-    Only callers with a reference in the file, or to a name that the file defines or defined (through an alias too),
-    are resolved again. aliases must be those of both states; where they changed, build anew.
-    """
+def affected_names(old_tags: DataFrame, new_tags: DataFrame, aliases: DataFrame, rel_fname: str) -> DataFrame:
+    """(name): what the file defines or defined, and the aliases of it."""
     touched = old_tags.filter(F.col("rel_fname") == rel_fname).unionByName(new_tags.filter(F.col("rel_fname") == rel_fname)).filter("kind = 'def'").select("name").distinct()
     spelled = alias_targets(aliases).join(touched.withColumnRenamed("name", "target_name"), "target_name", "left_semi").select("name")
-    names = touched.union(spelled).distinct()
-    refs = enclosed_refs(new_tags)
-    affected = refs.filter(F.col("caller_file") == rel_fname).select(*CALLER).union(refs.join(names, "name", "left_semi").select(*CALLER)).distinct()
-    met = refs.join(affected, CALLER, "left_semi").join(candidates(new_tags, aliases), "name")
-    sure = (F.col("total") == 1) | (F.col("callee_file") == F.col("caller_file"))
-    fresh = met.groupBy(*CALLER, *CALLEE).agg(F.sum(F.col("refs") * F.col("tags")).alias("weight"), F.bool_or(sure).alias("confident"))
-    return edges.filter(F.col("caller_file") != rel_fname).join(affected, CALLER, "left_anti").unionByName(fresh)
+    return touched.union(spelled).distinct()
+
+
+def update_contributions(parts: DataFrame, old_tags: DataFrame, new_tags: DataFrame, aliases: DataFrame, rel_fname: str) -> DataFrame:
+    """Contributions after the tags of one file have changed, equal to those of new_tags.
+
+    Only the file's own references and those to affected names are resolved again: they are picked before the
+    containment join, and meet only the definitions of their names. aliases must be those of both states; where they
+    changed, build anew.
+    """
+    names = cut(affected_names(old_tags, new_tags, aliases, rel_fname), "affected-names")
+    own, refs, defs = F.col("rel_fname") == rel_fname, new_tags.filter("kind = 'ref'"), new_tags.filter("kind = 'def'")
+    picked = refs.filter(own).unionByName(refs.filter(~own).join(names, "name", "left_semi"))
+    fresh = cut(enclosed_refs(picked.unionByName(defs)), "fresh-refs")
+    wanted = fresh.select("name").distinct()
+    spelled = alias_targets(aliases).join(wanted, "name", "left_semi")
+    reached = wanted.union(spelled.select(F.col("target_name").alias("name"))).distinct()
+    found = candidates(defs.join(reached, "name", "left_semi"), spelled).join(wanted, "name", "left_semi")
+    kept = parts.filter(F.col("caller_file") != rel_fname).join(names, "name", "left_anti")
+    return kept.unionByName(contributions(fresh, found))
+
+
+def update_call_graph(parts: DataFrame, old_tags: DataFrame, new_tags: DataFrame, aliases: DataFrame, rel_fname: str) -> DataFrame:
+    """Edges after the tags of one file have changed, equal to call_graph(new_tags, aliases); see update_contributions."""
+    return fold(update_contributions(parts, old_tags, new_tags, aliases, rel_fname))
+
+
+def reindex(parts: DataFrame, old_tags: DataFrame, new_tags: DataFrame, old_aliases: DataFrame, new_aliases: DataFrame, rel_fname: str) -> tuple[DataFrame, int]:
+    """(contributions of new_tags, the file's number of definitions) after one file was read anew; where aliases changed, all is resolved again."""
+    old, new = alias_targets(old_aliases), alias_targets(new_aliases)
+    same = not old.exceptAll(new).unionByName(new.exceptAll(old)).head(1)
+    out = update_contributions(parts, old_tags, new_tags, new_aliases, rel_fname) if same else contributions(enclosed_refs(new_tags), candidates(new_tags, new_aliases))
+    return out, new_tags.filter((F.col("rel_fname") == rel_fname) & (F.col("kind") == "def")).count()
 
 
 def pagerank(node_table: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 100, tolerance: float | None = 1e-6) -> DataFrame:
     """importance of each node: weighted PageRank; uniform if it has not settled after all iterations.
 
-    tolerance None runs exactly the given iterations. Dangling mass spreads evenly.
+    tolerance None runs exactly the given iterations. Dangling mass spreads evenly. Nodes are numbered once. The links
+    stay dealt by caller over all steps; a step shuffles (node, rank) and the sums by callee, and ends in a written
+    table of numbers, whose write also brings back the dangling mass and the change.
     """
     n = node_table.count()
     if not n:
         return node_table.withColumn("importance", F.lit(0.0))
-    out = edges.groupBy(*CALLER).agg(F.sum("weight").alias("total"))
-    links = edges.join(out, CALLER).select(*CALLER, *CALLEE, (F.col("weight") / F.col("total")).alias("share"))
-    links = cut(links, "rank-links")
-    base = node_table.join(out.select(*[F.col(c).alias(k) for c, k in zip(CALLER, NODE, strict=True)], F.lit(False).alias("dangling")), NODE, "left")
-    base = cut(base.select(*NODE, F.coalesce("dangling", F.lit(True)).alias("dangling")), "rank-nodes")
-    x = base.withColumn("x", F.lit(1.0 / n))
-    for i in range(iterations):
-        sent = links.join(x.select(*[F.col(c).alias(k) for c, k in zip(NODE, CALLER, strict=True)], "x"), CALLER)
-        got = sent.groupBy(*[F.col(c).alias(k) for c, k in zip(CALLEE, NODE, strict=True)]).agg(F.sum(F.col("x") * F.col("share")).alias("got"))
-        spread = x.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("x"))), F.lit(0.0)).alias("loose"))
-        new = x.withColumnRenamed("x", "old").join(got, NODE, "left").join(F.broadcast(spread))  # one row
-        x = new.select(*NODE, "dangling", (damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n) + (1 - damping) / n).alias("x"), "old")
-        if tolerance is not None or i % 4 == 3:
-            x = cut(x, "rank-x")
-        if tolerance is not None and x.agg(F.sum(F.abs(F.col("x") - F.col("old")))).first()[0] < n * tolerance:
+    out = edges.groupBy(*CALLER).agg(F.sum("weight").alias("total")).select(*[F.col(c).alias(k) for c, k in zip(CALLER, NODE, strict=True)], "total")
+    named = cut(node_table.join(out, NODE, "left").select(*NODE, "total", F.monotonically_increasing_id().alias("id")), "rank-nodes")
+    end = lambda side, to: named.select(*[F.col(k).alias(c) for k, c in zip(NODE, side, strict=True)], F.col("id").alias(to))
+    shares = edges.join(end(CALLER, "src").join(named.select(F.col("id").alias("src"), "total"), "src"), CALLER).join(end(CALLEE, "dst"), CALLEE)
+    links = cut(shares.select("src", "dst", (F.col("weight") / F.col("total")).alias("share")), "rank-links").repartition("src").persist()
+    x = named.select("id", F.col("total").isNull().alias("dangling"), F.lit(1.0 / n).alias("x"))
+    loose = x.filter("dangling").count() / n
+    settled, written = tolerance is None, []
+    for _ in range(iterations):
+        got = links.join(x.select(F.col("id").alias("src"), "x"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("x") * F.col("share")).alias("got"))
+        fresh = damping * (F.coalesce("got", F.lit(0.0)) + loose / n) + (1 - damping) / n
+        seen = Observation()
+        step = x.withColumnRenamed("x", "old").join(got, "id", "left").select("id", "dangling", fresh.alias("x"), "old")
+        step = step.observe(seen, F.sum(F.when(F.col("dangling"), F.col("x"))).alias("loose"), F.sum(F.abs(F.col("x") - F.col("old"))).alias("moved"))
+        before, written = written, [cut(step, "rank-x", "snappy")]
+        x = written[0].drop("old")
+        discard(*before)
+        loose = seen.get["loose"] or 0.0
+        if tolerance is not None and seen.get["moved"] < n * tolerance:
+            settled = True
             break
-        x = x.drop("old")
-    else:
-        if tolerance is not None:
-            return node_table.withColumn("importance", F.lit(1.0 / n))
-    return x.select(*NODE, F.col("x").alias("importance"))
+    links.unpersist()
+    if not settled:
+        return node_table.withColumn("importance", F.lit(1.0 / n))
+    return named.join(x, "id").select(*NODE, F.col("x").alias("importance"))
 
 
 def fan_in(node_table: DataFrame, edges: DataFrame) -> DataFrame:
@@ -228,3 +265,39 @@ def best_def(names: DataFrame, importance: DataFrame) -> DataFrame:
     order = F.struct((-F.col("importance")).alias("i"), F.col("rel_fname"), F.col("line"))
     best = importance.groupBy("name").agg(F.min(order).alias("best"))
     return names.join(best, "name", "left").select("name", F.col("best").isNotNull().alias("found"), F.col("best.rel_fname").alias("rel_fname"), F.col("best.line").alias("line"), (-F.col("best.i")).alias("importance"))
+
+
+def navigate(probes: DataFrame, index: DataFrame, symbols: DataFrame) -> DataFrame:
+    """probes(probe, rel_fname, name) with line: the first line of that name in the file by index(rel_fname, name, line), else of a symbol of symbols(symbol, line) that is the name, up to its parenthesis; null for neither."""
+    first = index.groupBy("rel_fname", "name").agg(F.min("line").alias("own"))
+    spelled = symbols.groupBy(F.trim(F.substring_index("symbol", "(", 1)).alias("name")).agg(F.min("line").alias("other"))
+    out = probes.join(first, ["rel_fname", "name"], "left").join(spelled, "name", "left")
+    return out.select("probe", F.coalesce("own", "other").alias("line"))
+
+
+def outermost(points: DataFrame, spans: DataFrame, key: str, at: str, span: tuple[str, str], seq: str, bucket: int) -> DataFrame:
+    """points with found: the span of equal key that holds `at` and begins first, ties by seq, as a walk in source order meets it; points within none are dropped."""
+    fields = [F.col(c).alias(c) for c in spans.columns]
+    listed = spans.select(F.struct(*fields).alias("found"), F.col(key).alias("s_key"), F.explode(F.sequence(F.floor(F.col(span[0]) / bucket), F.floor(F.col(span[1]) / bucket))).alias("s_bucket"))
+    inside = (F.col("found")[span[0]] <= F.col(at)) & (F.col(at) <= F.col("found")[span[1]])
+    met = points.join(listed, (F.col(key) == F.col("s_key")) & (F.floor(F.col(at) / bucket) == F.col("s_bucket")) & inside)
+    return met.groupBy(*points.columns).agg(F.min_by("found", F.struct(F.col("found")[span[0]], F.col("found")[seq])).alias("found"))
+
+
+def overlap_counts(spans: DataFrame) -> DataFrame:
+    """spans(key, seq, s, e) with overlaps: how many others of the key share a part of [s, e), by two ordered counts instead of pairs.
+
+    Others that begin before the end, less those that end before the start. An empty span lies within those that begin
+    before it and end after it.
+    """
+    begins = Window.partitionBy("key").orderBy("at", "kind").rangeBetween(Window.unboundedPreceding, 0)
+    points = spans.groupBy("key", F.col("s").alias("at")).agg(F.count("*").alias("n")).withColumn("kind", F.lit(1))
+    asks = spans.select("key", F.col("e").alias("at")).distinct().select("key", "at", F.lit(0).cast("long").alias("n"), F.lit(0).alias("kind"))
+    before = points.select("key", "at", "n", "kind").unionByName(asks).withColumn("began", F.sum("n").over(begins)).filter("kind = 0").select("key", F.col("at").alias("e"), "began")
+    points = spans.groupBy("key", F.col("e").alias("at")).agg(F.count("*").alias("n")).withColumn("kind", F.lit(0))
+    asks = spans.select("key", F.col("s").alias("at")).distinct().select("key", "at", F.lit(0).cast("long").alias("n"), F.lit(1).alias("kind"))
+    after = points.select("key", "at", "n", "kind").unionByName(asks).withColumn("ended", F.sum("n").over(begins)).filter("kind = 1").select("key", F.col("at").alias("s"), "ended")
+    empty = spans.filter("s = e").groupBy("key", "s", "e").agg(F.count("*").alias("empty"))
+    out = spans.join(before, ["key", "e"]).join(after, ["key", "s"]).join(empty, ["key", "s", "e"], "left")
+    own = F.when(F.col("s") < F.col("e"), 1).otherwise(0)
+    return out.select("key", "seq", "s", "e", (F.col("began") - F.col("ended") + F.coalesce("empty", F.lit(0)) - own).alias("overlaps"))

@@ -10,27 +10,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.storage import bounded_batches
+
 MAX_LINES, MAX_CHARS = 12, 500
 EMBED_BATCH = 64
 OVERFETCH, KEEP = 20, 5
-#: Rows of a block in nearest_blocks(): a task holds two blocks and the distances of 256 queries.
+#: Rows of a block in nearest(): a task holds two blocks and the distances of 256 queries.
 BLOCK = 2048
 
 
-def chunk_lines(lines: list[str]) -> Iterator[tuple[int, int, str]]:
-    """(start, end, text): runs of up to MAX_LINES lines within MAX_CHARS; a line beyond that alone is cut into pieces."""
+def chunk_lines(lines: list[str], max_lines: int = MAX_LINES, max_chars: int = MAX_CHARS) -> Iterator[tuple[int, int, str]]:
+    """(start, end, text): runs of up to max_lines lines within max_chars; a line beyond that alone is cut into pieces."""
     held: list[str] = []
     used, start = 0, 0
     for i, line in enumerate([*lines, None]):
-        size = MAX_CHARS + 1 if line is None else len(line) + 1
-        if held and (len(held) == MAX_LINES or used + size > MAX_CHARS):
+        size = max_chars + 1 if line is None else len(line) + 1
+        if held and (len(held) == max_lines or used + size > max_chars):
             if (text := "\n".join(held)).strip():
                 yield start, i, text
             held, used = [], 0
         if line is None:
             break
-        if size > MAX_CHARS:
-            yield from ((i, i + 1, piece) for at in range(0, len(line), MAX_CHARS) if (piece := line[at : at + MAX_CHARS]).strip())
+        if size > max_chars:
+            yield from ((i, i + 1, piece) for at in range(0, len(line), max_chars) if (piece := line[at : at + max_chars]).strip())
             continue
         if not held:
             start = i
@@ -38,16 +40,14 @@ def chunk_lines(lines: list[str]) -> Iterator[tuple[int, int, str]]:
         used += size
 
 
-def chunk_files(files: DataFrame) -> DataFrame:
+def chunk_files(files: DataFrame, max_lines: int = MAX_LINES, max_chars: int = MAX_CHARS) -> DataFrame:
     """(rel_fname, start_line, end_line, text) of files(rel_fname, content): sequential within a file, parallel across files."""
-    cut = chunk_lines  # carried by value, so that workers need no installed package
-    max_lines, max_chars = MAX_LINES, MAX_CHARS
+    bounded_batches(files.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut.__globals__.update(MAX_LINES=max_lines, MAX_CHARS=max_chars)
         for batch in batches:
             names = batch.column("rel_fname").to_pylist()
-            rows = [(name, a, b, t) for name, text in zip(names, batch.column("content").to_pylist(), strict=True) for a, b, t in cut((text or "").splitlines())]
+            rows = [(name, a, b, t) for name, text in zip(names, batch.column("content").to_pylist(), strict=True) for a, b, t in chunk_lines((text or "").splitlines(), max_lines, max_chars)]
             columns = list(zip(*rows, strict=True)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.string()), strict=True)], names=["rel_fname", "start_line", "end_line", "text"])
 
@@ -62,6 +62,7 @@ def hash_embedder(texts: list[str], dims: int = 16) -> list[list[float]]:
 def embed_chunks(chunks: DataFrame, embedder: Callable[[list[str]], list[list[float]]] = hash_embedder) -> DataFrame:
     """chunks with vector; the embedder gets EMBED_BATCH texts a call and must return as many vectors, in order."""
     size = EMBED_BATCH
+    bounded_batches(chunks.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -78,19 +79,6 @@ def embed_chunks(chunks: DataFrame, embedder: Callable[[list[str]], list[list[fl
     return chunks.mapInPandas(run, f"{fields}, vector array<float>")
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, fetch: int = OVERFETCH, keep: int = KEEP) -> DataFrame:
-    """For each of queries(query, q_file, q_start, q_end, q_vector): the fetch nearest rows of vectors, less those that overlap the query's own lines, of which keep stay.
-
-    The queries are a stated, small set: they are broadcast, and each task ranks its own vectors before the shuffle.
-    """
-    squares = F.zip_with("q_vector", "vector", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b))
-    met = vectors.join(F.broadcast(queries))
-    met = met.withColumn("distance", F.round(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x), 9))
-    order = Window.partitionBy("query").orderBy("distance", "rel_fname", "start_line")
-    near = met.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= fetch)
-    return _kept(near, keep)
-
-
 def _kept(near: DataFrame, keep: int) -> DataFrame:
     """The keep nearest rows of each query that do not overlap its own lines."""
     order = Window.partitionBy("query").orderBy("distance", "rel_fname", "start_line")
@@ -99,8 +87,10 @@ def _kept(near: DataFrame, keep: int) -> DataFrame:
     return left.select("query", "rank", "rel_fname", "start_line", "end_line", "distance")
 
 
-def nearest_blocks(queries: DataFrame, vectors: DataFrame, fetch: int = OVERFETCH, keep: int = KEEP, block: int = BLOCK) -> DataFrame:
-    """nearest() for any number of queries: every block of queries meets every block of vectors in a task of its own.
+def nearest(queries: DataFrame, vectors: DataFrame, fetch: int = OVERFETCH, keep: int = KEEP, block: int = BLOCK) -> DataFrame:
+    """For each of queries(query, q_file, q_start, q_end, q_vector): the fetch nearest rows of vectors, less those that overlap the query's own lines, of which keep stay.
+
+    Every block of queries meets every block of vectors in a task of its own, so there may be any number of both.
 
     A pair of blocks sends the fetch nearest rows of each query on, ties by file and line, so the work is queries x
     vectors and the shuffle each table's rows once a block of the other. Blocks go by hash of row; none holds all.
@@ -138,3 +128,18 @@ def nearest_blocks(queries: DataFrame, vectors: DataFrame, fetch: int = OVERFETC
     order = Window.partitionBy("query").orderBy("distance", "rel_fname", "start_line")
     near = met.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= fetch)
     return _kept(near.join(queries.drop("q_vector"), "query"), keep)
+
+
+def retrieve(functions: DataFrame, vectors: DataFrame, embedder: Callable[[list[str]], list[list[float]]] = hash_embedder, fetch: int = OVERFETCH, keep: int = KEEP) -> DataFrame:
+    """(query, retrieved) of functions(query, rel_fname, start_line, end_line, fn_source): the chunks nearest to the first MAX_CHARS characters of the source.
+
+    retrieved: array<struct<rel_fname, start_line, end_line, text>>, nearest first; functions that find none are left
+    out. Chunks that overlap the function's own lines do not count.
+    """
+    asked = functions.select("query", "rel_fname", "start_line", "end_line", F.substring("fn_source", 1, MAX_CHARS).alias("text"))
+    asked = embed_chunks(asked, embedder).select("query", F.col("rel_fname").alias("q_file"), F.col("start_line").alias("q_start"), F.col("end_line").alias("q_end"), F.col("vector").alias("q_vector"))
+    near = nearest(asked, vectors, fetch, keep)
+    hit = near.join(vectors.select("rel_fname", "start_line", "end_line", "text"), ["rel_fname", "start_line", "end_line"])
+    chunk = F.struct("rank", "text", F.struct("rel_fname", "start_line", "end_line", "text").alias("c"))
+    best = F.slice(F.sort_array(F.collect_list(chunk)), 1, keep)
+    return hit.groupBy("query").agg(F.transform(best, lambda x: x["c"]).alias("retrieved"))
