@@ -179,6 +179,7 @@ def keep_known(names: Column, known: Column) -> Column:
 
 #: Substrings that mark a placeholder.
 PLACEHOLDERS = ["n/a", "tbd", "todo", "and more", "etc."]
+#: The words of a denial.
 _NEGATION = r"(?:\bno\b|\bnot\b|\bnone\b|\bnever\b|\bwithout\b|\bdoesn'?t\b|\bdoes\s+not\b|\bdon'?t\b|\bdo\s+not\b)"
 #: Patterns of an answer that contradicts itself or repeats the instructions' own words.
 NO_CALLEES = "(?i)" + _NEGATION + r"[^.]{0,20}\bcall(?:s|ees?|ing)?\b"
@@ -190,16 +191,41 @@ BOILERPLATE = [
 ]
 
 
-def quality_issues(role: Column, one_liner: Column, why: Column, risk: Column) -> Column:
-    """Defects of an explanation's texts, as an array of names."""
-    found = [
-        F.when(F.trim(F.coalesce(role, F.lit(""))) == "", "empty role_tag"),
-        F.when(F.trim(F.coalesce(one_liner, F.lit(""))) == "", "empty one_liner"),
-        F.when(F.regexp_count(F.trim(one_liner), F.lit(r"[.!?](\s|$)")) > 1, "one_liner of several sentences"),
-    ]
+def _text_issues(role: Column, one_liner: Column, why: Column, risk: Column) -> list[Column]:
+    found = [F.when(F.regexp_count(F.trim(one_liner), F.lit(r"[.!?](\s|$)")) > 1, "one_liner of several sentences")]
     for field, x in (("role_tag", role), ("one_liner", one_liner), ("why_it_exists", why), ("risk_note", risk)):
         found += [F.when(F.contains(F.lower(x), F.lit(p)), f"{field} has {p}") for p in PLACEHOLDERS]
-    return F.array_compact(F.array(*found))
+    return found
+
+
+def quality_issues(role: Column, one_liner: Column, why: Column, risk: Column) -> Column:
+    """Defects of an explanation's texts, as an array of names."""
+    empty = [F.when(F.trim(F.coalesce(x, F.lit(""))) == "", f"empty {name}") for name, x in (("role_tag", role), ("one_liner", one_liner))]
+    return F.array_compact(F.array(*empty, *_text_issues(role, one_liner, why, risk)))
+
+
+#: The fields that an explanation must have.
+REQUIRED = ("role_tag", "one_liner", "why_it_exists", "used_by", "calls", "side_effects", "risk_note")
+
+
+def json_kind(answer: Column, field: str) -> Column:
+    """The kind of a field of a JSON object: STRING, VOID (null), ARRAY<STRING>, BIGINT, ...; null where the field is missing or the text is no object."""
+    return F.schema_of_variant(F.try_variant_get(F.try_parse_json(answer), f"$.{field}", "variant"))
+
+
+def json_string(answer: Column, field: str) -> Column:
+    """A field of a JSON object if it is a string, else null: numbers and objects are not read as text."""
+    return F.when(json_kind(answer, field) == "STRING", F.try_variant_get(F.try_parse_json(answer), f"$.{field}", "string"))
+
+
+def json_issues(answer: Column) -> Column:
+    """Defects of an explanation as JSON text, as an array of names: missing fields alone if there are any, else wrong kinds and the texts' own."""
+    role, one, why, risk = (json_string(answer, f) for f in ("role_tag", "one_liner", "why_it_exists", "risk_note"))
+    missing = F.array_compact(F.array(*[F.when(json_kind(answer, f).isNull(), f"missing field: {f}") for f in REQUIRED]))
+    kinds = [F.when(F.trim(F.coalesce(x, F.lit(""))) == "", f"{f} is empty or no string") for f, x in (("role_tag", role), ("one_liner", one))]
+    kinds += [F.when(~json_kind(answer, f).isin("ARRAY<STRING>", "ARRAY<VOID>"), f"{f} is no list of strings") for f in ("used_by", "calls", "side_effects")]
+    kinds += [F.when(~json_kind(answer, "risk_note").isin("STRING", "VOID"), "risk_note is neither a string nor null")]
+    return F.when(F.size(missing) > 0, missing).otherwise(F.array_compact(F.array(*kinds, *_text_issues(role, one, why, risk))))
 
 
 def quality_notes(why: Column, effects: Column, used_by: Column, calls: Column, given: Column) -> Column:
@@ -228,12 +254,25 @@ def related_section(noun: str, related: Column, omitted: Column) -> Column:
     return F.array_join(F.concat(head, F.when(n == 0, F.array(F.lit("  none"))).otherwise(F.concat(rows, more))), "\n")
 
 
-def context_hash(callers: Column, callers_omitted: Column, callees: Column, callees_omitted: Column) -> Column:
-    """Hash of a function's context; struct<name, file, line> arrays in any order. Left-out counts take part where they are not zero."""
+CALL_GRAPH_ONLY, WITH_RETRIEVAL = "call_graph_only", "call_graph_and_retrieval"
+
+
+def context_tier(retrieved: Column) -> Column:
+    """Whether retrieval added anything to a function's context; a failed or missing one counts as none."""
+    return F.when(F.coalesce(F.size(retrieved), F.lit(0)) > 0, WITH_RETRIEVAL).otherwise(CALL_GRAPH_ONLY)
+
+
+def context_hash(callers: Column, callers_omitted: Column, callees: Column, callees_omitted: Column, retrieved: Column | None = None) -> Column:
+    """Hash of a function's context, in any order: struct<name, file, line> arrays, and retrieved, array<struct<rel_fname, start_line, end_line, text>>.
+
+    Left-out counts take part where they are not zero.
+    """
     part = lambda kind: lambda c: F.concat(F.lit(f"{kind}:"), c["file"], F.lit(":"), c["name"], F.lit(":"), c["line"].cast("string"))
     none = F.array().cast("array<string>")
     left = lambda kind, n: F.when(n > 0, F.array(F.concat(F.lit(f"{kind}_omitted:"), n.cast("string")))).otherwise(none)
-    chunks = F.concat(F.transform(callers, part("caller")), left("callers", callers_omitted), F.transform(callees, part("callee")), left("callees", callees_omitted))
+    chunk = lambda c: F.concat(F.lit("retrieved:"), c["rel_fname"], F.lit(":"), c["start_line"].cast("string"), F.lit(":"), c["end_line"].cast("string"), F.lit(":"), c["text"])
+    found = none if retrieved is None else F.transform(retrieved, chunk)
+    chunks = F.concat(F.transform(callers, part("caller")), left("callers", callers_omitted), F.transform(callees, part("callee")), left("callees", callees_omitted), found)
     return F.sha2(F.array_join(F.array_sort(F.transform(chunks, lambda c: F.sha2(c, 256))), ""), 256)
 
 
@@ -250,3 +289,46 @@ def copy_text(name: Column, why: Column, used_by: Column, calls: Column, effects
 
 def hover_text(role: Column, one_liner: Column, fresh: Column) -> Column:
     return F.concat(F.lit("#### "), F.coalesce(role, F.lit("Unknown")), F.lit(" · *"), fresh, F.lit("*\n\n**"), F.coalesce(one_liner, F.lit("")), F.lit("**\n\n---\n"))
+
+
+DEFAULT_ENDPOINT = "http://localhost:11434"
+
+
+def endpoint_setting(url: Column) -> Column:
+    """struct<url, rejected>: a model endpoint if its host is this machine, else the default with the value that was rejected; an unset one is the default."""
+    given = F.trim(F.coalesce(url, F.lit("")))
+    ok = (given != "") & loopback(given)
+    return F.struct(F.when(ok, given).otherwise(DEFAULT_ENDPOINT).alias("url"), F.when((given != "") & ~ok, given).alias("rejected"))
+
+
+#: What ends a line, as the widest of the usual definitions has it.
+LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+
+
+def split_lines(text: Column) -> Column:
+    """The lines of a text, without their ends; an end at the end begins no line, and an empty or null text has none."""
+    lines = F.split(F.coalesce(text, F.lit("")), LINE_END, -1)
+    return F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
+
+
+def blank(line: Column) -> Column:
+    """Whether a line holds nothing but white space, of any script."""
+    return ~line.rlike("(?U)[^\\s\x1c-\x1f\x85]")
+
+
+#: Seconds for which the way back to a caller is kept.
+BACK_SECONDS = 15
+
+
+def back_target_live(set_at_us: Column, now_us: Column, seconds: int = BACK_SECONDS) -> Column:
+    """Whether a way back that was set then still holds now; one that was never set does not."""
+    return F.coalesce(now_us - set_at_us < seconds * 1_000_000, F.lit(False))
+
+
+#: Seconds between heartbeats, and misses in a row that end a process.
+HEARTBEAT_SECONDS, HEARTBEAT_MISSES = 7, 3
+
+
+def heartbeat_action(misses: Column, pending: Column) -> Column:
+    """What a heartbeat does: 'skip' while requests are pending, 'restart' after HEARTBEAT_MISSES misses in a row, else 'ping'."""
+    return F.when(pending > 0, "skip").when(misses >= HEARTBEAT_MISSES, "restart").otherwise("ping")
