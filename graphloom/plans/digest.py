@@ -72,8 +72,66 @@ def render(name: str, summary: DataFrame, tree_lines: DataFrame, files: DataFram
     return one.select(F.concat(*parts).alias("text"))
 
 
-def file_page(functions: DataFrame) -> DataFrame:
-    """(rel_fname, page): a Markdown page a file of functions(rel_fname, name, line, role_tag, one_liner, pos)."""
+KEY_FUNCTIONS = 25
+
+
+def file_page(functions: DataFrame, purposes: DataFrame | None = None) -> DataFrame:
+    """(rel_fname, page): a Markdown page a file of functions(rel_fname, name, line, role_tag, one_liner, pos), with its purpose if given by purposes(rel_fname, purpose)."""
     part = F.concat(F.lit("### "), "name", F.lit(" ("), F.coalesce("role_tag", F.lit("Unclassified")), F.lit(")\n\n"), F.coalesce("one_liner", F.lit("_(no summary cached)_")), F.lit("\n\nLine "), (F.col("line") + 1).cast("string"), F.lit(".\n"))
     body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", part.alias("l")))), lambda x: x["l"]), "\n")
-    return functions.groupBy("rel_fname").agg(body.alias("b")).select("rel_fname", F.concat(F.lit("# "), "rel_fname", F.lit("\n\n## Functions\n\n"), "b").alias("page"))
+    pages = functions.groupBy("rel_fname").agg(body.alias("b"))
+    pages = pages.withColumn("purpose", F.lit(None).cast("string")) if purposes is None else pages.join(purposes, "rel_fname", "left")
+    head = F.when(F.col("purpose").isNotNull(), F.concat("purpose", F.lit("\n\n"))).otherwise("")
+    return pages.select("rel_fname", F.concat(F.lit("# "), "rel_fname", F.lit("\n\n"), head, F.lit("## Functions\n\n"), "b").alias("page"))
+
+
+def index_page(functions: DataFrame, purposes: DataFrame, name: str) -> DataFrame:
+    """One row, page: the list of files, in the order of their first function's pos, with the first sentence of each purpose."""
+    from graphloom.functions.text import first_sentence
+
+    files = functions.groupBy("rel_fname").agg(F.min("pos").alias("pos"), F.count("*").alias("n")).join(purposes, "rel_fname", "left")
+    line = F.concat(F.lit("- ["), "rel_fname", F.lit("]("), "rel_fname", F.lit(".md) — "), first_sentence(F.coalesce("purpose", F.lit(""))))
+    one = files.agg(F.sum("n").alias("n"), F.count("*").alias("files"), F.sort_array(F.collect_list(F.struct("pos", "rel_fname", line.alias("l")))).alias("lines"))
+    head = F.concat(F.lit(f"# {name} — Codebase Summary\n\nFrom "), F.coalesce("n", F.lit(0)).cast("string"), F.lit(" explained function(s) across "), F.col("files").cast("string"), F.lit(" file(s).\n\n## Files\n\n"))
+    return one.select(F.concat(head, F.array_join(F.transform("lines", lambda x: x["l"]), "\n"), F.lit("\n\n## See also\n\n- [Key Functions Index](functions.md)")).alias("page"))
+
+
+def functions_page(functions: DataFrame, most: int = KEY_FUNCTIONS) -> DataFrame:
+    """One row, page: a table of the first `most` functions by pos."""
+    from graphloom.functions.text import table_cell
+
+    place = F.concat(F.lit("["), "rel_fname", F.lit(":"), (F.col("line") + 1).cast("string"), F.lit("]("), "rel_fname", F.lit(".md)"))
+    line = F.concat(F.lit("| "), "name", F.lit(" | "), place, F.lit(" | "), F.coalesce("role_tag", F.lit("Unclassified")), F.lit(" | "), table_cell(F.coalesce("one_liner", F.lit(""))), F.lit(" |"))
+    top = functions.orderBy("pos", "rel_fname", "name", "line").limit(most)
+    one = top.agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("pos", "rel_fname", "name", line.alias("l")))).alias("lines"))
+    head = F.concat(F.lit("# Key Functions\n\nThe "), F.col("n").cast("string"), F.lit(" most important function(s), by the call graph.\n\n| Function | File | Role | Summary |\n|---|---|---|---|\n"))
+    return one.select(F.concat(head, F.array_join(F.transform("lines", lambda x: x["l"]), "\n")).alias("page"))
+
+
+def pages(explained: DataFrame, purposes: DataFrame, name: str) -> DataFrame:
+    """(path, page) of all pages of explained(rel_fname, name, line, role_tag, one_liner, importance)."""
+    from graphloom.operators.graph import positions
+
+    ranked = positions(explained.select("rel_fname", "name", "line", "role_tag", "one_liner", "importance"), F.desc("importance"), "rel_fname", "name", "line")
+    out = file_page(ranked, purposes).select(F.concat("rel_fname", F.lit(".md")).alias("path"), "page")
+    out = out.unionByName(index_page(ranked, purposes, name).select(F.lit("index.md").alias("path"), "page"))
+    return out.unionByName(functions_page(ranked).select(F.lit("functions.md").alias("path"), "page"))
+
+
+def write_pages(pages_: DataFrame, folder: str) -> int:
+    """Write pages(path, page) as files under folder, a URI of a store that all nodes reach or a path mounted on all; returns how many."""
+    target = folder.rstrip("/") if "://" in folder else f"file://{folder.rstrip('/')}"
+
+    def write(batches):  # noqa: ANN001, ANN202
+        import pyarrow as pa
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(target)
+        for batch in batches:
+            for path, page in zip(batch.column("path").to_pylist(), batch.column("page").to_pylist(), strict=True):
+                store.create_dir(f"{base}/{path}".rpartition("/")[0])
+                with store.open_output_stream(f"{base}/{path}") as out:
+                    out.write(page.encode())
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    return pages_.mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0

@@ -6,43 +6,64 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import generation
+from graphloom.functions import prompts as P
+from graphloom.operators import cache as C
 from graphloom.operators import graph as G
+from graphloom.operators import passes
 from graphloom.operators import vectors as V
 from graphloom.plans import digest as D
 from graphloom.sources import tree
+from graphloom.sources.tables import CacheTable, VectorTable
 from graphloom.storage import cut
 
-PROBE = "root long, rel_fname string, name string, line int"
-
 
 class CodeMap:
-    """A tree's tables, parsed and ranked once by index(); reindex_file() replaces one file's share."""
+    """A tree's tables, parsed and ranked once by index(); reindex_file() replaces one file's share.
+
+    gitignore: the text of the root .gitignore, read from the tree by default. store: a folder of the vector table and
+    the result cache; without one, functions are explained from the call graph alone and nothing is kept.
+    """
 
-    def __init__(self, spark: SparkSession, root: str, gitignore: str | None = None) -> None:
-        self.spark, self.root, self.gitignore = spark, root, gitignore
-        self.tags = self.aliases = self.edges = self.importance = None
+    def __init__(self, spark: SparkSession, root: str, gitignore: str | None = None, store: str | None = None, embedder=V.hash_embedder) -> None:  # noqa: ANN001
+        self.spark, self.root, self.gitignore, self.embedder = spark, root, gitignore, embedder
+        self.vectors = VectorTable(spark, store) if store else None
+        self.cache = CacheTable(spark, f"{store.rstrip('/')}/cache") if store else None
+        self.files = self.tags = self.aliases = self.parts = self.edges = self.importance = None
 
-    def index(self) -> CodeMap:
+    # -- index
+
+    def index(self, embed: bool = False) -> CodeMap:
+        """Parse and rank the tree; embed: fill the vector table too."""
         files = tree.discover(self.spark, self.root, self.gitignore)
+        self.files = cut(files.select("rel_fname", F.decode("content", "UTF-8").alias("content")), "files")
         self.tags, self.aliases = cut(tree.parse_tags(files), "tags"), cut(tree.parse_aliases(files), "aliases")
-        self.edges = cut(G.call_graph(self.tags, self.aliases), "edges")
-        return self._rank()
+        self._rank(G.contributions(G.enclosed_refs(self.tags), G.candidates(self.tags, self.aliases)))
+        if embed and self.vectors is not None:
+            self.vectors.replace_all(V.embed_chunks(self.chunks(), self.embedder))
+        return self
 
-    def _rank(self) -> CodeMap:
+    def _rank(self, parts: DataFrame) -> None:
+        self.parts = cut(parts, "parts")
+        self.edges = cut(G.fold(self.parts), "edges")
         self.importance = cut(G.pagerank(G.nodes(self.tags), self.edges), "importance")
-        return self
 
-    def reindex_file(self, rel_fname: str) -> int:
-        """Read one file anew; returns its number of definitions. A change of its aliases rebuilds the graph."""
-        files = tree.discover(self.spark, self.root, self.gitignore).filter(F.col("rel_fname") == rel_fname)
+    def reindex_file(self, rel_fname: str, embed: bool = False) -> int:
+        """Read one file anew; returns its number of definitions. Without an index, or if the file's aliases changed, the whole graph is built."""
+        if self.tags is None:
+            self.index(embed)
         own = F.col("rel_fname") == rel_fname
+        files = tree.discover(self.spark, self.root, self.gitignore).filter(own)
         tags = cut(self.tags.filter(~own).unionByName(tree.parse_tags(files)), "tags")
         aliases = cut(self.aliases.filter(~own).unionByName(tree.parse_aliases(files)), "aliases")
-        same = not G.alias_targets(aliases).exceptAll(G.alias_targets(self.aliases)).head(1) and not G.alias_targets(self.aliases).exceptAll(G.alias_targets(aliases)).head(1)
-        graph = G.update_call_graph(self.edges, self.tags, tags, aliases, rel_fname) if same else G.call_graph(tags, aliases)
-        self.edges, self.tags, self.aliases = cut(graph, "edges"), tags, aliases
-        self._rank()
-        return tags.filter(own & (F.col("kind") == "def")).count()
+        self.files = cut(self.files.filter(~own).unionByName(files.select("rel_fname", F.decode("content", "UTF-8").alias("content"))), "files")
+        parts, n = G.reindex(self.parts, self.tags, tags, self.aliases, aliases, rel_fname)
+        self.tags, self.aliases = tags, aliases
+        self._rank(parts)
+        if embed and self.vectors is not None:
+            self.vectors.replace_file(rel_fname, V.embed_chunks(V.chunk_files(self.files.filter(own)), self.embedder))
+        return n
+
+    # -- graph
 
     def status(self) -> dict[str, int]:
         return {"functions": self.importance.count(), "edges": self.edges.count()} if self.edges is not None else {"functions": 0, "edges": 0}
@@ -67,43 +88,138 @@ class CodeMap:
     def get_call_trace(self, rel_fname: str, name: str, line: int, depth: int = G.DEPTH) -> tuple[DataFrame, DataFrame]:
         return G.call_trace(self.edges, self.importance, self._root(rel_fname, name, line), depth)
 
+    def dump(self) -> DataFrame:
+        """(pos, text): every function in order of importance, with its callers and callees."""
+        near = G.function_context(self.edges, self.importance)
+        entry = F.struct("pos", F.concat("r_file", F.lit(":"), "r_name").alias("n"))
+        sides = near.groupBy(*G.NODE, "direction").agg(F.transform(F.sort_array(F.collect_list(entry)), lambda x: x["n"]).alias("names"), F.max("omitted").alias("omitted"))
+        more = F.when(F.col("omitted") > 0, F.concat(F.lit(" (+"), F.col("omitted").cast("string"), F.lit(" more)"))).otherwise("")
+        line = F.concat(F.lit("  "), "direction", F.lit("s ("), F.size("names").cast("string"), more, F.lit("): "), F.array_join("names", ", "))
+        sides = sides.groupBy(*G.NODE).agg(F.array_join(F.sort_array(F.collect_list(line), False), "\n").alias("sides"))
+        ranked = G.positions(self.importance, F.desc("importance"), "rel_fname", "name", "line")
+        head = F.concat("rel_fname", F.lit(":"), (F.col("line") + 1).cast("string"), F.lit(" "), "name", F.lit("()  importance="), F.format_string("%.4f", "importance"))
+        return ranked.join(sides, G.NODE, "left").select("pos", F.concat_ws("\n", head, "sides").alias("text"))
+
+    # -- functions with their sources and contexts
+
     def chunks(self) -> DataFrame:
-        files = tree.discover(self.spark, self.root, self.gitignore)
-        return V.chunk_files(files.select("rel_fname", F.decode("content", "UTF-8").alias("content")))
-
-    def generate_explanations(self, model=generation.stub) -> DataFrame:  # noqa: ANN001
-        """explanation of every function from its context."""
-        context = G.function_context(self.edges, self.importance).groupBy(*G.NODE).pivot("direction", ["caller", "callee"]).agg(F.collect_list("r_name"))
-        none = F.array().cast("array<string>")
-        rows = self.importance.join(context, G.NODE, "left").select(*G.NODE, F.coalesce("caller", none).alias("callers"), F.coalesce("callee", none).alias("callees"))
-        prompt = F.concat("name", F.lit("\nCallers: "), F.array_join("callers", ", "), F.lit("\nCallees: "), F.array_join("callees", ", "))
-        return generation.explain(rows, prompt, model=model)
-
-    def generate_file_summary(self, model=generation.stub) -> DataFrame:  # noqa: ANN001
-        """(rel_fname, summary): the model's answer to each file's list of functions."""
-        lists = self.importance.groupBy("rel_fname").agg(F.array_join(F.sort_array(F.collect_list("name")), "\n  - ").alias("names"))
-        return lists.select("rel_fname", generation.generate(F.concat(F.lit("File: "), "rel_fname", F.lit("\n\nFunctions:\n  - "), "names"), model).alias("summary"))
-
-    def generate_cluster_summary(self, rel_fname: str, name: str, line: int, model=generation.stub) -> DataFrame:  # noqa: ANN001
+        return V.chunk_files(self.files)
+
+    def functions(self) -> DataFrame:
+        """(rel_fname, name, line, end_line, fn_source, fn_id) of every definition; names that repeat in a file are numbered."""
+        defs = self.tags.filter("kind = 'def'").groupBy("rel_fname", "name", F.col("start_line").alias("line")).agg(F.min(F.struct("tag_seq", "start_byte", "end_byte", "end_line")).alias("t"))
+        raw = F.encode("content", "UTF-8")
+        source = F.decode(F.substring(raw, F.col("t.start_byte") + 1, F.col("t.end_byte") - F.col("t.start_byte")), "UTF-8")
+        out = defs.join(self.files, "rel_fname").select("rel_fname", "name", "line", F.col("t.end_line").alias("end_line"), source.alias("fn_source"))
+        return passes.assign_fn_ids(out.withColumn("rel_file", F.col("rel_fname")).withColumn("qualified", F.col("name")), ["line"]).drop("rel_file", "qualified")
+
+    def retrieved(self, functions: DataFrame) -> DataFrame | None:
+        """(rel_fname, name, line, retrieved); None without a vector table, whose functions then are explained from the call graph alone."""
+        if self.vectors is None or not self.vectors.exists():
+            return None
+        rows = cut(functions.withColumn("query", F.monotonically_increasing_id()), "asked")
+        near = V.retrieve(rows.select("query", "rel_fname", F.col("line").alias("start_line"), F.greatest("end_line", F.col("line") + 1).alias("end_line"), "fn_source"), self.vectors.read(), self.embedder)
+        return cut(near.join(rows.select("query", "rel_fname", "name", "line"), "query").drop("query"), "retrieved")
+
+    def targets(self, functions: DataFrame, model_id: str) -> DataFrame:
+        """functions with their contexts, hashes and versions: what passes generate from."""
+        versions = passes.Versions(model_id, getattr(self.embedder, "model_id", "hash"))
+        return passes.wanted(passes.with_context(functions, G.function_context(self.edges, self.importance), self.retrieved(functions)), versions)
+
+    # -- generation
+
+    def generate_explanations(self, model=generation.stub, model_id: str = "stub", **options: object) -> DataFrame:  # noqa: ANN001
+        """All functions with explanation and error; nothing is cached."""
+        return generation.explain(self.targets(self.functions(), model_id), model, **options)
+
+    def generate_explanation(self, rel_fname: str, name: str, line: int, fn_source: str, model=generation.stub, model_id: str = "stub") -> DataFrame:  # noqa: ANN001
+        """One row: context_hash, context_tier, explanation. A function that the index lacks has an empty context; a failure raises GenerationError."""
+        spans = self.tags.filter("kind = 'def'").select("rel_fname", "name", F.col("start_line").alias("line"), "end_line")
+        found = self._root(rel_fname, name, line).join(spans, ["rel_fname", "name", "line"]).select("name", "line", "end_line").first()
+        row = (rel_fname, name, found["line"] if found else line, found["end_line"] if found else line + 1, fn_source, "")
+        one = self.spark.createDataFrame([row], "rel_fname string, name string, line int, end_line int, fn_source string, fn_id string")
+        out = cut(generation.explain(self.targets(one, model_id), model), "explanation")
+        error = out.first()["error"]
+        if error is not None:
+            raise generation.GenerationError(error)
+        return out.select("context_hash", "context_tier", "explanation")
+
+    def index_pass(self, top: int | None = 200, model=generation.stub, model_id: str = "stub", **options: object) -> DataFrame:  # noqa: ANN001
+        """Explain and cache the first `top` functions (all: None) that the cache lacks; (fn_id, fn_hash, outcome, error)."""
+        functions = self.functions()
+        if top is not None:
+            functions = functions.join(self.list_ranked_functions().limit(top).select(*G.NODE), G.NODE, "left_semi")
+        return passes.index_pass(self.cache, cut(self.targets(functions, model_id), "targets"), model=model, **options)
+
+    def refresh(self, rel_fname: str, name: str, line: int, dirty: DataFrame, stale: DataFrame, model=generation.stub, model_id: str = "stub") -> tuple[DataFrame, DataFrame, DataFrame]:  # noqa: ANN001
+        """Explain one function anew, cached or not; (outcomes, dirty, stale) after it."""
+        one = self.functions().join(self._root(rel_fname, name, line).select("rel_fname", "name", "line"), ["rel_fname", "name", "line"], "left_semi")
+        return passes.refresh(self.cache, self.targets(one, model_id), dirty, stale, model=model)
+
+    def explained(self, model_id: str = "stub") -> DataFrame:
+        """Every function with cache_key, role_tag and one_liner of its cache row; nulls where it has none."""
+        rows = passes.wanted(self.functions(), passes.Versions(model_id, getattr(self.embedder, "model_id", "hash")))
+        if self.cache is None:
+            null = F.lit(None).cast("string")
+            return rows.withColumn("cache_key", null).withColumn("role_tag", null).withColumn("one_liner", null)
+        return C.enrich(rows, self.cache.read())
+
+    def generate_file_summary(self, model=generation.stub, model_id: str = "stub") -> DataFrame:  # noqa: ANN001
+        """(rel_fname, summary, error): the model's paragraph on each file's functions, most important first."""
+        rows = self.explained(model_id).join(self.importance, G.NODE)
+        entry = F.struct((-F.col("importance")).alias("o"), "name", "line", F.struct("name", "role_tag", "one_liner").alias("f"))
+        lists = rows.groupBy("rel_fname").agg(F.transform(F.sort_array(F.collect_list(entry)), lambda x: x["f"]).alias("functions"))
+        said = lists.withColumn("said", generation.generate(P.file_summary_prompt(F.col("rel_fname"), F.col("functions")), model))
+        return said.select("rel_fname", F.trim("said.text").alias("summary"), "said.error")
+
+    def generate_cluster_summary(self, rel_fname: str, name: str, line: int, model=generation.stub, model_id: str = "stub") -> DataFrame:  # noqa: ANN001
+        """(root, summary, error): the model's paragraph on a function and those of its upstream callers that are explained."""
         nodes, _, _ = self.get_blast_radius(rel_fname, name, line)
-        text = nodes.agg(F.array_join(F.sort_array(F.collect_list(F.concat("name", F.lit(" (depth "), F.col("depth").cast("string"), F.lit(")")))), "\n  - ").alias("names"))
-        return text.select(F.lit(name).alias("root"), generation.generate(F.concat(F.lit(f"Root function: {name}\n\nKnown callers:\n  - "), "names"), model).alias("summary"))
+        known = self.explained(model_id).select(*G.NODE, "role_tag", "one_liner")
+        entry = F.struct("depth", (-F.col("importance")).alias("o"), F.struct("name", "role_tag", "one_liner", "depth").alias("f"))
+        callers = nodes.join(known.filter("role_tag IS NOT NULL OR one_liner IS NOT NULL"), G.NODE).agg(F.transform(F.sort_array(F.collect_list(entry)), lambda x: x["f"]).alias("callers"))
+        root = self._root(rel_fname, name, line).join(known, G.NODE, "left").select("name", "role_tag", "one_liner")
+        said = root.join(callers).withColumn("said", generation.generate(P.cluster_summary_prompt(F.col("name"), F.col("role_tag"), F.col("one_liner"), F.col("callers")), model))  # one row each
+        return said.select(F.col("name").alias("root"), F.trim("said.text").alias("summary"), "said.error")
+
+    def write_pages(self, folder: str, model=generation.stub, model_id: str = "stub") -> int:  # noqa: ANN001
+        """Write a Markdown page for each file with explained functions, and index.md and functions.md; returns how many."""
+        rows = self.explained(model_id).filter("cache_key IS NOT NULL").join(self.importance, G.NODE)
+        rows = cut(rows, "explained")
+        purposes = cut(self.generate_file_summary(model, model_id).select("rel_fname", F.coalesce("summary", F.lit("_(purpose not available)_")).alias("purpose")), "purposes")
+        name = self.root.rstrip("/").rsplit("/", 1)[-1]
+        return D.write_pages(D.pages(rows, purposes, name), folder)
 
     def generate_digest(self) -> DataFrame:
-        """One row: the digest's text."""
+        """One row: text, total_files, included_files, truncated."""
         from graphloom.functions.text import binary_head
 
-        raw = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(self.root)
-        base = self.root.rstrip("/").removeprefix("file:")
-        files = raw.select(F.substring_index(F.regexp_replace("path", r"^file:/+", "/"), base + "/", -1).alias("rel_path"), "content").filter(~tree.in_excluded_dir(F.col("rel_path")))
+        files = tree.tree_files(self.spark, self.root, self.gitignore).withColumnRenamed("rel_fname", "rel_path")
         plain = F.when(~binary_head(F.col("content")), F.try_validate_utf8(F.col("content").cast("string")))
-        files = files.select("rel_path", F.length("content").cast("long").alias("size_bytes"), binary_head(F.col("content")).alias("binary"), F.coalesce(plain, F.lit("")).alias("content"))
-        files = D.with_budget(D.walk(files.withColumn("chars", F.length("content").cast("long"))))
-        return D.render(base.rsplit("/", 1)[-1], D.digest_summary(files), D.tree(files.select("rel_path")), files)
+        files = files.select("rel_path", F.col("length").cast("long").alias("size_bytes"), binary_head(F.col("content")).alias("binary"), F.coalesce(plain, F.lit("")).alias("content"))
+        files = cut(D.with_budget(D.walk(files.withColumn("chars", F.length("content").cast("long")))), "digest")
+        summary = D.digest_summary(files)
+        text = D.render(self.root.rstrip("/").rsplit("/", 1)[-1], summary, D.tree(files.select("rel_path")), files)
+        return text.join(summary.select("total_files", "included_files", "truncated"))  # one row each
+
+    # -- requests
 
     def call(self, method: str, **params: object) -> object:
         """A request by name; unknown ones raise."""
-        known = {"status", "index_file", "generate_explanations", "reindex_file", "resolve_function", "list_ranked_functions", "get_blast_radius", "get_call_trace", "generate_file_summary", "generate_cluster_summary", "generate_digest"}
-        if method not in known:
-            raise ValueError(f"unknown method {method}")
+        if method not in METHODS:
+            raise ValueError(f"unknown method: {method}")
         return getattr(self, method)(**params)
+
+    def dispatch(self, message: dict) -> dict:
+        """A message (id, method, params) answered with its id and either result or error: no request ends the service."""
+        try:
+            return {"id": message.get("id"), "result": self.call(str(message.get("method")), **(message.get("params") or {}))}
+        except Exception as e:  # noqa: BLE001  whatever goes wrong is the request's answer
+            text = str(e) if isinstance(e, ValueError) and str(e).startswith("unknown method") else f"{type(e).__name__}: {e}"
+            return {"id": message.get("id"), "error": {"message": text}}
+
+
+#: The requests.
+METHODS = (
+    "status", "index_file", "generate_explanation", "reindex_file", "resolve_function", "list_ranked_functions", "get_blast_radius", "get_call_trace", "generate_file_summary", "generate_cluster_summary", "generate_digest",
+)
