@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.bindings.tables import read, registry
 from graphloom.functions import text as T
 from graphloom.operators import cache as C
+from graphloom.operators.passes import assign_fn_ids
+from graphloom.sources.manifest import excluded_dirs
+from graphloom.sources.tables import CacheTable, VectorTable
+from graphloom.storage import shared_dir
 
 QUERIES, ORACLE_SQL, query = registry()
 
@@ -50,9 +56,34 @@ def _evict(spark, sf):
     return C.evicting_write(old, written).select(*SMALL)
 
 
-@query("k2_replace_all", "SELECT vec_id, label FROM embeddings WHERE label < 5")
+def _folder(spark):
+    return f"{shared_dir(spark)}/graphloom/tables-{uuid.uuid4().hex}"
+
+
+def chunks(spark, sf):
+    """Embeddings as rows of a vector table, the label as the file."""
+    e = read(spark, sf, "embeddings")
+    return e.select(F.concat(F.lit("f"), F.col("label").cast("string")).alias("rel_fname"), F.col("vec_id").cast("int").alias("start_line"), (F.col("vec_id") + 3).cast("int").alias("end_line"), F.concat(F.lit("t"), F.col("vec_id").cast("string")).alias("text"), F.col("embedding").alias("vector"))
+
+
+@query("k2_replace_all", "SELECT 'f' || label AS rel_fname, (vec_id + 5)::INTEGER AS start_line, 'new' || vec_id AS text FROM embeddings")
 def _replace_all(spark, sf):
-    return read(spark, sf, "embeddings").filter("label < 5").select("vec_id", "label")
+    """A vector table filled, and then filled anew: nothing of the first rows is left."""
+    store = VectorTable(spark, _folder(spark))
+    store.replace_all(chunks(spark, sf))
+    store.replace_all(chunks(spark, sf).withColumn("start_line", F.col("start_line") + 5).withColumn("text", F.replace("text", F.lit("t"), F.lit("new"))))
+    return store.read().select("rel_fname", "start_line", "text")
+
+
+@query("s12_vector_table", "SELECT 'f' || label AS rel_fname, vec_id::INTEGER AS start_line, CASE WHEN label = 3 THEN 'again' ELSE 't' || vec_id END AS text FROM embeddings WHERE label <> 4")
+def _vector_table(spark, sf):
+    """A vector table opened again after one file was replaced and another one lost all its rows."""
+    folder, rows = _folder(spark), chunks(spark, sf)
+    store = VectorTable(spark, folder)
+    store.replace_all(rows)
+    store.replace_file("f3", rows.filter("rel_fname = 'f3'").withColumn("text", F.lit("again")))
+    store.replace_file("f4", rows.limit(0))
+    return VectorTable(spark, folder).read().select("rel_fname", "start_line", "text")
 
 
 @query("k3_replace_file", "SELECT 'f' || label AS rel_fname, vec_id FROM embeddings WHERE label <> 3 UNION ALL SELECT 'f3', vec_id + 1000000 FROM embeddings WHERE label = 3 AND vec_id % 2 = 0")
@@ -78,9 +109,7 @@ def _current(spark, sf):
 
 @query("k5_purge_superseded", f"{CACHE}, k AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY fn_id, model_id ORDER BY generated_at DESC, seq DESC) = 1) SELECT (SELECT count(*) FROM c)::BIGINT - count(*)::BIGINT AS purged, count(*)::BIGINT AS left_rows FROM k")
 def _purge(spark, sf):
-    own = Window.partitionBy(*C.TUPLE).orderBy(F.desc("generated_at"), F.desc("seq"))
-    k = rows(spark, sf).withColumn("k", F.row_number().over(own))
-    return k.agg(F.count_if(F.col("k") > 1).alias("purged"), F.count_if(F.col("k") == 1).alias("left_rows"))
+    return C.purge(rows(spark, sf))[1]
 
 
 @query("w2_current_for_versions", f"{CACHE} SELECT {COLS} FROM c WHERE model_id = 'view' QUALIFY row_number() OVER (PARTITION BY fn_id ORDER BY generated_at DESC, seq DESC) = 1")
@@ -90,11 +119,31 @@ def _versions(spark, sf):
 
 @query("w3_latest_of_key", f"{CACHE} SELECT {COLS} FROM c WHERE fn_id = 'fn7' AND model_id = 'click' ORDER BY generated_at DESC, seq DESC LIMIT 1")
 def _latest(spark, sf):
-    return rows(spark, sf).filter("fn_id = 'fn7' AND model_id = 'click'").orderBy(F.desc("generated_at"), F.desc("seq")).limit(1).select(*SMALL)
+    return C.latest_of(rows(spark, sf), "fn7", "click").select(*SMALL)
 
 
 QUERIES["t11_limit_one"], ORACLE_SQL["t11_limit_one"] = QUERIES["w3_latest_of_key"], ORACLE_SQL["w3_latest_of_key"]
-QUERIES["s11_cache_open"], ORACLE_SQL["s11_cache_open"] = QUERIES["k1_upsert"], ORACLE_SQL["k1_upsert"]
+
+
+@query("s11_cache_open", ORACLE_SQL["k1_upsert"])
+def _cache_table(spark, sf):
+    """A cache created, written twice, and opened again."""
+    folder, c = _folder(spark), rows(spark, sf)
+    table = CacheTable(spark, folder)
+    table.write(c.filter("seq % 2 = 0"), evict=False)
+    table.write(c.filter("seq % 2 = 1"), evict=False)
+    return CacheTable(spark, folder).read().select(*SMALL)
+
+
+@query("k9_write_listeners", "SELECT 1::BIGINT AS writes, count(*)::BIGINT AS written FROM events WHERE event_id % 2 = 0")
+def _listeners(spark, sf):
+    """What a listener is told of; the second write comes after it has left."""
+    table, told = CacheTable(spark, _folder(spark)), []
+    leave = table.on_write(lambda r: told.append(r.count()))
+    table.write(rows(spark, sf).filter("seq % 2 = 0"), evict=False)
+    leave()
+    table.write(rows(spark, sf).filter("seq % 2 = 1"), evict=False)
+    return spark.createDataFrame([(len(told), sum(told))], "writes long, written long")
 
 
 @query("w11_changed_hash", f"{CACHE} SELECT {COLS}, prior_hash FROM (SELECT *, lag(fn_hash) OVER (PARTITION BY fn_id, model_id ORDER BY generated_at, seq) AS prior_hash FROM c) WHERE prior_hash <> fn_hash".replace("fn_hash,\n", "fn_hash,\n"))
@@ -102,47 +151,35 @@ def _changed(spark, sf):
     return C.changed(rows(spark, sf)).select(*SMALL, "prior_hash")
 
 
-WANTED = "w AS (SELECT 'fn' || user_id AS fn_id, sha256(props) AS fn_hash, 'view' AS model_id FROM events WHERE event_id % 4 = 0 GROUP BY ALL)"
-SOME_WANTED = "seq % 4 = 0"
+WANTED = "w AS (SELECT 'fn' || user_id AS fn_id, sha256(props) AS fn_hash, 'view' AS model_id FROM events GROUP BY ALL)"
 
 
-def _wanted(spark, sf, only):
-    c = rows(spark, sf).filter(only)
+def _wanted(spark, sf):
+    c = rows(spark, sf)
     return c.select("fn_id", "fn_hash", F.lit("view").alias("model_id"), "embedding_model_id", "prompt_version").distinct()
 
 
 @query("p8_uncached_targets", f"{CACHE}, {WANTED} SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.fn_id = w.fn_id AND c.fn_hash = w.fn_hash AND c.model_id = w.model_id)")
-def _uncached(spark, sf, only=SOME_WANTED):
-    return C.uncached(_wanted(spark, sf, only), rows(spark, sf)).select("fn_id", "fn_hash", "model_id")
+def _uncached(spark, sf):
+    return C.uncached(_wanted(spark, sf), rows(spark, sf)).select("fn_id", "fn_hash", "model_id")
 
 
 @query("j8_cached_targets", f"{CACHE}, {WANTED} SELECT * FROM w WHERE EXISTS (SELECT 1 FROM c WHERE c.fn_id = w.fn_id AND c.fn_hash = w.fn_hash AND c.model_id = w.model_id)")
-def _cached(spark, sf, only=SOME_WANTED):
-    return _wanted(spark, sf, only).join(rows(spark, sf).select(*C.LOOKUP).distinct(), C.LOOKUP, "left_semi").select("fn_id", "fn_hash", "model_id")
+def _cached(spark, sf):
+    return C.cached(_wanted(spark, sf), rows(spark, sf)).select("fn_id", "fn_hash", "model_id")
 
 
 @query("j7_enrich", f"""{CACHE}, {WANTED} SELECT w.fn_id, w.fn_hash, k.cache_key, (k.explanation_json->>'k')::BIGINT AS k FROM w LEFT JOIN
 (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY fn_id, fn_hash, model_id ORDER BY generated_at DESC, seq DESC) = 1) k ON k.fn_id = w.fn_id AND k.fn_hash = w.fn_hash AND k.model_id = w.model_id""")
-def _enrich(spark, sf, only=SOME_WANTED):
-    hit = C.lookup(rows(spark, sf), _wanted(spark, sf, only))
+def _enrich(spark, sf):
+    hit = C.lookup(rows(spark, sf), _wanted(spark, sf))
     return hit.select("fn_id", "fn_hash", "cache_key", F.from_json("explanation_json", "k long")["k"].alias("k"))
 
 
 @query("a13_cluster_members", f"{CACHE}, {WANTED} SELECT fn_id, count(*)::BIGINT AS members, count_if(cached)::BIGINT AS cached, count_if(cached) > 1 AS can_synthesize FROM (SELECT fn_id, EXISTS (SELECT 1 FROM c WHERE c.fn_id = w.fn_id AND c.fn_hash = w.fn_hash AND c.model_id = w.model_id) AS cached FROM w) GROUP BY fn_id")
-def _members(spark, sf, only=SOME_WANTED):
-    hit = C.lookup(rows(spark, sf), _wanted(spark, sf, only))
-    n = F.count_if(F.col("cache_key").isNotNull())
-    return hit.groupBy("fn_id").agg(F.count("*").alias("members"), n.alias("cached"), (n > 1).alias("can_synthesize"))
-
-
-for _name, _f in (("p8_uncached_targets", _uncached), ("j8_cached_targets", _cached), ("j7_enrich", _enrich), ("a13_cluster_members", _members)):
-    query(f"{_name}_all", ORACLE_SQL[_name].replace(" WHERE event_id % 4 = 0", ""))(lambda spark, sf, f=_f: f(spark, sf, "true"))
-
-
-@query("g12_cluster_identity", f"{CACHE}, k AS (SELECT DISTINCT fn_id, cache_key FROM c WHERE model_id = 'view') SELECT fn_id || '::__cluster_summary__' AS fn_id, sha256(string_agg(sha256(cache_key), '' ORDER BY sha256(cache_key))) AS fn_hash FROM k GROUP BY fn_id")
-def _cluster(spark, sf):
-    members = rows(spark, sf).filter("model_id = 'view'").select("fn_id", "cache_key").distinct()
-    return members.groupBy("fn_id").agg(T.set_hash(F.sha2("cache_key", 256)).alias("fn_hash")).withColumn("fn_id", F.concat("fn_id", F.lit("::__cluster_summary__")))
+def _members(spark, sf):
+    members = _wanted(spark, sf).withColumn("root", F.col("fn_id")).withColumn("root_fn_id", F.col("fn_id"))
+    return C.cluster_identity(members, rows(spark, sf)).select(F.col("root").alias("fn_id"), "members", "cached", "can_synthesize")
 
 
 @query("a11_set_hash", "SELECT user_id, sha256(string_agg(h, ',' ORDER BY h)) AS set_hash FROM (SELECT user_id, sha256(props) AS h FROM events) GROUP BY user_id")
@@ -155,10 +192,8 @@ QUERIES["t12_sorted_hashes"], ORACLE_SQL["t12_sorted_hashes"] = QUERIES["a11_set
 
 @query("a10_fn_ordinals", "SELECT event_id, 'file' || user_id || '::' || event_type || CASE WHEN count(*) OVER w > 1 THEN '#' || (row_number() OVER (w ORDER BY event_id) - 1) ELSE '' END AS fn_id FROM events WINDOW w AS (PARTITION BY user_id, event_type)")
 def _ordinals(spark, sf):
-    w = Window.partitionBy("user_id", "event_type")
-    n, i = F.count("*").over(w), F.row_number().over(w.orderBy("event_id")) - 1
-    qualified = F.concat("event_type", F.when(n > 1, F.concat(F.lit("#"), i.cast("string"))).otherwise(""))
-    return read(spark, sf, "events").select("event_id", T.fn_id(F.concat(F.lit("file"), F.col("user_id").cast("string")), qualified).alias("fn_id"))
+    e = read(spark, sf, "events").select("event_id", F.concat(F.lit("file"), F.col("user_id").cast("string")).alias("rel_file"), F.col("event_type").alias("qualified"))
+    return assign_fn_ids(e, ["event_id"]).select("event_id", "fn_id")
 
 
 QUERIES["w8_duplicate_ordinals"], ORACLE_SQL["w8_duplicate_ordinals"] = QUERIES["a10_fn_ordinals"], ORACLE_SQL["a10_fn_ordinals"]
@@ -170,6 +205,6 @@ def _missing(spark, sf):
     return p.filter("p_partkey % 2 = 0").select(F.col("p_name").alias("name")).subtract(p.filter("p_partkey % 7 = 1").select("p_name"))
 
 
-@query("u6_excluded_dirs_union", "SELECT DISTINCT unnest(string_split(p_name, ' ')) AS dir FROM part")
+@query("u6_excluded_dirs_union", "SELECT * FROM (VALUES ('node_modules'), ('out'), ('dist'), ('build'), ('__pycache__'), ('.venv'), ('venv'), ('.mypy_cache'), ('.pytest_cache'), ('.tox'), ('*.egg-info')) t(dir)")
 def _dirs(spark, sf):
-    return read(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("dir")).distinct()
+    return spark.createDataFrame([(d,) for d in excluded_dirs()], "dir string")

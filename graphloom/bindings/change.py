@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from graphloom.bindings import cache as BC
 from graphloom.bindings import graph as BG
 from graphloom.bindings.tables import read, registry
+from graphloom.functions import text as T
+from graphloom.operators import cache as CC
 from graphloom.operators import change as C
 from graphloom.operators import graph as G
+from graphloom.operators import passes
 
 QUERIES, ORACLE_SQL, query = registry()
 GAP_HOURS = 2
@@ -50,20 +54,19 @@ def _left(spark, sf):
     return C.flush(C.dirty_functions(changes(spark, sf)), names(1, 2, 3, 4, 5, 6), names(1, 2), names(3, 4)).filter("outcome = 'failed'").select("file", "fn")
 
 
-STALE = f"""{BG.CONTEXT}, near AS (SELECT DISTINCT r FROM ctx WHERE ctx.k % {BG.ROOT_MOD} = 0)
+STALE = f"""{BG.CONTEXT}, near AS (SELECT DISTINCT r FROM ctx)
 SELECT file AS rel_fname, name, r AS line FROM near JOIN parts ON p_partkey = r WHERE r % 5 <> 0"""
 
 
 @query("r5_stale_propagation", "WITH " + STALE)
-def _stale(spark, sf, changed=BG.roots):
+def _stale(spark, sf):
     e, imp = BG.ranked_graph(spark, sf)
     regenerated = BG.parts(spark, sf).filter("p_partkey % 5 = 0").select(F.col("file").alias("rel_fname"), "name", F.col("p_partkey").alias("line"))
-    return C.stale_dependents(changed(spark, sf).drop("root"), G.function_context(e, imp), regenerated)
+    return C.stale_dependents(BG.roots(spark, sf).drop("root"), G.function_context(e, imp), regenerated)
 
 
 for _name in ("j10_stale_dependents", "u3_callers_union_callees"):
     QUERIES[_name], ORACLE_SQL[_name] = QUERIES["r5_stale_propagation"], ORACLE_SQL["r5_stale_propagation"]
-query("r5_stale_propagation_all", ORACLE_SQL["r5_stale_propagation"].replace(f" WHERE ctx.k % {BG.ROOT_MOD} = 0", ""))(lambda spark, sf: _stale(spark, sf, BG.every_root))
 
 
 @query("r7_background_pass", f"WITH {BG.RANKED}, t AS (SELECT k, row_number() OVER (ORDER BY importance DESC, file, name, k) AS pos FROM imp QUALIFY pos <= 200) SELECT k AS line, pos::INTEGER AS pos, CASE WHEN k % 3 = 0 THEN 'skip' ELSE 'generate' END AS action FROM t")
@@ -73,9 +76,23 @@ def _pass(spark, sf):
     return C.pass_plan(ranked, cached, ["line"], 200)
 
 
-@query("r2_save_reindex", f"""WITH e AS (SELECT user_id, epoch_us(ts) AS us FROM events WHERE event_type = 'purchase'), f AS (SELECT *, coalesce((us - lag(us) OVER w > {GAP_HOURS * 3600 * 1000000})::INT, 1) AS fresh FROM e WINDOW w AS (PARTITION BY user_id ORDER BY us))
-SELECT user_id AS file, sum(fresh)::BIGINT AS runs, count(*)::BIGINT AS saves FROM f GROUP BY user_id""")
+@query("r2_save_reindex", """WITH c AS (SELECT 'fn' || user_id AS fn_id, event_type AS model_id, sha256(props) AS fn_hash, event_id AS seq, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS generated_at FROM events),
+f AS (SELECT DISTINCT fn_id, model_id, CASE WHEN seq % 3 = 0 THEN fn_hash ELSE sha256(fn_hash) END AS fn_hash FROM c),
+prior AS (SELECT fn_id, model_id, fn_hash AS prior_hash FROM c WHERE model_id <> 'signup' QUALIFY row_number() OVER (PARTITION BY fn_id, model_id ORDER BY generated_at DESC, seq DESC) = 1),
+o AS (SELECT f.*, prior_hash, CASE WHEN f.model_id <> 'signup' AND EXISTS (SELECT 1 FROM c WHERE c.fn_id = f.fn_id AND c.fn_hash = f.fn_hash AND c.model_id = f.model_id) THEN 'skipped' WHEN f.fn_id LIKE '%3' THEN 'failed' ELSE 'regenerated' END AS outcome
+  FROM f LEFT JOIN prior USING (fn_id, model_id))
+SELECT fn_id, model_id, fn_hash, outcome, outcome = 'regenerated' AND coalesce(prior_hash <> fn_hash, false) AS changed FROM o""")
 def _saves(spark, sf):
+    """Functions as saved: some unchanged, some edited, some whose kind was never cached, and some that a model fails on."""
+    rows = BC.rows(spark, sf)
+    now = rows.select("fn_id", F.when(F.col("seq") % 3 == 0, F.col("fn_hash")).otherwise(F.sha2("fn_hash", 256)).alias("fn_hash"), *CC.VERSION).distinct()
+    done = now.select("fn_id").filter("fn_id NOT LIKE '%3'")
+    return passes.save_outcomes(now, rows.filter("model_id <> 'signup'"), done).select("fn_id", "model_id", "fn_hash", "outcome", "changed")
+
+
+@query("r2_save_runs", f"""WITH e AS (SELECT user_id, epoch_us(ts) AS us FROM events WHERE event_type = 'purchase'), f AS (SELECT *, coalesce((us - lag(us) OVER w > {GAP_HOURS * 3600 * 1000000})::INT, 1) AS fresh FROM e WINDOW w AS (PARTITION BY user_id ORDER BY us))
+SELECT user_id AS file, sum(fresh)::BIGINT AS runs, count(*)::BIGINT AS saves FROM f GROUP BY user_id""")
+def _runs(spark, sf):
     runs = C.debounce(read(spark, sf, "events").filter("event_type = 'purchase'"), "user_id", "ts", GAP_HOURS * 3600)
     return runs.groupBy(F.col("user_id").alias("file")).agg(F.count("*").alias("runs"), F.sum("triggers").alias("saves"))
 
@@ -85,4 +102,4 @@ def _back(spark, sf):
     from pyspark.sql import Window
 
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    return read(spark, sf, "events").select("event_id", F.coalesce(us - F.lag(us).over(Window.partitionBy("user_id").orderBy("ts", "event_id")) < 15_000_000, F.lit(False)).alias("live"))
+    return read(spark, sf, "events").select("event_id", T.back_target_live(F.lag(us).over(Window.partitionBy("user_id").orderBy("ts", "event_id")), us).alias("live"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import functions as F
 
 from graphloom.bindings.tables import read, registry
@@ -11,9 +9,7 @@ from graphloom.functions.text import binary_head
 from graphloom.plans import digest as D
 
 QUERIES, ORACLE_SQL, query = registry()
-MOST, BYTES, CHARS = 600, 6000, 500_000
-#: The budgets of the queries that end in _all: the operator's own.
-WHOLE = D.MAX_FILES, D.MAX_BYTES, D.MAX_CHARS
+MOST, BYTES, CHARS = D.MAX_FILES, D.MAX_BYTES, D.MAX_CHARS
 
 
 def files(spark, sf):
@@ -29,32 +25,23 @@ budget AS (SELECT *, sum(CASE WHEN size_bytes <= {BYTES} AND NOT bin THEN chars
 d AS (SELECT *, CASE WHEN cum > {CHARS} THEN 'budget-exceeded' WHEN size_bytes > {BYTES} THEN 'too-large' WHEN bin THEN 'binary' END AS skip_reason FROM budget)"""
 
 
-def digested(spark, sf, limits=(MOST, BYTES, CHARS)):
-    most, size, chars = limits
-    return D.with_budget(D.walk(files(spark, sf), most), size, chars)
-
-
-def _whole(name):
-    """The SQL of a digest query with the operator's own budgets."""
-    sql = ORACLE_SQL[name]
-    for a, b in ((CHARS, WHOLE[2]), (BYTES, WHOLE[1]), (MOST, WHOLE[0])):
-        sql = re.sub(rf"\b{a}\b", str(b), sql)
-    return sql
+def digested(spark, sf):
+    return D.with_budget(D.walk(files(spark, sf)))
 
 
 @query("s6_walk_files", f"{WALK} SELECT rel_path, place::INTEGER AS place FROM walk")
-def _walk(spark, sf, most=MOST):
-    return D.walk(files(spark, sf).select("rel_path"), most)
+def _walk(spark, sf):
+    return D.walk(files(spark, sf).select("rel_path"))
 
 
 @query("w7_digest_budget", f"{WALK} SELECT rel_path, place::INTEGER AS place, cum, skip_reason FROM d")
-def _budget(spark, sf, *limits):
-    return digested(spark, sf, *limits).select("rel_path", "place", "cum", "skip_reason")
+def _budget(spark, sf):
+    return digested(spark, sf).select("rel_path", "place", "cum", "skip_reason")
 
 
 @query("a7_digest_counts", f"{WALK} SELECT count(*)::BIGINT AS total_files, count_if(skip_reason IS NULL)::BIGINT AS included_files, count_if(skip_reason IS NOT NULL)::BIGINT AS skipped_files, count(*) >= {MOST} OR bool_or(cum > {CHARS}) AS truncated FROM d")
-def _counts(spark, sf, limits=(MOST, BYTES, CHARS)):
-    return D.digest_summary(digested(spark, sf, limits), limits[0], limits[2])
+def _counts(spark, sf):
+    return D.digest_summary(digested(spark, sf))
 
 
 TREE = f"""{WALK}, n AS (SELECT DISTINCT array_to_string(p[1:i], '/') AS path, i < len(p) AS dir FROM (SELECT string_split(rel_path, '/') AS p, unnest(range(1, len(string_split(rel_path, '/')) + 1)) AS i FROM walk)),
@@ -65,8 +52,8 @@ LINE = "coalesce(bars, '') || CASE WHEN last THEN '└── ' ELSE '├── '
 
 
 @query("t10_tree_render", f"{TREE} SELECT path, {LINE} AS line FROM t")
-def _tree(spark, sf, most=MOST):
-    return D.tree(D.walk(files(spark, sf).select("rel_path"), most).select("rel_path")).select("path", "line")
+def _tree(spark, sf):
+    return D.tree(D.walk(files(spark, sf).select("rel_path")).select("rel_path")).select("path", "line")
 
 
 @query("k7_digest_text", f"""{TREE}, lines AS (SELECT string_agg({LINE}, chr(10) ORDER BY list_transform(string_split(path, '/'), lambda x: [lower(x), x])) AS tree FROM t),
@@ -75,13 +62,9 @@ string_agg('  - ' || rel_path || ' (' || skip_reason || ', ' || size_bytes || '
 string_agg('{"=" * 48}' || chr(10) || 'File: ' || rel_path || chr(10) || '{"=" * 48}' || chr(10) || text || chr(10), chr(10) ORDER BY place) FILTER (skip_reason IS NULL) AS body FROM d)
 SELECT md5('Codebase digest: repo' || chr(10) || chr(10) || inc || ' of ' || total || ' file(s) included' || CASE WHEN skipped > 0 THEN ', ' || skipped || ' skipped' ELSE '' END || '.' || CASE WHEN cut THEN chr(10) || 'NOTE: truncated by a size or count budget.' ELSE '' END
 || chr(10) || chr(10) || 'Directory structure:' || chr(10) || 'repo/' || chr(10) || tree || chr(10) || CASE WHEN s IS NOT NULL THEN chr(10) || 'Skipped files:' || chr(10) || s || chr(10) ELSE '' END || chr(10) || coalesce(body, '')) AS digest FROM k, lines""")
-def _text(spark, sf, limits=(MOST, BYTES, CHARS)):
-    d = digested(spark, sf, limits)
-    return D.render("repo", D.digest_summary(d, limits[0], limits[2]), D.tree(d.select("rel_path")), d).select(F.md5("text").alias("digest"))
-
-
-for _name, _f, _limits in (("s6_walk_files", _walk, WHOLE[0]), ("w7_digest_budget", _budget, WHOLE), ("a7_digest_counts", _counts, WHOLE), ("t10_tree_render", _tree, WHOLE[0]), ("k7_digest_text", _text, WHOLE)):
-    query(f"{_name}_all", _whole(_name))(lambda spark, sf, f=_f, limits=_limits: f(spark, sf, limits))
+def _text(spark, sf):
+    d = digested(spark, sf)
+    return D.render("repo", D.digest_summary(d), D.tree(d.select("rel_path")), d).select(F.md5("text").alias("digest"))
 
 
 PAGES = "SELECT p_partkey, p_brand AS f, p_name, CASE WHEN p_partkey % 2 = 0 THEN p_type END AS role, CASE WHEN p_partkey % 3 = 0 THEN p_name || '.' END AS one, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS pos FROM part"
@@ -98,6 +81,27 @@ def _pages(spark, sf):
     return D.file_page(rows).select("rel_fname", F.md5("page").alias("digest"))
 
 
+INDEX = "SELECT *, row_number() OVER (ORDER BY p_retailprice DESC, p_brand, p_name, p_partkey) AS place FROM part"
+
+
+def _explained(spark, sf):
+    p = read(spark, sf, "part")
+    return p.select(F.col("p_brand").alias("rel_fname"), F.col("p_name").alias("name"), F.col("p_partkey").alias("line"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_type")).alias("role_tag"), F.when(F.col("p_partkey") % 3 == 0, F.concat("p_name", F.lit(" | two. Three"))).alias("one_liner"), F.col("p_retailprice").alias("importance"))
+
+
+def _purposes(spark, sf):
+    return read(spark, sf, "part").select(F.col("p_brand").alias("rel_fname")).distinct().withColumn("purpose", F.concat(F.lit("About "), "rel_fname", F.lit("! And more.")))
+
+
+@query("k6_index_pages", f"""WITH r AS ({INDEX}), f AS (SELECT p_brand, min(place) AS pos FROM r GROUP BY 1)
+SELECT 'index.md' AS path, md5('# repo — Codebase Summary' || chr(10) || chr(10) || 'From ' || (SELECT count(*) FROM r) || ' explained function(s) across ' || count(*) || ' file(s).' || chr(10) || chr(10) || '## Files' || chr(10) || chr(10)
+  || string_agg('- [' || p_brand || '](' || p_brand || '.md) — About ' || p_brand || '!', chr(10) ORDER BY pos) || chr(10) || chr(10) || '## See also' || chr(10) || chr(10) || '- [Key Functions Index](functions.md)') AS digest FROM f
+UNION ALL SELECT 'functions.md', md5('# Key Functions' || chr(10) || chr(10) || 'The ' || count(*) || ' most important function(s), by the call graph.' || chr(10) || chr(10) || '| Function | File | Role | Summary |' || chr(10) || '|---|---|---|---|' || chr(10)
+  || string_agg('| ' || p_name || ' | [' || p_brand || ':' || (p_partkey + 1) || '](' || p_brand || '.md) | ' || CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE 'Unclassified' END || ' | ' || CASE WHEN p_partkey % 3 = 0 THEN p_name || ' \\| two. Three' ELSE '' END || ' |', chr(10) ORDER BY place)) FROM r WHERE place <= 25""")
+def _index_pages(spark, sf):
+    return D.pages(_explained(spark, sf), _purposes(spark, sf), "repo").filter("path IN ('index.md', 'functions.md')").select("path", F.md5("page").alias("digest"))
+
+
 @query("a12_functions_by_file", f"SELECT f AS rel_fname, string_agg(p_partkey, ',' ORDER BY pos) AS functions FROM ({PAGES}) GROUP BY f")
 def _by_file(spark, sf):
     p = read(spark, sf, "part")

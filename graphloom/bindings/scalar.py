@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from graphloom.bindings.tables import read, registry
+from graphloom.functions import prompts as P
 from graphloom.functions import text as T
+from graphloom.operators import passes
+from graphloom.sources import tree
 
 QUERIES, ORACLE_SQL, query = registry()
 _s = lambda c: F.col(c).cast("string")
@@ -35,18 +37,16 @@ def _f5(spark, sf):
     return read(spark, sf, "part").groupBy(F.col("p_brand").alias("file")).agg(T.set_hash(F.sha2("p_name", 256), ",").alias("h"))
 
 
-@query("f6_context_hash", """WITH r AS (SELECT o_custkey AS k, o_orderkey AS line FROM orders WHERE o_orderkey % 2 = 0), c AS (
+@query("f6_context_hash", """WITH r AS (SELECT o_custkey AS k, o_orderkey AS line, o_orderpriority AS p FROM orders), c AS (
 SELECT k, 'caller:f' || k || ':n' || line || ':' || line AS chunk FROM r UNION ALL SELECT k, 'callee:f' || k || ':n' || line || ':' || line FROM r
-UNION ALL SELECT k, 'callers_omitted:' || (count(*) - 5) FROM r GROUP BY k HAVING count(*) > 5)
+UNION ALL SELECT k, 'callers_omitted:' || (count(*) - 5) FROM r GROUP BY k HAVING count(*) > 5 UNION ALL SELECT k, 'retrieved:r' || k || ':' || line || ':' || (line + 2) || ':' || p FROM r WHERE p LIKE '1%')
 SELECT k, sha256(string_agg(sha256(chunk), '' ORDER BY sha256(chunk))) AS context_hash FROM c GROUP BY k""")
-def _f6(spark, sf, only="o_orderkey % 2 = 0"):
-    o = read(spark, sf, "orders").filter(only)
+def _f6(spark, sf):
     node = F.struct(F.concat(F.lit("n"), _s("o_orderkey")).alias("name"), F.concat(F.lit("f"), _s("o_custkey")).alias("file"), F.col("o_orderkey").alias("line"))
-    g = o.groupBy(F.col("o_custkey").alias("k")).agg(F.collect_list(node).alias("r"), F.greatest(F.count("*") - 5, F.lit(0)).alias("left"))
-    return g.select("k", T.context_hash(F.col("r"), F.col("left"), F.col("r"), F.lit(0)).alias("context_hash"))
-
-
-query("f6_context_hash_all", ORACLE_SQL["f6_context_hash"].replace(" WHERE o_orderkey % 2 = 0", ""))(lambda spark, sf: _f6(spark, sf, "true"))
+    chunk = F.struct(F.concat(F.lit("r"), _s("o_custkey")).alias("rel_fname"), F.col("o_orderkey").alias("start_line"), (F.col("o_orderkey") + 2).alias("end_line"), F.col("o_orderpriority").alias("text"))
+    found = F.collect_list(F.when(F.col("o_orderpriority").startswith("1"), chunk))
+    g = read(spark, sf, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.collect_list(node).alias("r"), F.greatest(F.count("*") - 5, F.lit(0)).alias("left"), found.alias("found"))
+    return g.select("k", T.context_hash(F.col("r"), F.col("left"), F.col("r"), F.lit(0), F.col("found")).alias("context_hash"))
 
 
 IDS = "CASE p_partkey % 4 WHEN 0 THEN 'src/' || p_brand || '.ts::' || replace(p_name, ' ', '.') WHEN 1 THEN p_brand || '::A.b#' || p_partkey WHEN 2 THEN p_name ELSE p_brand || '::x::' || p_name || '#2' END"
@@ -137,9 +137,37 @@ def _f17(spark, sf):
     return r.select("p_partkey", T.detail_line(F.col("role"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_name"))).alias("detail"))
 
 
-@query("f18_json_fields", "SELECT event_id, (props->>'k')::BIGINT AS k FROM events")
+#: Explanations as JSON text, good and bad, dealt to events; `%` stands for the event's type.
+_JSON = [
+    '{"role_tag": "%", "one_liner": "Does %.", "why_it_exists": "w", "used_by": ["a"], "calls": [], "side_effects": [], "risk_note": null}',
+    '{"role_tag": 5, "one_liner": "One. Two. %", "why_it_exists": "todo", "used_by": ["a", 1], "calls": "%", "side_effects": [], "risk_note": 7}',
+    '{"role_tag": " ", "one_liner": {"a": "%"}, "why_it_exists": "w", "used_by": [], "calls": [], "side_effects": [], "risk_note": "N/A"}',
+    '{"role_tag": "%", "calls": []}',
+    '{"role_tag": "%"',
+]
+_JSON_SQL = "replace((['" + "', '".join(_JSON) + f"'])[(event_id % {len(_JSON)} + 1)::INTEGER], '%', event_type)"
+
+
+def _json(spark, sf):
+    e = read(spark, sf, "events")
+    return e.select("event_id", F.replace(F.get(F.array(*map(F.lit, _JSON)), (F.col("event_id") % len(_JSON)).cast("int")), F.lit("%"), F.col("event_type")).alias("j"))
+
+
+@query("f18_json_fields", f"SELECT event_id, CASE WHEN json_valid(j) AND json_type(j, '$.role_tag') = 'VARCHAR' THEN j->>'$.role_tag' END AS role_tag, CASE WHEN json_valid(j) AND json_type(j, '$.one_liner') = 'VARCHAR' THEN j->>'$.one_liner' END AS one_liner FROM (SELECT event_id, {_JSON_SQL} AS j FROM events)")
 def _f18(spark, sf):
-    return read(spark, sf, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+    return _json(spark, sf).select("event_id", T.json_string(F.col("j"), "role_tag").alias("role_tag"), T.json_string(F.col("j"), "one_liner").alias("one_liner"))
+
+
+_FOUND = [
+    "", "role_tag is empty or no string; used_by is no list of strings; calls is no list of strings; risk_note is neither a string nor null; one_liner of several sentences; why_it_exists has todo",
+    "role_tag is empty or no string; one_liner is empty or no string; risk_note has n/a", "missing field: one_liner; missing field: why_it_exists; missing field: used_by; missing field: side_effects; missing field: risk_note",
+    "missing field: role_tag; missing field: one_liner; missing field: why_it_exists; missing field: used_by; missing field: calls; missing field: side_effects; missing field: risk_note",
+]
+
+
+@query("f20_json_issues", f"SELECT event_id, (['" + "', '".join(_FOUND) + f"'])[(event_id % {len(_FOUND)} + 1)::INTEGER] AS issues FROM events")
+def _f20_json(spark, sf):
+    return _json(spark, sf).select("event_id", F.array_join(T.json_issues(F.col("j")), "; ").alias("issues"))
 
 
 @query("f19_strict_json", "SELECT event_id, json_valid(CASE WHEN event_id % 3 = 0 THEN '{' || props ELSE props END) AS valid FROM events")
@@ -187,15 +215,19 @@ def _a14(spark, sf):
     return _says(spark, sf).groupBy("role").agg(F.count("*").alias("n"), F.count_if(ok).alias("passed"))
 
 
-@query("f22_line_ops", "SELECT doc_id, len(string_split(text, chr(10)))::BIGINT AS n_lines, count_if(trim(l) <> '')::BIGINT AS filled FROM (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS l FROM documents) GROUP BY doc_id, text")
+_SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+@query("f22_line_ops", rf"""SELECT doc_id, len(lines)::BIGINT AS n_lines, len(list_filter(lines, lambda x: regexp_replace(x, '{_SPACE}', '', 'g') <> ''))::BIGINT AS filled
+FROM (SELECT doc_id, CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END AS lines FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))""")
 def _f22(spark, sf):
-    lines = F.split("text", "\n", -1)
-    return read(spark, sf, "documents").select("doc_id", F.size(lines).cast("long").alias("n_lines"), F.size(F.filter(lines, lambda x: F.trim(x) != "")).cast("long").alias("filled"))
+    lines = T.split_lines(F.col("text"))
+    return read(spark, sf, "documents").select("doc_id", F.size(lines).cast("long").alias("n_lines"), F.size(F.filter(lines, lambda x: ~T.blank(x))).cast("long").alias("filled"))
 
 
-@query("f24_normal_path", r"SELECT page_id, replace(replace(url, '/', '\'), '\', '/') AS path FROM pages")
+@query("f24_normal_path", r"SELECT page_id, array_to_string(list_filter(string_split(url, '/'), lambda p: p <> '' AND p <> '.'), '/') AS path FROM pages")
 def _f24(spark, sf):
-    return read(spark, sf, "pages").select("page_id", F.regexp_replace(F.regexp_replace("url", "/", r"\\"), r"\\", "/").alias("path"))
+    return read(spark, sf, "pages").select("page_id", tree.normal_path(F.concat(F.lit("./"), F.regexp_replace("url", "/", r"\\"))).alias("path"))
 
 
 @query("f25_copy_text", """SELECT event_id, 'fn' || user_id || CASE WHEN event_id % 2 = 0 THEN '
@@ -214,27 +246,67 @@ def _f25(spark, sf):
     return read(spark, sf, "events").select("event_id", T.copy_text(F.concat(F.lit("fn"), _s("user_id")), why, F.array(F.lit("a"), "event_type"), none, effects, F.lit(None).cast("string")).alias("text"))
 
 
-@query("f26_context_bundle", """WITH r AS (SELECT o_custkey AS k, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)
-SELECT k, 'Callers (' || any_value(n) || '):' || CASE WHEN any_value(n) > 3 THEN chr(10) || '  Most significant (top 3, ranked by importance):' || chr(10)
- || string_agg('    - n' || o_orderkey || ' (f:' || o_orderkey || ')', chr(10) ORDER BY i) FILTER (i <= 3) || chr(10) || '  Full list (most significant first):' ELSE '' END
- || chr(10) || string_agg('  - n' || o_orderkey || ' (f:' || o_orderkey || ')', chr(10) ORDER BY i) || CASE WHEN k % 2 = 1 THEN chr(10) || '  ... and 1 more caller(s) not shown' ELSE '' END AS section FROM r GROUP BY k""")
-def _f26(spark, sf):
+SECTION = """'Callers (' || n || '):' || CASE WHEN n > 3 THEN chr(10) || '  Most significant (top 3, ranked by importance):' || chr(10) || top || chr(10) || '  Full list (most significant first):' ELSE '' END
+ || chr(10) || listed || CASE WHEN k % 2 = 1 THEN chr(10) || '  ... and 1 more caller(s) not shown' ELSE '' END"""
+BUNDLES = f"""WITH r AS (SELECT o_custkey AS k, o_orderkey, o_orderpriority AS p, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
+g AS (SELECT k, any_value(n) AS n, string_agg('    - n' || o_orderkey || ' (f:' || o_orderkey || ')', chr(10) ORDER BY i) FILTER (i <= 3) AS top, string_agg('  - n' || o_orderkey || ' (f:' || o_orderkey || ')', chr(10) ORDER BY i) AS listed,
+ count(*) FILTER (p LIKE '1%') AS n_found, string_agg('  - r' || k || ':' || (o_orderkey + 1) || '-' || (o_orderkey + 2) || chr(10) || '      ' || p || chr(10) || '      two', chr(10) ORDER BY i) FILTER (p LIKE '1%') AS found,
+ '[' || string_agg('"n' || o_orderkey || '"', ',' ORDER BY i) || ']' AS names FROM r GROUP BY k),
+b AS (SELECT *, {SECTION} || chr(10) || 'Callees (0):' || chr(10) || '  none' || chr(10) || 'Retrieved context (' || n_found || '), background only:' || chr(10) || coalesce(found, '  none') AS bundle FROM g),
+s AS (SELECT *, 'Function source:' || chr(10) || 'src ' || k || chr(10) || chr(10) || 'Known callers: ' || names || chr(10) || 'Known callees: []' || chr(10) || 'Context bundle:' || chr(10) || bundle || chr(10) || chr(10) || 'Reasoning:' AS slot FROM b)"""
+
+
+def _bundles(spark, sf):
     node = F.struct(F.col("o_orderkey").alias("line"), F.concat(F.lit("n"), _s("o_orderkey")).alias("name"), F.lit("f").alias("file"))
-    g = read(spark, sf, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.sort_array(F.collect_list(node)).alias("r"))
-    return g.select("k", T.related_section("caller", F.col("r"), F.col("k") % 2).alias("section"))
+    chunk = F.struct(F.col("o_orderkey").alias("start_line"), (F.col("o_orderkey") + 2).alias("end_line"), F.concat(F.lit("r"), _s("o_custkey")).alias("rel_fname"), F.concat("o_orderpriority", F.lit("\ntwo")).alias("text"))
+    found = F.sort_array(F.collect_list(F.when(F.col("o_orderpriority").startswith("1"), chunk)))
+    g = read(spark, sf, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.sort_array(F.collect_list(node)).alias("r"), found.alias("found"))
+    none = F.filter("r", lambda x: F.lit(False))
+    return g.select("k", "r", none.alias("none"), P.context_bundle(F.col("r"), F.col("k") % 2, none, F.lit(0), F.col("found")).alias("bundle"))
+
+
+@query("f26_context_bundle", f"{BUNDLES} SELECT k, bundle FROM b")
+def _f26(spark, sf):
+    return _bundles(spark, sf).select("k", "bundle")
+
+
+@query("t6_top_highlight", f"{BUNDLES} SELECT k, {SECTION} AS section FROM g")
+def _t6(spark, sf):
+    return _bundles(spark, sf).select("k", T.related_section("caller", F.col("r"), F.col("k") % 2).alias("section"))
+
 
+@query("f28_stage_prompts", f"{BUNDLES} SELECT k, {len(P.EXAMPLES)}::INTEGER AS examples, slot AS asked, md5(slot || ' because' || chr(10) || chr(10) || 'JSON:') AS second FROM s")
+def _f28(spark, sf):
+    names = lambda c: F.transform(c, lambda x: x["name"])
+    parts = F.concat(F.lit("src "), _s("k")), names(F.col("r")), names(F.col("none")), F.col("bundle")
+    first = F.split(P.reasoning_prompt(*parts), P.RULE, -1)
+    return _bundles(spark, sf).select("k", (F.size(first) - 1).alias("examples"), F.element_at(first, -1).alias("asked"), F.md5(P.json_prompt(*parts, F.lit(" because "))).alias("second"))
 
-QUERIES["t6_top_highlight"], ORACLE_SQL["t6_top_highlight"] = QUERIES["f26_context_bundle"], ORACLE_SQL["f26_context_bundle"]
 
+def _named_roles(spark, sf):
+    return _roles(spark, sf).join(read(spark, sf, "part").select("p_partkey", "p_name"), "p_partkey").withColumn("one", F.when(F.col("p_partkey") % 2 == 0, F.concat("p_name", F.lit("."))))
 
-@query("f27_file_summary_prompt", f"""SELECT p_brand AS file, 'File: ' || p_brand || chr(10) || chr(10) || 'Functions:' || chr(10) || string_agg('  - ' || p_name || ' (' || coalesce(nullif(trim(role), ''), 'unknown role') || '): no summary available', chr(10) ORDER BY p_partkey) || chr(10) || chr(10) || 'Purpose paragraph:' AS prompt
+
+_ROLE = f"CASE WHEN trim(role) <> '' THEN role ELSE 'unknown role' END || '): ' || CASE WHEN p_partkey % 2 = 0 THEN p_name || '.' ELSE 'no summary available' END"
+
+
+@query("f27_file_summary_prompt", f"""SELECT p_brand AS file, 'File: ' || p_brand || chr(10) || chr(10) || 'Functions:' || chr(10) || string_agg('  - ' || p_name || ' (' || {_ROLE}, chr(10) ORDER BY p_partkey) || chr(10) || chr(10) || 'Purpose paragraph:' AS prompt
 FROM (SELECT p_partkey, p_brand, p_name, {_ROLE_SQL} AS role FROM part) GROUP BY p_brand""")
 def _f27(spark, sf):
-    r = _roles(spark, sf).join(read(spark, sf, "part").select("p_partkey", "p_name"), "p_partkey")
-    line = F.concat(F.lit("  - "), "p_name", F.lit(" ("), F.coalesce(F.nullif(F.trim("role"), F.lit("")), F.lit("unknown role")), F.lit("): no summary available"))
-    g = r.groupBy(F.col("p_brand").alias("file")).agg(F.sort_array(F.collect_list(F.struct("p_partkey", line.alias("line")))).alias("l"))
-    body = F.array_join(F.transform("l", lambda x: x["line"]), "\n")
-    return g.select("file", F.concat(F.lit("File: "), "file", F.lit("\n\nFunctions:\n"), body, F.lit("\n\nPurpose paragraph:")).alias("prompt"))
+    entry = F.struct("p_partkey", F.struct(F.col("p_name").alias("name"), F.col("role").alias("role_tag"), F.col("one").alias("one_liner")).alias("f"))
+    g = _named_roles(spark, sf).groupBy(F.col("p_brand").alias("file")).agg(F.sort_array(F.collect_list(entry)).alias("l"))
+    return g.select("file", P.file_summary_prompt(F.col("file"), F.transform("l", lambda x: x["f"])).alias("prompt"))
+
+
+@query("f27_cluster_prompt", f"""WITH r AS (SELECT p_partkey, p_brand, p_name, {_ROLE_SQL} AS role FROM part), l AS (SELECT p_brand, string_agg('  - ' || p_name || ' (depth ' || (p_partkey % 3 + 1) || ', ' || {_ROLE}, chr(10) ORDER BY p_partkey) AS listed FROM r GROUP BY 1)
+SELECT p_partkey, md5('Root function: ' || p_name || chr(10) || CASE WHEN trim(role) = '' AND p_partkey % 2 = 1 THEN '  (not yet indexed)' ELSE '  (' || {_ROLE} END || chr(10) || chr(10) || 'Known callers, direct or through others, most important first:' || chr(10)
+  || CASE WHEN p_partkey % 5 = 0 THEN '  none' ELSE listed END || chr(10) || chr(10) || 'Purpose paragraph:') AS prompt FROM r JOIN l USING (p_brand)""")
+def _f27_cluster(spark, sf):
+    rows = _named_roles(spark, sf)
+    caller = F.struct(F.col("p_name").alias("name"), F.col("role").alias("role_tag"), F.col("one").alias("one_liner"), (F.col("p_partkey") % 3 + 1).alias("depth"))
+    lists = rows.groupBy("p_brand").agg(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", caller.alias("c")))), lambda x: x["c"]).alias("l"))
+    callers = F.when(F.col("p_partkey") % 5 == 0, F.filter("l", lambda x: F.lit(False))).otherwise(F.col("l"))
+    return rows.join(lists, "p_brand").select("p_partkey", F.md5(P.cluster_summary_prompt(F.col("p_name"), F.col("role"), F.col("one"), callers)).alias("prompt"))
 
 
 @query("f29_poll_interval", "SELECT event_id, CASE WHEN user_id % 5 = 0 OR value < 2.0 THEN 0.02 ELSE 0.25 END::DOUBLE AS wait FROM events")
@@ -253,7 +325,9 @@ def _f31(spark, sf):
     return read(spark, sf, "customer").select("c_custkey", T.failure_cause(k % 5 == 0, k % 3 != 0, k % 2 == 0).alias("cause"))
 
 
-QUERIES["r9_heartbeat"], ORACLE_SQL["r9_heartbeat"] = QUERIES["f31_failure_cause"], ORACLE_SQL["f31_failure_cause"]
+@query("r9_heartbeat", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'skip' WHEN c_custkey % 5 >= 3 THEN 'restart' ELSE 'ping' END AS action FROM customer")
+def _r9(spark, sf):
+    return read(spark, sf, "customer").select("c_custkey", T.heartbeat_action(F.col("c_custkey") % 5, (F.col("c_custkey") % 3 == 0).cast("int")).alias("action"))
 
 
 @query("f32_settings", "SELECT c_custkey, CASE WHEN v >= 1 THEN floor(v) ELSE 200 END::BIGINT AS top_n, CASE WHEN v >= 5 THEN v ELSE 25.0 END::DOUBLE AS flush FROM (SELECT c_custkey, CASE WHEN c_custkey % 6 > 0 THEN c_acctbal / 100 END AS v FROM customer)")
@@ -273,16 +347,22 @@ def _f34(spark, sf):
     return read(spark, sf, "part").select("p_partkey", T.subsequence_match(F.col("p_name"), "Ring").alias("match"))
 
 
-@query("p2_excluded_names", "SELECT p_partkey, p_name FROM part WHERE NOT (p_brand IN ('Brand#1', 'Brand#2') AND p_name LIKE '%ring') AND NOT (p_brand = 'Brand#3' AND p_name LIKE 'red%')")
+_LANGUAGES = ["javascript", "typescript", "typescriptreact", "python"]
+
+
+@query("p2_excluded_names", f"""SELECT p_partkey, language, kind, name FROM (SELECT p_partkey, (['{"', '".join(_LANGUAGES)}'])[(p_partkey % 4 + 1)::INTEGER] AS language, CASE WHEN p_partkey % 8 < 4 THEN 'def' ELSE 'ref' END AS kind,
+ CASE p_partkey % 3 WHEN 0 THEN 'constructor' WHEN 1 THEN 'require' ELSE p_name END AS name FROM part) WHERE NOT (kind = 'def' AND name = 'constructor' AND language <> 'python') AND NOT (kind = 'ref' AND name = 'require' AND language = 'javascript')""")
 def _p2(spark, sf):
-    b, n = F.col("p_brand"), F.col("p_name")
-    return read(spark, sf, "part").filter(~(b.isin("Brand#1", "Brand#2") & n.like("%ring")) & ~((b == "Brand#3") & n.like("red%"))).select("p_partkey", "p_name")
+    k = F.col("p_partkey")
+    tags = read(spark, sf, "part").select(
+        "p_partkey", F.get(F.array(*map(F.lit, _LANGUAGES)), (k % 4).cast("int")).alias("language"), F.when(k % 8 < 4, "def").otherwise("ref").alias("kind"), F.when(k % 3 == 0, "constructor").when(k % 3 == 1, "require").otherwise(F.col("p_name")).alias("name")
+    )
+    return tree.allowed_names(tags)
 
 
 @query("p3_component_names", r"SELECT doc_id, regexp_extract(name, '^[^.]+') AS root FROM (SELECT doc_id, regexp_extract(text, '^\S+') AS name FROM documents) WHERE contains(name, '.') OR regexp_matches(name, '^\p{Lu}')")
 def _p3(spark, sf):
-    name = F.regexp_extract("text", r"^\S+", 0)
-    return read(spark, sf, "documents").select("doc_id", name.alias("name")).filter(F.contains("name", F.lit(".")) | F.col("name").rlike(r"^\p{Lu}")).select("doc_id", F.regexp_extract("name", r"^[^.]+", 0).alias("root"))
+    return read(spark, sf, "documents").select("doc_id", tree.component_root(F.regexp_extract("text", r"^\S+", 0)).alias("root")).filter("root IS NOT NULL")
 
 
 @query("p6_binary_head", "SELECT doc_id, strlen(text) > 1024 AND hex(encode(text))[2049:2050] BETWEEN '80' AND 'BF' AS binary_head FROM documents")
@@ -295,12 +375,24 @@ def _p7(spark, sf):
     return read(spark, sf, "documents").select("doc_id", F.octet_length("text").cast("long").alias("size")).filter("size > 5000")
 
 
-@query("p9_extension", "SELECT page_id, url FROM pages WHERE ends_with(url, '.html') OR ends_with(url, '/')")
+_ENDS = [".js", ".jsx", ".ts", ".tsx", ".py", ".rb", "", ".js.map", ".PY"]
+_ENDED = f"url || (['{"', '".join(_ENDS)}'])[(page_id % {len(_ENDS)} + 1)::INTEGER]"
+
+
+def _ended(spark, sf):
+    return read(spark, sf, "pages").select("page_id", F.concat("url", F.get(F.array(*map(F.lit, _ENDS)), (F.col("page_id") % len(_ENDS)).cast("int"))).alias("path"))
+
+
+@query("p9_extension", f"SELECT page_id, {_ENDED} AS path, page_id % {len(_ENDS)} < 5 AS supported FROM pages")
 def _p9(spark, sf):
-    return read(spark, sf, "pages").filter(F.endswith("url", F.lit(".html")) | F.endswith("url", F.lit("/"))).select("page_id", "url")
+    return _ended(spark, sf).select("page_id", "path", tree.supported(F.col("path")).alias("supported"))
 
 
-QUERIES["s13_changed_files"], ORACLE_SQL["s13_changed_files"] = QUERIES["p9_extension"], ORACLE_SQL["p9_extension"]
+@query("s13_changed_files", f"SELECT DISTINCT {_ENDED} AS rel_fname FROM pages WHERE page_id % {len(_ENDS)} < 5")
+def _s13(spark, sf):
+    """The lines of a change marker, with blanks around and repeats."""
+    lines = _ended(spark, sf).select(F.concat(F.lit("  "), "path", F.lit(" ")).alias("value"))
+    return tree.marked_files(lines.unionByName(lines))
 
 
 @query("p10_function_like", "SELECT event_id, event_type IN ('click') OR (event_type IN ('view', 'error') AND contains(props, '1')) AS is_function FROM events")
@@ -309,10 +401,14 @@ def _p10(spark, sf):
     return read(spark, sf, "events").select("event_id", T.function_like(kind, F.replace("props", F.lit("1"), F.lit("=>"))).alias("is_function"))
 
 
-@query("p11_loopback", "SELECT page_id, page_id % 3 = 0 AS local FROM pages")
+@query("p11_loopback", """SELECT page_id, CASE WHEN page_id % 3 = 0 THEN (['http://localhost:11434', 'HTTP://127.0.0.1/x', 'http://[::1]:80/'])[(page_id % 9 // 3 + 1)::INTEGER] ELSE 'http://localhost:11434' END AS url,
+CASE WHEN page_id % 3 = 1 THEN url END AS rejected FROM pages""")
 def _p11(spark, sf):
-    url = F.when(F.col("page_id") % 3 == 0, F.get(F.array(F.lit("http://localhost:11434"), F.lit("HTTP://127.0.0.1/x"), F.lit("http://[::1]:80/")), (F.col("page_id") % 9 / 3).cast("int"))).otherwise(F.col("url"))
-    return read(spark, sf, "pages").select("page_id", T.loopback(url).alias("local"))
+    """Endpoints of this machine, of others, and none."""
+    k = F.col("page_id")
+    local = F.get(F.array(F.lit("http://localhost:11434"), F.lit("HTTP://127.0.0.1/x"), F.lit("http://[::1]:80/")), (k % 9 / 3).cast("int"))
+    out = read(spark, sf, "pages").select("page_id", T.endpoint_setting(F.when(k % 3 == 0, local).when(k % 3 == 1, F.col("url")).otherwise("  ")).alias("e"))
+    return out.select("page_id", "e.url", "e.rejected")
 
 
 @query("p12_known_names", "SELECT o_custkey AS k, string_agg(o_orderpriority, ',' ORDER BY o_orderkey) AS names FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') GROUP BY 1")
@@ -334,13 +430,34 @@ def _p14(spark, sf):
     return (named if named.head(1) else p.orderBy(F.desc("p_retailprice"), "p_partkey").limit(15)).select("p_partkey")
 
 
-@query("s3_excluded_dirs", "SELECT page_id FROM pages WHERE NOT regexp_matches(url, '/(de|build[^/]*)/')")
+_DIRS = ["src", "node_modules", "build", "x.egg-info", "venv", "builds", "egg-info", ".tox"]
+_PATH = f"(['{"', '".join(_DIRS)}'])[(doc_id % {len(_DIRS)} + 1)::INTEGER] || '/a/' || doc_id || (['.js', '.ts', '.tsx', '.py', '.md'])[(doc_id % 5 + 1)::INTEGER]"
+
+
+def _paths(spark, sf):
+    k = F.col("doc_id")
+    folder, ext = F.get(F.array(*map(F.lit, _DIRS)), (k % len(_DIRS)).cast("int")), F.get(F.array(*map(F.lit, (".js", ".ts", ".tsx", ".py", ".md"))), (k % 5).cast("int"))
+    return read(spark, sf, "documents").select("doc_id", F.concat(folder, F.lit("/a/"), _s("doc_id"), ext).alias("rel_fname"))
+
+
+@query("s3_excluded_dirs", f"SELECT doc_id, {_PATH} AS rel_fname FROM documents WHERE doc_id % {len(_DIRS)} IN (0, 5, 6)")
 def _s3(spark, sf):
-    parts = F.split("url", "/")
-    return read(spark, sf, "pages").filter(~F.exists(F.slice(parts, 1, F.size(parts) - 1), lambda d: d.isin("de") | d.rlike("^build.*$"))).select("page_id")
+    return _paths(spark, sf).filter(~tree.in_excluded_dir(F.col("rel_fname")))
+
+
+@query("s1_discovered_files", f"SELECT {_PATH} AS rel_fname, (['javascript', 'typescript', 'typescriptreact', 'python'])[(doc_id % 5 + 1)::INTEGER] AS language FROM documents WHERE doc_id % {len(_DIRS)} IN (0, 5, 6) AND doc_id % 5 < 4")
+def _s1(spark, sf):
+    files = _paths(spark, sf)
+    return tree.with_language(files.filter(~tree.in_excluded_dir(F.col("rel_fname")))).select("rel_fname", "language")
+
+
+@query("s5_gitignore", f"""SELECT doc_id FROM (SELECT doc_id, {_PATH} AS p FROM documents) WHERE NOT (ends_with(p, '.md') AND NOT p LIKE 'src/%' OR regexp_matches(p, '^builds/a/[^/]*1[.]ts$') OR p LIKE 'venv/%' OR regexp_matches(p, '(^|/)[^/]*7[.]py$'))""")
+def _s5(spark, sf):
+    rules = tree.ignore_rules("# notes\n*.md\n!/src/**/*.md\n/builds/a/*1.ts\nvenv/\n\n*7.py\n")
+    return _paths(spark, sf).filter(~tree.ignored(F.col("rel_fname"), rules)).select("doc_id")
 
 
-@query("s4_language_by_extension", "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'javascript' WHEN 1 THEN 'javascript' WHEN 2 THEN 'typescript' WHEN 3 THEN 'tsx' ELSE 'python' END AS language FROM documents")
+@query("s4_language_by_extension", "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'javascript' WHEN 1 THEN 'javascript' WHEN 2 THEN 'typescript' WHEN 3 THEN 'typescriptreact' ELSE 'python' END AS language FROM documents")
 def _s4(spark, sf):
     from graphloom.sources.manifest import extension_table
 
@@ -348,7 +465,7 @@ def _s4(spark, sf):
     return read(spark, sf, "documents").select("doc_id", ext.alias("ext")).join(F.broadcast(extension_table(spark)), "ext").select("doc_id", "language")  # five rows
 
 
-@query("s10_manifest", "SELECT * FROM (VALUES ('.js', 'javascript'), ('.jsx', 'javascript'), ('.ts', 'typescript'), ('.tsx', 'tsx'), ('.py', 'python')) t(ext, language)")
+@query("s10_manifest", "SELECT * FROM (VALUES ('.js', 'javascript'), ('.jsx', 'javascript'), ('.ts', 'typescript'), ('.tsx', 'typescriptreact'), ('.py', 'python')) t(ext, language)")
 def _s10(spark, sf):
     from graphloom.sources.manifest import extension_table
 
@@ -360,21 +477,20 @@ def _s14(spark, sf):
     return read(spark, sf, "documents").filter(F.octet_length("text") >= 30).select("doc_id", F.lower(F.hex(F.substring(F.encode("text", "UTF-8"), 11, 20))).alias("bytes"))
 
 
-@query("a8_progress", "SELECT user_id, count(*)::BIGINT AS total, count_if(event_type = 'click')::BIGINT AS generated, count_if(event_type = 'view')::BIGINT AS skipped, floor(100.0 * count_if(event_type IN ('click', 'view')) / count(*) + 0.5)::BIGINT AS percent FROM events GROUP BY user_id")
+@query("a8_progress", """SELECT user_id, count(*)::BIGINT AS total, count_if(event_type = 'click')::BIGINT AS generated, count_if(event_type = 'view')::BIGINT AS skipped, count_if(event_type = 'signup')::BIGINT AS unresolved, count_if(event_type = 'error')::BIGINT AS failed,
+floor(100.0 * count_if(event_type <> 'purchase') / count(*) + 0.5)::BIGINT AS percent FROM events GROUP BY user_id""")
 def _a8(spark, sf):
     t = F.col("event_type")
-    done = F.count_if(t.isin("click", "view"))
-    return read(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("total"), F.count_if(t == "click").alias("generated"), F.count_if(t == "view").alias("skipped"), F.floor(100.0 * done / F.count("*") + 0.5).alias("percent"))
+    outcome = F.when(t == "click", "generated").when(t == "view", "skipped").when(t == "signup", "unresolved").when(t == "error", "failed").otherwise("waiting")
+    return passes.progress(read(spark, sf, "events").select("user_id", outcome.alias("outcome")), ["user_id"])
 
 
 @query("a9_rolling_eta", """SELECT event_id, round(CASE WHEN n > 1 AND last_us > first_us THEN 100 / ((n - 1) / ((last_us - first_us) / 1000.0)) END, 3) AS eta_ms FROM (SELECT event_id, count(*) OVER w AS n, epoch_us(ts) AS last_us, min(epoch_us(ts)) OVER w AS first_us
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND CURRENT ROW))""")
 def _a9(spark, sf):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-5, 0)
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    e = read(spark, sf, "events").select("event_id", F.count("*").over(w).alias("n"), us.alias("last_us"), F.min(us).over(w).alias("first_us"))
-    eta = 100 / ((F.col("n") - 1) / ((F.col("last_us") - F.col("first_us")) / 1000.0))
-    return e.select("event_id", F.round(F.when((F.col("n") > 1) & (F.col("last_us") > F.col("first_us")), eta), 3).alias("eta_ms"))
+    out = passes.rolling_eta(read(spark, sf, "events"), "user_id", ["ts", "event_id"], us, F.lit(100))
+    return out.select("event_id", F.round("eta_ms", 3).alias("eta_ms"))
 
 
 QUERIES["w10_rolling_completions"], ORACLE_SQL["w10_rolling_completions"] = QUERIES["a9_rolling_eta"], ORACLE_SQL["a9_rolling_eta"]
