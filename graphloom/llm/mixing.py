@@ -183,6 +183,11 @@ def mixed_documents(documents: DataFrame, **options: object) -> DataFrame:
     edge of a source's last draw cuts documents. Rows lie by shard and part of it, in shuffled order. Columns pass
     through, whatever their names; see draw for the other cases.
     """
+    return mixed_rows(documents, **options).select("gl_row.*")
+
+
+def mixed_rows(documents: DataFrame, **options: object) -> DataFrame:
+    """(gl_row): the rows of mixed_documents as structs."""
     placed, pieces, total = draw(documents, **options)
     parts = -(-total // (PART_WORDS * shards_for(total))) or 1  # a shard is as many tasks, not one
     by_copy = Window.partitionBy(*ROW, "copy").orderBy("first")
@@ -199,4 +204,4 @@ def mixed_documents(documents: DataFrame, **options: object) -> DataFrame:
     whole = (F.col("first") == 0) & (F.col("last") == F.size(words))
     text = F.when(whole, F.col("gl_row.text")).otherwise(F.array_join(F.slice(words, (F.col("first") + 1).cast("int"), (F.col("last") - F.col("first")).cast("int")), " "))
     met = met.select(F.col("gl_row").withField("text", text).alias("gl_row"), "shard", F.pmod("place", F.lit(parts)).alias("part"), "place")
-    return met.repartition("shard", "part").sortWithinPartitions("shard", "part", "place").select("gl_row.*")
+    return met.repartition("shard", "part").sortWithinPartitions("shard", "part", "place").select("gl_row")

@@ -15,10 +15,12 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from graphloom.llm.common import small_batches
+from graphloom.llm.common import packed, small_batches
 from graphloom.llm.textops import gram_owner, grams, mix, utf8, word_hashes, word_spans
 
 WINDOW, CORE = 13, 8
@@ -219,48 +221,54 @@ def _find(shared, log2: int):  # noqa: ANN001, ANN202
     return run
 
 
-def _remove(columns: list[str], schema: pa.Schema):  # noqa: ANN202
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, offsets = utf8(batch.column("text"))
-            starts, ends, first = word_spans(raw, offsets)
-            count = np.diff(first)
-            late, places, text_hash = batch.column("gl_hashes"), batch.column("gl_places"), batch.column("gl_text_hash").to_pylist()
-            marked = np.flatnonzero(np.asarray(late.is_valid()) | np.asarray(places.is_valid()))
-            kept, removed = batch.column("text").to_pylist(), np.zeros(batch.num_rows, np.int64)
-            for i in marked.tolist():
-                n = int(count[i])
-                if n < WINDOW:
-                    continue
-                hit = np.zeros(n - WINDOW + 1, bool)
-                if late[i].is_valid and len(late[i].values):
-                    own = word_hashes(raw, starts[first[i] : first[i + 1]], ends[first[i] : first[i + 1]])
-                    hit |= np.isin(grams(own, WINDOW, seed=1), np.asarray(late[i].values).view(np.uint64))
-                for x in places[i].as_py() or ():
-                    if x["text_hash"] == text_hash[i]:
-                        data = pa.decompress(x["places"][4:], 4 * int.from_bytes(x["places"][:4], "little"), "zstd", asbytes=True)
-                        hit[np.cumsum(np.frombuffer(data, np.uint32))] = True
-                edge = np.zeros(n + 1, np.int32)
-                edge[:-WINDOW] += hit
-                edge[WINDOW:] -= hit
-                gone = np.cumsum(edge[:-1]) > 0
-                removed[i] = int(gone.sum())
-                if removed[i]:
-                    kept[i] = b" ".join(compress(kept[i].encode().split(), (~gone).tolist())).decode()
-            arrays = [batch.column(c) if c != "text" else pa.array(kept, pa.string()) for c in columns]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(count), pa.array(removed)], schema=schema)
-
-    return run
+def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """gl_row with gl_text, the kept words where any goes and else null, gl_words and gl_removed."""
+    for batch in batches:
+        text = pc.struct_field(batch.column("gl_row"), "text")
+        raw, offsets = utf8(text)
+        starts, ends, first = word_spans(raw, offsets)
+        count = np.diff(first)
+        late, places, text_hash = batch.column("gl_hashes"), batch.column("gl_places"), batch.column("gl_text_hash").to_pylist()
+        marked = np.flatnonzero(np.asarray(late.is_valid()) | np.asarray(places.is_valid()))
+        kept, removed = [None] * batch.num_rows, np.zeros(batch.num_rows, np.int64)
+        for i in marked.tolist():
+            n = int(count[i])
+            if n < WINDOW:
+                continue
+            hit = np.zeros(n - WINDOW + 1, bool)
+            if late[i].is_valid and len(late[i].values):
+                own = word_hashes(raw, starts[first[i] : first[i + 1]], ends[first[i] : first[i + 1]])
+                hit |= np.isin(grams(own, WINDOW, seed=1), np.asarray(late[i].values).view(np.uint64))
+            for x in places[i].as_py() or ():
+                if x["text_hash"] == text_hash[i]:
+                    data = pa.decompress(x["places"][4:], 4 * int.from_bytes(x["places"][:4], "little"), "zstd", asbytes=True)
+                    hit[np.cumsum(np.frombuffer(data, np.uint32))] = True
+            edge = np.zeros(n + 1, np.int32)
+            edge[:-WINDOW] += hit
+            edge[WINDOW:] -= hit
+            gone = np.cumsum(edge[:-1]) > 0
+            removed[i] = int(gone.sum())
+            if removed[i]:
+                kept[i] = b" ".join(compress(text[i].as_py().encode().split(), (~gone).tolist())).decode()
+        yield pa.RecordBatch.from_arrays([batch.column("gl_row"), pa.array(kept, pa.string()), pa.array(count), pa.array(removed)], names=["gl_row", "gl_text", "gl_words", "gl_removed"])
 
 
 def remove_repeats(documents: DataFrame) -> DataFrame:
     """documents without the words covered by a window of WINDOW words that also starts in a document of smaller doc_id.
 
     Returns the columns of documents, text holding the kept words joined by one space where any was removed (else
-    unchanged), with gl_words and gl_removed: the numbers of words and of removed ones. Windows are judged on the
-    input. Defined cases: a null text has no words and stays null; documents of a null doc_id neither lose words nor
-    make others lose any; rows that share a doc_id are one document, none earlier than another; texts below WINDOW
-    words stay; an empty table stays empty. Columns beginning with gl_ are reserved.
+    unchanged), with gl_words and gl_removed: the numbers of words and of removed ones. See judged for the cases.
+    """
+    return judged(documents).select("gl_row.*", "gl_words", "gl_removed")
+
+
+def judged(documents: DataFrame) -> DataFrame:
+    """(gl_row, gl_words, gl_removed): the rows of remove_repeats as structs, so that no column's name can clash.
+
+    Windows are judged on the input. Defined cases: a null text has no words and stays null; documents of a null
+    doc_id neither lose words nor make others lose any; rows that share a doc_id are one document, none earlier than
+    another; texts below WINDOW words stay; texts of any length are judged whole; repeated rows lose the same words;
+    columns pass through, whatever their names; an empty table stays empty.
     """
     spark = documents.sparkSession
     small_batches(spark)
@@ -290,11 +298,11 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
         F.collect_list(F.when(~F.col("settled"), F.col("hash"))).alias("gl_hashes"), F.collect_list(F.when(F.col("settled"), F.struct("text_hash", "places"))).alias("gl_places")
     )
 
-    joined = documents.withColumn("gl_text_hash", text_hash).join(marks, F.col("doc_id") == F.col("gl_doc_id"), "left")
-    out = documents.schema.simpleString()[7:-1]
-    probe = documents.limit(0).toArrow().schema
-    schema = pa.schema([*[probe.field(c) if c != "text" else pa.field("text", pa.string()) for c in documents.columns], ("gl_words", pa.int64()), ("gl_removed", pa.int64())])
-    return joined.mapInArrow(_remove(documents.columns, schema), f"{out},gl_words:bigint,gl_removed:bigint")
+    rows = packed(documents)
+    joined = rows.withColumn("gl_text_hash", F.xxhash64("gl_row.text")).join(marks, F.col("gl_row.doc_id") == F.col("gl_doc_id"), "left")
+    out = T.StructType([*rows.schema, T.StructField("gl_text", T.StringType()), T.StructField("gl_words", T.LongType()), T.StructField("gl_removed", T.LongType())])
+    found = joined.mapInArrow(_remove, out)
+    return found.select(F.col("gl_row").withField("text", F.coalesce("gl_text", "gl_row.text")).alias("gl_row"), "gl_words", "gl_removed")
 
 
 def digest(documents: DataFrame) -> DataFrame:
