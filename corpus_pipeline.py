@@ -45,10 +45,11 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Documents without the words of windows that an earlier document holds; those left without a word go.
 
     Defined cases: see substring.remove_repeats; a text that had no word (null, empty, blank) stays as it is; columns
-    pass through, whatever their names (but for the prefix gl_, which is reserved).
+    pass through, whatever their names.
     """
-    out = substring.remove_repeats(docs).filter((F.col("gl_removed") == 0) | (F.col("gl_removed") < F.col("gl_words")))
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    out = substring.judged(docs).filter((F.col("gl_removed") == 0) | (F.col("gl_removed") < F.col("gl_words")))
+    size = F.length("gl_row.text").cast("long")
+    return out.select(F.col("gl_row").withField("n_chars", size).alias("gl_row")).select("gl_row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +58,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Defined cases: a text without a word (null, empty, blank) has nothing to be taken, and goes; see mixing.draw and
     mixing.mixed_documents for the others.
     """
-    return mixing.mixed_documents(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    size = F.length("gl_row.text").cast("long")
+    return mixing.mixed_rows(docs).select(F.col("gl_row").withField("n_chars", size).alias("gl_row")).select("gl_row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
