@@ -46,12 +46,34 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
     return G.call_graph(tags(spark, sf), aliases(spark, sf))
 
 
-def ranked_graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """(edges, importance), the edges as a written table, for they are read several times."""
+#: Graphs that keep_graph() has built, by session and folder.
+_kept: dict[tuple[str, str], dict[str, DataFrame]] = {}
+
+
+def keep_graph(spark: SparkSession, sf: str) -> None:
+    """Build the index once, as written tables that the graph queries of this session then read instead of building their own."""
+    t = G.cut(tags(spark, sf), "tags")
+    before = _old_parts(_renamed(t), aliases(spark, sf))
+    e = G.cut(G.call_graph(t, aliases(spark, sf)), "edges")
+    imp = G.cut(G.fan_in(G.nodes(t), e), "importance")
+    _kept[spark.sparkContext.applicationId, sf] = {"tags": t, "edges": e, "importance": imp, "old parts": before, "old edges": G.cut(G.fold(before), "old-edges")}
+
+
+def _held(spark: SparkSession, sf: str, name: str) -> DataFrame | None:
+    return _kept.get((spark.sparkContext.applicationId, sf), {}).get(name)
+
+
+def _build(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     e = G.cut(edges(spark, sf), "edges")
     return e, G.cut(G.fan_in(G.nodes(tags(spark, sf)), e), "importance")
 
 
+def ranked_graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(edges, importance) as written tables, for they are read several times."""
+    e = _held(spark, sf, "edges")
+    return (e, _held(spark, sf, "importance")) if e is not None else _build(spark, sf)
+
+
 def roots(spark: SparkSession, sf: str) -> DataFrame:
     """Every function."""
     return parts(spark, sf).select(F.col("p_partkey").alias("root"), F.col("file").alias("rel_fname"), "name", F.col("p_partkey").alias("line"))
@@ -163,10 +185,22 @@ def _confident(spark, sf):
 @query("g3_incremental_update", f"WITH {EDGES} {EDGE_ROWS}")
 def _incremental(spark, sf):
     """One file's names change and change back; the updated graph must be the full one."""
-    new, alias = tags(spark, sf), aliases(spark, sf)
-    old = new.withColumn("name", F.when((F.col("rel_fname") == "Brand#5") & (F.col("kind") == "def"), F.concat(F.lit("old "), "name")).otherwise(F.col("name")))
-    before = G.cut(G.contributions(G.enclosed_refs(old), G.candidates(old, alias)), "old-parts")
-    return G.update_call_graph(before, old, new, alias, "Brand#5")
+    new, alias = _held(spark, sf, "tags"), aliases(spark, sf)
+    new = G.cut(tags(spark, sf), "tags") if new is None else new
+    old = _renamed(new)
+    before, edges_ = _held(spark, sf, "old parts"), _held(spark, sf, "old edges")
+    if before is None:
+        before = _old_parts(old, alias)
+        edges_ = G.cut(G.fold(before), "old-edges")
+    return G.update_call_graph(edges_, before, old, new, alias, "Brand#5")
+
+
+def _renamed(new):
+    return new.withColumn("name", F.when((F.col("rel_fname") == "Brand#5") & (F.col("kind") == "def"), F.concat(F.lit("old "), "name")).otherwise(F.col("name")))
+
+
+def _old_parts(old, alias):
+    return G.cut(G.contributions(G.enclosed_refs(old), G.candidates(old, alias)), "old-parts")
 
 
 @query("g10_reindex_file", f"WITH {EDGES} SELECT '{ALIAS_BRAND}' AS rel_fname, (SELECT count(*) FROM parts WHERE file = '{ALIAS_BRAND}')::BIGINT AS functions, count(*)::BIGINT AS edges, sum(weight)::BIGINT AS weight, count_if(confident)::BIGINT AS sure FROM edges")
@@ -207,7 +241,8 @@ p0 AS MATERIALIZED (SELECT p_partkey AS k, 1.0 / n AS x FROM parts, n)"""]
 
 @query("g4_pagerank_12iter", _rank_sql(12))
 def _pagerank(spark, sf):
-    e = G.cut(edges(spark, sf), "edges")
+    e = _held(spark, sf, "edges")
+    e = G.cut(edges(spark, sf), "edges") if e is None else e
     r = G.pagerank(G.nodes(tags(spark, sf)), e, iterations=12, tolerance=None)
     return r.select("rel_fname", "name", "line", F.round(F.col("importance") * 1e4, 6).alias("importance"))
 

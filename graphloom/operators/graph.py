@@ -8,6 +8,8 @@ importance falling, then file, name, line.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -89,8 +91,8 @@ def affected_names(old_tags: DataFrame, new_tags: DataFrame, aliases: DataFrame,
     return touched.union(spelled).distinct()
 
 
-def update_contributions(parts: DataFrame, old_tags: DataFrame, new_tags: DataFrame, aliases: DataFrame, rel_fname: str) -> DataFrame:
-    """Contributions after the tags of one file have changed, equal to those of new_tags.
+def update_contributions(parts: DataFrame, old_tags: DataFrame, new_tags: DataFrame, aliases: DataFrame, rel_fname: str) -> tuple[DataFrame, DataFrame]:
+    """(kept, fresh): contributions after the tags of one file have changed; together they equal those of new_tags.
 
     Only the file's own references and those to affected names are resolved again: they are picked before the
     containment join, and meet only the definitions of their names. aliases must be those of both states; where they
@@ -105,19 +107,32 @@ def update_contributions(parts: DataFrame, old_tags: DataFrame, new_tags: DataFr
     reached = wanted.union(spelled.select(F.col("target_name").alias("name"))).distinct()
     found = candidates(defs.join(reached, "name", "left_semi"), spelled).join(wanted, "name", "left_semi")
     kept = parts.filter(F.col("caller_file") != rel_fname).join(names, "name", "left_anti")
-    return kept.unionByName(contributions(fresh, found))
+    return kept, contributions(fresh, found)
+
 
+def update_call_graph(edges: DataFrame, parts: DataFrame, old_tags: DataFrame, new_tags: DataFrame, aliases: DataFrame, rel_fname: str) -> DataFrame:
+    """Edges after the tags of one file have changed, equal to call_graph(new_tags, aliases); edges is the fold of parts.
 
-def update_call_graph(parts: DataFrame, old_tags: DataFrame, new_tags: DataFrame, aliases: DataFrame, rel_fname: str) -> DataFrame:
-    """Edges after the tags of one file have changed, equal to call_graph(new_tags, aliases); see update_contributions."""
-    return fold(update_contributions(parts, old_tags, new_tags, aliases, rel_fname))
+    Only the edges that lose or gain a contribution are folded again; the others are passed on where they lie.
+    """
+    kept, fresh = update_contributions(parts, old_tags, new_tags, aliases, rel_fname)
+    fresh = cut(fresh, "fresh-parts")
+    names = affected_names(old_tags, new_tags, aliases, rel_fname)
+    lost = parts.filter(F.col("caller_file") == rel_fname).select(*CALLER, *CALLEE).union(parts.filter(F.col("caller_file") != rel_fname).join(names, "name", "left_semi").select(*CALLER, *CALLEE))
+    touched = cut(lost.union(fresh.select(*CALLER, *CALLEE)).distinct(), "touched-edges")
+    again = fold(kept.join(touched, CALLER + CALLEE, "left_semi").unionByName(fresh))
+    return edges.join(touched, CALLER + CALLEE, "left_anti").unionByName(again.select(*edges.columns))
 
 
 def reindex(parts: DataFrame, old_tags: DataFrame, new_tags: DataFrame, old_aliases: DataFrame, new_aliases: DataFrame, rel_fname: str) -> tuple[DataFrame, int]:
     """(contributions of new_tags, the file's number of definitions) after one file was read anew; where aliases changed, all is resolved again."""
     old, new = alias_targets(old_aliases), alias_targets(new_aliases)
     same = not old.exceptAll(new).unionByName(new.exceptAll(old)).head(1)
-    out = update_contributions(parts, old_tags, new_tags, new_aliases, rel_fname) if same else contributions(enclosed_refs(new_tags), candidates(new_tags, new_aliases))
+    if same:
+        kept, fresh = update_contributions(parts, old_tags, new_tags, new_aliases, rel_fname)
+        out = kept.unionByName(fresh)
+    else:
+        out = contributions(enclosed_refs(new_tags), candidates(new_tags, new_aliases))
     return out, new_tags.filter((F.col("rel_fname") == rel_fname) & (F.col("kind") == "def")).count()
 
 
@@ -187,61 +202,70 @@ def function_context(edges: DataFrame, importance: DataFrame, cap: int = RELATED
     return both.filter(F.col("pos") <= cap)
 
 
+def _numbered(edges: DataFrame, importance: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, links): nodes(NODE, importance, k) numbered in the total order, and the confident edges as (a, c) of caller's and callee's numbers.
+
+    Walks then compare, join and shuffle whole numbers alone. importance has a row for every node.
+    """
+    ids = cut(positions(importance.select(*NODE, "importance"), F.desc("importance"), *NODE).withColumnRenamed("pos", "k"), "walk-nodes")
+    side = lambda cols, to: ids.select(*[F.col(n).alias(c) for c, n in zip(cols, NODE, strict=True)], F.col("k").alias(to))
+    links = edges.filter("confident").select(*CALLER, *CALLEE).join(side(CALLER, "a"), CALLER).join(side(CALLEE, "c"), CALLEE)
+    return ids, cut(links.select("a", "c"), "walk-links", "snappy")
+
+
+def _named(rows: DataFrame, ids: DataFrame, number: str, cols: list[str], importance: bool = False) -> DataFrame:
+    """rows with the node of a number in the given columns instead of it."""
+    names = ids.select(F.col("k").alias(number), *[F.col(n).alias(c) for c, n in zip(cols, NODE, strict=True)], *(["importance"] if importance else []))
+    return rows.join(names, number).drop(number)
+
+
 def blast_radius(edges: DataFrame, importance: DataFrame, roots: DataFrame, depth: int = DEPTH, cap: int = LEVEL_CAP) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, edges, omissions) of the upstream walk from each of roots(root, rel_fname, name, line), all roots in one job.
 
-    Each level keeps the first cap new callers; omitted ones never come back and are never expanded.
+    Each level keeps the first cap new callers; omitted ones never come back and are never expanded. importance has a
+    row for every node of edges; roots that it lacks have no walk.
     """
-    sure = edges.filter("confident").select(*CALLER, *CALLEE)
-    root = roots.select("root", *NODE)
-    seen = root.withColumn("status", F.lit("kept"))
-    front, kept_all, edge_all, omit_all = root, None, None, None
-    callee = [F.col(c).alias(k) for c, k in zip(NODE, CALLEE, strict=True)]
+    ids, links = _numbered(edges, importance)
+    front = roots.select("root", *NODE).join(ids.select(*NODE, "k"), NODE).select("root", "k")
+    seen = front.withColumn("kept", F.lit(True))
+    kept_all, edge_all, omit_all = [], [], []
     for d in range(1, depth + 1):
-        pairs = sure.join(front.select("root", *callee), CALLEE)
-        status = seen.select("root", *[F.col(c).alias(k) for c, k in zip(NODE, CALLER, strict=True)], "status")
-        pairs = pairs.join(status, ["root", *CALLER], "left")
-        new = _ranked(pairs.filter("status IS NULL").select("root", *CALLER).distinct(), importance, CALLER)
-        own = Window.partitionBy("root")
-        new = new.withColumn("pos", F.row_number().over(own.orderBy(*_by("caller_"))))
-        new = cut(new, "blast-level")
-        keep = new.filter(F.col("pos") <= cap)
-        level = keep.select("root", *[F.col(c).alias(k) for c, k in zip(CALLER, NODE, strict=True)], "importance", F.lit(d).alias("depth"))
-        omitted = new.filter(F.col("pos") > cap).groupBy("root").agg(F.count("*").alias("omitted_count")).withColumn("depth", F.lit(d))
-        reached = pairs.filter("status = 'kept'").select("root", *CALLER, *CALLEE).unionByName(pairs.filter("status IS NULL").select("root", *CALLER, *CALLEE).join(keep.select("root", *CALLER), ["root", *CALLER], "left_semi"))
-        reached = reached.withColumn("depth", F.lit(d))
-        kept_all = level if kept_all is None else kept_all.unionByName(level)
-        edge_all = reached if edge_all is None else edge_all.unionByName(reached)
-        omit_all = omitted if omit_all is None else omit_all.unionByName(omitted)
-        marks = new.select("root", *[F.col(c).alias(k) for c, k in zip(CALLER, NODE, strict=True)], F.when(F.col("pos") <= cap, "kept").otherwise("omitted").alias("status"))
-        seen, front = seen.unionByName(marks), level.select("root", *NODE)
-    return kept_all, edge_all, omit_all
+        pairs = links.join(front.withColumnRenamed("k", "c"), "c").join(seen.withColumnRenamed("k", "a"), ["root", "a"], "left")
+        pairs = cut(pairs.select("root", "a", "c", "kept"), "walk-pairs", "snappy")
+        new = pairs.filter("kept IS NULL").select("root", F.col("a").alias("k")).distinct()
+        new = cut(new.withColumn("kept", F.row_number().over(Window.partitionBy("root").orderBy("k")) <= cap), "walk-level", "snappy")
+        front = new.filter("kept").select("root", "k")
+        met = pairs.join(front.select("root", F.col("k").alias("a"), F.lit(True).alias("fresh")), ["root", "a"], "left")
+        kept_all.append(front.withColumn("depth", F.lit(d)))
+        edge_all.append(met.filter("kept OR fresh").select("root", "a", "c", F.lit(d).alias("depth")))
+        omit_all.append(new.filter("NOT kept").groupBy("root").agg(F.count("*").alias("omitted_count")).withColumn("depth", F.lit(d)))
+        seen = seen.unionByName(new)
+    one = lambda parts: functools.reduce(DataFrame.unionByName, parts)
+    reached = _named(_named(one(edge_all), ids, "a", CALLER), ids, "c", CALLEE)
+    return _named(one(kept_all), ids, "k", NODE, True), reached, one(omit_all)
 
 
 def call_trace(edges: DataFrame, importance: DataFrame, roots: DataFrame, depth: int = DEPTH, cap: int = RELATED_CAP) -> tuple[DataFrame, DataFrame]:
     """(steps, branches) of the greedy downstream path from each of roots(root, rel_fname, name, line).
 
     steps: root, depth, caller and callee node, loops (the callee was visited: the walk stops there). branches: root,
-    depth, pos, alternate node, omitted.
+    depth, pos, alternate node, omitted. importance has a row for every node of edges.
     """
-    ranked = _ranked(edges.filter("confident").select(*CALLER, *CALLEE), importance, CALLEE)
-    own = Window.partitionBy(*CALLER)
-    ranked = ranked.withColumn("n", F.count("*").over(own)).withColumn("pos", F.row_number().over(own.orderBy(*_by("callee_"))))
-    ranked = cut(ranked.filter(F.col("pos") <= cap + 1), "trace-ranked")
-    node = F.struct(*[F.col(c) for c in NODE])
-    front = roots.select("root", *NODE, F.array(node).alias("path"))
-    steps, branches = None, None
+    ids, links = _numbered(edges, importance)
+    own = Window.partitionBy("a")
+    ranked = links.withColumn("n", F.count("*").over(own)).withColumn("pos", F.row_number().over(own.orderBy("c")))
+    ranked = cut(ranked.filter(F.col("pos") <= cap + 1), "trace-ranked", "snappy")
+    front = roots.select("root", *NODE).join(ids.select(*NODE, "k"), NODE).select("root", F.col("k").alias("a"), F.array("k").alias("path"))
+    steps, branches = [], []
     for d in range(1, depth + 1):
-        at = front.select("root", *[F.col(c).alias(k) for c, k in zip(NODE, CALLER, strict=True)], "path").join(ranked, CALLER)
-        target = F.struct(F.col("callee_file").alias("rel_fname"), F.col("callee_name").alias("name"), F.col("callee_line").alias("line"))
-        first = at.filter("pos = 1").withColumn("loops", F.array_contains("path", target)).withColumn("depth", F.lit(d))
-        step = first.select("root", "depth", *CALLER, *CALLEE, "loops")
+        at = front.join(ranked, "a").withColumn("loops", F.col("pos").eqNullSafe(1) & F.array_contains("path", F.col("c")))
+        first = at.filter("pos = 1")
+        steps.append(first.select("root", F.lit(d).alias("depth"), "a", "c", "loops"))
         others = at.join(first.filter("NOT loops").select("root"), "root", "left_semi").filter("pos > 1")
-        branch = others.select("root", F.lit(d).alias("depth"), (F.col("pos") - 1).alias("pos"), *CALLEE, F.greatest(F.col("n") - 1 - cap, F.lit(0)).alias("omitted"))
-        steps = step if steps is None else steps.unionByName(step)
-        branches = branch if branches is None else branches.unionByName(branch)
-        front = first.filter("NOT loops").select("root", F.col("callee_file").alias("rel_fname"), F.col("callee_name").alias("name"), F.col("callee_line").alias("line"), F.concat("path", F.array(target)).alias("path"))
-    return steps, branches
+        branches.append(others.select("root", F.lit(d).alias("depth"), (F.col("pos") - 1).alias("pos"), "c", F.greatest(F.col("n") - 1 - cap, F.lit(0)).alias("omitted")))
+        front = first.filter("NOT loops").select("root", F.col("c").alias("a"), F.concat("path", F.array("c")).alias("path"))
+    one = lambda parts: functools.reduce(DataFrame.unionByName, parts)
+    return _named(_named(one(steps), ids, "a", CALLER), ids, "c", CALLEE), _named(one(branches), ids, "c", CALLEE)
 
 
 def nearest_def(probes: DataFrame, defs: DataFrame) -> DataFrame:

@@ -105,6 +105,6 @@ def test_incremental_equals_full(spark):
     new = [*old[:4], d("c", "g", 1, 0, 9)]
     al = spark.createDataFrame([("a", "F", "f")], ALIASES)
     o, n = spark.createDataFrame(old, TAGS), spark.createDataFrame(new, TAGS)
-    got = G.update_call_graph(G.contributions(G.enclosed_refs(o), G.candidates(o, al)), o, n, al, "c")
+    got = G.update_call_graph(G.call_graph(o, al), G.contributions(G.enclosed_refs(o), G.candidates(o, al)), o, n, al, "c")
     key = lambda x: tuple(x[c] for c in sorted(x.asDict()))
     assert sorted(map(key, got.collect())) == sorted(map(key, G.call_graph(n, al).collect()))
