@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import generation
 from graphloom.functions import prompts as P
+from graphloom.functions import text as T
 from graphloom.operators import cache as C
 from graphloom.operators import graph as G
 from graphloom.operators import passes
@@ -190,6 +191,36 @@ class CodeMap:
         name = self.root.rstrip("/").rsplit("/", 1)[-1]
         return D.write_pages(D.pages(rows, purposes, name), folder)
 
+    # -- commands over the cache
+
+    def most_important(self, n: int = 20, model_id: str = "stub") -> DataFrame:
+        """The first n functions with what is known of them, as one line."""
+        top = self.list_ranked_functions().limit(n)
+        rows = top.join(self.explained(model_id).select(*G.NODE, "role_tag", "one_liner"), G.NODE, "left")
+        return rows.withColumn("detail", T.detail_line(F.col("role_tag"), F.col("one_liner"))).orderBy(F.desc("importance"), *G.NODE)
+
+    def search(self, query: str = "", model_id: str = "stub") -> DataFrame:
+        """(fn_id, label, description, detail, match) of the explained functions that match, by label in a reader's order; an empty query lists all."""
+        rows = C.current_for_versions(self.cache.read(), model_id, getattr(self.embedder, "model_id", "hash"), passes.Versions(model_id).prompt_version)
+        detail = T.detail_line(T.json_string(F.col("explanation_json"), "role_tag"), T.json_string(F.col("explanation_json"), "one_liner"))
+        rows = rows.select("fn_id", T.id_qualified(F.col("fn_id")).alias("label"), T.id_file(F.col("fn_id")).alias("description"), detail.alias("detail"))
+        match = F.greatest(*[T.subsequence_match(F.coalesce(c, F.lit("")), query) for c in ("label", "description", "detail")])
+        return rows.withColumn("match", match).filter("match > 0").orderBy(F.collate("label", "UNICODE"), "fn_id")
+
+    def prioritize_file(self, rel_fname: str, model=generation.stub, model_id: str = "stub", **options: object) -> DataFrame:  # noqa: ANN001
+        """Explain and cache one file's functions that the cache lacks; (fn_id, fn_hash, outcome, error)."""
+        own = self.functions().filter(F.col("rel_fname") == rel_fname)
+        return passes.index_pass(self.cache, cut(self.targets(own, model_id), "targets"), model=model, **options)
+
+    def purge_cache(self) -> int:
+        """Delete superseded rows of the cache; returns how many."""
+        return self.cache.purge()
+
+    def show_blast_radius(self, rel_fname: str, name: str, line: int, model_id: str = "stub") -> DataFrame:
+        """The upstream callers by depth, each with what is known of it."""
+        nodes, _, _ = self.get_blast_radius(rel_fname, name, line)
+        return nodes.join(self.explained(model_id).select(*G.NODE, "role_tag", "one_liner"), G.NODE, "left").orderBy("depth", F.desc("importance"), *G.NODE)
+
     def generate_digest(self) -> DataFrame:
         """One row: text, total_files, included_files, truncated."""
         from graphloom.functions.text import binary_head

@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,7 +55,24 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a session's context, so that Python workers can import it anywhere."""
+    context = spark.sparkContext
+    if getattr(context, "_graphloom_shipped", None):
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="graphloom-ship-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = f"{folder}/graphloom.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for p in sorted(root.rglob("*.py")):
+            out.write(p, p.relative_to(root.parent))
+    context.addPyFile(path)
+    context._graphloom_shipped = True
+
+
 def bounded_batches(spark: SparkSession, rows: int = 512, size: int = 8 << 20) -> None:
-    """Bound the rows and bytes of an Arrow batch sent to Python workers, always alike, so that whole files and texts go a few MB at a time."""
+    """Bound the rows and bytes of an Arrow batch sent to Python workers, always alike, so that whole files and texts go a few MB at a time, and ship the workers' code."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

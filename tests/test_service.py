@@ -160,6 +160,19 @@ def test_a_second_pass_generates_nothing(spark, kept):
     assert "one (depth 1, utility)" in root.summary and root.error is None
 
 
+def test_commands_over_the_cache(kept):
+    code, _ = kept
+    assert code.search().count() == 0
+    assert {(r.fn_id, r.outcome) for r in code.prioritize_file("a.py").collect()} == {("a.py::one", "generated"), ("a.py::two", "generated")}
+    assert [r.label for r in code.search().collect()] == ["one", "two"] and [r.label for r in code.search("tw").collect()] == ["two"]
+    assert code.search("zzz").count() == 0
+    top = code.most_important(2).collect()
+    assert top[0]["name"] == "two" and top[0].detail.startswith("utility — ") and len(top) == 2
+    near = code.show_blast_radius("a.py", "two", 4).collect()
+    assert [(r["name"], r.depth, r.role_tag) for r in near] == [("one", 1, "utility")]
+    assert code.purge_cache() == 0
+
+
 def test_retrieval_changes_the_context_hash(kept):
     code, _ = kept
     with_chunks = code.generate_explanation("a.py", "two", 4, "def two(): ...").first()
