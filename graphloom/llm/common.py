@@ -2,20 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.storage import shared_dir
+from graphloom.storage import bounded_batches, cut, discard, shared_dir
 
-#: Rows and bytes of one Arrow batch sent to Python: a few MB of common texts, and one by one if they are very long.
-BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
+__all__ = ["bounded_batches", "cut", "discard", "identity", "materialize", "packed", "quoted", "shared_dir", "small", "small_batches", "table"]
 
 #: Tables of up to so many rows of two or three numbers (some 40 bytes each in a hash table) are broadcast; beyond, joins shuffle.
 BROADCAST_ROWS = 250_000
@@ -26,27 +18,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once a session's context, so that Python workers can import it anywhere."""
-    context = spark.sparkContext
-    if getattr(context, "_graphloom_shipped", None):
-        return
-    root = Path(__file__).resolve().parents[1]
-    folder = tempfile.mkdtemp(prefix="graphloom-ship-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    path = f"{folder}/graphloom.zip"
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
-        for p in sorted(root.rglob("*.py")):
-            out.write(p, p.relative_to(root.parent))
-    context.addPyFile(path)
-    context._graphloom_shipped = True
-
-
 def small_batches(spark: SparkSession) -> None:
     """Bound the rows and bytes of an Arrow batch, always alike, and ship the code of Python workers."""
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    bounded_batches(spark)
 
 
 def packed(df: DataFrame, name: str = "gl_row") -> DataFrame:
@@ -64,29 +38,11 @@ def identity(text: Column) -> tuple[Column, Column]:
 
 
 def materialize(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back.
+    """Write df as a Parquet table in the shared folder and read it back; see storage.cut.
 
     codec: zstd is for tables of text; its buffers lie outside of the heap, so tables of numbers go without.
-
-    This cuts the lineage in a way that survives lost executors: the files are in storage that every node sees.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/graphloom/{label}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.option("compression", codec).parquet(path)
-    out = spark.read.schema(schema).parquet(path)
-    out._graphloom_path = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables made by materialize() that nothing will read again."""
-    for t in tables:
-        path = getattr(t, "_graphloom_path", None)
-        if path:
-            jvm = t.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+    return cut(df, label, codec)
 
 
 def small(df: DataFrame) -> DataFrame:

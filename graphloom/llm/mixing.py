@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import identity, materialize, packed
+from graphloom.llm.common import discard, identity, materialize, packed
 from graphloom.llm.quality import words_of
 
 #: Weights of the sources in the order of their names (fixed values), the mix's share of all words, and the bound on a source's repeats.
@@ -120,7 +120,7 @@ def draw(documents: DataFrame, share: float = SHARE, weights: tuple[float, ...]
     spark = documents.sparkSession
     h1, h2 = identity(F.col("text"))
     rows = documents.select("doc_id", "source", F.size(words_of(F.col("text"))).cast("long").alias("size"), h1.alias("h1"), h2.alias("h2"))
-    rows = materialize(rows, "mix-rows")
+    rows = counted = materialize(rows, "mix-rows")
     per_source = rows.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
     if len(per_source) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -150,6 +150,7 @@ def draw(documents: DataFrame, share: float = SHARE, weights: tuple[float, ...]
     placed = rows.withColumn("before", before).withColumn("number", F.row_number().over(in_cell)).join(by_cell, ["source_no", "cell"])
     placed = placed.withColumn("start", F.col("cell_start") + F.col("before"))
     placed = materialize(placed.select(*ROW, "doc_id", "h1", "h2", "size", "source_size", "target", "start"), "mix-placed")
+    discard(counted)
 
     covered = F.sequence(F.floor(F.col("start") / planned.block_words), F.floor((F.col("start") + F.col("size") - 1) / planned.block_words))
     spread = placed.filter("size > 0").select(*ROW, "doc_id", "h1", "h2", "size", "start", F.explode(covered).alias("block"))

@@ -366,9 +366,6 @@ class _Search:
             self._repeated = bool(again.head(1))
         return self._repeated
 
-    def done(self) -> None:
-        discard(self.rows, self.signed, self.hubs, self.members)
-
 
 def classes(documents: DataFrame) -> DataFrame:
     """(doc_id, h1, h2, label, class_id) of each row of documents(doc_id, text); class_id is the least doc_id of the class.
@@ -405,9 +402,12 @@ def classes(documents: DataFrame) -> DataFrame:
     low = materialize(low, "near-roots")
     known = named.join(small(low), "label", "left").select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), "label", F.coalesce("class_id", "rep").alias("class_id"))
     known = materialize(known, "near-classes")
+    discard(s.signed, s.hubs, s.members, low)
     out = s.rows.select("doc_id", "h1", "h2", F.col("bytes").isNotNull().alias("some"))
     out = out.join(known, F.col("some") & (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")), "left")
-    return out.select("doc_id", "h1", "h2", "label", F.when(F.col("some"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
+    out = out.select("doc_id", "h1", "h2", "label", F.when(F.col("some"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
+    out._reads = (s.rows, known)  # tables of ours that go when nothing reads the result any more
+    return out
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -422,7 +422,9 @@ def one_of_each(documents: DataFrame) -> DataFrame:
     stays once, by the least hash of its columns; an id at texts of several classes keeps a row in each; columns pass
     through, whatever their names; an empty table stays empty. See classes for the others.
     """
-    found = materialize(classes(documents).filter("label IS NOT NULL").select("doc_id", "h1", "h2", "label"), "once-classes")
+    every = classes(documents)
+    found = materialize(every.filter("label IS NOT NULL").select("doc_id", "h1", "h2", "label"), "once-classes")
+    discard(*every._reads)
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("h1").alias("h1"), F.col("h2").alias("h2"))
     best = found.groupBy("label").agg(F.min(order).alias("best"), F.count("*").alias("n")).filter("n > 1").select("label", "best")
     best = materialize(best, "once-best")  # of the classes of several rows
