@@ -18,6 +18,8 @@ from graphloom.storage import cut, discard
 CALLER, CALLEE = ["caller_file", "caller_name", "caller_line"], ["callee_file", "callee_name", "callee_line"]
 NODE = ["rel_fname", "name", "line"]
 RELATED_CAP, LEVEL_CAP, DEPTH = 15, 15, 3
+#: Edges of an update up to which they are told apart from the others (six short columns each).
+BROADCAST_EDGES = 100_000
 #: Bytes of a file in one bucket of the containment join.
 SPAN_BUCKET = 4096
 
@@ -113,10 +115,13 @@ def update_contributions(parts: DataFrame, old_tags: DataFrame, new_tags: DataFr
 def update_call_graph(edges: DataFrame, parts: DataFrame, old_tags: DataFrame, new_tags: DataFrame, aliases: DataFrame, rel_fname: str) -> DataFrame:
     """Edges after the tags of one file have changed, equal to call_graph(new_tags, aliases); edges is the fold of parts.
 
-    Only the edges that lose or gain a contribution are folded again; the others are passed on where they lie.
+    Only the edges that lose or gain a contribution are folded again; the others are passed on where they lie. Where
+    that is more than BROADCAST_EDGES of them, one fold of all costs less than telling them apart.
     """
     kept, fresh = update_contributions(parts, old_tags, new_tags, aliases, rel_fname)
     fresh = cut(fresh, "fresh-parts")
+    if fresh.count() > BROADCAST_EDGES:
+        return fold(kept.unionByName(fresh))
     names = affected_names(old_tags, new_tags, aliases, rel_fname)
     lost = parts.filter(F.col("caller_file") == rel_fname).select(*CALLER, *CALLEE).union(parts.filter(F.col("caller_file") != rel_fname).join(names, "name", "left_semi").select(*CALLER, *CALLEE))
     touched = cut(lost.union(fresh.select(*CALLER, *CALLEE)).distinct(), "touched-edges")

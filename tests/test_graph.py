@@ -100,7 +100,9 @@ def test_trace_lists_alternates(spark):
     assert len(got) == 15 and {x.omitted for x in got} == {4}
 
 
-def test_incremental_equals_full(spark):
+@pytest.mark.parametrize("few", [100_000, 0])  # edges told apart, or one fold of all
+def test_incremental_equals_full(spark, few, monkeypatch):
+    monkeypatch.setattr(G, "BROADCAST_EDGES", few)
     old = [d("a", "f", 1, 0, 9), d("b", "m", 1, 0, 50), r("b", "f", 5, 9), r("b", "F", 15, 19), d("c", "f", 1, 0, 9)]
     new = [*old[:4], d("c", "g", 1, 0, 9)]
     al = spark.createDataFrame([("a", "F", "f")], ALIASES)
