@@ -104,6 +104,8 @@ def _index_pages(spark, sf):
 
 @query("a12_functions_by_file", f"SELECT f AS rel_fname, string_agg(p_partkey, ',' ORDER BY pos) AS functions FROM ({PAGES}) GROUP BY f")
 def _by_file(spark, sf):
-    p = read(spark, sf, "part")
-    ranked = p.groupBy(F.col("p_brand").alias("rel_fname")).agg(F.sort_array(F.collect_list(F.struct((-F.col("p_retailprice")).alias("o"), "p_partkey"))).alias("l"))
-    return ranked.select("rel_fname", F.array_join(F.transform("l", lambda x: x["p_partkey"].cast("string")), ",").alias("functions"))
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("p_brand").orderBy(F.desc("p_retailprice"), "p_partkey")
+    ranked = read(spark, sf, "part").select(F.col("p_brand").alias("rel_fname"), "p_partkey", F.row_number().over(w).alias("pos"))
+    return D.functions_by_file(ranked, F.col("p_partkey").cast("string")).select("rel_fname", F.array_join("functions", ",").alias("functions"))

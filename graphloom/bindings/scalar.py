@@ -425,9 +425,13 @@ def _p13(spark, sf):
 
 @query("p14_named_or_top", "SELECT p_partkey FROM (SELECT p_partkey FROM part WHERE p_name = 'red ring' UNION ALL SELECT * FROM (SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_name = 'red ring') ORDER BY p_retailprice DESC, p_partkey LIMIT 15))")
 def _p14(spark, sf):
-    p = read(spark, sf, "part")
-    named = p.filter("p_name = 'red ring'")
-    return (named if named.head(1) else p.orderBy(F.desc("p_retailprice"), "p_partkey").limit(15)).select("p_partkey")
+    from pyspark.sql import Window
+
+    own = Window.partitionBy("p_brand").orderBy(F.desc("p_retailprice"), "p_partkey")
+    near = read(spark, sf, "part").withColumn("k", F.row_number().over(own)).filter("k <= 15")  # no more of a brand can be among the first 15
+    ranked = near.select("p_partkey", F.col("p_name").alias("name"), F.row_number().over(Window.orderBy(F.desc("p_retailprice"), "p_partkey")).alias("pos"))
+    named = read(spark, sf, "part").filter("p_name = 'red ring'").select("p_partkey", F.col("p_name").alias("name"), F.lit(1).alias("pos"))
+    return passes.acceptance_sample(named.unionByName(ranked), ["red ring"] if named.head(1) else None)[0].select("p_partkey").distinct()
 
 
 _DIRS = ["src", "node_modules", "build", "x.egg-info", "venv", "builds", "egg-info", ".tox"]
@@ -474,7 +478,7 @@ def _s10(spark, sf):
 
 @query("s14_byte_slice", "SELECT doc_id, lower(hex(encode(text)))[21:60] AS bytes FROM documents WHERE strlen(text) >= 30")
 def _s14(spark, sf):
-    return read(spark, sf, "documents").filter(F.octet_length("text") >= 30).select("doc_id", F.lower(F.hex(F.substring(F.encode("text", "UTF-8"), 11, 20))).alias("bytes"))
+    return read(spark, sf, "documents").filter(F.octet_length("text") >= 30).select("doc_id", F.lower(F.hex(tree.byte_slice(F.encode("text", "UTF-8"), F.lit(10), F.lit(30)))).alias("bytes"))
 
 
 @query("a8_progress", """SELECT user_id, count(*)::BIGINT AS total, count_if(event_type = 'click')::BIGINT AS generated, count_if(event_type = 'view')::BIGINT AS skipped, count_if(event_type = 'signup')::BIGINT AS unresolved, count_if(event_type = 'error')::BIGINT AS failed,

@@ -129,3 +129,17 @@ def rolling_eta(completions: DataFrame, key: str, order: list[str], us: Column,
     out = completions.withColumn("gl_us", us).withColumn("gl_n", F.count("*").over(own)).withColumn("gl_first", F.min("gl_us").over(own))
     eta = remaining / ((F.col("gl_n") - 1) / ((F.col("gl_us") - F.col("gl_first")) / 1000.0))
     return out.withColumn("eta_ms", F.when((F.col("gl_n") > 1) & (F.col("gl_us") > F.col("gl_first")), eta)).drop("gl_us", "gl_n", "gl_first")
+
+
+def acceptance_sample(ranked: DataFrame, names: list[str] | None = None, limit: int = 15) -> tuple[DataFrame, DataFrame]:
+    """(sample, missing) of ranked(name, pos, ...): the functions of the given names, or else the first `limit` by pos; missing(name): names that none has."""
+    spark = ranked.sparkSession
+    if not names:
+        return ranked.filter(F.col("pos") <= limit), spark.createDataFrame([], "name string")
+    asked = spark.createDataFrame([(n,) for n in dict.fromkeys(names)], "name string")
+    return ranked.filter(F.col("name").isin(*names)), missing_names(asked, ranked)
+
+
+def missing_names(asked: DataFrame, found: DataFrame) -> DataFrame:
+    """(name): names asked for that found(name, ...) lacks, each once."""
+    return asked.select("name").subtract(found.select("name"))

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import hashlib
+import json
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions.generation import GenerationError
 from graphloom.storage import bounded_batches
 
 MAX_LINES, MAX_CHARS = 12, 500
@@ -59,6 +64,25 @@ def hash_embedder(texts: list[str], dims: int = 16) -> list[list[float]]:
     return [[b / 255.0 for b in hashlib.sha256(t.encode()).digest()[:dims]] for t in texts]
 
 
+@dataclass(frozen=True)
+class HttpEmbedder:
+    """Vectors from an HTTP endpoint that takes a batch of texts as JSON; a failure is a GenerationError of the whole batch."""
+
+    url: str
+    model_id: str
+    timeout: float = 120.0
+
+    def __call__(self, texts: list[str]) -> list[list[float]]:
+        request = urllib.request.Request(self.url, json.dumps({"model": self.model_id, "input": texts}).encode(), {"Content-Type": "application/json"})
+        try:
+            with urllib.request.urlopen(request, timeout=self.timeout) as answer:
+                return json.loads(answer.read().decode())["embeddings"]
+        except urllib.error.HTTPError as e:
+            raise GenerationError.of(e.code, self.model_id, e.read().decode(errors="replace")) from e
+        except (urllib.error.URLError, TimeoutError) as e:
+            raise GenerationError.of(None, self.model_id, str(e)) from e
+
+
 def embed_chunks(chunks: DataFrame, embedder: Callable[[list[str]], list[list[float]]] = hash_embedder) -> DataFrame:
     """chunks with vector; the embedder gets EMBED_BATCH texts a call and must return as many vectors, in order."""
     size = EMBED_BATCH

@@ -75,11 +75,15 @@ def render(name: str, summary: DataFrame, tree_lines: DataFrame, files: DataFram
 KEY_FUNCTIONS = 25
 
 
+def functions_by_file(ranked: DataFrame, entry: Column) -> DataFrame:
+    """(rel_fname, functions): each file's entries, an array in the order of ranked(rel_fname, pos, ...)."""
+    return ranked.groupBy("rel_fname").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", entry.alias("e")))), lambda x: x["e"]).alias("functions"))
+
+
 def file_page(functions: DataFrame, purposes: DataFrame | None = None) -> DataFrame:
     """(rel_fname, page): a Markdown page a file of functions(rel_fname, name, line, role_tag, one_liner, pos), with its purpose if given by purposes(rel_fname, purpose)."""
     part = F.concat(F.lit("### "), "name", F.lit(" ("), F.coalesce("role_tag", F.lit("Unclassified")), F.lit(")\n\n"), F.coalesce("one_liner", F.lit("_(no summary cached)_")), F.lit("\n\nLine "), (F.col("line") + 1).cast("string"), F.lit(".\n"))
-    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", part.alias("l")))), lambda x: x["l"]), "\n")
-    pages = functions.groupBy("rel_fname").agg(body.alias("b"))
+    pages = functions_by_file(functions, part).select("rel_fname", F.array_join("functions", "\n").alias("b"))
     pages = pages.withColumn("purpose", F.lit(None).cast("string")) if purposes is None else pages.join(purposes, "rel_fname", "left")
     head = F.when(F.col("purpose").isNotNull(), F.concat("purpose", F.lit("\n\n"))).otherwise("")
     return pages.select("rel_fname", F.concat(F.lit("# "), "rel_fname", F.lit("\n\n"), head, F.lit("## Functions\n\n"), "b").alias("page"))

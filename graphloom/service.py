@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import warnings
+
+from pyspark.errors import PythonException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,18 +112,24 @@ class CodeMap:
     def functions(self) -> DataFrame:
         """(rel_fname, name, line, end_line, fn_source, fn_id) of every definition; names that repeat in a file are numbered."""
         defs = self.tags.filter("kind = 'def'").groupBy("rel_fname", "name", F.col("start_line").alias("line")).agg(F.min(F.struct("tag_seq", "start_byte", "end_byte", "end_line")).alias("t"))
-        raw = F.encode("content", "UTF-8")
-        source = F.decode(F.substring(raw, F.col("t.start_byte") + 1, F.col("t.end_byte") - F.col("t.start_byte")), "UTF-8")
+        source = F.decode(tree.byte_slice(F.encode("content", "UTF-8"), F.col("t.start_byte"), F.col("t.end_byte")), "UTF-8")
         out = defs.join(self.files, "rel_fname").select("rel_fname", "name", "line", F.col("t.end_line").alias("end_line"), source.alias("fn_source"))
         return passes.assign_fn_ids(out.withColumn("rel_file", F.col("rel_fname")).withColumn("qualified", F.col("name")), ["line"]).drop("rel_file", "qualified")
 
     def retrieved(self, functions: DataFrame) -> DataFrame | None:
-        """(rel_fname, name, line, retrieved); None without a vector table, whose functions then are explained from the call graph alone."""
+        """(rel_fname, name, line, retrieved); None without a vector table, or where the embedder fails: functions are then explained from the call graph alone."""
         if self.vectors is None or not self.vectors.exists():
             return None
         rows = cut(functions.withColumn("query", F.monotonically_increasing_id()), "asked")
-        near = V.retrieve(rows.select("query", "rel_fname", F.col("line").alias("start_line"), F.greatest("end_line", F.col("line") + 1).alias("end_line"), "fn_source"), self.vectors.read(), self.embedder)
-        return cut(near.join(rows.select("query", "rel_fname", "name", "line"), "query").drop("query"), "retrieved")
+        asked = rows.select("query", "rel_fname", F.col("line").alias("start_line"), F.greatest("end_line", F.col("line") + 1).alias("end_line"), "fn_source")
+        try:
+            near = cut(V.retrieve(asked, self.vectors.read(), self.embedder), "near")
+        except PythonException as e:
+            if "GenerationError" not in str(e):
+                raise  # a fault of the program
+            warnings.warn(f"retrieval failed, going on without it: {str(e).strip().splitlines()[-1]}", stacklevel=2)
+            return None
+        return near.join(rows.select("query", "rel_fname", "name", "line"), "query").drop("query")
 
     def targets(self, functions: DataFrame, model_id: str) -> DataFrame:
         """functions with their contexts, hashes and versions: what passes generate from."""
@@ -145,6 +154,14 @@ class CodeMap:
             raise generation.GenerationError(error)
         return out.select("context_hash", "context_tier", "explanation")
 
+    def acceptance_report(self, names: list[str] | None = None, limit: int = 15, model=generation.stub, model_id: str = "stub") -> tuple[DataFrame, DataFrame]:  # noqa: ANN001
+        """(one row, text: the Markdown report; the names that no function has) of the named functions, or the first `limit`."""
+        ranked = G.positions(self.importance, F.desc("importance"), "rel_fname", "name", "line")
+        sample, missing = passes.acceptance_sample(ranked, names, limit)
+        functions = self.functions().join(sample.select(*G.NODE, "pos"), G.NODE)
+        report = generation.acceptance_report(cut(generation.explain(self.targets(functions, model_id), model), "accepted"))
+        return generation.acceptance_markdown(report, self.root.rstrip("/").rsplit("/", 1)[-1], model_id), missing
+
     def index_pass(self, top: int | None = 200, model=generation.stub, model_id: str = "stub", **options: object) -> DataFrame:  # noqa: ANN001
         """Explain and cache the first `top` functions (all: None) that the cache lacks; (fn_id, fn_hash, outcome, error)."""
         functions = self.functions()

@@ -196,6 +196,11 @@ def marked_files(lines: DataFrame) -> DataFrame:
     return lines.filter(supported(path)).select(path.alias("rel_fname")).distinct()
 
 
+def byte_slice(content: Column, start: Column, end: Column) -> Column:
+    """Bytes [start, end) of a binary column, as tags give them."""
+    return F.substring(content, start + 1, end - start)
+
+
 def allowed_names(tags: DataFrame) -> DataFrame:
     """tags(language, kind, name, ...) without the names that their language excludes as definitions or references."""
     rows = [(x.name, kind, n) for x in LANGUAGES for kind, names in (("def", x.excluded_defs), ("ref", x.excluded_refs)) for n in names]

@@ -182,6 +182,30 @@ def test_retrieval_changes_the_context_hash(kept):
     assert without.context_tier == "call_graph_only" and without.context_hash != with_chunks.context_hash
 
 
+def test_a_failing_embedder_costs_the_retrieval_only(kept):
+    code, _ = kept
+
+    def down(texts):
+        raise generation.GenerationError.of(None, "emb", "refused")
+
+    code.embedder = down
+    with pytest.warns(UserWarning, match="retrieval failed"):
+        row = code.generate_explanation("a.py", "two", 4, "def two(): ...").first()
+    assert row.context_tier == "call_graph_only" and row.explanation.role_tag == "utility"
+    code.embedder = lambda texts: texts[0].no_such_thing
+    with pytest.raises(Exception, match="no_such_thing"):
+        code.generate_explanation("a.py", "two", 4, "def two(): ...")
+
+
+def test_acceptance_report(code):
+    report, missing = code.acceptance_report(["mid", "nobody"])
+    text = report.first().text
+    assert "- Functions: 1\n- Passed: 1 of 1" in text and "## `mid`, a.py:4 [passed]" in text and "**Callers:** top" in text
+    assert [r["name"] for r in missing.collect()] == ["nobody"]
+    report, missing = code.acceptance_report(limit=2, model=lambda p: "nothing")
+    assert report.first().text.count("no valid answer") == 2 and missing.count() == 0
+
+
 def test_tables(spark, tmp_path):
     from graphloom.sources.tables import CacheTable, VectorTable
 
