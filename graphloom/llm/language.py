@@ -70,7 +70,11 @@ class Filters:
         h = mix(grams.astype(np.uint64) + np.uint64(1))
         low, high, top = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1), np.uint64(len(self.slots[0]) - 1) if self.slots else np.uint64(0)
         at = [((low + np.uint64(k) * high) & top).astype(np.int64) for k in range(HASHES)]
-        return [np.bitwise_and.reduce([part[x] for x in at]) for part in self.slots]
+        out = [part[at[0]] for part in self.slots]
+        for masks, part in zip(out, self.slots, strict=True):
+            for x in at[1:]:
+                masks &= part[x]
+        return out
 
     def counts(self, grams: np.ndarray, first: np.ndarray) -> np.ndarray:
         """(languages x texts): how many of each text's n-grams a language's filter holds."""
