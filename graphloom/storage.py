@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -19,7 +20,7 @@ def shared_dir(spark: SparkSession) -> str:
     global _own_dir
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir is not set: a cluster needs a folder that all executors share")
         if _own_dir is None:
             _own_dir = tempfile.mkdtemp(prefix="graphloom-")
