@@ -29,7 +29,7 @@ LABELS = BANDS * ROWS
 #: Pairs whose signatures agree in less than this share are not compared by text: four standard deviations below 0.8.
 ESTIMATE = 0.70
 #: Where a bucket holds several classes, so many texts outside of its largest one meet so many others in one task, and so many bytes of each.
-HEADS, OTHERS, HEAD_BYTES, OTHER_BYTES = 1024, 8192, 32 << 20, 64 << 20
+HEADS, OTHERS, HEAD_BYTES, OTHER_BYTES = 1024, 8192, 8 << 20, 16 << 20
 #: Pairs whose signatures are compared at once.
 PAIRS = 1 << 16
 #: Points generated at once.
