@@ -112,8 +112,7 @@ def test_one_explanation_and_requests_that_fail(code):
     assert len(dump) == 4 and dump[0].startswith("b.py:1 low()  importance=") and "callers (1): a.py:mid" in dump[0]
 
 
-@pytest.fixture
-def kept(spark, tmp_path):
+def stored(spark, tmp_path):
     root = tmp_path / "code"
     root.mkdir()
     (root / "a.py").write_text("def one():\n    return two()\n\n\ndef two():\n    return 2\n")
@@ -121,6 +120,17 @@ def kept(spark, tmp_path):
     return CodeMap(spark, str(root), store=str(tmp_path / "store")).index(embed=True), tmp_path
 
 
+@pytest.fixture
+def alone(spark, tmp_path):
+    return stored(spark, tmp_path)
+
+
+@pytest.fixture(scope="module")
+def kept(spark, tmp_path_factory):
+    """One store for the tests below, in their order: its cache is empty at first, and the last one empties its vectors."""
+    return stored(spark, tmp_path_factory.mktemp("kept"))
+
+
 def counting(folder):
     def model(prompt):
         import uuid
@@ -132,10 +142,10 @@ def counting(folder):
     return model
 
 
-def test_a_second_pass_generates_nothing(spark, kept):
+def test_a_second_pass_generates_nothing(spark, alone):
     from pathlib import Path
 
-    code, tmp = kept
+    code, tmp = alone
     model = counting(tmp / "calls")
     calls = lambda: len(list((tmp / "calls").iterdir()))
     assert {r.outcome for r in code.index_pass(None, model, "m").collect()} == {"generated"}
@@ -173,30 +183,30 @@ def test_commands_over_the_cache(kept):
     assert code.purge_cache() == 0
 
 
-def test_retrieval_changes_the_context_hash(kept):
-    code, _ = kept
-    with_chunks = code.generate_explanation("a.py", "two", 4, "def two(): ...").first()
-    assert with_chunks.context_tier == "call_graph_and_retrieval"
-    assert code.vectors.replace_all(code.vectors.read().limit(0)) == 0 and not code.vectors.exists()
-    without = code.generate_explanation("a.py", "two", 4, "def two(): ...").first()
-    assert without.context_tier == "call_graph_only" and without.context_hash != with_chunks.context_hash
-
-
-def test_a_failing_embedder_costs_the_retrieval_only(kept):
+def test_a_failing_embedder_costs_the_retrieval_only(kept, monkeypatch):
     code, _ = kept
 
     def down(texts):
         raise generation.GenerationError.of(None, "emb", "refused")
 
-    code.embedder = down
+    monkeypatch.setattr(code, "embedder", down)
     with pytest.warns(UserWarning, match="retrieval failed"):
         row = code.generate_explanation("a.py", "two", 4, "def two(): ...").first()
     assert row.context_tier == "call_graph_only" and row.explanation.role_tag == "utility"
-    code.embedder = lambda texts: texts[0].no_such_thing
+    monkeypatch.setattr(code, "embedder", lambda texts: texts[0].no_such_thing)
     with pytest.raises(Exception, match="no_such_thing"):
         code.generate_explanation("a.py", "two", 4, "def two(): ...")
 
 
+def test_retrieval_changes_the_context_hash(kept):
+    code, _ = kept
+    with_chunks = code.generate_explanation("a.py", "two", 4, "def two(): ...").first()
+    assert with_chunks.context_tier == "call_graph_and_retrieval"
+    assert code.vectors.replace_all(code.vectors.read().limit(0)) == 0 and not code.vectors.exists()
+    without = code.generate_explanation("a.py", "two", 4, "def two(): ...").first()
+    assert without.context_tier == "call_graph_only" and without.context_hash != with_chunks.context_hash
+
+
 def test_acceptance_report(code):
     report, missing = code.acceptance_report(["mid", "nobody"])
     text = report.first().text
