@@ -35,7 +35,10 @@ def _let(value: Column, body) -> Column:  # noqa: ANN001
 def _repeat_words(words: Column) -> Column:
     """Words within windows of WINDOW words that occur twice or more in the text, the first included."""
     n = F.size(words)
-    hashes = F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(words, i, WINDOW)))
+
+    def windows(h: Column) -> Column:
+        """Hashes of all windows, of the hashes of their words, each made once."""
+        return F.transform(F.slice(h, 1, n - (WINDOW - 1)), lambda x, i: F.xxhash64(x, *[F.get(h, i + k) for k in range(1, WINDOW)]))
 
     def covered(at: Column) -> Column:
         widths = F.transform(at, lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get(at, k + 1), p + WINDOW) - p))
@@ -49,7 +52,7 @@ def _repeat_words(words: Column) -> Column:
         pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
         return F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(_let(_let(pairs, repeated), covered))
 
-    return F.when(n < WINDOW + 1, 0).otherwise(_let(hashes, count))
+    return F.when(n < WINDOW + 1, 0).otherwise(_let(_let(F.transform(words, lambda w: F.xxhash64(w)), windows), count))
 
 
 def metric(name: str) -> Column:
