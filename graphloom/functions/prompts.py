@@ -17,11 +17,16 @@ SYSTEM = (
 )
 SUMMARY_SYSTEM = "You write two to four plain sentences on what a group of functions is for. The roles and sentences given for each function hold; do not contradict or repeat them, and say so if the functions look unrelated."
 
+#: The labels of the prompts' parts, and what stands for a role or a summary that is not there.
+SOURCE, CALLERS, CALLEES, BUNDLE, REASONING, JSON = "Function source:\n", "\n\nKnown callers: ", "\nKnown callees: ", "\nContext bundle:\n", "\n\nReasoning:", "\n\nJSON:"
+FILE, FUNCTIONS, ROOT, PURPOSE = "File: ", "\n\nFunctions:\n", "Root function: ", "\n\nPurpose paragraph:"
+NO_ROLE, NO_SUMMARY, NO_ROOT = "unknown role", "no summary available", "  (not yet indexed)"
+
 _FIELDS = ("role_tag", "one_liner", "why_it_exists", "used_by", "calls", "side_effects", "risk_note")
 
 
 def _example(source: str, callers: list[str], callees: list[str], bundle: str, reasoning: str, *answer: object) -> str:
-    slot = f"Function source:\n{source}\n\nKnown callers: {json.dumps(callers)}\nKnown callees: {json.dumps(callees)}\nContext bundle:\n{bundle}\n\nReasoning:"
+    slot = f"{SOURCE}{source}{CALLERS}{json.dumps(callers)}{CALLEES}{json.dumps(callees)}{BUNDLE}{bundle}{REASONING}"
     return f"{slot} {reasoning}\n\n{json.dumps(dict(zip(_FIELDS, answer, strict=True)), indent=2)}"
 
 
@@ -61,7 +66,7 @@ def context_bundle(callers: Column, callers_omitted: Column, callees: Column, ca
 
 def input_slot(source: Column, callers: Column, callees: Column, bundle: Column) -> Column:
     """The part of both stages that is about the function itself; callers and callees are arrays of names."""
-    return F.concat(F.lit("Function source:\n"), source, F.lit("\n\nKnown callers: "), F.to_json(callers), F.lit("\nKnown callees: "), F.to_json(callees), F.lit("\nContext bundle:\n"), bundle, F.lit("\n\nReasoning:"))
+    return F.concat(F.lit(SOURCE), source, F.lit(CALLERS), F.to_json(callers), F.lit(CALLEES), F.to_json(callees), F.lit(BUNDLE), bundle, F.lit(REASONING))
 
 
 def reasoning_prompt(source: Column, callers: Column, callees: Column, bundle: Column) -> Column:
@@ -71,7 +76,7 @@ def reasoning_prompt(source: Column, callers: Column, callees: Column, bundle: C
 
 def json_prompt(source: Column, callers: Column, callees: Column, bundle: Column, reasoning: Column) -> Column:
     """Second stage: the function with the reasoning of the first; the model answers with the JSON object."""
-    return F.concat(input_slot(source, callers, callees, bundle), F.lit(" "), F.trim(F.coalesce(reasoning, F.lit(""))), F.lit("\n\nJSON:"))
+    return F.concat(input_slot(source, callers, callees, bundle), F.lit(" "), F.trim(F.coalesce(reasoning, F.lit(""))), F.lit(JSON))
 
 
 def _given(x: Column, default: str) -> Column:
@@ -80,19 +85,19 @@ def _given(x: Column, default: str) -> Column:
 
 def summary_line(name: Column, role: Column, one_liner: Column, depth: Column | None = None) -> Column:
     place = F.lit("") if depth is None else F.concat(F.lit("depth "), F.coalesce(depth.cast("string"), F.lit("?")), F.lit(", "))
-    return F.concat(F.lit("  - "), name, F.lit(" ("), place, _given(role, "unknown role"), F.lit("): "), _given(one_liner, "no summary available"))
+    return F.concat(F.lit("  - "), name, F.lit(" ("), place, _given(role, NO_ROLE), F.lit("): "), _given(one_liner, NO_SUMMARY))
 
 
 def file_summary_prompt(rel_fname: Column, functions: Column) -> Column:
     """functions: array<struct<name, role_tag, one_liner>> in rank order."""
     lines = F.transform(functions, lambda f: summary_line(f["name"], f["role_tag"], f["one_liner"]))
-    return F.concat(F.lit("File: "), rel_fname, F.lit("\n\nFunctions:\n"), F.array_join(lines, "\n"), F.lit("\n\nPurpose paragraph:"))
+    return F.concat(F.lit(FILE), rel_fname, F.lit(FUNCTIONS), F.array_join(lines, "\n"), F.lit(PURPOSE))
 
 
 def cluster_summary_prompt(name: Column, role: Column, one_liner: Column, callers: Column) -> Column:
     """callers: array<struct<name, role_tag, one_liner, depth>> in rank order; role and one_liner are null where the root has none yet."""
-    known = F.concat(F.lit("  ("), _given(role, "unknown role"), F.lit("): "), _given(one_liner, "no summary available"))
-    root = F.when((F.trim(F.coalesce(role, F.lit(""))) == "") & (F.trim(F.coalesce(one_liner, F.lit(""))) == ""), "  (not yet indexed)").otherwise(known)
+    known = F.concat(F.lit("  ("), _given(role, NO_ROLE), F.lit("): "), _given(one_liner, NO_SUMMARY))
+    root = F.when((F.trim(F.coalesce(role, F.lit(""))) == "") & (F.trim(F.coalesce(one_liner, F.lit(""))) == ""), NO_ROOT).otherwise(known)
     lines = F.transform(callers, lambda c: summary_line(c["name"], c["role_tag"], c["one_liner"], c["depth"]))
     listed = F.when(F.size(callers) == 0, "  none").otherwise(F.array_join(lines, "\n"))
-    return F.concat(F.lit("Root function: "), name, F.lit("\n"), root, F.lit("\n\nKnown callers, direct or through others, most important first:\n"), listed, F.lit("\n\nPurpose paragraph:"))
+    return F.concat(F.lit(ROOT), name, F.lit("\n"), root, F.lit("\n\nKnown callers, direct or through others, most important first:\n"), listed, F.lit(PURPOSE))
