@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import language, mixing, near_dups, packing, quality, substring, token_output, topk, url_rules, warc
+from graphloom.llm import importance, language, mixing, near_dups, packing, quality, substring, token_output, topk, url_rules, warc
 from graphloom.llm.common import shared_dir, table
 
 
@@ -53,9 +53,13 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language, "op2_url_rules": op2_url_rules, "op3_near_duplicates": op3_near_duplicates, "op4_quality": op4_quality, "op5_mixing": op5_mixing, "op6_topk": op6_topk, "op7_substring": op7_substring,
-    "op8_packing": op8_packing, "op9_token_output": op9_token_output, "op10_warc": op10_warc,
+    "op8_packing": op8_packing, "op9_token_output": op9_token_output, "op10_warc": op10_warc, "op11_importance": op11_importance,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_url_rules": url_rules.SQL, "op4_quality": quality.SQL, "op6_topk": topk.SQL, "op7_substring": substring.SQL, "op10_warc": warc.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_url_rules": url_rules.SQL, "op4_quality": quality.SQL, "op6_topk": topk.SQL, "op7_substring": substring.SQL, "op10_warc": warc.SQL, "op11_importance": importance.SQL}
