@@ -35,10 +35,10 @@ def features_sql(least: int = LEAST_N, most: int = MOST_N, buckets: int = BUCKET
     runs = []
     for n in range(least, most + 1):
         run = " || ' ' || ".join(["word", *(f"lead(word, {k}) OVER one" for k in range(1, n))])
-        runs.append(f"SELECT row, {run} AS feature FROM words" + (" WINDOW one AS (PARTITION BY row ORDER BY at)" if n > 1 else ""))
+        runs.append(f"SELECT row, {run} AS feature FROM words" + (" WINDOW one AS (PARTITION BY row ORDER BY pos)" if n > 1 else ""))
     return f"""
 WITH split AS (SELECT row, list_filter(string_split(text, ' '), lambda x: x <> '') AS list FROM texts),
-words AS (SELECT row, unnest(list) AS word, generate_subscripts(list, 1) AS at FROM split),
+words AS (SELECT row, unnest(list) AS word, generate_subscripts(list, 1) AS pos FROM split),
 seen AS (SELECT row, feature, count(*) AS n FROM ({" UNION ALL ".join(runs)}) WHERE feature IS NOT NULL GROUP BY ALL),
 hashed AS (SELECT feature, crc32(feature) % {buckets} AS bucket FROM (SELECT DISTINCT feature FROM seen)),
 counted AS (SELECT row, bucket, sum(n) AS n FROM seen JOIN hashed USING (feature) GROUP BY ALL),

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import importance, language, mixing, near_dups, packing, quality, substring, token_output, topk, url_rules, vector_codes, warc
+from graphloom.llm import importance, language, licenses, mixing, near_dups, packing, quality, substring, token_output, topk, url_rules, vector_codes, warc
 from graphloom.llm.common import shared_dir, table
 
 
@@ -61,9 +61,13 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings"))
 
 
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language, "op2_url_rules": op2_url_rules, "op3_near_duplicates": op3_near_duplicates, "op4_quality": op4_quality, "op5_mixing": op5_mixing, "op6_topk": op6_topk, "op7_substring": op7_substring,
-    "op8_packing": op8_packing, "op9_token_output": op9_token_output, "op10_warc": op10_warc, "op11_importance": op11_importance, "op12_vector_codes": op12_vector_codes,
+    "op8_packing": op8_packing, "op9_token_output": op9_token_output, "op10_warc": op10_warc, "op11_importance": op11_importance, "op12_vector_codes": op12_vector_codes, "op13_licenses": op13_licenses,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_url_rules": url_rules.SQL, "op4_quality": quality.SQL, "op6_topk": topk.SQL, "op7_substring": substring.SQL, "op10_warc": warc.SQL, "op11_importance": importance.SQL, "op12_vector_codes": vector_codes.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_url_rules": url_rules.SQL, "op4_quality": quality.SQL, "op6_topk": topk.SQL, "op7_substring": substring.SQL, "op10_warc": warc.SQL, "op11_importance": importance.SQL, "op12_vector_codes": vector_codes.SQL, "op13_licenses": licenses.SQL}
