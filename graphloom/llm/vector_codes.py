@@ -32,7 +32,8 @@ _ARROW = pa.schema([("n", pa.int32()), ("dims", pa.int32()), ("width", pa.int32(
 
 def whole(values: np.ndarray, scale: int = SCALE) -> np.ndarray:
     """floor(scale * x) of each value, as 64-bit numbers, or as Python's where a value is too large for exact distances."""
-    floored = np.floor(values * float(scale))
+    with np.errstate(over="ignore"):
+        floored = np.floor(values * float(scale))
     if not floored.size or np.abs(floored).max() < 1 << SMALL_BITS:
         return floored.astype(np.int64)
     return np.array([int(np.floor(x)) if np.isfinite(x) else scale * int(y) for x, y in zip(floored.ravel().tolist(), values.ravel().tolist(), strict=True)], dtype=object).reshape(values.shape)
