@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
+from graphloom.storage import cut
 
 VERSION = ["model_id", "embedding_model_id", "prompt_version"]
 TUPLE = ["fn_id", *VERSION]
@@ -20,25 +21,36 @@ def _latest() -> list[Column]:
     return [F.desc("generated_at"), F.desc("seq")]
 
 
+def newest(rows: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """The row of the greatest seq of each key."""
+    own = Window.partitionBy(*(key or ["cache_key"])).orderBy(F.desc("seq"))
+    return rows.withColumn("k", F.row_number().over(own)).filter("k = 1").drop("k")
+
+
 def upsert(cache: DataFrame, rows: DataFrame, key: list[str] | None = None) -> DataFrame:
     """Replace by key; of several rows with one key, that of the greatest seq stays. rows carry seqs beyond those of cache."""
-    own = Window.partitionBy(*(key or ["cache_key"])).orderBy(F.desc("seq"))
-    both = cache.unionByName(rows.select(*cache.columns)).withColumn("k", F.row_number().over(own))
-    return both.filter("k = 1").drop("k")
+    return newest(cache.unionByName(rows.select(*cache.columns)), key)
 
 
-def with_seq(cache: DataFrame, rows: DataFrame, order: list[str]) -> DataFrame:
-    """rows with seqs after the greatest in cache, in the given order. A write batch is ordered as a whole; keep it bounded."""
-    last = cache.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
-    return rows.withColumn("seq", F.lit(last) + F.row_number().over(Window.orderBy(*order)))
+def numbered(rows: DataFrame, last: int, order: list[str]) -> DataFrame:
+    """rows with seqs from last + 1 in the given order. The rows are sorted in ranges, which are counted and numbered each on its own: no task holds all."""
+    ranged = cut(rows.orderBy(*order).withColumn("range", F.spark_partition_id()), "numbered")
+    sizes = ranged.groupBy("range").agg(F.count("*").alias("n"))  # a row a partition
+    before = sizes.withColumn("before", F.sum("n").over(Window.orderBy("range")) - F.col("n")).select("range", "before")
+    own = F.row_number().over(Window.partitionBy("range").orderBy(*order))
+    return ranged.withColumn("own", own).join(F.broadcast(before), "range").withColumn("seq", F.lit(last) + F.col("before") + F.col("own")).drop("range", "own", "before")
+
+
+def evicted(cache: DataFrame, rows: DataFrame) -> DataFrame:
+    """(cache_key): what rows, one for each tuple, supersede: the key that was current before for the tuple, if it differs. A key that rows hold stays."""
+    prior = current_rows(cache.join(rows.select(*TUPLE).distinct(), TUPLE, "left_semi")).select(*TUPLE, F.col("cache_key").alias("prior"))
+    gone = rows.select(*TUPLE, "cache_key").join(prior, TUPLE).filter("prior <> cache_key").select(F.col("prior").alias("cache_key"))
+    return gone.join(rows.select("cache_key"), "cache_key", "left_anti").distinct()
 
 
 def evicting_write(cache: DataFrame, rows: DataFrame) -> DataFrame:
     """Write rows (one for each tuple), and delete the row that was current before for the tuple, if its key differs."""
-    prior = current_rows(cache).select(*TUPLE, F.col("cache_key").alias("prior"))
-    gone = rows.select(*TUPLE, "cache_key").join(prior, TUPLE).filter("prior <> cache_key").select(F.col("prior").alias("cache_key"))
-    gone = gone.join(rows.select("cache_key"), "cache_key", "left_anti").distinct()  # a key written in this batch stays
-    return delete(upsert(cache, rows), gone)
+    return delete(upsert(cache, rows), evicted(cache, rows))
 
 
 def delete(cache: DataFrame, keys: DataFrame) -> DataFrame:

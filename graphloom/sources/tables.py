@@ -1,14 +1,14 @@
-"""Tables that outlive a job: the result cache and the vector table, as Parquet in versioned or partitioned folders."""
+"""Tables that outlive a job: the result cache, a log of Parquet segments, and the vector table, in partitioned folders."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators import cache as C
+from graphloom.sources.segments import RETENTION, SegmentLog
 from graphloom.storage import cut, delete_path, discard
 
 CACHE_SCHEMA = (
@@ -26,57 +26,68 @@ def _path(spark: SparkSession, path: str):  # noqa: ANN202
 
 
 class CacheTable:
-    """The result cache in a folder: every write makes a new version and then points to it, so readers never see half of one."""
+    """The result cache in a folder: a log of the rows that each write changed (see SegmentLog), so a write costs what it writes, and readers keep what they opened."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
-        """Opens the cache, or creates an empty one."""
+        """Opens the cache; a folder without one is an empty cache, and nothing is created before the first write."""
         self.spark, self.folder = spark, folder.rstrip("/")
+        self.log = SegmentLog(spark, folder, CACHE_SCHEMA, "cache_key", "fn_id")
         self.listeners: list[Callable[[DataFrame], None]] = []
-        if self._current() is None:
-            self._publish(spark.createDataFrame([], CACHE_SCHEMA))
-
-    def _current(self) -> str | None:
-        p, fs = _path(self.spark, f"{self.folder}/CURRENT")
-        return self.spark.read.text(f"{self.folder}/CURRENT", wholetext=True).first()[0].strip() if fs.exists(p) else None
-
-    def _publish(self, rows: DataFrame) -> None:
-        before, version = self._current(), f"v-{uuid.uuid4().hex}"
-        rows.write.option("compression", "zstd").parquet(f"{self.folder}/{version}")
-        fresh, fs = _path(self.spark, f"{self.folder}/.next-{version}")
-        out = fs.create(fresh, True)
-        out.write(version.encode())
-        out.close()
-        pointer, _ = _path(self.spark, f"{self.folder}/CURRENT")
-        fs.delete(pointer, False)
-        fs.rename(fresh, pointer)
-        if before is not None:
-            delete_path(self.spark, f"{self.folder}/{before}")
 
-    def read(self) -> DataFrame:
-        return self.spark.read.schema(CACHE_SCHEMA).parquet(f"{self.folder}/{self._current()}")
+    def read(self, version: int | None = None) -> DataFrame:
+        """The rows, of the last version by default; a later write does not change what is read."""
+        return self.log.read(version)
+
+    def version(self) -> int:
+        return self.log.manifest().version
 
     def on_write(self, listener: Callable[[DataFrame], None]) -> Callable[[], None]:
-        """Call listener with the written rows after each write; returns a function that ends this."""
+        """Call listener with the written rows after each write of this object; returns a function that ends this. Other sessions: see changes.cache_changes."""
         self.listeners.append(listener)
         return lambda: self.listeners.remove(listener)
 
     def write(self, rows: DataFrame, evict: bool = True) -> None:
-        """Upsert rows (CACHE_SCHEMA without seq, or with it); evict: what they supersede goes. Then the listeners are told."""
-        old = self.read()
-        rows = rows if "seq" in rows.columns else C.with_seq(old, rows, ["generated_at", "cache_key"])
-        rows = cut(rows.select(*old.columns), "cache-write")
-        self._publish(C.evicting_write(old, rows) if evict else C.upsert(old, rows))
+        """Upsert rows (CACHE_SCHEMA without seq, or with it); evict: what they supersede goes. Then the listeners are told.
+
+        Of rows with one key, that of the greatest seq is written. Where another writer is faster, seqs and evictions
+        are made anew on what it left.
+        """
+        names = [c.split()[0] for c in CACHE_SCHEMA.split(", ")]
+        given = "seq" in rows.columns
+        kept = cut(rows.select(*(n for n in names if given or n != "seq")), "cache-write")
+        written: list[DataFrame] = []
+
+        def change(live: DataFrame, last: int) -> tuple[DataFrame, DataFrame | None, int]:
+            discard(*written)
+            fresh = cut(C.newest(kept if given else C.numbered(kept, last, ["generated_at", "cache_key"])).select(*names), "cache-batch")
+            written[:] = [fresh]
+            return fresh, C.evicted(live, fresh) if evict else None, fresh.agg(F.max("seq")).first()[0] or last
+
+        self.log.write(change)
         for listener in list(self.listeners):
-            listener(rows)
+            listener(written[0])
+        discard(kept)
+        if not self.listeners:
+            discard(*written)
 
     def purge(self) -> int:
-        """Delete superseded rows; returns how many."""
-        kept, n = C.purge(self.read())
-        gone = n.first()["purged"]
-        if gone:
-            self._publish(kept)
+        """Delete superseded rows; returns how many. Only their keys are written."""
+        gone = 0
+
+        def change(live: DataFrame, last: int) -> tuple[DataFrame, DataFrame, int]:
+            nonlocal gone
+            keys = cut(live.join(C.current_rows(live).select("cache_key"), "cache_key", "left_anti").select("cache_key"), "purged")
+            gone = keys.count()
+            return live.limit(0), keys, last
+
+        self.log.write(change)
         return gone
 
+    def compact(self, retention: float = RETENTION) -> None:
+        """Merge all segments into one, and delete what no reader of the last `retention` seconds can have opened."""
+        self.log.compact()
+        self.log.vacuum(retention)
+
 
 class VectorTable:
     """Chunks and their vectors in a folder, partitioned by a hash of the file's name."""
