@@ -29,8 +29,10 @@ GRAMS_A_LANGUAGE = 4000
 TRAIN_ROWS = 4000
 #: Slots of a filter for each n-gram in it, and hash functions.
 SLOTS_A_GRAM, HASHES = 16, 3
-#: Bound on the languages that are learned: the most frequent ones, ties by code point.
-MAX_LANGUAGES = 2048
+#: Bound on the number of languages, whose n-grams the driver holds: more are an error, none is left out.
+MAX_LANGUAGES = 4096
+#: Seed of the draw of training rows.
+SEED = 42
 UNKNOWN = "und"
 
 
@@ -86,7 +88,7 @@ class Filters:
         return out
 
 
-def build_filters(learned: dict[str, list[int]]) -> Filters:
+def build_filters(learned: dict[str, list[int] | np.ndarray]) -> Filters:
     """Filters of the given n-grams by language."""
     languages = sorted(learned)
     most = max([1, *map(len, learned.values())])
@@ -106,18 +108,19 @@ def build_filters(learned: dict[str, list[int]]) -> Filters:
 
 
 def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Filters:
-    """Filters from labelled(doc_id, text, lang); rows with a null lang or text teach nothing, nor do languages beyond the MAX_LANGUAGES most frequent.
+    """Filters from labelled(text, lang); rows with a null lang or text teach nothing. More than MAX_LANGUAGES languages are an error.
 
-    Each language is learned from a hash sample of about train_rows rows (all, where it has no more): a documented
-    bound on what a classifier is fitted to. N-gram counts are summed on the executors; the driver gets at most
-    GRAMS_A_LANGUAGE of each language.
+    Each language is learned from a seeded random sample of about train_rows rows (all, where it has no more): a
+    documented bound on what a classifier is fitted to. Each row is drawn on its own, whatever ids or texts it shares
+    with others. N-gram counts are summed on the executors; the driver gets at most GRAMS_A_LANGUAGE of each language.
     """
     small_batches(labelled.sparkSession)
-    rows = labelled.select("doc_id", "text", "lang").filter("lang IS NOT NULL AND text IS NOT NULL")
-    by_lang = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
-    shares = by_lang.select(F.col("lang").alias("s_lang"), F.least(F.lit(1.0), train_rows / F.col("n")).alias("share"))
-    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("share") * (1 << 20)
-    sample = rows.join(F.broadcast(shares), (F.col("lang") == F.col("s_lang")) & drawn)  # at most MAX_LANGUAGES rows
+    rows = labelled.select("text", "lang").filter("lang IS NOT NULL AND text IS NOT NULL")
+    by_lang = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if len(by_lang) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    shares = labelled.sparkSession.createDataFrame([(r.lang, min(1.0, train_rows / r.n)) for r in by_lang], "s_lang string, share double")
+    sample = rows.withColumn("u", F.rand(SEED)).join(F.broadcast(shares), (F.col("lang") == F.col("s_lang")) & (F.col("u") < F.col("share")))  # at most MAX_LANGUAGES rows
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter] = {}
@@ -133,10 +136,9 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Filters:
 
     total = sample.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = total.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("k") <= GRAMS_A_LANGUAGE)
-    learned: dict[str, list[int]] = {}
-    for r in top.select("lang", "gram").collect():  # at most GRAMS_A_LANGUAGE a language
-        learned.setdefault(r.lang, []).append(r.gram)
-    return build_filters(learned)
+    lists = top.groupBy("lang").agg(F.collect_list("gram").alias("grams")).toArrow()  # at most GRAMS_A_LANGUAGE a language
+    grams = lists.column("grams").combine_chunks()
+    return build_filters({lang: grams[i].values.to_numpy() for i, lang in enumerate(lists.column("lang").to_pylist())})
 
 
 def annotate(documents: DataFrame, filters: Filters) -> DataFrame:
