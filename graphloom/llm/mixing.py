@@ -9,14 +9,15 @@ and is shuffled on its own.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import discard, identity, materialize, packed
+from graphloom.llm.common import discard, materialize, quoted
 from graphloom.llm.quality import words_of
 
 #: Weights of the sources in the order of their names (fixed values), the mix's share of all words, and the bound on a source's repeats.
@@ -106,19 +107,27 @@ def _seeded(seed: int, *columns: str):  # noqa: ANN202
     return F.xxhash64(F.lit(seed), *columns)
 
 
+def row_identity(documents: DataFrame) -> tuple[Column, Column]:
+    """128 bits that tell rows apart by all of their columns, nulls included, as two numbers."""
+    plain = [F.to_json(F.struct(F.col(quoted(c)).alias("x")), {"ignoreNullFields": "false"}) if re.match("array|map|struct", t) else F.col(quoted(c)) for c, t in documents.dtypes]
+    marked = [x for c in plain for x in (c.isNull(), c)]
+    return F.xxhash64(*marked), F.xxhash64(F.lit(20_011), *marked)
+
+
 def draw(documents: DataFrame, share: float = SHARE, weights: tuple[float, ...] = WEIGHTS, most: float = MOST_REPEATS, shards: int | None = None, seed: int = SEED) -> tuple[DataFrame, DataFrame, int]:
     """(rows, pieces, words) of a mix of documents(doc_id, text, source).
 
-    rows: ROW, doc_id, h1, h2 (the text's identity), size, source_size, target of each row. pieces: ROW, doc_id, h1, h2,
+    rows: ROW, doc_id, h1, h2 (the row's identity, of all its columns), size, source_size, target of each row. pieces: ROW, doc_id, h1, h2,
     shard, place (the shuffled order in the shard), copy, first, last: words [first, last) of a row that the mix
     takes. words: of the whole mix. shards: shards_for(words) by default. A document cut by a block's edge gives
     several pieces. Sources are ordered by code point, null last. Defined cases: a null or empty text has size 0 and
-    no pieces; texts of any length are counted whole; rows repeated in every column read here are told apart only by
+    no pieces; texts of any length are counted whole; rows repeated in every column are told apart only by
     number, and share the order; a table of no words gives no pieces; ties in the hashed order fall to the smaller
-    doc_id; reruns agree; other columns are ignored, whatever their names.
+    doc_id; reruns agree; other columns may have any names and only
+    tell rows apart.
     """
     spark = documents.sparkSession
-    h1, h2 = identity(F.col("text"))
+    h1, h2 = row_identity(documents)
     rows = documents.select("doc_id", "source", F.size(words_of(F.col("text"))).cast("long").alias("size"), h1.alias("h1"), h2.alias("h2"))
     rows = counted = materialize(rows, "mix-rows")
     per_source = rows.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
@@ -196,10 +205,10 @@ def mixed_rows(documents: DataFrame, **options: object) -> DataFrame:
     runs = pieces.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(by_copy))
     runs = runs.groupBy(*ROW, "copy", "run", "doc_id", "h1", "h2").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.min_by("shard", "first").alias("shard"), F.min("place").alias("place"))
     runs = runs.select(F.col("doc_id").alias("r_id"), F.col("h1").alias("r1"), F.col("h2").alias("r2"), "first", "last", "shard", "place")
-    h1, h2 = identity(F.col("gl_row.text"))
-    texts = packed(documents).select("gl_row", F.col("gl_row.doc_id").alias("id"), h1.alias("h1"), h2.alias("h2"))
+    h1, h2 = row_identity(documents)
+    texts = documents.select(F.struct(*[F.col(quoted(c)) for c in documents.columns]).alias("gl_row"), h1.alias("h1"), h2.alias("h2")).withColumn("id", F.col("gl_row.doc_id"))
     if placed.groupBy("doc_id", "h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").head(1):
-        texts = texts.dropDuplicates(["id", "h1", "h2"])  # rows that repeat in id and text have pieces of their own, but one text serves them all
+        texts = texts.dropDuplicates(["id", "h1", "h2"])  # rows that repeat in every column have pieces of their own, but one of them serves all
     met = texts.join(runs, F.col("id").eqNullSafe(F.col("r_id")) & (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2")))
     words = words_of(F.col("gl_row.text"))
     whole = (F.col("first") == 0) & (F.col("last") == F.size(words))
