@@ -17,6 +17,8 @@ CAPACITY = 2048
 END_ID = 1
 #: Tokens of a group that is packed together; groups never span tasks, so each task leaves one smaller group.
 GROUP_TOKENS = 256 * CAPACITY
+#: Documents of a group at most, so that a group of short ones is bounded too.
+GROUP_DOCUMENTS = 1 << 16
 #: Documents' rests longer than this are cut once, so that two of them fit a sequence.
 COARSE = CAPACITY // 2
 #: Of each group's documents, those that hold this share of the rests' tokens are cut into FINE pieces, with which differencing evens the sequences out.
@@ -89,17 +91,34 @@ def cut(lengths: list[int], capacity: int = CAPACITY) -> tuple[list[tuple[int, i
     return full, rest
 
 
+def units(lengths: list[int], least: int) -> list[list[int]]:
+    """Items put together, in order, until each unit but the last has the least length: differencing holds two rows of numbers a unit, however short the items are."""
+    out, open_, size = [], [], 0
+    for i, n in enumerate(lengths):
+        if n >= least:
+            out.append([i])
+            continue
+        open_.append(i)
+        size += n
+        if size >= least:
+            out.append(open_)
+            open_, size = [], 0
+    return [*out, open_] if open_ else out
+
+
 def pack(lengths: list[int], capacity: int = CAPACITY) -> list[list[tuple[int, int, int]]]:
     """Sequences of pieces (document, start, length), none longer than the capacity, that hold every token once."""
     full, rest = cut(lengths, capacity)
     sequences = [[x] for x in full]
-    total = sum(x[2] for x in rest)
+    joined = units([x[2] for x in rest], max(1, FINE * capacity // CAPACITY))
+    sizes = [sum(rest[i][2] for i in u) for u in joined]
+    total = sum(sizes)
     k = -(-total // capacity)
     while rest:
-        sets = difference([x[2] for x in rest], k)
-        most = max(sum(rest[i][2] for i in s) for s in sets)
+        sets = difference(sizes, k)
+        most = max(sum(sizes[u] for u in s) for s in sets)
         if most <= capacity:
-            sequences += [[rest[i] for i in s] for s in sets if s]
+            sequences += [[rest[i] for u in s for i in joined[u]] for s in sets if s]
             break
         over = most - -(-total // k)  # the count rises to where the same imbalance would fit
         k = max(k + 1, -(-total // max(1, capacity - over)) if over < capacity // 8 else k + 1)
@@ -111,7 +130,7 @@ def pack_documents(documents: DataFrame, vocabulary: str | None = None, capacity
 
     Returns a row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (PIECE_SCHEMA). A
     document is the ids of its text and end_id; a null or empty text is end_id alone. Full-length pieces are sequences
-    of their own; the rests are packed in groups of GROUP_TOKENS by differencing, and a group takes one more sequence
+    of their own; the rests are packed in groups of GROUP_TOKENS, or of GROUP_DOCUMENTS documents, by differencing, and a group takes one more sequence
     while any exceeds the capacity. Nothing is shuffled: a task packs what it reads, so sequence ids are a task's
     number and a counter. Defined cases: a null doc_id stays null; repeated rows are packed each on its own; ties
     fall to the earlier row; other columns are ignored, whatever their names; an empty table gives no rows.
@@ -143,7 +162,7 @@ def pack_documents(documents: DataFrame, vocabulary: str | None = None, capacity
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 held.append((doc_id, t.ids(text.as_py()) + end))
                 tokens += len(held[-1][1]) // 4
-                if tokens >= GROUP_TOKENS:
+                if tokens >= GROUP_TOKENS or len(held) >= GROUP_DOCUMENTS:
                     yield flush()
                     tokens = 0
         if held:

@@ -16,7 +16,8 @@ CAPACITY = 2048
 #: The vocabulary's end-of-text id, after each document.
 END_ID = 50256
 PAD_ID = 50256
-GROUP_TOKENS = 1024 * CAPACITY
+#: Tokens, and documents at most, of a group that is packed together.
+GROUP_TOKENS, GROUP_DOCUMENTS = 1024 * CAPACITY, 1 << 17
 ROW_SCHEMA = "sequence_id long, n_tokens int, doc_ids array<long>, starts array<long>, cu_seqlens array<int>, input_ids binary, position_ids binary"
 _ARROW = pa.schema(
     [("sequence_id", pa.int64()), ("n_tokens", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64())), ("cu_seqlens", pa.list_(pa.int32())), ("input_ids", pa.binary()), ("position_ids", pa.binary())]
@@ -74,8 +75,8 @@ def token_matrices(documents: DataFrame, vocabulary: str | None = None, capacity
     A document is its ids and end_id; a null or empty text is end_id alone. Documents beyond the capacity are split
     into full rows and a rest, losing no id. Per row: input_ids and position_ids as capacity little-endian 32-bit
     integers (padded with pad_id and 0), positions start anew with each segment, cu_seqlens are the segments' bounds
-    from 0, and doc_ids and starts say which ids of which documents the segments hold. Groups of GROUP_TOKENS within a
-    task are packed together; nothing is shuffled. Defined cases: null doc_ids stay null in doc_ids; repeated rows are
+    from 0, and doc_ids and starts say which ids of which documents the segments hold. Groups of GROUP_TOKENS (or GROUP_DOCUMENTS documents)
+    within a task are packed together; nothing is shuffled. Defined cases: null doc_ids stay null in doc_ids; repeated rows are
     segments of their own; ties fall to the earlier row; other columns are ignored; an empty table gives no rows.
     """
     path = vocabulary or default_vocabulary()
@@ -114,7 +115,7 @@ def token_matrices(documents: DataFrame, vocabulary: str | None = None, capacity
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 held.append((doc_id, t.ids(text.as_py()) + end))
                 tokens += len(held[-1][1]) // 4
-                if tokens >= GROUP_TOKENS:
+                if tokens >= GROUP_TOKENS or len(held) >= GROUP_DOCUMENTS:
                     yield from flush()
                     tokens = 0
         if held:
