@@ -77,8 +77,26 @@ def test_more_languages_than_a_mask_has_bits(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     want = {r[0]: r[2] for r in rows}
     assert {r.doc_id: r.lang_pred for r in language.identify(docs).collect()} == want
-    monkeypatch.setattr(language, "MAX_LANGUAGES", 70)  # the bound: the most frequent ones, ties by code point
-    assert language.fit(docs).languages == sorted(words_of)[:70]
+    monkeypatch.setattr(language, "MAX_LANGUAGES", 79)
+    with pytest.raises(ValueError, match="more than 79 languages"):
+        language.fit(docs)
+
+
+def test_training_rows_are_drawn_one_by_one(spark):
+    """Rows that share an id, or have none, are drawn as any others, and the bound holds for them."""
+    texts = {"en": "the house and the garden of the town were there", "fr": "la maison et le jardin de la ville sont ici"}
+    for ids in ([3], [None], list(range(5000))):
+        rows = [(ids[i % len(ids)], f"{texts[lang]} {lang}{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}", lang) for i in range(3000) for lang in texts]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+        filters = language.fit(docs, train_rows=100)
+        assert filters.languages == ["en", "fr"]
+        assert {(r.lang, r.lang_pred) for r in language.annotate(docs, filters).select("gl_row.lang", "lang_pred").collect()} == {("en", "en"), ("fr", "fr")}
+        held = sum(len(np.unique(textops.utf8(pa.array([" " + t]))[0])) > 0 for t in texts.values())
+        assert held == 2 and 0 < filters.false_rate.max() < 0.05
+        few = language.fit(docs.filter("lang = 'en'"), train_rows=100)
+        grams = {int.from_bytes(f" en{chr(97 + i % 26)}".encode()[:4], "little") for i in range(26)}
+        seen = few.counts(np.array(sorted(grams), np.uint32), np.array([0, len(grams)]))[0, 0]
+        assert 15 <= seen <= 26  # about 100 of 3,000 rows: most first letters, whichever rows
 
 
 def test_filters_hold_what_they_learned():
@@ -258,6 +276,28 @@ def test_mixing(edge, edge_rows, none):
     assert sum(len(words(r.text)) for r in docs.collect()) == sum(taken.values())
 
 
+def test_one_text_and_id_in_several_sources(spark):
+    """The mix takes from each source what mix() says, and keeps every row's other columns."""
+    t = " ".join(f"t{i}" for i in range(60))
+    rows = [(5, t, "A", "x"), (5, t, "B", "y"), (5, t, "B", None), (6, t + " six", "B", "z"), (7, t + " seven", "C", "z"), (7, t + " seven", "C", "z"), (5, t, None, "A"), (5, t, "A", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").withColumn("bag", F.create_map(F.lit("k"), F.array(F.col("lang")))).repartition(3)
+    want = defaultdict(int)
+    for r in mixing.mix(docs).collect():
+        want[(r.source_size, round(r.target, 6))] += r.taken
+    got = defaultdict(int)
+    mixed = mixing.mixed_documents(docs).collect()
+    for r in mixed:
+        got[r.source] += len(words(r.text))
+    assert sorted(got.values()) == sorted(want.values())
+    sizes = defaultdict(int)
+    for r in rows:
+        sizes[r[2]] += len(words(r[1]))
+    names = [*sorted(x for x in sizes if x), None]
+    for name, target in zip(names, brute.targets([sizes[n] for n in names]), strict=True):
+        assert abs(got[name] - target) <= 1
+    assert {(r.doc_id, r.source, r.lang, r.bag["k"][0]) for r in mixed} <= {(d, s, x, x) for d, _, s, x in rows}
+
+
 # 6
 def test_top_k(spark):
     rng = np.random.default_rng(2)
@@ -382,6 +422,28 @@ def test_differencing_is_near_equal():
     assert sum(x[2] for s in sequences for x in s) == sum(lengths) and len(sequences) * 2048 < 1.03 * sum(lengths)
 
 
+def test_many_short_texts_take_bounded_memory(spark):
+    import tracemalloc
+
+    tracemalloc.start()
+    sequences = packing.pack([1] * packing.GROUP_DOCUMENTS)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20 and sorted(x[0] for s in sequences for x in s) == list(range(packing.GROUP_DOCUMENTS))
+    assert max(sum(x[2] for x in s) for s in sequences) <= 2048 and len(sequences) <= packing.GROUP_DOCUMENTS / 2048 + 1
+    empty = spark.range(0, 600_000, 1, 2).selectExpr("id AS doc_id", "CASE WHEN id % 2 = 0 THEN '' END AS text")
+    got = packing.pack_documents(empty)
+    assert got.agg(F.count("*"), F.countDistinct("doc_id"), F.max(F.col("offset") + F.col("length"))).first()[:2] == (600_000, 600_000)
+    assert token_output.token_matrices(empty).agg(F.sum("n_tokens")).first()[0] == 600_000
+
+
+def test_units_keep_every_item():
+    lengths = np.random.default_rng(2).integers(1, 60, 500).tolist()
+    joined = packing.units(lengths, 32)
+    assert sorted(i for u in joined for i in u) == list(range(500)) and all(sum(lengths[i] for i in u) >= 32 for u in joined[:-1])
+    assert all(len(u) == 1 for u in joined if max(lengths[i] for i in u) >= 32)
+
+
 def test_token_matrices(edge, edge_rows, none, tmp_path):
     got, back = token_output.token_matrices(edge).collect(), defaultdict(Counter)
     for r in got:
