@@ -14,6 +14,7 @@ from graphloom.operators import passes
 from graphloom.sources import tree
 from graphloom.sources.tables import CacheTable
 from graphloom.storage import cut, shared_dir
+from graphloom.streaming.background import BackgroundPass
 
 QUERIES, ORACLE_SQL, query = registry()
 
@@ -97,6 +98,22 @@ def _passes(spark, sf):
     return first.join(second, "fn_id").join(table.read().select("fn_id", "cache_key"), "fn_id", "left")
 
 
+@query("r7_paused_pass", f"""SELECT fn_id, outcome, batch::BIGINT AS batch, batch < 2 AS before_pause, outcome = 'generated' AS cached FROM (
+SELECT 'fn' || p_partkey AS fn_id, CASE WHEN {OUTCOME} IS NULL THEN 'generated' ELSE 'failed' END AS outcome, (row_number() OVER (ORDER BY p_partkey) - 1) // ceil(count(*) OVER () / 4)::BIGINT AS batch FROM part)""")
+def _paused(spark, sf):
+    """A pass over all parts in four batches that pauses after two, and is resumed by another object over the same folder."""
+    folder = f"{shared_dir(spark)}/graphloom/pass-{uuid.uuid4().hex}"
+    table = CacheTable(spark, f"{folder}/cache")
+    new = lambda: BackgroundPass(spark, folder, table, model=answerer, reason=reasoner)
+    new().plan(targets(spark, sf), ["line"], -(-read(spark, sf, "part").count() // 4))
+    new().run(batches=2)
+    paused = cut(new().outcomes().select("fn_id", F.lit(True).alias("before_pause")), "paused")
+    new().run()
+    held = table.read().select("fn_id", F.lit(True).alias("cached"))
+    out = new().outcomes().join(paused, "fn_id", "left").join(held, "fn_id", "left")
+    return out.select("fn_id", "outcome", "batch", F.coalesce("before_pause", F.lit(False)).alias("before_pause"), F.coalesce("cached", F.lit(False)).alias("cached"))
+
+
 @query("x11_refresh", f"SELECT 'fn' || p_partkey AS fn_id, CASE WHEN {OUTCOME} IS NULL THEN 'generated' ELSE 'failed' END AS outcome, {OUTCOME} IS NOT NULL AS dirty, {OUTCOME} IS NOT NULL AND p_partkey % 2 = 0 AS stale FROM part")
 def _refresh(spark, sf):
     """All functions generated anew, cached or not; those that fail stay dirty, and stale if they were."""
