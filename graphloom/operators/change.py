@@ -33,6 +33,19 @@ def dirty_functions(changes: DataFrame) -> DataFrame:
     return last.filter("kind = 'edit'").join(saved, "file", "left").filter("saved IS NULL OR seq > saved").select("file", "fn")
 
 
+def freshness(changes: DataFrame) -> DataFrame:
+    """(file, fn, state) after changes(seq, file, fn, kind): 'dirty' before 'stale' before 'fresh'.
+
+    Dirty: the last edit is later than the function's last flush or regeneration and the file's last save. Stale: made
+    so after the last regeneration. Only the greatest seq of each kind counts, so rows may come in any order.
+    """
+    last = lambda kind: F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("seq"))), F.lit(-1)).alias(kind)
+    saved = changes.filter("kind = 'save'").groupBy("file").agg(F.max("seq").alias("save"))
+    own = changes.filter("kind IN ('edit', 'flush', 'regenerate', 'stale') AND fn IS NOT NULL").groupBy("file", "fn").agg(*map(last, ("edit", "flush", "regenerate", "stale")))
+    state = F.when(F.col("edit") > F.greatest("flush", "regenerate", F.coalesce("save", F.lit(-1))), "dirty").when(F.col("stale") > F.col("regenerate"), "stale").otherwise("fresh")
+    return own.join(saved, "file", "left").select("file", "fn", state.alias("state"))
+
+
 def flush(dirty: DataFrame, alive: DataFrame, cached: DataFrame, generated: DataFrame) -> DataFrame:
     """dirty(fn) with outcome: 'vanished', 'unchanged' and 'regenerated' clear the mark, 'failed' keeps it."""
     d = dirty.join(alive.select("fn").distinct().withColumn("alive", F.lit(True)), "fn", "left").join(cached.select("fn").distinct().withColumn("hit", F.lit(True)), "fn", "left")
