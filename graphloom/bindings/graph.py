@@ -208,8 +208,8 @@ def _reindex(spark, sf):
     """A file that gains its aliases: the update has to resolve all again, and returns the file's functions."""
     new, alias = tags(spark, sf), aliases(spark, sf)
     before = G.contributions(G.enclosed_refs(new), G.candidates(new, alias.limit(0)))
-    after, n = G.reindex(before, new, new, alias.limit(0), alias, ALIAS_BRAND)
-    return G.fold(after).agg(F.count("*").alias("edges"), F.sum("weight").alias("weight"), F.count_if("confident").alias("sure")).select(F.lit(ALIAS_BRAND).alias("rel_fname"), F.lit(n).cast("long").alias("functions"), "edges", "weight", "sure")
+    _, after, n = G.reindex(before, G.fold(before), new, new, alias.limit(0), alias, ALIAS_BRAND)
+    return after.agg(F.count("*").alias("edges"), F.sum("weight").alias("weight"), F.count_if("confident").alias("sure")).select(F.lit(ALIAS_BRAND).alias("rel_fname"), F.lit(n).cast("long").alias("functions"), "edges", "weight", "sure")
 
 
 @query("u2_affected_names", f"WITH {PARTS}, t AS (SELECT DISTINCT name FROM parts WHERE file = '{ALIAS_BRAND}' UNION SELECT 'old ' || name FROM parts WHERE file = '{ALIAS_BRAND}') SELECT name FROM t UNION SELECT alias.name FROM alias JOIN t ON target = t.name")

@@ -86,59 +86,70 @@ def call_graph(tags: DataFrame, aliases: DataFrame) -> DataFrame:
     return fold(contributions(enclosed_refs(tags), candidates(tags, aliases)))
 
 
-def affected_names(old_tags: DataFrame, new_tags: DataFrame, aliases: DataFrame, rel_fname: str) -> DataFrame:
-    """(name): what the file defines or defined, and the aliases of it."""
-    touched = old_tags.filter(F.col("rel_fname") == rel_fname).unionByName(new_tags.filter(F.col("rel_fname") == rel_fname)).filter("kind = 'def'").select("name").distinct()
+def _in(column: str, files: str | list[str]) -> Column:
+    """Whether a column names one of the files (a commit's or a save's: a short list)."""
+    return F.col(column).isin(*([files] if isinstance(files, str) else files))
+
+
+def affected_names(old_tags: DataFrame, new_tags: DataFrame, aliases: DataFrame, files: str | list[str]) -> DataFrame:
+    """(name): what the files define or defined, and the aliases of it."""
+    touched = old_tags.filter(_in("rel_fname", files)).unionByName(new_tags.filter(_in("rel_fname", files))).filter("kind = 'def'").select("name").distinct()
     spelled = alias_targets(aliases).join(touched.withColumnRenamed("name", "target_name"), "target_name", "left_semi").select("name")
     return touched.union(spelled).distinct()
 
 
-def update_contributions(parts: DataFrame, old_tags: DataFrame, new_tags: DataFrame, aliases: DataFrame, rel_fname: str) -> tuple[DataFrame, DataFrame]:
-    """(kept, fresh): contributions after the tags of one file have changed; together they equal those of new_tags.
+def update_contributions(parts: DataFrame, old_tags: DataFrame, new_tags: DataFrame, aliases: DataFrame, files: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """(kept, fresh): contributions after the tags of one file or some have changed; together they equal those of new_tags.
 
-    Only the file's own references and those to affected names are resolved again: they are picked before the
+    Only the files' own references and those to affected names are resolved again: they are picked before the
     containment join, and meet only the definitions of their names. aliases must be those of both states; where they
     changed, build anew.
     """
-    names = cut(affected_names(old_tags, new_tags, aliases, rel_fname), "affected-names")
-    own, refs, defs = F.col("rel_fname") == rel_fname, new_tags.filter("kind = 'ref'"), new_tags.filter("kind = 'def'")
+    names = cut(affected_names(old_tags, new_tags, aliases, files), "affected-names")
+    own, refs, defs = _in("rel_fname", files), new_tags.filter("kind = 'ref'"), new_tags.filter("kind = 'def'")
     picked = refs.filter(own).unionByName(refs.filter(~own).join(names, "name", "left_semi"))
     fresh = cut(enclosed_refs(picked.unionByName(defs)), "fresh-refs")
     wanted = fresh.select("name").distinct()
     spelled = alias_targets(aliases).join(wanted, "name", "left_semi")
     reached = wanted.union(spelled.select(F.col("target_name").alias("name"))).distinct()
     found = candidates(defs.join(reached, "name", "left_semi"), spelled).join(wanted, "name", "left_semi")
-    kept = parts.filter(F.col("caller_file") != rel_fname).join(names, "name", "left_anti")
+    kept = parts.filter(~_in("caller_file", files)).join(names, "name", "left_anti")
     return kept, contributions(fresh, found)
 
 
-def update_call_graph(edges: DataFrame, parts: DataFrame, old_tags: DataFrame, new_tags: DataFrame, aliases: DataFrame, rel_fname: str) -> DataFrame:
-    """Edges after the tags of one file have changed, equal to call_graph(new_tags, aliases); edges is the fold of parts.
+def update_call_graph(edges: DataFrame, parts: DataFrame, old_tags: DataFrame, new_tags: DataFrame, aliases: DataFrame, files: str | list[str]) -> DataFrame:
+    """Edges after the tags of one file or some have changed, equal to call_graph(new_tags, aliases); edges is the fold of parts."""
+    kept, fresh = update_contributions(parts, old_tags, new_tags, aliases, files)
+    return refold(edges, parts, kept, cut(fresh, "fresh-parts"), affected_names(old_tags, new_tags, aliases, files), files)
+
+
+def refold(edges: DataFrame, parts: DataFrame, kept: DataFrame, fresh: DataFrame, names: DataFrame, files: str | list[str]) -> DataFrame:
+    """Edges of kept and fresh, contributions of update_contributions(), of which fresh is a written table.
 
     Only the edges that lose or gain a contribution are folded again; the others are passed on where they lie. Where
     that is more than BROADCAST_EDGES of them, one fold of all costs less than telling them apart.
     """
-    kept, fresh = update_contributions(parts, old_tags, new_tags, aliases, rel_fname)
-    fresh = cut(fresh, "fresh-parts")
     if fresh.count() > BROADCAST_EDGES:
         return fold(kept.unionByName(fresh))
-    names = affected_names(old_tags, new_tags, aliases, rel_fname)
-    lost = parts.filter(F.col("caller_file") == rel_fname).select(*CALLER, *CALLEE).union(parts.filter(F.col("caller_file") != rel_fname).join(names, "name", "left_semi").select(*CALLER, *CALLEE))
+    lost = parts.filter(_in("caller_file", files)).select(*CALLER, *CALLEE).union(parts.filter(~_in("caller_file", files)).join(names, "name", "left_semi").select(*CALLER, *CALLEE))
     touched = cut(lost.union(fresh.select(*CALLER, *CALLEE)).distinct(), "touched-edges")
     again = fold(kept.join(touched, CALLER + CALLEE, "left_semi").unionByName(fresh))
     return edges.join(touched, CALLER + CALLEE, "left_anti").unionByName(again.select(*edges.columns))
 
 
-def reindex(parts: DataFrame, old_tags: DataFrame, new_tags: DataFrame, old_aliases: DataFrame, new_aliases: DataFrame, rel_fname: str) -> tuple[DataFrame, int]:
-    """(contributions of new_tags, the file's number of definitions) after one file was read anew; where aliases changed, all is resolved again."""
+def reindex(parts: DataFrame, edges: DataFrame, old_tags: DataFrame, new_tags: DataFrame, old_aliases: DataFrame, new_aliases: DataFrame, files: str | list[str]) -> tuple[DataFrame, DataFrame, int]:
+    """(contributions of new_tags, their edges, the files' number of definitions) after files were read anew; where aliases changed, all is resolved again."""
     old, new = alias_targets(old_aliases), alias_targets(new_aliases)
     same = not old.exceptAll(new).unionByName(new.exceptAll(old)).head(1)
     if same:
-        kept, fresh = update_contributions(parts, old_tags, new_tags, new_aliases, rel_fname)
-        out = kept.unionByName(fresh)
+        kept, fresh = update_contributions(parts, old_tags, new_tags, new_aliases, files)
+        fresh = cut(fresh, "fresh-parts")
+        out = cut(kept.unionByName(fresh), "parts")
+        edges = refold(edges, parts, kept, fresh, affected_names(old_tags, new_tags, new_aliases, files), files)
     else:
-        out = contributions(enclosed_refs(new_tags), candidates(new_tags, new_aliases))
-    return out, new_tags.filter((F.col("rel_fname") == rel_fname) & (F.col("kind") == "def")).count()
+        out = cut(contributions(enclosed_refs(new_tags), candidates(new_tags, new_aliases)), "parts")
+        edges = fold(out)
+    return out, edges, new_tags.filter(_in("rel_fname", files) & (F.col("kind") == "def")).count()
 
 
 def pagerank(node_table: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 100, tolerance: float | None = 1e-6) -> DataFrame:

@@ -21,14 +21,15 @@ def walk(files: DataFrame, most: int = MAX_FILES) -> DataFrame:
 
 
 def with_budget(files: DataFrame, max_bytes: int = MAX_BYTES, max_chars: int = MAX_CHARS) -> DataFrame:
-    """files(rel_path, place, size_bytes, chars, binary) with skip_reason (null: included) and cum.
+    """files(rel_path, place, size_bytes, chars, binary, and unreadable if there is such a column) with skip_reason (null: included) and cum.
 
     The running sum counts eligible files' characters in walk order, so once it is beyond the budget it stays there.
     files is walk()'s bounded list, so one ordered window suits it.
     """
-    eligible = (F.col("size_bytes") <= max_bytes) & ~F.col("binary")
+    unreadable = F.col("unreadable") if "unreadable" in files.columns else F.lit(False)
+    eligible = (F.col("size_bytes") <= max_bytes) & ~F.col("binary") & ~unreadable
     cum = F.sum(F.when(eligible, F.col("chars")).otherwise(0)).over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
-    reason = F.when(F.col("cum") > max_chars, "budget-exceeded").when(F.col("size_bytes") > max_bytes, "too-large").when(F.col("binary"), "binary")
+    reason = F.when(F.col("cum") > max_chars, "budget-exceeded").when(F.col("size_bytes") > max_bytes, "too-large").when(F.col("binary"), "binary").when(unreadable, "unreadable")
     return files.withColumn("cum", cum).withColumn("skip_reason", reason)
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import warnings
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.errors import PythonException
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +21,18 @@ from graphloom.operators import vectors as V
 from graphloom.plans import digest as D
 from graphloom.sources import tree
 from graphloom.sources.tables import CacheTable, VectorTable
-from graphloom.storage import cut
+from graphloom.storage import Scratch, cut, discard
+
+
+def request(method: Callable[..., Any]) -> Callable[..., Any]:
+    """A method whose intermediate tables are the CodeMap's, which deletes them when they are out of use."""
+
+    @functools.wraps(method)
+    def run(self: CodeMap, *args: object, **params: object) -> Any:  # noqa: ANN401
+        with self.scratch:
+            return method(self, *args, **params)
+
+    return run
 
 
 class CodeMap:
@@ -32,39 +46,89 @@ class CodeMap:
         self.spark, self.root, self.gitignore, self.embedder = spark, root, gitignore, embedder
         self.vectors = VectorTable(spark, store) if store else None
         self.cache = CacheTable(spark, f"{store.rstrip('/')}/cache") if store else None
-        self.files = self.tags = self.aliases = self.parts = self.edges = self.importance = None
+        self.files = self.tags = self.aliases = self.parts = self.edges = self.importance = self.unreadable = None
+        self.scratch, self._before = Scratch(), Scratch()
 
     # -- index
 
+    def _renewed(self, step: Callable[[], int]) -> int:
+        """A step that replaces the index. Tables that requests made, and the replaced ones, go with the second renewal after: what was asked before one is still there after it."""
+        self._before.free()
+        self._before, self.scratch = self.scratch, Scratch()
+        replaced = self._tables()
+        with Scratch() as working:
+            out = step()
+            working.keep(*self._tables())
+        working.free()
+        self._before.tables += [t for t in replaced if t not in self._tables()]
+        return out
+
+    def _tables(self) -> list[DataFrame]:
+        return [t for t in (self.files, self.tags, self.aliases, self.parts, self.edges, self.importance, self.unreadable) if t is not None]
+
+    def close(self) -> None:
+        """Delete the tables of the index and of its requests."""
+        for s in (self._before, self.scratch):
+            s.free()
+        discard(*self._tables())
+        self.files = self.tags = self.aliases = self.parts = self.edges = self.importance = self.unreadable = None
+
+    def _read(self, paths: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+        """(files, unreadable, tags, aliases) of the source files among paths, each read once: tags are of the text that is kept."""
+        got = cut(tree.sources(paths, self.root).select("rel_fname", tree.text_of(F.col("content")).alias("content"), "error"), "read")
+        files = got.filter("error IS NULL").select("rel_fname", "content")
+        parsed = files.select("rel_fname", F.encode("content", "UTF-8").alias("content"))
+        return files, got.filter("error IS NOT NULL").select("rel_fname", "error"), tree.parse_tags(parsed), tree.parse_aliases(parsed)
+
     def index(self, embed: bool = False) -> CodeMap:
-        """Parse and rank the tree; embed: fill the vector table too."""
-        files = tree.discover(self.spark, self.root, self.gitignore)
-        self.files = cut(files.select("rel_fname", F.decode("content", "UTF-8").alias("content")), "files")
-        self.tags, self.aliases = cut(tree.parse_tags(files), "tags"), cut(tree.parse_aliases(files), "aliases")
-        self._rank(G.contributions(G.enclosed_refs(self.tags), G.candidates(self.tags, self.aliases)))
+        """Parse and rank the tree; embed: fill the vector table too. Files that cannot be read are listed in unreadable(rel_fname, error)."""
+
+        def step() -> int:
+            files, unreadable, tags, aliases = self._read(tree.tree_paths(self.spark, self.root, self.gitignore))
+            self.files, self.unreadable, self.tags, self.aliases = cut(files, "files"), cut(unreadable, "unreadable"), cut(tags, "tags"), cut(aliases, "aliases")
+            self.parts = cut(G.contributions(G.enclosed_refs(self.tags), G.candidates(self.tags, self.aliases)), "parts")
+            self._rank(G.fold(self.parts))
+            return 0
+
+        self._renewed(step)
         if embed and self.vectors is not None:
             self.vectors.replace_all(V.embed_chunks(self.chunks(), self.embedder))
         return self
 
-    def _rank(self, parts: DataFrame) -> None:
-        self.parts = cut(parts, "parts")
-        self.edges = cut(G.fold(self.parts), "edges")
+    def _rank(self, edges: DataFrame) -> None:
+        self.edges = cut(edges, "edges")
         self.importance = cut(G.pagerank(G.nodes(self.tags), self.edges), "importance")
 
     def reindex_file(self, rel_fname: str, embed: bool = False) -> int:
-        """Read one file anew; returns its number of definitions. Without an index, or if the file's aliases changed, the whole graph is built."""
+        """reindex_files() of one file."""
+        return self.reindex_files([rel_fname], embed)
+
+    def reindex_files(self, files: list[str], embed: bool = False) -> int:
+        """Read some files anew, and no others; returns their number of definitions. Files that are gone lose theirs.
+
+        Without an index the whole tree is read; if aliases changed, all references are resolved again.
+        """
         if self.tags is None:
             self.index(embed)
-        own = F.col("rel_fname") == rel_fname
-        files = tree.discover(self.spark, self.root, self.gitignore).filter(own)
-        tags = cut(self.tags.filter(~own).unionByName(tree.parse_tags(files)), "tags")
-        aliases = cut(self.aliases.filter(~own).unionByName(tree.parse_aliases(files)), "aliases")
-        self.files = cut(self.files.filter(~own).unionByName(files.select("rel_fname", F.decode("content", "UTF-8").alias("content"))), "files")
-        parts, n = G.reindex(self.parts, self.tags, tags, self.aliases, aliases, rel_fname)
-        self.tags, self.aliases = tags, aliases
-        self._rank(parts)
+            return self.tags.filter(F.col("rel_fname").isin(*files) & (F.col("kind") == "def")).count()
+        own = F.col("rel_fname").isin(*files)
+
+        def step() -> int:
+            fresh, unreadable, new_tags, new_aliases = self._read(tree.named_paths(self.spark, self.root, files, self.gitignore))
+            tags, aliases = cut(self.tags.filter(~own).unionByName(new_tags), "tags"), cut(self.aliases.filter(~own).unionByName(new_aliases), "aliases")
+            self.files = cut(self.files.filter(~own).unionByName(fresh), "files")
+            self.unreadable = cut(self.unreadable.filter(~own).unionByName(unreadable), "unreadable")
+            parts, edges, n = G.reindex(self.parts, self.edges, self.tags, tags, self.aliases, aliases, files)
+            self.parts, self.tags, self.aliases = parts, tags, aliases
+            self._rank(edges)
+            return n
+
+        n = self._renewed(step)
         if embed and self.vectors is not None:
-            self.vectors.replace_file(rel_fname, V.embed_chunks(V.chunk_files(self.files.filter(own)), self.embedder))
+            with self.scratch:
+                chunks = cut(V.embed_chunks(V.chunk_files(self.files.filter(own)), self.embedder), "chunks")
+            for f in files:
+                self.vectors.replace_file(f, chunks.filter(F.col("rel_fname") == f))
         return n
 
     # -- graph
@@ -86,12 +150,15 @@ class CodeMap:
         probe = self.spark.createDataFrame([(0, rel_fname, name, line)], "root long, rel_fname string, name string, at_line int")
         return G.nearest_def(probe, self.tags.filter("kind = 'def'")).filter("line IS NOT NULL").select("root", "rel_fname", "name", "line")
 
+    @request
     def get_blast_radius(self, rel_fname: str, name: str, line: int, depth: int = G.DEPTH) -> tuple[DataFrame, DataFrame, DataFrame]:
         return G.blast_radius(self.edges, self.importance, self._root(rel_fname, name, line), depth)
 
+    @request
     def get_call_trace(self, rel_fname: str, name: str, line: int, depth: int = G.DEPTH) -> tuple[DataFrame, DataFrame]:
         return G.call_trace(self.edges, self.importance, self._root(rel_fname, name, line), depth)
 
+    @request
     def dump(self) -> DataFrame:
         """(pos, text): every function in order of importance, with its callers and callees."""
         near = G.function_context(self.edges, self.importance)
@@ -116,6 +183,7 @@ class CodeMap:
         out = defs.join(self.files, "rel_fname").select("rel_fname", "name", "line", F.col("t.end_line").alias("end_line"), source.alias("fn_source"))
         return passes.assign_fn_ids(out.withColumn("rel_file", F.col("rel_fname")).withColumn("qualified", F.col("name")), ["line"]).drop("rel_file", "qualified")
 
+    @request
     def retrieved(self, functions: DataFrame) -> DataFrame | None:
         """(rel_fname, name, line, retrieved); None without a vector table, or where the embedder fails: functions are then explained from the call graph alone."""
         if self.vectors is None or not self.vectors.exists():
@@ -142,6 +210,7 @@ class CodeMap:
         """All functions with explanation and error; nothing is cached."""
         return generation.explain(self.targets(self.functions(), model_id), model, **options)
 
+    @request
     def generate_explanation(self, rel_fname: str, name: str, line: int, fn_source: str, model=generation.stub, model_id: str = "stub") -> DataFrame:  # noqa: ANN001
         """One row: context_hash, context_tier, explanation. A function that the index lacks has an empty context; a failure raises GenerationError."""
         spans = self.tags.filter("kind = 'def'").select("rel_fname", "name", F.col("start_line").alias("line"), "end_line")
@@ -154,6 +223,7 @@ class CodeMap:
             raise generation.GenerationError(error)
         return out.select("context_hash", "context_tier", "explanation")
 
+    @request
     def acceptance_report(self, names: list[str] | None = None, limit: int = 15, model=generation.stub, model_id: str = "stub") -> tuple[DataFrame, DataFrame]:  # noqa: ANN001
         """(one row, text: the Markdown report; the names that no function has) of the named functions, or the first `limit`."""
         ranked = G.positions(self.importance, F.desc("importance"), "rel_fname", "name", "line")
@@ -162,6 +232,7 @@ class CodeMap:
         report = generation.acceptance_report(cut(generation.explain(self.targets(functions, model_id), model), "accepted"))
         return generation.acceptance_markdown(report, self.root.rstrip("/").rsplit("/", 1)[-1], model_id), missing
 
+    @request
     def index_pass(self, top: int | None = 200, model=generation.stub, model_id: str = "stub", **options: object) -> DataFrame:  # noqa: ANN001
         """Explain and cache the first `top` functions (all: None) that the cache lacks; (fn_id, fn_hash, outcome, error)."""
         functions = self.functions()
@@ -169,6 +240,7 @@ class CodeMap:
             functions = functions.join(self.list_ranked_functions().limit(top).select(*G.NODE), G.NODE, "left_semi")
         return passes.index_pass(self.cache, cut(self.targets(functions, model_id), "targets"), model=model, **options)
 
+    @request
     def refresh(self, rel_fname: str, name: str, line: int, dirty: DataFrame, stale: DataFrame, model=generation.stub, model_id: str = "stub") -> tuple[DataFrame, DataFrame, DataFrame]:  # noqa: ANN001
         """Explain one function anew, cached or not; (outcomes, dirty, stale) after it."""
         one = self.functions().join(self._root(rel_fname, name, line).select("rel_fname", "name", "line"), ["rel_fname", "name", "line"], "left_semi")
@@ -190,6 +262,7 @@ class CodeMap:
         said = lists.withColumn("said", generation.generate(P.file_summary_prompt(F.col("rel_fname"), F.col("functions")), model))
         return said.select("rel_fname", F.trim("said.text").alias("summary"), "said.error")
 
+    @request
     def generate_cluster_summary(self, rel_fname: str, name: str, line: int, model=generation.stub, model_id: str = "stub") -> DataFrame:  # noqa: ANN001
         """(root, summary, error): the model's paragraph on a function and those of its upstream callers that are explained."""
         nodes, _, _ = self.get_blast_radius(rel_fname, name, line)
@@ -200,6 +273,7 @@ class CodeMap:
         said = root.join(callers).withColumn("said", generation.generate(P.cluster_summary_prompt(F.col("name"), F.col("role_tag"), F.col("one_liner"), F.col("callers")), model))  # one row each
         return said.select(F.col("name").alias("root"), F.trim("said.text").alias("summary"), "said.error")
 
+    @request
     def write_pages(self, folder: str, model=generation.stub, model_id: str = "stub") -> int:  # noqa: ANN001
         """Write a Markdown page for each file with explained functions, and index.md and functions.md; returns how many."""
         rows = self.explained(model_id).filter("cache_key IS NOT NULL").join(self.importance, G.NODE)
@@ -224,6 +298,7 @@ class CodeMap:
         match = F.greatest(*[T.subsequence_match(F.coalesce(c, F.lit("")), query) for c in ("label", "description", "detail")])
         return rows.withColumn("match", match).filter("match > 0").orderBy(F.collate("label", "UNICODE"), "fn_id")
 
+    @request
     def prioritize_file(self, rel_fname: str, model=generation.stub, model_id: str = "stub", **options: object) -> DataFrame:  # noqa: ANN001
         """Explain and cache one file's functions that the cache lacks; (fn_id, fn_hash, outcome, error)."""
         own = self.functions().filter(F.col("rel_fname") == rel_fname)
@@ -233,19 +308,25 @@ class CodeMap:
         """Delete superseded rows of the cache; returns how many."""
         return self.cache.purge()
 
+    @request
     def show_blast_radius(self, rel_fname: str, name: str, line: int, model_id: str = "stub") -> DataFrame:
         """The upstream callers by depth, each with what is known of it."""
         nodes, _, _ = self.get_blast_radius(rel_fname, name, line)
         return nodes.join(self.explained(model_id).select(*G.NODE, "role_tag", "one_liner"), G.NODE, "left").orderBy("depth", F.desc("importance"), *G.NODE)
 
+    @request
     def generate_digest(self) -> DataFrame:
         """One row: text, total_files, included_files, truncated."""
         from graphloom.functions.text import binary_head
 
-        files = tree.tree_files(self.spark, self.root, self.gitignore).withColumnRenamed("rel_fname", "rel_path")
-        plain = F.when(~binary_head(F.col("content")), F.try_validate_utf8(F.col("content").cast("string")))
-        files = files.select("rel_path", F.col("length").cast("long").alias("size_bytes"), binary_head(F.col("content")).alias("binary"), F.coalesce(plain, F.lit("")).alias("content"))
-        files = cut(D.with_budget(D.walk(files.withColumn("chars", F.length("content").cast("long")))), "digest")
+        paths = tree.tree_paths(self.spark, self.root, self.gitignore).select(F.col("rel_fname").alias("rel_path"), F.col("length").cast("long").alias("size_bytes"))
+        paths = cut(D.walk(paths), "digest-paths")  # only files of the walk, and only those small enough, are opened
+        fits = F.col("size_bytes") <= D.MAX_BYTES
+        read = tree.with_content(paths.filter(fits).withColumnRenamed("rel_path", "rel_fname"), self.root).withColumnRenamed("rel_fname", "rel_path")
+        files = read.unionByName(paths.filter(~fits), allowMissingColumns=True)
+        binary, text = F.coalesce(binary_head(F.col("content")), F.lit(False)), F.coalesce(tree.text_of(F.col("content")), F.lit(""))
+        files = files.select("rel_path", "place", "size_bytes", binary.alias("binary"), F.col("error").isNotNull().alias("unreadable"), F.when(binary, "").otherwise(text).alias("content"))
+        files = cut(D.with_budget(files.withColumn("chars", F.length("content").cast("long"))), "digest")
         summary = D.digest_summary(files)
         text = D.render(self.root.rstrip("/").rsplit("/", 1)[-1], summary, D.tree(files.select("rel_path")), files)
         return text.join(summary.select("total_files", "included_files", "truncated"))  # one row each

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from graphloom.sources.manifest import LANGUAGES, excluded_dirs, extension_table
 from graphloom.sources.parse import Registry
+from graphloom.sources.store import store_of
 from graphloom.storage import bounded_batches, cut
 
 TAG_SCHEMA = "rel_fname string, name string, kind string, start_line int, end_line int, start_byte int, end_byte int, capture_kind string, tag_seq int"
@@ -56,16 +57,9 @@ def ignored(rel_path: Column, rules: list[tuple[bool, str]]) -> Column:
     return out
 
 
-def _store(root: str):  # noqa: ANN202
-    """(file system, path in it) of a URI, or of a path that all nodes have mounted."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(root.rstrip("/") if "://" in root else f"file://{root.removeprefix('file:').rstrip('/')}")
-
-
 def root_ignore(root: str) -> str:
     """The text of the tree's root .gitignore, empty if there is none."""
-    store, base = _store(root)
+    store, base = store_of(root)
     try:
         with store.open_input_file(f"{base}/.gitignore") as f:
             return f.read().decode("utf-8", "replace")
@@ -87,12 +81,18 @@ def tree_paths(spark: SparkSession, root: str, gitignore: str | None = None) ->
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        store, base = _store(root)
+        store, base = store_of(root)
         local = isinstance(store, fs.LocalFileSystem)
         for batch in batches:
             for folder in batch.column("rel_fname").to_pylist():
                 rows = []
-                for x in store.get_file_info(fs.FileSelector(f"{base}/{folder}".rstrip("/"))):
+                try:
+                    inside = store.get_file_info(fs.FileSelector(f"{base}/{folder}".rstrip("/")))
+                except OSError:
+                    if not folder:
+                        raise
+                    inside = []  # a folder that cannot be read, or that went meanwhile, holds nothing
+                for x in inside:
                     inner = x.type == fs.FileType.Directory
                     if x.type == fs.FileType.NotFound or inner and (x.base_name in names or globs.match(x.base_name) or local and os.path.islink(x.path)):
                         continue
@@ -113,23 +113,33 @@ def tree_paths(spark: SparkSession, root: str, gitignore: str | None = None) ->
 
 
 def with_content(paths: DataFrame, root: str) -> DataFrame:
-    """paths(rel_fname, ...) with content, read where the rows lie."""
+    """paths(rel_fname, ...) with content, read where the rows lie, and error: null, or why the file cannot be read (content is null then)."""
     bounded_batches(paths.sparkSession)
     columns = paths.columns
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = _store(root)
+        store, base = store_of(root)
         for batch in batches:
             for i, path in enumerate(batch.column("rel_fname").to_pylist()):  # one by one: files may be large
-                with store.open_input_file(f"{base}/{path}") as f:
-                    yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns, pa.array([f.read()], pa.binary())], names=[*columns, "content"])
+                content = error = None
+                try:
+                    with store.open_input_file(f"{base}/{path}") as f:
+                        content = f.read()
+                except OSError as e:
+                    error = str(e) or type(e).__name__
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns, pa.array([content], pa.binary()), pa.array([error], pa.string())], names=[*columns, "content", "error"])
 
     fields = ", ".join(f"{n} {t}" for n, t in paths.dtypes)
-    return paths.repartition(paths.sparkSession.sparkContext.defaultParallelism).mapInArrow(read, f"{fields}, content binary")
+    return paths.repartition(paths.sparkSession.sparkContext.defaultParallelism).mapInArrow(read, f"{fields}, content binary, error string")
+
+
+def text_of(content: Column) -> Column:
+    """The bytes of a file as text, whatever they are: what is not UTF-8 becomes U+FFFD. Offsets of tags are of this text's bytes, where it is what was parsed."""
+    return F.make_valid_utf8(content.cast("string"))
 
 
 def tree_files(spark: SparkSession, root: str, gitignore: str | None = None) -> DataFrame:
-    """(rel_fname, length, content) of all files under root; see tree_paths."""
+    """(rel_fname, length, content, error) of all files under root; see tree_paths and with_content."""
     return with_content(tree_paths(spark, root, gitignore), root)
 
 
@@ -140,9 +150,21 @@ def with_language(files: DataFrame) -> DataFrame:
     return files.join(known, ext == F.col("known_ext")).drop("known_ext")
 
 
+def sources(paths: DataFrame, root: str) -> DataFrame:
+    """(rel_fname, language, content, error) of those of paths(rel_fname, ...) that are source files; no other file is opened."""
+    return with_content(with_language(paths), root).select("rel_fname", "language", "content", "error")
+
+
 def discover(spark: SparkSession, root: str, gitignore: str | None = None) -> DataFrame:
-    """(rel_fname, language, content) of all source files under root; only these are read. See tree_paths."""
-    return with_content(with_language(tree_paths(spark, root, gitignore)), root).select("rel_fname", "language", "content")
+    """(rel_fname, language, content) of all source files under root that can be read; no other file is opened. See tree_paths."""
+    return sources(tree_paths(spark, root, gitignore), root).filter("error IS NULL").drop("error")
+
+
+def named_paths(spark: SparkSession, root: str, files: list[str], gitignore: str | None = None) -> DataFrame:
+    """(rel_fname): those of the given files that a walk of the tree would not leave out by their names; nothing is listed."""
+    names = spark.createDataFrame([(f,) for f in dict.fromkeys(files)], "rel_fname string")
+    rules = ignore_rules(root_ignore(root) if gitignore is None else gitignore)
+    return names.filter(~in_excluded_dir(F.col("rel_fname")) & ~ignored(F.col("rel_fname"), rules))
 
 
 def parse_tags(files: DataFrame) -> DataFrame:

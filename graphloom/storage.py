@@ -8,11 +8,13 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: str | None = None
+_scopes: ContextVar[tuple[Scratch, ...]] = ContextVar("graphloom_scopes", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,9 +42,34 @@ def cut(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out._graphloom_path = path
+    if _scopes.get():
+        _scopes.get()[-1].tables.append(out)
     return out
 
 
+class Scratch:
+    """The tables that cut() makes inside of a with block. free() deletes all but those that were kept; a block may be entered again."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def __enter__(self) -> Scratch:
+        _scopes.set((*_scopes.get(), self))
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        _scopes.set(_scopes.get()[:-1])
+
+    def keep(self, *tables: DataFrame) -> None:
+        """These tables are the caller's from now on."""
+        paths = {getattr(t, "_graphloom_path", None) for t in tables}
+        self.tables = [t for t in self.tables if t._graphloom_path not in paths]
+
+    def free(self) -> None:
+        discard(*self.tables)
+        self.tables = []
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that cut() made and nothing will read again; others are left alone."""
     for t in tables:

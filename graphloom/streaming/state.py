@@ -52,15 +52,16 @@ def _started(stream: DataFrame, handle: Callable[[DataFrame, int], None], second
     return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
 
 
-def reindex_on_save(saves: DataFrame, reindex: Callable[[str], int], checkpoint: str | None = None, seconds: float = 0.75) -> StreamingQuery:
-    """Run reindex once a file and micro-batch of saves(file); batches are serial, so saves during a run fold into exactly one rerun.
+def reindex_on_save(saves: DataFrame, reindex: Callable[[list[str]], int], checkpoint: str | None = None, seconds: float = 0.75) -> StreamingQuery:
+    """Run reindex over the files of each micro-batch of saves(file), once; batches are serial, so saves during a run fold into exactly one rerun.
 
     checkpoint: a folder that makes a restarted stream go on where it ended; a batch that failed is run again.
     """
 
     def handle(batch: DataFrame, _: int) -> None:
-        for r in batch.select("file").distinct().toLocalIterator():  # the files saved within one trigger
-            reindex(r.file)
+        files = sorted(r.file for r in batch.select("file").distinct().collect())  # the files saved within one trigger
+        if files:
+            reindex(files)
 
     return _started(saves, handle, seconds, checkpoint)
 
@@ -90,14 +91,15 @@ def marker_stream(spark, folder: str, extensions: list[str] | None = None) -> Da
     return lines.filter(keep).select(path.alias("rel_fname"))
 
 
-def reindex_on_markers(markers: DataFrame, reindex: Callable[[str], int], busy: Callable[[], bool], checkpoint: str | None = None, seconds: float = 0.3) -> StreamingQuery:
-    """Run reindex for the files of each marker. While busy() holds, as during a background pass, no marker is consumed: the batch waits."""
+def reindex_on_markers(markers: DataFrame, reindex: Callable[[list[str]], int], busy: Callable[[], bool], checkpoint: str | None = None, seconds: float = 0.3) -> StreamingQuery:
+    """Run reindex once over the files of each marker. While busy() holds, as during a background pass, no marker is consumed: the batch waits."""
 
     def handle(batch: DataFrame, _: int) -> None:
         while busy():
             time.sleep(seconds)
-        for r in batch.select("rel_fname").distinct().toLocalIterator():  # the lines of one marker
-            reindex(r.rel_fname)
+        files = sorted(r.rel_fname for r in batch.select("rel_fname").distinct().collect())  # the lines of one marker
+        if files:
+            reindex(files)
 
     return _started(markers, handle, seconds, checkpoint)
 

@@ -246,3 +246,58 @@ def test_digest_and_reindex(code, tmp_path):
     Path(code.root, "b.py").write_text("def low():\n    return top()\n")
     assert code.reindex_file("b.py") == 1
     assert code.status() == {"functions": 3, "edges": 3}
+
+
+def test_text_of_any_bytes(spark, tmp_path):
+    """Latin-1 source, a bad byte late in a file, files that cannot be read and large binaries: all else goes on, and offsets agree with slices."""
+    from graphloom.sources import tree
+
+    root = tmp_path / "code"
+    root.mkdir()
+    (root / "a.py").write_text("def ok():\n    return caf\u00e9()\n")
+    (root / "b.js").write_bytes("// \xe9\xe8 \xff\nfunction cafex() { return ok(); }\nfunction after(\xe9) { return ok('\xe9'); }\n".encode("latin-1"))
+    (root / "late.txt").write_bytes(b"x" * 1500 + b"\xff" + b"y" * 500)
+    (root / "bin.dat").write_bytes(b"\0" * 200_000)
+    (root / "nul.txt").write_bytes(b"a\0b")
+    code = CodeMap(spark, str(root)).index()
+    assert code.status() == {"functions": 3, "edges": 2}
+    sources = {r.name: r.fn_source for r in code.functions().collect()}
+    assert sources["ok"] == "def ok():\n    return caf\u00e9()" and sources["after"].startswith("function after(\ufffd)") and sources["after"].endswith("}")
+    got = code.generate_digest().first()
+    assert (got.total_files, got.included_files) == (5, 2) and "x" * 1500 + "\ufffd" + "y" * 500 in got.text
+    assert "bin.dat (too-large, 200000 bytes)" in got.text and "nul.txt (binary, 3 bytes)" in got.text
+    gone = tree.with_content(spark.createDataFrame([("a.py",), ("gone.py",)], "rel_fname string"), str(root))
+    assert {r.rel_fname: (r.content is None, r.error is None) for r in gone.collect()} == {"a.py": (False, True), "gone.py": (True, False)}
+    (root / "c.py").symlink_to(root / "loop")
+    (root / "loop").symlink_to(root / "c.py")
+    code.reindex_files(["c.py"])
+    assert code.status()["functions"] == 3 and [r.rel_fname for r in code.unreadable.collect()] == ["c.py"]
+
+
+def test_a_reindex_reads_the_named_files_alone_and_leaves_no_tables(spark, tmp_path):
+    from pathlib import Path
+
+    from graphloom.storage import shared_dir
+
+    root = tmp_path / "code"
+    (root / "node_modules").mkdir(parents=True)
+    for name, callee in (("a", "b"), ("b", "c"), ("c", "a")):
+        (root / f"{name}.py").write_text(f"def {name}():\n    return {callee}()\n")
+    code = CodeMap(spark, str(root)).index()
+    tables = lambda: {p.name for p in Path(shared_dir(spark), "graphloom").iterdir()}
+    (root / "a.py").unlink()
+    (root / "b.py").write_text("def b():\n    return c()\n\n\ndef d():\n    return b()\n")
+    (root / "node_modules" / "x.py").write_text("def no(): pass\n")
+    (root / "new.py").write_text("def new():\n    return d()\n")
+    assert code.reindex_files(["b.py", "new.py", "node_modules/x.py", "notes.txt"]) == 3
+    assert code.status() == {"functions": 5, "edges": 5}  # a.py was not looked at
+    kept, _, _ = code.get_blast_radius("b.py", "d", 4)
+    assert code.reindex_files(["a.py"]) == 0 and code.status() == {"functions": 4, "edges": 3}
+    assert [r.name for r in kept.collect()] == ["new"]  # asked before the index was renewed
+    code.reindex_files(["c.py"])
+    before = tables()
+    for _ in range(3):
+        code.reindex_files(["b.py", "c.py"])
+    assert len(tables() - before) == len(before - tables())
+    code.close()
+    assert not tables() & before - tables() and len(tables()) < len(before)

@@ -51,12 +51,12 @@ def test_saves_fold_into_one_run_a_file_and_batch(spark, tmp_path):
     (tmp_path / "in").mkdir()
     saves = spark.readStream.schema("file string").json(str(tmp_path / "in"))
     (tmp_path / "in" / "1.json").write_text('{"file": "a"}\n{"file": "a"}\n{"file": "b"}\n')
-    q = S.reindex_on_save(saves, done.append, str(tmp_path / "cp"), 0.2)
+    q = S.reindex_on_save(saves, done.extend, str(tmp_path / "cp"), 0.2)
     wait_for(lambda: sorted(done) == ["a", "b"])
     (tmp_path / "in" / "2.json").write_text('{"file": "a"}\n{"file": "a"}\n')
     wait_for(lambda: sorted(done) == ["a", "a", "b"])
     q.stop()
-    again = S.reindex_on_save(saves, done.append, str(tmp_path / "cp"), 0.2)  # a restart does not run old saves again
+    again = S.reindex_on_save(saves, done.extend, str(tmp_path / "cp"), 0.2)  # a restart does not run old saves again
     (tmp_path / "in" / "3.json").write_text('{"file": "c"}\n')
     wait_for(lambda: "c" in done)
     again.stop()
@@ -71,7 +71,7 @@ def test_markers_wait_while_a_pass_runs(spark, tmp_path):
     (tmp_path / "marks").mkdir()
     markers = S.marker_stream(spark, str(tmp_path / "marks"))
     (tmp_path / "marks" / "m1").write_text("a.py\n notes.txt\nweb/b.tsx \na.py\n")
-    q = S.reindex_on_markers(markers, done.append, busy.is_set, str(tmp_path / "cp"), 0.1)
+    q = S.reindex_on_markers(markers, done.extend, busy.is_set, str(tmp_path / "cp"), 0.1)
     import time
 
     time.sleep(2)
