@@ -114,6 +114,25 @@ def _paused(spark, sf):
     return out.select("fn_id", "outcome", "batch", F.coalesce("before_pause", F.lit(False)).alias("before_pause"), F.coalesce("cached", F.lit(False)).alias("cached"))
 
 
+def _saved(spark, sf):
+    """A save of all parts, after a pass over them in which those of even keys had another source; each part calls the next one."""
+    table, now = CacheTable(spark, f"{shared_dir(spark)}/graphloom/tables-{uuid.uuid4().hex}"), cut(targets(spark, sf), "targets")
+    old = now.withColumn("fn_source", F.when(F.col("line") % 2 == 0, F.concat(F.lit("0"), "fn_source")).otherwise(F.col("fn_source"))).drop("fn_hash", *passes.C.VERSION)
+    passes.index_pass(table, passes.wanted(old, passes.Versions("rules")), model=answerer, reason=reasoner)
+    near = now.select("rel_fname", "name", "line", F.col("rel_fname").alias("r_file"), F.concat(F.lit("f"), (F.col("line") + 1).cast("string")).alias("r_name"), (F.col("line") + 1).alias("r_line"))
+    return passes.save_pass(table, now, near, model=answerer, reason=reasoner)
+
+
+@query("r2_save_pass", f"SELECT 'fn' || p_partkey AS fn_id, CASE WHEN {OUTCOME} IS NOT NULL THEN 'failed' WHEN p_partkey % 2 = 0 THEN 'regenerated' ELSE 'skipped' END AS outcome, {OUTCOME} IS NULL AND p_partkey % 2 = 0 AS changed FROM part")
+def _save_pass(spark, sf):
+    return _saved(spark, sf)[0].select("fn_id", "outcome", "changed")
+
+
+@query("r5_stale_after_save", f"SELECT p_brand AS rel_fname, 'f' || (p_partkey + 1) AS name, p_partkey + 1 AS line FROM part WHERE {OUTCOME} IS NULL AND p_partkey % 2 = 0")
+def _stale_after_save(spark, sf):
+    return _saved(spark, sf)[1]
+
+
 @query("x11_refresh", f"SELECT 'fn' || p_partkey AS fn_id, CASE WHEN {OUTCOME} IS NULL THEN 'generated' ELSE 'failed' END AS outcome, {OUTCOME} IS NOT NULL AS dirty, {OUTCOME} IS NOT NULL AND p_partkey % 2 = 0 AS stale FROM part")
 def _refresh(spark, sf):
     """All functions generated anew, cached or not; those that fail stay dirty, and stale if they were."""

@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 from graphloom.functions import generation
 from graphloom.functions import text as T
 from graphloom.operators import cache as C
+from graphloom.operators.change import stale_dependents
 from graphloom.storage import cut
 
 
+NODE = ["rel_fname", "name", "line"]
+
+
 @dataclass(frozen=True)
 class Versions:
     """What a cache row depends on besides its function."""
@@ -94,6 +98,44 @@ def save_outcomes(functions: DataFrame, cache: DataFrame, generated: DataFrame)
     return out.select(*functions.columns, "outcome", changed.alias("changed"))
 
 
+def save_pass(table, targets: DataFrame, context: DataFrame, **options: object) -> tuple[DataFrame, DataFrame]:  # noqa: ANN001
+    """(outcomes, stale) of the targets of saved files, with their cache rows: (NODE, fn_id, LOOKUP, outcome, changed) as save_outcomes() has it, and the nodes that become stale.
+
+    Functions that the cache holds are skipped, the others generated and written. The capped callers and callees
+    (context: function_context()'s rows) of those that changed become stale, but for what was generated as well.
+    """
+    held = table.read()  # what is written below does not change it
+    done = index_pass(table, targets, **options).filter("outcome = 'generated'")
+    return _settled(save_outcomes(targets.select(*NODE, *C.LOOKUP), held, done), context)
+
+
+def flush_pass(table, dirty: DataFrame, targets: DataFrame, context: DataFrame, **options: object) -> tuple[DataFrame, DataFrame]:  # noqa: ANN001
+    """(outcomes, stale) of dirty(fn_id): (NODE, fn_id, outcome, changed). 'vanished' has no target, 'unchanged' is cached as it is, the others are generated: 'regenerated', or 'failed', which stay dirty."""
+    held = table.read()
+    own = cut(targets.join(dirty.select("fn_id").distinct(), "fn_id", "left_semi"), "flushed")
+    done = generate_and_cache(table, C.uncached(own, held), **options).filter("outcome = 'generated'")
+    found = save_outcomes(own.select(*NODE, *C.LOOKUP), held, done)
+    found = found.withColumn("outcome", F.when(F.col("outcome") == "skipped", "unchanged").otherwise(F.col("outcome"))).select(*NODE, "fn_id", "outcome", "changed")
+    gone = dirty.select("fn_id").distinct().join(own.select("fn_id"), "fn_id", "left_anti").select("fn_id", F.lit("vanished").alias("outcome"), F.lit(False).alias("changed"))
+    return _settled(found.unionByName(gone, allowMissingColumns=True), context)
+
+
+def _settled(outcomes: DataFrame, context: DataFrame) -> tuple[DataFrame, DataFrame]:
+    outcomes = cut(outcomes, "outcomes")
+    return outcomes, stale_dependents(outcomes.filter("changed"), context, outcomes.filter("outcome = 'regenerated'"))
+
+
+def events_of(outcomes: DataFrame, stale: DataFrame, seqs: DataFrame) -> DataFrame:
+    """(seq, file, fn, kind): what a pass tells the freshness machine. seqs(fn_id, file, seq): up to which event the pass read each function; failed ones stay as they are.
+
+    stale(fn_id, file, ...) is told with the greatest of these seqs.
+    """
+    kind = F.when(F.col("outcome") == "regenerated", "regenerate").when(F.col("outcome").isin("vanished", "unchanged"), "flush")
+    told = outcomes.join(seqs, "fn_id").select("seq", "file", F.col("fn_id").alias("fn"), kind.alias("kind")).filter("kind IS NOT NULL")
+    last = seqs.agg(F.max("seq").alias("seq"))
+    return told.unionByName(stale.select("file", F.col("fn_id").alias("fn"), F.lit("stale").alias("kind")).join(F.broadcast(last)).select("seq", "file", "fn", "kind"))  # one row
+
+
 def after_regeneration(marks: DataFrame, regenerated: DataFrame) -> DataFrame:
     """marks(fn_id, ...), dirty or stale, without the functions that were regenerated: only that clears them."""
     return marks.join(regenerated.select("fn_id").distinct(), "fn_id", "left_anti")

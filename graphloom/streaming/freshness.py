@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from graphloom.storage import ship
 
-#: kind: 'state' (a function's state after seq), 'reindex' (a file's saves settled: n of them), 'flush' (a dirty function at a tick).
+#: kind: 'state' (a function's state after seq), 'reindex' (a file's saves settled: n of them, seq the last), 'flush' (a dirty function at a tick, seq its edit).
 OUT = "file string, fn string, kind string, state string, seq long, n long, at timestamp"
 _KINDS = ("edit", "flush", "regenerate", "stale")
 
@@ -32,7 +32,7 @@ class Machine(StatefulProcessor):
         self.handle = handle
         self.functions = handle.getMapState("functions", "fn string", ", ".join(f"{k} long" for k in _KINDS))
         self.saved = handle.getValueState("saved", "seq long")
-        self.waiting = handle.getListState("waiting", "us long")
+        self.waiting = handle.getListState("waiting", "us long, seq long")
 
     def _saved(self) -> int:
         return self.saved.get()[0] if self.saved.exists() else -1
@@ -61,7 +61,7 @@ class Machine(StatefulProcessor):
             out.append((key[0], fn, "state", self._state(new, saved), newest, 0, pd.NaT))
         due = {int(us) // 1000 + self.gap_ms + 1 for us in saves["us"]}
         if len(saves):
-            self.waiting.appendList([(int(us),) for us in saves["us"]])
+            self.waiting.appendList([(int(us), int(seq)) for us, seq in zip(saves["us"], saves["seq"], strict=True)])
         due |= {(int(us) // 1000 // self.tick_ms + 1) * self.tick_ms for us in own.loc[own["kind"] == "edit", "us"]}
         for at in due:
             self.handle.registerTimer(at)
@@ -69,22 +69,22 @@ class Machine(StatefulProcessor):
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         at, out = expiredTimerInfo.getExpiryTimeInMs(), []
-        times = sorted(us for (us,) in self.waiting.get()) if self.waiting.exists() else []
+        times = sorted({tuple(x) for x in self.waiting.get()}) if self.waiting.exists() else []  # a save that came twice counts once
         run, kept = [], []
-        for i, us in enumerate(times):
-            run.append(us)
-            if i + 1 == len(times) or times[i + 1] - us > self.gap_ms * 1000:  # the run ends here
+        for i, (us, seq) in enumerate(times):
+            run.append((us, seq))
+            if i + 1 == len(times) or times[i + 1][0] - us > self.gap_ms * 1000:  # the run ends here
                 if us + self.gap_ms * 1000 <= at * 1000:
-                    out.append((key[0], None, "reindex", None, 0, len(run), pd.Timestamp(us + self.gap_ms * 1000, unit="us")))
+                    out.append((key[0], None, "reindex", None, max(s for _, s in run), len(run), pd.Timestamp(us + self.gap_ms * 1000, unit="us")))
                 else:
                     kept += run
                 run = []
         if len(kept) < len(times):
-            self.waiting.put([(us,) for us in kept]) if kept else self.waiting.clear()
+            self.waiting.put(kept) if kept else self.waiting.clear()
         if at % self.tick_ms == 0:
             saved = self._saved()
-            dirty = [fn for (fn,), seqs in self.functions.iterator() if self._state(tuple(seqs), saved) == "dirty"]
-            out += [(key[0], fn, "flush", "dirty", 0, 0, pd.Timestamp(at, unit="ms")) for fn in dirty]
+            dirty = [(fn, seqs[0]) for (fn,), seqs in self.functions.iterator() if self._state(tuple(seqs), saved) == "dirty"]
+            out += [(key[0], fn, "flush", "dirty", seq, 0, pd.Timestamp(at, unit="ms")) for fn, seq in dirty]
             if dirty:  # until a later event clears it
                 self.handle.registerTimer(at + self.tick_ms)
         yield self._rows(out)
