@@ -59,9 +59,10 @@ class CacheTable:
 
         def change(live: DataFrame, last: int) -> tuple[DataFrame, DataFrame | None, int]:
             discard(*written)
-            fresh = cut(C.newest(kept if given else C.numbered(kept, last, ["generated_at", "cache_key"])).select(*names), "cache-batch")
-            written[:] = [fresh]
-            return fresh, C.evicted(live, fresh) if evict else None, fresh.agg(F.max("seq")).first()[0] or last
+            told = cut((kept if given else C.numbered(kept, last, ["generated_at", "cache_key"])).select(*names), "cache-batch")
+            fresh = C.newest(told)
+            written[:] = [told]
+            return fresh, C.evicted(live, fresh) if evict else None, told.agg(F.max("seq")).first()[0] or last
 
         self.log.write(change)
         for listener in list(self.listeners):

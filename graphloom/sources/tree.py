@@ -35,18 +35,74 @@ def in_excluded_dir(rel_path: Column) -> Column:
     return F.exists(F.slice(parts, 1, F.size(parts) - 1), out)
 
 
+#: A piece of an ignore pattern: an escaped character, a bracket class, a run of stars, or any other character.
+_PIECE = re.compile(r"\\(?P<escaped>.)|\[(?P<not>[!^])?(?P<class>\]?(?:\[:\w+:\]|\\.|[^\]\\])*)\]|(?P<stars>\*+)|(?P<other>.)", re.S)
+#: Named classes inside of brackets, as members of a class of Java's and Python's regular expressions.
+_NAMED = {
+    "alnum": "a-zA-Z0-9", "alpha": "a-zA-Z", "blank": r" \t", "cntrl": r"\x00-\x1f\x7f", "digit": "0-9", "graph": r"\x21-\x7e", "lower": "a-z", "print": r"\x20-\x7e", "punct": r"\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e",
+    "space": r"\s", "upper": "A-Z", "xdigit": "0-9a-fA-F",
+}
+
+
+def _class(body: str, negated: bool) -> str:
+    """A bracket class as a regular expression for one character that is no slash; ranges, escapes and named classes keep their meaning."""
+    out = ""
+    for named, escaped, other in re.findall(r"\[:(\w+):\]|\\(.)|(.)", body, re.S):
+        if named:
+            out += _NAMED.get(named, "")
+        elif escaped:
+            out += re.escape(escaped)
+        else:
+            out += other if other == "-" else re.escape(other)
+    out = re.sub(r"^-|-$", r"\\-", out)
+    if not out:
+        return "[^/]" if negated else "(?!)"
+    out = f"(?!/)[{'^' if negated else ''}{out}]"
+    try:
+        re.compile(out)
+    except re.error:  # a range that ends before it begins matches nothing
+        return "(?!)"
+    return out
+
+
+def ignore_pattern(text: str) -> str:
+    """The regular expression, over one folder's or file's path, of an ignore pattern without its leading and trailing slash: ? and * stay within a name, ** between slashes spans folders."""
+    out, pieces = "", list(_PIECE.finditer(text))
+    for i, m in enumerate(pieces):
+        before = i == 0 or pieces[i - 1]["other"] == "/"
+        after = pieces[i + 1]["other"] if i + 1 < len(pieces) else None
+        if m["escaped"] is not None:
+            out += re.escape(m["escaped"])
+        elif m["class"] is not None:
+            out += _class(m["class"], m["not"] is not None)
+        elif m["stars"] and len(m["stars"]) == 2 and before and after in ("/", None):
+            out += "(?:.*/)?" if after else ".+"
+        elif m["stars"]:
+            out += "[^/]*"
+        elif m["other"] == "/" and i and pieces[i - 1]["stars"] == "**" and (i == 1 or pieces[i - 2]["other"] == "/"):
+            pass  # part of the folders that ** spans
+        else:
+            out += "[^/]" if m["other"] == "?" else re.escape(m["other"])
+    return out
+
+
 def ignore_rules(text: str) -> list[tuple[bool, str]]:
-    """(ignores, pattern over a relative path) for each line of a root .gitignore, in order; the last that matches decides."""
+    """(ignores, pattern over a relative path) for each line of a root .gitignore, in order; the last that matches decides.
+
+    Trailing blanks go unless escaped; # begins a comment and ! a line that keeps, unless escaped. A slash before the
+    last character ties a pattern to the root; one at the end asks for a folder.
+    """
     out = []
     for line in text.splitlines():
-        line = line.rstrip()
+        line = re.sub(r"(?<!\\)[ \t]+$", "", line)
         if not line or line.startswith("#"):
             continue
         keep, line = (True, line[1:]) if line.startswith("!") else (False, line)
-        folder, line = line.endswith("/"), line.strip("/") if line.endswith("/") and "/" not in line[:-1] else line.rstrip("/")
-        rooted = line.startswith("/") or "/" in line
-        body = re.escape(line.lstrip("/")).replace(r"\*\*/", "(?:.*/)?").replace(r"/\*\*", "/.*").replace(r"\*", "[^/]*").replace(r"\?", "[^/]")
-        out.append((not keep, ("^" if rooted else "(?:^|.*/)") + body + ("/.*" if folder else "(?:/.*)?") + "$"))
+        folder, body = line.endswith("/"), line.rstrip("/")
+        if not body:
+            continue
+        rooted = "/" in body
+        out.append((not keep, ("^" if rooted else "(?:^|.*/)") + ignore_pattern(body.removeprefix("/")) + ("/.*" if folder else "(?:/.*)?") + "$"))
     return out
 
 

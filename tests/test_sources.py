@@ -166,3 +166,45 @@ def test_the_root_ignore_file_is_read(spark, tmp_path):
     assert sorted(r.rel_fname for r in tree.discover(spark, str(tmp_path)).collect()) == ["a.py", "sub/__init__.py", "sub/c.py"]
     assert sorted(r.rel_fname for r in tree.tree_paths(spark, str(tmp_path)).collect()) == [".gitignore", "a.py", "sub/.gitignore", "sub/__init__.py", "sub/c.py"]
     assert sorted(r.rel_fname for r in tree.discover(spark, f"file://{tmp_path}", "").collect()) == ["a.py", "gen/b.py", "sub/__init__.py", "sub/c.py"]
+
+
+def test_ignore_patterns_by_a_table(spark):
+    """Pattern, paths that it ignores, paths that it does not."""
+    from pyspark.sql import functions as F
+
+    table = [
+        ("[ab].js", ["a.js", "x/b.js"], ["c.js", "ab.js", "a.jsx"]),
+        ("[a-c]x", ["ax", "cx", "bx/y"], ["dx", "-x"]),
+        ("[!a-c]x", ["dx", "q/zx"], ["ax", "/x"]),
+        ("[^a]b", ["cb"], ["ab"]),
+        ("[]x]y", ["]y", "xy"], ["y", "zy"]),
+        ("[a\\]]z", ["az", "]z"], ["\\z"]),
+        ("[-a]q", ["-q", "aq"], ["bq"]),
+        ("[[:digit:][:upper:]]*.log", ["1.log", "Ab.log"], ["ab.log"]),
+        ("[z-a]w", [], ["aw", "zw", "w"]),
+        ("a[b", ["a[b"], ["ab", "a"]),
+        ("\\#note", ["#note"], ["note"]),
+        ("\\!keep", ["!keep"], ["keep"]),
+        ("\\*.c", ["*.c"], ["a.c"]),
+        ("q\\?", ["q?"], ["qa"]),
+        ("sp\\ ", ["sp "], ["sp"]),
+        ("trail  ", ["trail"], ["trail  "]),
+        ("a?c", ["abc", "d/axc"], ["a/c", "ac"]),
+        ("foo/*", ["foo/a", "foo/b/c"], ["foo", "x/foo/a"]),
+        ("**/foo", ["foo", "a/foo", "a/b/foo/x"], ["afoo", "foox"]),
+        ("a/**", ["a/b", "a/b/c"], ["a", "x/a/b"]),
+        ("a/**/b", ["a/b", "a/x/b", "a/x/y/b"], ["a/xb", "ab"]),
+        ("a**b", ["ab", "axxb"], ["a/b"]),
+        ("/top.txt", ["top.txt"], ["x/top.txt"]),
+        ("dir/", ["dir/a", "x/dir/b"], ["dir"]),
+        ("x.y+(z)", ["x.y+(z)"], ["xay+(z)", "x.yy(z)"]),
+        ("[&&a]k", ["&k", "ak"], ["bk"]),
+        ("# comment", [], ["# comment", "comment"]),
+    ]
+    paths = sorted({p for _, yes, no in table for p in yes + no})
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    got = df.select("p", *[tree.ignored(F.col("p"), tree.ignore_rules(t)).alias(f"t{i}") for i, (t, _, _) in enumerate(table)]).collect()
+    hit = {(i, r.p) for r in got for i in range(len(table)) if r[f"t{i}"]}
+    assert {(t, p) for i, (t, yes, _) in enumerate(table) for p in yes if (i, p) not in hit} == set()
+    assert {(t, p) for i, (t, _, no) in enumerate(table) for p in no if (i, p) in hit} == set()
+    assert tree.ignore_rules("!\n/\n\n") == [] and [k for k, _ in tree.ignore_rules("*.a\n!b.a\n")] == [True, False]
