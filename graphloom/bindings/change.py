@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from graphloom.bindings import cache as BC
@@ -11,7 +13,9 @@ from graphloom.functions import text as T
 from graphloom.operators import cache as CC
 from graphloom.operators import change as C
 from graphloom.operators import graph as G
-from graphloom.operators import passes
+from graphloom.operators import merkle, passes
+from graphloom.storage import shared_dir
+from graphloom.streaming import freshness
 
 QUERIES, ORACLE_SQL, query = registry()
 GAP_HOURS = 2
@@ -103,3 +107,50 @@ def _back(spark, sf):
 
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     return read(spark, sf, "events").select("event_id", T.back_target_live(F.lag(us).over(Window.partitionBy("user_id").orderBy("ts", "event_id")), us).alias("live"))
+
+
+def freshness_events(spark, sf):
+    e = read(spark, sf, "events")
+    kind = F.when(F.col("event_type") == "click", "edit").when(F.col("event_type") == "purchase", "save").when(F.col("event_type") == "error", "flush").when(F.col("event_type") == "signup", "regenerate").otherwise("stale")
+    return e.select(F.col("event_id").cast("long").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("file"), F.concat(F.lit("fn"), (F.col("event_id") % 7).cast("string")).alias("fn"), kind.alias("kind"))
+
+
+FRESHNESS = """WITH c AS (SELECT event_id AS seq, user_id::VARCHAR AS file, 'fn' || (event_id % 7) AS fn, CASE event_type WHEN 'click' THEN 'edit' WHEN 'purchase' THEN 'save' WHEN 'error' THEN 'flush' WHEN 'signup' THEN 'regenerate' ELSE 'stale' END AS kind FROM events),
+s AS (SELECT file, max(seq) AS save FROM c WHERE kind = 'save' GROUP BY file),
+m AS (SELECT file, fn, coalesce(max(seq) FILTER (kind = 'edit'), -1) AS edit, coalesce(max(seq) FILTER (kind = 'flush'), -1) AS flush, coalesce(max(seq) FILTER (kind = 'regenerate'), -1) AS made, coalesce(max(seq) FILTER (kind = 'stale'), -1) AS stale FROM c WHERE kind <> 'save' GROUP BY file, fn)
+SELECT file, fn, CASE WHEN edit > greatest(flush, made, coalesce(save, -1)) THEN 'dirty' WHEN stale > made THEN 'stale' ELSE 'fresh' END AS state FROM m LEFT JOIN s USING (file)"""
+
+
+@query("r5_freshness", FRESHNESS)
+def _freshness(spark, sf):
+    return C.freshness(freshness_events(spark, sf))
+
+
+@query("r4_freshness_stream", FRESHNESS)
+def _freshness_stream(spark, sf):
+    """The same states by the state machine over a stream of the events in the order of a hash, in several batches."""
+    folder = f"{shared_dir(spark)}/graphloom/stream-{uuid.uuid4().hex}"
+    rows = freshness_events(spark, sf)
+    rows.repartition(3, F.xxhash64("seq")).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    out = freshness.freshness_stream(stream, GAP_HOURS * 3600, 3600, "3650 days")
+    write = lambda batch, i: batch.withColumn("gl_batch", F.lit(i)).write.mode("overwrite").parquet(f"{folder}/out/n={i}")
+    with freshness.state_store(spark):
+        q = out.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return freshness.last_states(spark.read.parquet(f"{folder}/out"))
+
+
+_PATH = "coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || (doc_id % 50) || '/' || doc_id || '.txt'"
+
+
+@query("s13_tree_changes", f"""SELECT {_PATH} AS rel_fname, CASE WHEN doc_id % 19 = 0 THEN 'added' WHEN doc_id % 17 = 0 THEN 'removed' ELSE 'changed' END AS change FROM documents
+WHERE (doc_id % 19 = 0) <> (doc_id % 17 = 0) OR doc_id % 13 = 0 AND doc_id % 19 <> 0 AND doc_id % 17 <> 0""")
+def _tree_changes(spark, sf):
+    """The documents as the files of a tree in two states, compared by the digests of folders."""
+    folder = f"{shared_dir(spark)}/graphloom/trees-{uuid.uuid4().hex}"
+    files = read(spark, sf, "documents").select("doc_id", F.expr(_PATH).alias("rel_fname"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+    old = merkle.TreeState(spark, f"{folder}/old").write(files.filter("doc_id % 19 <> 0"))
+    edited = F.when(F.col("doc_id") % 13 == 0, F.concat("digest", F.lit("+"))).otherwise(F.col("digest"))
+    new = merkle.TreeState(spark, f"{folder}/new").write(files.filter("doc_id % 17 <> 0").withColumn("digest", edited))
+    return merkle.changed_files(old, new)[0]

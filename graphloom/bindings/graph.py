@@ -247,6 +247,29 @@ def _pagerank(spark, sf):
     return r.select("rel_fname", "name", "line", F.round(F.col("importance") * 1e4, 6).alias("importance"))
 
 
+def _factors(spark, sf):
+    t = G.cut(tags(spark, sf), "tags")
+    return G.nodes(t), G.cut(G.enclosed_refs(t), "refs"), G.cut(G.candidates(t, aliases(spark, sf)), "candidates")
+
+
+@query("g4_rank_by_names", ORACLE_SQL["g4_pagerank_12iter"])
+def _rank_by_names(spark, sf):
+    """The same rank over callers, names and candidates; no edge is made."""
+    r = G.pagerank_by_names(*_factors(spark, sf), iterations=12, tolerance=None)
+    return r.select("rel_fname", "name", "line", F.round(F.col("importance") * 1e4, 6).alias("importance"))
+
+
+@query("a6_fan_in_by_names", f"WITH {RANKED} SELECT file AS rel_fname, name, k AS line, importance FROM imp")
+def _fan_in_by_names(spark, sf):
+    return G.fan_in_by_names(*_factors(spark, sf))
+
+
+@query("g1_confident_edges", f"WITH {EDGES} SELECT a AS caller_line, c AS callee_line FROM edges WHERE confident")
+def _confident(spark, sf):
+    _, refs, found = _factors(spark, sf)
+    return G.confident_edges(refs, found).select("caller_line", "callee_line")
+
+
 @query("a15_dangling_nodes", f"WITH {EDGES} SELECT count(*)::BIGINT AS nodes, count_if(p_partkey NOT IN (SELECT a FROM edges))::BIGINT AS dangling FROM parts")
 def _dangling(spark, sf):
     e = edges(spark, sf).select(F.col("caller_line").alias("line")).distinct().withColumn("out", F.lit(True))

@@ -9,6 +9,7 @@ importance falling, then file, name, line.
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
@@ -34,17 +35,46 @@ def alias_targets(aliases: DataFrame) -> DataFrame:
     return aliases.select("name", "target_name").distinct()
 
 
+def dyadic(first: Column, last: Column) -> Column:
+    """array<struct<level, node>>: the whole numbers from first (0 or more) to last as at most two aligned ranges [node * 2**level, (node + 1) * 2**level) of each level.
+
+    A number lies in at most one of them, the one of its own node at that level.
+    """
+    end = last + 1
+    levels = F.sequence(F.lit(0), F.ceil(F.log2((end - first).cast("double"))).cast("int") + 1)
+    right = lambda x, k: F.call_function("shiftright", x, k)
+
+    def ends(k: Column) -> Column:
+        low, high = right(first + F.call_function("shiftleft", F.lit(1).cast("long"), k) - 1, k), right(end, k)
+        part = lambda odd, node: F.when((low < high) & (odd.bitwiseAND(F.lit(1).cast("long")) == 1), F.struct(k.alias("level"), node.alias("node")))
+        return F.array(part(low, low), part(high, high - 1))
+
+    return F.when(first <= last, F.array_compact(F.flatten(F.transform(levels, ends))))
+
+
+def _stabbed(points: DataFrame, spans: DataFrame, key: str, at: str, span: tuple[str, str], bucket: int) -> DataFrame:
+    """points with each span (found) of equal key that touches the bucket of `at`.
+
+    A span is listed under a few dyadic ranges of buckets, however long it is; a point under its own node at each level
+    that spans of its key have. So both grow with the logarithm of the longest span, and only keys that hold long spans
+    have many levels.
+    """
+    fields = [F.col(c).alias(c) for c in spans.columns]
+    place = lambda c: F.floor(c / bucket).cast("long")
+    listed = spans.select(F.struct(*fields).alias("found"), F.col(key).alias("s_key"), F.inline(dyadic(place(F.col(span[0])), place(F.col(span[1]))))).withColumnsRenamed({"level": "s_level", "node": "s_node"})
+    levels = listed.groupBy("s_key").agg(F.collect_set("s_level").alias("levels"))  # at most 64
+    near = points.join(levels, F.col(key) == F.col("s_key")).select(*points.columns, F.explode("levels").alias("p_level"))
+    near = near.withColumn("p_node", F.call_function("shiftright", place(F.col(at)), F.col("p_level")))
+    return near.join(listed, (F.col(key) == F.col("s_key")) & (F.col("p_level") == F.col("s_level")) & (F.col("p_node") == F.col("s_node")))
+
+
 def innermost(points: DataFrame, spans: DataFrame, key: str, at: tuple[str, str], span: tuple[str, str], seq: str, bucket: int) -> DataFrame:
     """points with the struct `found`: the narrowest span of equal key that holds [at[0], at[1]], the least seq on ties; points within none are dropped.
 
-    An equi-join on (key, bucket): a span is listed under each bucket it touches, a point under the one of its start,
-    so no pair of one key is tried outside of a bucket. points must be distinct rows.
+    An equi-join on key and dyadic ranges of buckets; see _stabbed. points must be distinct rows, places 0 or more.
     """
-    fields = [F.col(c).alias(c) for c in spans.columns]
-    listed = spans.select(F.struct(*fields).alias("found"), F.col(key).alias("s_key"), F.explode(F.sequence(F.floor(F.col(span[0]) / bucket), F.floor(F.col(span[1]) / bucket))).alias("s_bucket"))
-    near = points.withColumn("p_bucket", F.floor(F.col(at[0]) / bucket))
     inside = (F.col("found")[span[0]] <= F.col(at[0])) & (F.col(at[1]) <= F.col("found")[span[1]])
-    met = near.join(listed, (F.col(key) == F.col("s_key")) & (F.col("p_bucket") == F.col("s_bucket")) & inside)
+    met = _stabbed(points, spans, key, at[0], span, bucket).filter(inside)
     width = F.struct((F.col("found")[span[1]] - F.col("found")[span[0]]).alias("w"), F.col("found")[seq].alias("q"))
     return met.groupBy(*points.columns).agg(F.min_by("found", width).alias("found"))
 
@@ -156,25 +186,38 @@ def pagerank(node_table: DataFrame, edges: DataFrame, damping: float = 0.85, ite
     """importance of each node: weighted PageRank; uniform if it has not settled after all iterations.
 
     tolerance None runs exactly the given iterations. Dangling mass spreads evenly. Nodes are numbered once. The links
-    stay dealt by caller over all steps; a step shuffles (node, rank) and the sums by callee, and ends in a written
-    table of numbers, whose write also brings back the dangling mass and the change.
+    stay dealt by caller over all steps; a step shuffles (node, rank) and the sums by callee.
     """
-    n = node_table.count()
-    if not n:
-        return node_table.withColumn("importance", F.lit(0.0))
     out = edges.groupBy(*CALLER).agg(F.sum("weight").alias("total")).select(*[F.col(c).alias(k) for c, k in zip(CALLER, NODE, strict=True)], "total")
     named = cut(node_table.join(out, NODE, "left").select(*NODE, "total", F.monotonically_increasing_id().alias("id")), "rank-nodes")
-    end = lambda side, to: named.select(*[F.col(k).alias(c) for k, c in zip(NODE, side, strict=True)], F.col("id").alias(to))
-    shares = edges.join(end(CALLER, "src").join(named.select(F.col("id").alias("src"), "total"), "src"), CALLER).join(end(CALLEE, "dst"), CALLEE)
+    shares = edges.join(_end(named, CALLER, "src").join(named.select(F.col("id").alias("src"), "total"), "src"), CALLER).join(_end(named, CALLEE, "dst"), CALLEE)
     links = cut(shares.select("src", "dst", (F.col("weight") / F.col("total")).alias("share")), "rank-links").repartition("src").persist()
+    spread = lambda x: links.join(x.select(F.col("id").alias("src"), "x"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("x") * F.col("share")).alias("got"))
+    try:
+        return _settle(node_table, named, spread, damping, iterations, tolerance)
+    finally:
+        links.unpersist()
+
+
+def _end(named: DataFrame, side: list[str], to: str) -> DataFrame:
+    return named.select(*[F.col(k).alias(c) for k, c in zip(NODE, side, strict=True)], F.col("id").alias(to))
+
+
+def _settle(node_table: DataFrame, named: DataFrame, spread: Callable[[DataFrame], DataFrame], damping: float, iterations: int, tolerance: float | None) -> DataFrame:
+    """importance by power iteration over named(NODE, total, id), total null for dangling nodes; spread(x(id, x)) gives (id, got).
+
+    A step ends in a written table of numbers, whose write also brings back the dangling mass and the change.
+    """
+    n = named.count()
+    if not n:
+        return node_table.withColumn("importance", F.lit(0.0))
     x = named.select("id", F.col("total").isNull().alias("dangling"), F.lit(1.0 / n).alias("x"))
     loose = x.filter("dangling").count() / n
     settled, written = tolerance is None, []
     for _ in range(iterations):
-        got = links.join(x.select(F.col("id").alias("src"), "x"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("x") * F.col("share")).alias("got"))
         fresh = damping * (F.coalesce("got", F.lit(0.0)) + loose / n) + (1 - damping) / n
         seen = Observation()
-        step = x.withColumnRenamed("x", "old").join(got, "id", "left").select("id", "dangling", fresh.alias("x"), "old")
+        step = x.withColumnRenamed("x", "old").join(spread(x), "id", "left").select("id", "dangling", fresh.alias("x"), "old")
         step = step.observe(seen, F.sum(F.when(F.col("dangling"), F.col("x"))).alias("loose"), F.sum(F.abs(F.col("x") - F.col("old"))).alias("moved"))
         before, written = written, [cut(step, "rank-x", "snappy")]
         x = written[0].drop("old")
@@ -183,12 +226,52 @@ def pagerank(node_table: DataFrame, edges: DataFrame, damping: float = 0.85, ite
         if tolerance is not None and seen.get["moved"] < n * tolerance:
             settled = True
             break
-    links.unpersist()
     if not settled:
         return node_table.withColumn("importance", F.lit(1.0 / n))
     return named.join(x, "id").select(*NODE, F.col("x").alias("importance"))
 
 
+def confident_edges(refs: DataFrame, found: DataFrame) -> DataFrame:
+    """(caller, callee) of the confident edges of enclosed_refs() and candidates(), each once: names of one tag, and candidates in the caller's own file. No other pair is made."""
+    one = refs.join(found.filter("total = 1"), "name").select(*CALLER, *CALLEE)
+    own = found.filter("total > 1").withColumnRenamed("name", "c_name")
+    near = refs.join(own, (F.col("name") == F.col("c_name")) & (F.col("caller_file") == F.col("callee_file"))).select(*CALLER, *CALLEE)
+    return one.unionByName(near).distinct()
+
+
+def fan_in_by_names(node_table: DataFrame, refs: DataFrame, found: DataFrame) -> DataFrame:
+    """fan_in() of call_graph()'s edges without making them: references fold by name, then meet the name's candidates."""
+    asked = refs.groupBy("name").agg(F.sum("refs").alias("refs"))
+    got = found.join(asked, "name").groupBy(*CALLEE).agg(F.sum(F.col("refs") * F.col("tags")).alias("w"))
+    return node_table.join(got.select(*[F.col(c).alias(k) for c, k in zip(CALLEE, NODE, strict=True)], "w"), NODE, "left").select(*NODE, F.coalesce("w", F.lit(0)).cast("double").alias("importance"))
+
+
+def pagerank_by_names(node_table: DataFrame, refs: DataFrame, found: DataFrame, damping: float = 0.85, iterations: int = 100, tolerance: float | None = 1e-6) -> DataFrame:
+    """pagerank() of call_graph()'s edges without making them: a step goes from callers to names, and from names to their candidates.
+
+    refs: enclosed_refs(), found: candidates(). References times candidates of a hot name are never paired, so all
+    tables are linear in the tags.
+    """
+    names = cut(found.select("name", "total").distinct().withColumn("no", F.monotonically_increasing_id()), "rank-names")
+    asked = refs.join(names, "name").select(*CALLER, "no", (F.col("refs") * F.col("total")).alias("weight"))
+    out = asked.groupBy(*CALLER).agg(F.sum("weight").alias("total")).select(*[F.col(c).alias(k) for c, k in zip(CALLER, NODE, strict=True)], "total")
+    named = cut(node_table.join(out, NODE, "left").select(*NODE, "total", F.monotonically_increasing_id().alias("id")), "rank-nodes")
+    # A caller's share of a name is spread over the name's tags: refs * total / (out * total) for each, so by refs / out a tag.
+    first = refs.join(names, "name").join(_end(named, CALLER, "src").join(named.select(F.col("id").alias("src"), F.col("total").alias("out")), "src"), CALLER).select("src", "no", (F.col("refs") / F.col("out")).alias("share"))
+    second = found.join(names.select("name", "no"), "name").join(_end(named, CALLEE, "dst"), CALLEE).select("no", "dst", "tags")
+    first, second = cut(first, "rank-callers").repartition("src").persist(), cut(second, "rank-candidates").repartition("no").persist()
+
+    def spread(x: DataFrame) -> DataFrame:
+        sent = first.join(x.select(F.col("id").alias("src"), "x"), "src").groupBy("no").agg(F.sum(F.col("x") * F.col("share")).alias("y"))
+        return second.join(sent, "no").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("y") * F.col("tags")).alias("got"))
+
+    try:
+        return _settle(node_table, named, spread, damping, iterations, tolerance)
+    finally:
+        first.unpersist()
+        second.unpersist()
+
+
 def fan_in(node_table: DataFrame, edges: DataFrame) -> DataFrame:
     """importance as the weight of all references to a node: exact in any engine."""
     got = edges.groupBy(*[F.col(c).alias(k) for c, k in zip(CALLEE, NODE, strict=True)]).agg(F.sum("weight").alias("w"))
@@ -317,27 +400,6 @@ def navigate(probes: DataFrame, index: DataFrame, symbols: DataFrame) -> DataFra
 
 def outermost(points: DataFrame, spans: DataFrame, key: str, at: str, span: tuple[str, str], seq: str, bucket: int) -> DataFrame:
     """points with found: the span of equal key that holds `at` and begins first, ties by seq, as a walk in source order meets it; points within none are dropped."""
-    fields = [F.col(c).alias(c) for c in spans.columns]
-    listed = spans.select(F.struct(*fields).alias("found"), F.col(key).alias("s_key"), F.explode(F.sequence(F.floor(F.col(span[0]) / bucket), F.floor(F.col(span[1]) / bucket))).alias("s_bucket"))
     inside = (F.col("found")[span[0]] <= F.col(at)) & (F.col(at) <= F.col("found")[span[1]])
-    met = points.join(listed, (F.col(key) == F.col("s_key")) & (F.floor(F.col(at) / bucket) == F.col("s_bucket")) & inside)
+    met = _stabbed(points, spans, key, at, span, bucket).filter(inside)
     return met.groupBy(*points.columns).agg(F.min_by("found", F.struct(F.col("found")[span[0]], F.col("found")[seq])).alias("found"))
-
-
-def overlap_counts(spans: DataFrame) -> DataFrame:
-    """spans(key, seq, s, e) with overlaps: how many others of the key share a part of [s, e), by two ordered counts instead of pairs.
-
-    Others that begin before the end, less those that end before the start. An empty span lies within those that begin
-    before it and end after it.
-    """
-    begins = Window.partitionBy("key").orderBy("at", "kind").rangeBetween(Window.unboundedPreceding, 0)
-    points = spans.groupBy("key", F.col("s").alias("at")).agg(F.count("*").alias("n")).withColumn("kind", F.lit(1))
-    asks = spans.select("key", F.col("e").alias("at")).distinct().select("key", "at", F.lit(0).cast("long").alias("n"), F.lit(0).alias("kind"))
-    before = points.select("key", "at", "n", "kind").unionByName(asks).withColumn("began", F.sum("n").over(begins)).filter("kind = 0").select("key", F.col("at").alias("e"), "began")
-    points = spans.groupBy("key", F.col("e").alias("at")).agg(F.count("*").alias("n")).withColumn("kind", F.lit(0))
-    asks = spans.select("key", F.col("s").alias("at")).distinct().select("key", "at", F.lit(0).cast("long").alias("n"), F.lit(1).alias("kind"))
-    after = points.select("key", "at", "n", "kind").unionByName(asks).withColumn("ended", F.sum("n").over(begins)).filter("kind = 1").select("key", F.col("at").alias("s"), "ended")
-    empty = spans.filter("s = e").groupBy("key", "s", "e").agg(F.count("*").alias("empty"))
-    out = spans.join(before, ["key", "e"]).join(after, ["key", "s"]).join(empty, ["key", "s", "e"], "left")
-    own = F.when(F.col("s") < F.col("e"), 1).otherwise(0)
-    return out.select("key", "seq", "s", "e", (F.col("began") - F.col("ended") + F.coalesce("empty", F.lit(0)) - own).alias("overlaps"))

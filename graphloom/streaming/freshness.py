@@ -8,6 +8,7 @@ flush of what is dirty at each tick.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import pandas as pd
@@ -115,16 +116,23 @@ def freshness_stream(changes: DataFrame, gap_seconds: float, tick_seconds: float
     stale if it was made stale after its last regeneration; else fresh. A row of kind 'state' tells a function's state
     whenever a batch touches it. Saves of a file that are no more than gap_seconds apart settle into one 'reindex', a
     gap after the last. At each tick of tick_seconds the dirty functions are asked to be 'flush'ed, until they are.
-    late: how far behind the latest event time rows may come. The session needs the RocksDB state store (see prepare).
+    late: how far behind the latest event time rows may come. Start it within state_store().
     """
     ship(changes.sparkSession)
     rows = changes.withWatermark("ts", late).select("seq", "ts", "file", "fn", "kind", F.unix_micros("ts").alias("us"))
     return rows.groupBy("file").transformWithStateInPandas(Machine(int(gap_seconds * 1000), int(tick_seconds * 1000)), OUT, "Append", "EventTime")
 
 
-def prepare(spark: SparkSession) -> None:
-    """The state store that maps and timers need."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """Queries that start within have the state store that maps and timers need; a query keeps the one it started with."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def last_states(out: DataFrame) -> DataFrame:

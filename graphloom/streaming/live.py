@@ -43,10 +43,10 @@ class Live:
 
     def start(self, **trigger: object) -> StreamingQuery:
         """trigger: of DataStreamWriter.trigger, every half second by default."""
-        freshness.prepare(self.spark)
         changes = self.spark.readStream.schema(CHANGES).parquet(f"{self.folder}/changes/*")
         out = freshness.freshness_stream(changes, self.gap, self.tick, self.late)
-        return out.writeStream.foreachBatch(self._step).option("checkpointLocation", f"{self.folder}/checkpoint").trigger(**(trigger or {"processingTime": "500 milliseconds"})).start()
+        with freshness.state_store(self.spark):
+            return out.writeStream.foreachBatch(self._step).option("checkpointLocation", f"{self.folder}/checkpoint").trigger(**(trigger or {"processingTime": "500 milliseconds"})).start()
 
     def states(self) -> DataFrame:
         """(file, fn, state): the last known state of each function."""

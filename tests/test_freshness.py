@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from graphloom.operators import change as C
@@ -26,16 +25,8 @@ def events(n=400):
     return rows
 
 
-@pytest.fixture
-def rocks(spark):
-    key = "spark.sql.streaming.stateStore.providerClass"
-    S.prepare(spark)
-    yield spark
-    spark.conf.unset(key)
-
-
-def test_stream_equals_batch_on_shuffled_events_across_a_restart(rocks, tmp_path):
-    spark, rows = rocks, events()
+def test_stream_equals_batch_on_shuffled_events_across_a_restart(spark, tmp_path):
+    rows = events()
     context = spark.createDataFrame([(f"f{i}", f"f{i}.{k}", f"f{(i + 1) % 6}", f"f{(i + 1) % 6}.{(k + j) % 7}") for i in range(6) for k in range(7) for j in (1, 3)], "file string, fn string, r_file string, r_fn string")
     shuffled = rows[:]
     random.Random(2).shuffle(shuffled)
@@ -49,7 +40,8 @@ def test_stream_equals_batch_on_shuffled_events_across_a_restart(rocks, tmp_path
         stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
         out = S.freshness_stream(S.with_stale(stream, context), GAP, TICK, "2 hours")
         write = lambda batch, i: batch.withColumn("gl_batch", F.lit(i)).write.mode("overwrite").parquet(str(tmp_path / "out" / f"n={i}"))
-        q = out.writeStream.foreachBatch(write).option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start()
+        with S.state_store(spark):
+            q = out.writeStream.foreachBatch(write).option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start()
         assert q.awaitTermination(300)
 
     put("a", shuffled[:150])

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from graphloom.operators import graph as G
 
 TAGS = "rel_fname string, name string, kind string, start_line int, end_line int, start_byte int, end_byte int, tag_seq int"
@@ -110,3 +112,55 @@ def test_incremental_equals_full(spark, few, monkeypatch):
     got = G.update_call_graph(G.call_graph(o, al), G.contributions(G.enclosed_refs(o), G.candidates(o, al)), o, n, al, "c")
     key = lambda x: tuple(x[c] for c in sorted(x.asDict()))
     assert sorted(map(key, got.collect())) == sorted(map(key, G.call_graph(n, al).collect()))
+
+
+def test_dyadic_ranges_cover_each_number_once(spark):
+    rows = [(a, b) for a in (0, 1, 2, 3, 5, 8, 13, 31, 64) for b in (a, a + 1, a + 2, a + 7, a + 100)] + [(0, 2**40), (3, 2**40 + 5), (9, 4)]
+    got = spark.createDataFrame(rows, "a long, b long").select("a", "b", G.dyadic(F.col("a"), F.col("b")).alias("d")).collect()
+    for r in got:
+        parts = sorted((x.node << x.level, (x.node + 1) << x.level) for x in r.d or [])
+        assert len(parts) <= 2 * max(1, (max(1, r.b - r.a + 1)).bit_length())
+        if r.b >= r.a:
+            assert parts[0][0] == r.a and parts[-1][1] == r.b + 1 and all(x[1] == y[0] for x, y in zip(parts, parts[1:], strict=False))
+            assert all(sum(x.level == k for x in r.d) <= 2 for k in {x.level for x in r.d})
+        else:
+            assert not parts
+
+
+def test_intervals_of_any_length_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    spans = [("f", i, s, s + rng.choice([0, 3, 50, 5000, 10**6])) for i, s in enumerate(rng.randint(0, 20_000) for _ in range(150))] + [("f", 999, 0, 2**40), ("g", 1, 5, 6)]
+    points = sorted({("f", p, p + rng.choice([0, 2, 90])) for p in (rng.randint(0, 30_000) for _ in range(300))} | {("g", 5, 5), ("g", 7, 7), ("h", 1, 1), ("f", 2**40, 2**40)})
+    S = spark.createDataFrame(spans, "file string, seq long, s long, e long")
+    P = spark.createDataFrame(points, "file string, a long, b long")
+    got = {(r.file, r.a, r.b): r.found.seq for r in G.innermost(P, S, "file", ("a", "b"), ("s", "e"), "seq", 32).collect()}
+    want = {}
+    for f, a, b in points:
+        held = [(e - s, q) for g, q, s, e in spans if g == f and s <= a and b <= e]
+        if held:
+            want[f, a, b] = min(held)[1]
+    assert got == want
+    got = {(r.file, r.a): r.found.seq for r in G.outermost(P.select("file", "a").distinct(), S, "file", "a", ("s", "e"), "seq", 32).collect()}
+    assert got == {(f, a): min((s, q) for g, q, s, e in spans if g == f and s <= a <= e)[1] for f, a, _ in points if any(g == f and s <= a <= e for g, _, s, e in spans)}
+
+
+def test_rank_by_names_equals_the_rank_over_edges(spark):
+    import random
+
+    rng = random.Random(5)
+    tags = []
+    for i in range(60):
+        f, name = f"f{i % 5}", "hot" if i % 3 == 0 else f"n{i % 25}"
+        tags.append((f, name, "def", i, i, 100 * i, 100 * i + 99, i))
+        tags += [(f, rng.choice(["hot", "also", f"n{rng.randint(0, 30)}"]), "ref", i, i, 100 * i + 5 + k, 100 * i + 6 + k, 1000 + 10 * i + k) for k in range(rng.randint(0, 5))]
+    t = spark.createDataFrame(tags, "rel_fname string, name string, kind string, start_line int, end_line int, start_byte int, end_byte int, tag_seq int")
+    a = spark.createDataFrame([("f0", "also", "hot"), ("f1", "n3", "n4")], "rel_fname string, name string, target_name string")
+    nodes, refs, found, edges = G.nodes(t), G.enclosed_refs(t), G.candidates(t, a), G.call_graph(t, a)
+    key = lambda df: {(r.rel_fname, r.name, r.line): r.importance for r in df.collect()}
+    over_edges, by_names = key(G.pagerank(nodes, edges)), key(G.pagerank_by_names(nodes, refs, found))
+    assert over_edges.keys() == by_names.keys() and max(abs(v - by_names[k]) for k, v in over_edges.items()) < 1e-9
+    assert key(G.fan_in(nodes, edges)) == key(G.fan_in_by_names(nodes, refs, found))
+    sure = edges.filter("confident").select(*G.CALLER, *G.CALLEE).collect()
+    assert sorted(sure) == sorted(G.confident_edges(refs, found).collect()) and sure
