@@ -11,7 +11,6 @@ from graphloom.bindings.tables import read, registry
 from graphloom.functions import text as T
 from graphloom.operators import cache as C
 from graphloom.operators.passes import assign_fn_ids, missing_names
-from graphloom.sources.manifest import excluded_dirs
 from graphloom.sources.tables import CacheTable, VectorTable
 from graphloom.storage import shared_dir
 
@@ -203,8 +202,3 @@ QUERIES["w8_duplicate_ordinals"], ORACLE_SQL["w8_duplicate_ordinals"] = QUERIES[
 def _missing(spark, sf):
     p = read(spark, sf, "part")
     return missing_names(p.filter("p_partkey % 2 = 0").select(F.col("p_name").alias("name")), p.filter("p_partkey % 7 = 1").select(F.col("p_name").alias("name")))
-
-
-@query("u6_excluded_dirs_union", "SELECT * FROM (VALUES ('node_modules'), ('out'), ('dist'), ('build'), ('__pycache__'), ('.venv'), ('venv'), ('.mypy_cache'), ('.pytest_cache'), ('.tox'), ('*.egg-info')) t(dir)")
-def _dirs(spark, sf):
-    return spark.createDataFrame([(d,) for d in excluded_dirs()], "dir string")

@@ -12,6 +12,7 @@ from graphloom.functions import generation as N
 from graphloom.operators import graph as G
 from graphloom.operators import passes
 from graphloom.sources import tree
+from graphloom.sources.manifest import extension_table
 from graphloom.sources.tables import CacheTable
 from graphloom.storage import cut, shared_dir
 from graphloom.streaming.background import BackgroundPass
@@ -19,32 +20,100 @@ from graphloom.streaming.background import BackgroundPass
 QUERIES, ORACLE_SQL, query = registry()
 
 
-def files(spark):
-    rows = spark.createDataFrame(list(corpus.FILES.items()), "rel_fname string, text string").select("rel_fname", F.encode("text", "UTF-8").alias("content"))
-    return tree.with_language(rows)
+#: Extensions of the sources made of parts, by the key's remainder; the last one is of no supported language.
+EXTENSIONS = (".py", ".js", ".ts", ".tsx", ".rb")
 
 
-@query("s2_corpus_languages", corpus.values([("web/list.ts", "typescript"), ("web/api.js", "javascript"), ("web/view.tsx", "typescriptreact"), ("tool/run.py", "python"), ("tool/broken.py", "python")], "rel_fname", "language"))
+def chain(spark, sf):
+    """A source file for each part, whose function calls that of the next part: some by an alias that the next one's file declares, those in .tsx name a component instead."""
+    k, n = F.col("p_partkey").cast("string"), (F.col("p_partkey") + 1).cast("string")
+    kind = F.col("p_partkey") % len(EXTENSIONS)
+    called = F.concat(F.when(F.col("p_partkey") % 10 == 0, "Close").otherwise("f"), n)
+    alias = F.when(F.col("p_partkey") % 10 == 1, F.concat(F.lit("Box.Close"), k, F.lit(" = f"), k, F.lit(";\n"))).otherwise("")
+    text = (
+        F.when(kind == 0, F.concat(F.lit("def f"), k, F.lit("():\n    return "), called, F.lit("()\n"))).when(kind == 1, F.concat(F.lit("function f"), k, F.lit("() {\n  return f"), n, F.lit("();\n}\n"), alias))
+        .when(kind == 2, F.concat(F.lit("const f"), k, F.lit(" = (a: number): number => f"), n, F.lit("(a);\n"))).when(kind == 3, F.concat(F.lit("export function f"), k, F.lit("() {\n  return <Box"), n, F.lit(" />;\n}\n"))).otherwise("def none; end")
+    )
+    ext = F.element_at(F.array(*map(F.lit, EXTENSIONS)), (kind + 1).cast("int"))
+    return read(spark, sf, "part").select(F.concat(F.lit("src/p"), k, ext).alias("rel_fname"), F.encode(text, "UTF-8").alias("content"))
+
+
+def library(spark, sf):
+    """The files of corpus in a folder of each part, each with a comment of the part's name at its end."""
+    one = F.explode(F.array(*[F.struct(F.lit(path).alias("path"), F.lit(text).alias("text")) for path, text in corpus.FILES.items()]))
+    mark = F.when(F.endswith("f.path", F.lit(".py")), "# ").when(F.endswith("f.path", F.lit(".rb")), "# ").otherwise("// ")
+    rows = read(spark, sf, "part").select("p_partkey", "p_name", one.alias("f"))
+    return rows.select(F.concat(F.lit("lib/"), F.col("p_partkey").cast("string"), F.lit("/"), "f.path").alias("rel_fname"), F.encode(F.concat("f.text", mark, "p_name", F.lit("\n")), "UTF-8").alias("content"))
+
+
+def files(spark, sf):
+    return tree.with_language(chain(spark, sf).unionByName(library(spark, sf)))
+
+
+_SRC = f"src AS (SELECT p_partkey AS k, p_partkey % 5 AS kind, 'src/p' || p_partkey || ({list(EXTENSIONS)})[(p_partkey % 5 + 1)::INTEGER] AS file FROM part)"
+_LIB = "SELECT 'lib/' || p_partkey || '/' || rel_fname AS rel_fname"
+
+
+@query("s2_corpus_languages", f"""WITH {_SRC}, c AS ({corpus.values([("web/list.ts", "typescript"), ("web/api.js", "javascript"), ("web/view.tsx", "typescriptreact"), ("tool/run.py", "python"), ("tool/broken.py", "python")], "rel_fname", "language")})
+SELECT file AS rel_fname, (['python', 'javascript', 'typescript', 'typescriptreact'])[(kind + 1)::INTEGER] AS language FROM src WHERE kind < 4 UNION ALL {_LIB}, language FROM part, c""")
 def _languages(spark, sf):
-    return files(spark).select("rel_fname", "language")
+    return files(spark, sf).select("rel_fname", "language")
 
 
-@query("s7_parse_tags", corpus.values(corpus.TAGS, "rel_fname", "name", "kind", "start_line", "end_line"))
+@query("s7_parse_tags", f"""WITH {_SRC}, c AS ({corpus.values(corpus.TAGS, "rel_fname", "name", "kind", "start_line", "end_line")})
+SELECT file AS rel_fname, 'f' || k AS name, 'def' AS kind, 0 AS start_line, ([1, 2, 0, 2])[(kind + 1)::INTEGER] AS end_line FROM src WHERE kind < 4
+UNION ALL SELECT file, CASE WHEN kind = 3 THEN 'Box' WHEN k % 10 = 0 THEN 'Close' ELSE 'f' END || (k + 1), 'ref', ([1, 1, 0, 1])[(kind + 1)::INTEGER], ([1, 1, 0, 1])[(kind + 1)::INTEGER] FROM src WHERE kind < 4
+UNION ALL {_LIB}, name, kind, start_line, end_line FROM part, c""")
 def _tags(spark, sf):
-    return tree.parse_tags(files(spark)).select("rel_fname", "name", "kind", "start_line", "end_line")
+    return tree.parse_tags(files(spark, sf)).select("rel_fname", "name", "kind", "start_line", "end_line")
 
 
-@query("s9_aliases", corpus.values(corpus.ALIASES, "rel_fname", "name", "target_name"))
+@query("s9_aliases", f"""WITH {_SRC}, c AS ({corpus.values(corpus.ALIASES, "rel_fname", "name", "target_name")})
+SELECT file AS rel_fname, 'Close' || k AS name, 'f' || k AS target_name FROM src WHERE k % 10 = 1 UNION ALL {_LIB}, name, target_name FROM part, c""")
 def _aliases(spark, sf):
-    return tree.parse_aliases(files(spark))
+    return tree.parse_aliases(files(spark, sf))
 
 
-@query("g9_index_tree", corpus.values(corpus.EDGES, "caller_file", "caller_name", "callee_file", "callee_name", "weight", "confident").replace("SELECT *", "SELECT caller_file, caller_name, callee_file, callee_name, weight::BIGINT AS weight, confident"))
+@query("g9_index_tree", f"""WITH {_SRC} SELECT a.file AS caller_file, 'f' || a.k AS caller_name, b.file AS callee_file, 'f' || b.k AS callee_name, 1::BIGINT AS weight, true AS confident
+FROM src a JOIN src b ON b.k = a.k + 1 WHERE a.kind < 3""")
 def _index(spark, sf):
-    f = files(spark)
+    f = cut(tree.with_language(chain(spark, sf)), "chain")
     return G.call_graph(tree.parse_tags(f), tree.parse_aliases(f)).select("caller_file", "caller_name", "callee_file", "callee_name", "weight", "confident")
 
 
+@query("g9_index_corpus", f"""WITH c AS ({corpus.values(corpus.EDGES, "caller_file", "caller_name", "callee_file", "callee_name", "weight", "confident")}), n AS (SELECT count(*)::BIGINT AS n FROM part)
+SELECT 'lib/' || p_partkey || '/' || caller_file AS caller_file, caller_name, 'lib/' || p_partkey || '/' || callee_file AS callee_file, callee_name, weight::BIGINT AS weight, caller_file = callee_file OR confident AND n = 1 AS confident FROM part, c, n""")
+def _index_corpus(spark, sf):
+    """The edges within each part's own folder; names repeat in all of them, so only those of one file are sure."""
+    f = cut(tree.with_language(library(spark, sf)), "library")
+    folder = lambda c: F.substring_index(c, "/", 2)
+    t = cut(tree.parse_tags(f), "library-tags")
+    refs, found = G.enclosed_refs(t), G.candidates(t, tree.parse_aliases(f))
+    both = refs.withColumn("home", folder(F.col("caller_file"))).join(found.withColumn("home", folder(F.col("callee_file"))), ["home", "name"])
+    sure = (F.col("total") == 1) | (F.col("caller_file") == F.col("callee_file"))
+    parts = both.select(*G.CALLER, *G.CALLEE, (F.col("refs") * F.col("tags")).alias("weight"), sure.alias("confident"))
+    return G.fold(parts).select("caller_file", "caller_name", "callee_file", "callee_name", "weight", "confident")
+
+
+@query("s10_manifest", f"""WITH {_SRC}, m AS (SELECT * FROM (VALUES ('.js', 'javascript'), ('.jsx', 'javascript'), ('.ts', 'typescript'), ('.tsx', 'typescriptreact'), ('.py', 'python')) t(ext, language))
+SELECT ext, language, count(file)::BIGINT AS files FROM m LEFT JOIN src ON regexp_extract(file, '[.][^.]*$') = ext GROUP BY ext, language""")
+def _manifest(spark, sf):
+    """The files of the parts' sources by the manifest's extensions."""
+    ext = chain(spark, sf).select(F.concat(F.lit("."), F.substring_index("rel_fname", ".", -1)).alias("ext"), "rel_fname")
+    return extension_table(spark).join(ext, "ext", "left").groupBy("ext", "language").agg(F.count("rel_fname").alias("files"))
+
+
+#: Folders that parts lie in, by the key's remainder, and whether each language's walk leaves them out.
+FOLDERS = (("node_modules", True), ("out", True), ("dist", True), ("build", True), ("__pycache__", True), (".venv", True), ("venv", True), (".mypy_cache", True), (".pytest_cache", True), (".tox", True), ("x.egg-info", True), ("src", False), ("outer", False), ("egg-info", False), (".git", False))
+
+
+@query("u6_excluded_dirs_union", f"SELECT 'a/' || ({[d for d, _ in FOLDERS]})[(p_partkey % {len(FOLDERS)} + 1)::INTEGER] || '/p' || p_partkey || '.py' AS rel_fname, ({[int(x) for _, x in FOLDERS]})[(p_partkey % {len(FOLDERS)} + 1)::INTEGER] = 1 AS excluded FROM part")
+def _excluded(spark, sf):
+    folder = F.element_at(F.array(*[F.lit(d) for d, _ in FOLDERS]), (F.col("p_partkey") % len(FOLDERS) + 1).cast("int"))
+    path = F.concat(F.lit("a/"), folder, F.lit("/p"), F.col("p_partkey").cast("string"), F.lit(".py"))
+    return read(spark, sf, "part").select(path.alias("rel_fname")).withColumn("excluded", tree.in_excluded_dir(F.col("rel_fname")))
+
+
 #: The part of a part's name on which the model gives up.
 FAILS = "red"
 

@@ -469,13 +469,6 @@ def _s4(spark, sf):
     return read(spark, sf, "documents").select("doc_id", ext.alias("ext")).join(F.broadcast(extension_table(spark)), "ext").select("doc_id", "language")  # five rows
 
 
-@query("s10_manifest", "SELECT * FROM (VALUES ('.js', 'javascript'), ('.jsx', 'javascript'), ('.ts', 'typescript'), ('.tsx', 'typescriptreact'), ('.py', 'python')) t(ext, language)")
-def _s10(spark, sf):
-    from graphloom.sources.manifest import extension_table
-
-    return extension_table(spark)
-
-
 @query("s14_byte_slice", "SELECT doc_id, lower(hex(encode(text)))[21:60] AS bytes FROM documents WHERE strlen(text) >= 30")
 def _s14(spark, sf):
     return read(spark, sf, "documents").filter(F.octet_length("text") >= 30).select("doc_id", F.lower(F.hex(tree.byte_slice(F.encode("text", "UTF-8"), F.lit(10), F.lit(30)))).alias("bytes"))
