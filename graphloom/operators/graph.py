@@ -182,11 +182,14 @@ def reindex(parts: DataFrame, edges: DataFrame, old_tags: DataFrame, new_tags: D
     return out, edges, new_tags.filter(_in("rel_fname", files) & (F.col("kind") == "def")).count()
 
 
-def pagerank(node_table: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 100, tolerance: float | None = 1e-6) -> DataFrame:
+def pagerank(node_table: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 100, tolerance: float | None = 1e-6, start: DataFrame | None = None) -> DataFrame:
     """importance of each node: weighted PageRank; uniform if it has not settled after all iterations.
 
     tolerance None runs exactly the given iterations. Dangling mass spreads evenly. Nodes are numbered once. The links
-    stay dealt by caller over all steps; a step shuffles (node, rank) and the sums by callee.
+    stay dealt by caller over all steps; a step shuffles (node, rank) and the sums by callee. start: an importance of
+    before, from which an update settles in few steps; nodes that it lacks start at their even share. A run that has
+    settled is no further than damping / (1 - damping) * nodes * tolerance (all nodes together) from the exact rank,
+    wherever it started.
     """
     out = edges.groupBy(*CALLER).agg(F.sum("weight").alias("total")).select(*[F.col(c).alias(k) for c, k in zip(CALLER, NODE, strict=True)], "total")
     named = cut(node_table.join(out, NODE, "left").select(*NODE, "total", F.monotonically_increasing_id().alias("id")), "rank-nodes")
@@ -194,7 +197,7 @@ def pagerank(node_table: DataFrame, edges: DataFrame, damping: float = 0.85, ite
     links = cut(shares.select("src", "dst", (F.col("weight") / F.col("total")).alias("share")), "rank-links").repartition("src").persist()
     spread = lambda x: links.join(x.select(F.col("id").alias("src"), "x"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("x") * F.col("share")).alias("got"))
     try:
-        return _settle(node_table, named, spread, damping, iterations, tolerance)
+        return _settle(node_table, named, spread, damping, iterations, tolerance, start)
     finally:
         links.unpersist()
 
@@ -203,7 +206,7 @@ def _end(named: DataFrame, side: list[str], to: str) -> DataFrame:
     return named.select(*[F.col(k).alias(c) for k, c in zip(NODE, side, strict=True)], F.col("id").alias(to))
 
 
-def _settle(node_table: DataFrame, named: DataFrame, spread: Callable[[DataFrame], DataFrame], damping: float, iterations: int, tolerance: float | None) -> DataFrame:
+def _settle(node_table: DataFrame, named: DataFrame, spread: Callable[[DataFrame], DataFrame], damping: float, iterations: int, tolerance: float | None, start: DataFrame | None = None) -> DataFrame:
     """importance by power iteration over named(NODE, total, id), total null for dangling nodes; spread(x(id, x)) gives (id, got).
 
     A step ends in a written table of numbers, whose write also brings back the dangling mass and the change.
@@ -212,10 +215,14 @@ def _settle(node_table: DataFrame, named: DataFrame, spread: Callable[[DataFrame
     if not n:
         return node_table.withColumn("importance", F.lit(0.0))
     x = named.select("id", F.col("total").isNull().alias("dangling"), F.lit(1.0 / n).alias("x"))
-    loose = x.filter("dangling").count() / n
+    if start is not None:
+        known = cut(named.join(start.select(*NODE, "importance"), NODE, "left").select("id", F.col("total").isNull().alias("dangling"), F.coalesce("importance", F.lit(1.0 / n)).alias("x")), "rank-start", "snappy")
+        whole = known.agg(F.sum("x")).first()[0]
+        x = known.withColumn("x", F.col("x") / whole) if whole else x
+    loose = x.agg(F.sum(F.when(F.col("dangling"), F.col("x")))).first()[0] or 0.0
     settled, written = tolerance is None, []
     for _ in range(iterations):
-        fresh = damping * (F.coalesce("got", F.lit(0.0)) + loose / n) + (1 - damping) / n
+        fresh = damping * (F.coalesce("got", F.lit(0.0)) + loose / n) + (1 - damping) / n  # loose: the dangling nodes' share
         seen = Observation()
         step = x.withColumnRenamed("x", "old").join(spread(x), "id", "left").select("id", "dangling", fresh.alias("x"), "old")
         step = step.observe(seen, F.sum(F.when(F.col("dangling"), F.col("x"))).alias("loose"), F.sum(F.abs(F.col("x") - F.col("old"))).alias("moved"))

@@ -87,7 +87,7 @@ class CodeMap:
             files, unreadable, tags, aliases = self._read(tree.tree_paths(self.spark, self.root, self.gitignore))
             self.files, self.unreadable, self.tags, self.aliases = cut(files, "files"), cut(unreadable, "unreadable"), cut(tags, "tags"), cut(aliases, "aliases")
             self.parts = cut(G.contributions(G.enclosed_refs(self.tags), G.candidates(self.tags, self.aliases)), "parts")
-            self._rank(G.fold(self.parts))
+            self._rank(G.fold(self.parts), None)
             return 0
 
         self._renewed(step)
@@ -95,9 +95,10 @@ class CodeMap:
             self.vectors.replace_all(V.embed_chunks(self.chunks(), self.embedder))
         return self
 
-    def _rank(self, edges: DataFrame) -> None:
+    def _rank(self, edges: DataFrame, before: DataFrame | None) -> None:
+        """before: the importance that an update starts from."""
         self.edges = cut(edges, "edges")
-        self.importance = cut(G.pagerank(G.nodes(self.tags), self.edges), "importance")
+        self.importance = cut(G.pagerank(G.nodes(self.tags), self.edges, start=before), "importance")
 
     def reindex_file(self, rel_fname: str, embed: bool = False) -> int:
         """reindex_files() of one file."""
@@ -120,7 +121,7 @@ class CodeMap:
             self.unreadable = cut(self.unreadable.filter(~own).unionByName(unreadable), "unreadable")
             parts, edges, n = G.reindex(self.parts, self.edges, self.tags, tags, self.aliases, aliases, files)
             self.parts, self.tags, self.aliases = parts, tags, aliases
-            self._rank(edges)
+            self._rank(edges, self.importance)
             return n
 
         n = self._renewed(step)

@@ -164,3 +164,24 @@ def test_rank_by_names_equals_the_rank_over_edges(spark):
     assert key(G.fan_in(nodes, edges)) == key(G.fan_in_by_names(nodes, refs, found))
     sure = edges.filter("confident").select(*G.CALLER, *G.CALLEE).collect()
     assert sorted(sure) == sorted(G.confident_edges(refs, found).collect()) and sure
+
+
+def test_rank_after_an_update_starts_from_the_rank_before(spark, monkeypatch):
+    import random
+
+    rng = random.Random(9)
+    n = 300
+    nodes = spark.createDataFrame([("f", f"n{i}", i) for i in range(n)], "rel_fname string, name string, line int")
+    links = {(rng.randint(0, n - 1), rng.randint(0, n - 1)): rng.randint(1, 3) for _ in range(900)}
+    frame = lambda d: spark.createDataFrame([("f", f"n{a}", a, "f", f"n{b}", b, w) for (a, b), w in d.items()], "caller_file string, caller_name string, caller_line int, callee_file string, callee_name string, callee_line int, weight long")
+    before = G.cut(G.pagerank(nodes, frame(links)), "before")
+    more = links | {(0, 5): 7, (17, 250): 2}
+    grown = nodes.union(spark.createDataFrame([("f", "new", 999)], nodes.schema))
+    steps, cut = [], G.cut
+    monkeypatch.setattr(G, "cut", lambda df, label, *a: (steps.append(label), cut(df, label, *a))[1])
+    full = {r.name: r.importance for r in G.pagerank(grown, frame(more)).collect()}
+    cold, _ = steps.count("rank-x"), steps.clear()
+    warm = {r.name: r.importance for r in G.pagerank(grown, frame(more), start=before).collect()}
+    assert steps.count("rank-x") < cold
+    bound = 2 * 0.85 / 0.15 * 301 * 1e-6
+    assert warm.keys() == full.keys() and sum(abs(v - warm[k]) for k, v in full.items()) <= bound and abs(sum(warm.values()) - 1) < 1e-9
