@@ -79,7 +79,8 @@ def generate(prompt: Column, model: Model = stub, stop: tuple[str, ...] = (), ti
     """
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        with ThreadPoolExecutor(workers) as pool:
+        pool = ThreadPoolExecutor(workers)
+        try:
             for prompts in batches:
                 asked = [None if p is None else pool.submit(model, p) for p in prompts]
                 rows: list[tuple[str | None, str | None]] = []
@@ -95,6 +96,8 @@ def generate(prompt: Column, model: Model = stub, stop: tuple[str, ...] = (), ti
                         job.cancel()
                         rows.append((None, f"no answer within {timeout:g} seconds"))
                 yield pd.DataFrame(rows, columns=["text", "error"], dtype=object)
+        finally:
+            pool.shutdown(wait=False, cancel_futures=True)  # a call that hangs does not hold the task
 
     return F.pandas_udf(run, "text string, error string")(prompt)
 

@@ -243,17 +243,22 @@ def quality_notes(why: Column, effects: Column, used_by: Column, calls: Column,
     return F.array_compact(F.array(*found))
 
 
+#: The lines of a section of callers or callees.
+TOP_LINE, FULL_LINE, NO_LINE = "  Most significant (top 3, ranked by importance):", "  Full list (most significant first):", "  none"
+
+
 def related_section(noun: str, related: Column, omitted: Column) -> Column:
     """Lines about callers or callees: struct<name, file, line> in rank order, and how many are left out."""
     line = lambda indent: lambda c: F.concat(F.lit(indent), c["name"], F.lit(" ("), c["file"], F.lit(":"), c["line"].cast("string"), F.lit(")"))
     n = F.size(related)
-    top = F.concat(F.array(F.lit("  Most significant (top 3, ranked by importance):")), F.transform(F.slice(related, 1, 3), line("    - ")), F.array(F.lit("  Full list (most significant first):")))
+    top = F.concat(F.array(F.lit(TOP_LINE)), F.transform(F.slice(related, 1, 3), line("    - ")), F.array(F.lit(FULL_LINE)))
     rows = F.concat(F.when(n > 3, top).otherwise(F.array().cast("array<string>")), F.transform(related, line("  - ")))
     more = F.when(omitted > 0, F.array(F.concat(F.lit("  ... and "), omitted.cast("string"), F.lit(f" more {noun}(s) not shown")))).otherwise(F.array().cast("array<string>"))
     head = F.array(F.concat(F.lit(f"{noun.capitalize()}s ("), n.cast("string"), F.lit("):")))
-    return F.array_join(F.concat(head, F.when(n == 0, F.array(F.lit("  none"))).otherwise(F.concat(rows, more))), "\n")
+    return F.array_join(F.concat(head, F.when(n == 0, F.array(F.lit(NO_LINE))).otherwise(F.concat(rows, more))), "\n")
 
 
+#: The tiers of a context.
 CALL_GRAPH_ONLY, WITH_RETRIEVAL = "call_graph_only", "call_graph_and_retrieval"
 
 
@@ -276,14 +281,18 @@ def context_hash(callers: Column, callers_omitted: Column, callees: Column, call
     return F.sha2(F.array_join(F.array_sort(F.transform(chunks, lambda c: F.sha2(c, 256))), ""), 256)
 
 
+#: The titles of a copied explanation's sections, and what stands for no side effects.
+WHY, USED_BY, CALLS, EFFECTS, RISK, NO_EFFECTS = "Why it exists", "Used by", "Calls", "Side effects", "Risk", "None detected -- pure function"
+
+
 def copy_text(name: Column, why: Column, used_by: Column, calls: Column, effects: Column, risk: Column) -> Column:
     section = lambda title, body: F.concat(F.lit(f"\n\n{title}:\n"), body)
     some = lambda x: F.coalesce(F.size(x) > 0, F.lit(False))
     listed = F.array_join(F.transform(effects, lambda e: F.concat(F.lit("- "), e)), "\n")
     return F.concat(
-        name, F.when(F.coalesce(why, F.lit("")) != "", section("Why it exists", why)).otherwise(""), F.when(some(used_by), section("Used by", F.array_join(used_by, ", "))).otherwise(""),
-        F.when(some(calls), section("Calls", F.array_join(calls, ", "))).otherwise(""), section("Side effects", F.when(some(effects), listed).otherwise("None detected -- pure function")),
-        F.when(F.coalesce(risk, F.lit("")) != "", section("Risk", risk)).otherwise(""),
+        name, F.when(F.coalesce(why, F.lit("")) != "", section(WHY, why)).otherwise(""), F.when(some(used_by), section(USED_BY, F.array_join(used_by, ", "))).otherwise(""),
+        F.when(some(calls), section(CALLS, F.array_join(calls, ", "))).otherwise(""), section(EFFECTS, F.when(some(effects), listed).otherwise(NO_EFFECTS)),
+        F.when(F.coalesce(risk, F.lit("")) != "", section(RISK, risk)).otherwise(""),
     )
 
 
@@ -291,6 +300,7 @@ def hover_text(role: Column, one_liner: Column, fresh: Column) -> Column:
     return F.concat(F.lit("#### "), F.coalesce(role, F.lit("Unknown")), F.lit(" · *"), fresh, F.lit("*\n\n**"), F.coalesce(one_liner, F.lit("")), F.lit("**\n\n---\n"))
 
 
+#: Fixed value: where a model is asked for unless a setting says otherwise.
 DEFAULT_ENDPOINT = "http://localhost:11434"
 
 

@@ -74,6 +74,9 @@ def render(name: str, summary: DataFrame, tree_lines: DataFrame, files: DataFram
 
 
 KEY_FUNCTIONS = 25
+#: Headings, links and table heads of the pages.
+SUMMARY, FUNCTIONS_HEAD, FILES_HEAD, SEE_ALSO = "Codebase Summary", "## Functions\n\n", "## Files\n\n", "\n\n## See also\n\n- [Key Functions Index](functions.md)"
+KEY_HEAD, KEY_TABLE = "# Key Functions\n\n", "| Function | File | Role | Summary |\n|---|---|---|---|\n"
 
 
 def functions_by_file(ranked: DataFrame, entry: Column) -> DataFrame:
@@ -87,7 +90,7 @@ def file_page(functions: DataFrame, purposes: DataFrame | None = None) -> DataFr
     pages = functions_by_file(functions, part).select("rel_fname", F.array_join("functions", "\n").alias("b"))
     pages = pages.withColumn("purpose", F.lit(None).cast("string")) if purposes is None else pages.join(purposes, "rel_fname", "left")
     head = F.when(F.col("purpose").isNotNull(), F.concat("purpose", F.lit("\n\n"))).otherwise("")
-    return pages.select("rel_fname", F.concat(F.lit("# "), "rel_fname", F.lit("\n\n"), head, F.lit("## Functions\n\n"), "b").alias("page"))
+    return pages.select("rel_fname", F.concat(F.lit("# "), "rel_fname", F.lit("\n\n"), head, F.lit(FUNCTIONS_HEAD), "b").alias("page"))
 
 
 def index_page(functions: DataFrame, purposes: DataFrame, name: str) -> DataFrame:
@@ -97,8 +100,8 @@ def index_page(functions: DataFrame, purposes: DataFrame, name: str) -> DataFram
     files = functions.groupBy("rel_fname").agg(F.min("pos").alias("pos"), F.count("*").alias("n")).join(purposes, "rel_fname", "left")
     line = F.concat(F.lit("- ["), "rel_fname", F.lit("]("), "rel_fname", F.lit(".md) — "), first_sentence(F.coalesce("purpose", F.lit(""))))
     one = files.agg(F.sum("n").alias("n"), F.count("*").alias("files"), F.sort_array(F.collect_list(F.struct("pos", "rel_fname", line.alias("l")))).alias("lines"))
-    head = F.concat(F.lit(f"# {name} — Codebase Summary\n\nFrom "), F.coalesce("n", F.lit(0)).cast("string"), F.lit(" explained function(s) across "), F.col("files").cast("string"), F.lit(" file(s).\n\n## Files\n\n"))
-    return one.select(F.concat(head, F.array_join(F.transform("lines", lambda x: x["l"]), "\n"), F.lit("\n\n## See also\n\n- [Key Functions Index](functions.md)")).alias("page"))
+    head = F.concat(F.lit(f"# {name} — {SUMMARY}\n\nFrom "), F.coalesce("n", F.lit(0)).cast("string"), F.lit(" explained function(s) across "), F.col("files").cast("string"), F.lit(f" file(s).\n\n{FILES_HEAD}"))
+    return one.select(F.concat(head, F.array_join(F.transform("lines", lambda x: x["l"]), "\n"), F.lit(SEE_ALSO)).alias("page"))
 
 
 def functions_page(functions: DataFrame, most: int = KEY_FUNCTIONS) -> DataFrame:
@@ -109,7 +112,7 @@ def functions_page(functions: DataFrame, most: int = KEY_FUNCTIONS) -> DataFrame
     line = F.concat(F.lit("| "), "name", F.lit(" | "), place, F.lit(" | "), F.coalesce("role_tag", F.lit("Unclassified")), F.lit(" | "), table_cell(F.coalesce("one_liner", F.lit(""))), F.lit(" |"))
     top = functions.orderBy("pos", "rel_fname", "name", "line").limit(most)
     one = top.agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("pos", "rel_fname", "name", line.alias("l")))).alias("lines"))
-    head = F.concat(F.lit("# Key Functions\n\nThe "), F.col("n").cast("string"), F.lit(" most important function(s), by the call graph.\n\n| Function | File | Role | Summary |\n|---|---|---|---|\n"))
+    head = F.concat(F.lit(f"{KEY_HEAD}The "), F.col("n").cast("string"), F.lit(f" most important function(s), by the call graph.\n\n{KEY_TABLE}"))
     return one.select(F.concat(head, F.array_join(F.transform("lines", lambda x: x["l"]), "\n")).alias("page"))
 
 
