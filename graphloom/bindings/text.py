@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from graphloom.bindings.tables import read, registry
 from graphloom.functions import text as T
 from graphloom.operators import vectors as V
 from graphloom.operators.graph import positions
+from graphloom.plans.digest import write_pages
+from graphloom.sources.scan import scan_tree
+from graphloom.storage import shared_dir
 
 QUERIES, ORACLE_SQL, query = registry()
 
@@ -83,3 +88,15 @@ def _t9(spark, sf):
     """Every hit, as a reader would look a label up: by collation, which for these lower-case words is their binary order."""
     hits = read(spark, sf, "part").filter(T.subsequence_match(F.col("p_name"), "ring") == 2).select("p_partkey", "p_name")
     return positions(hits, F.collate("p_name", "UNICODE"), "p_partkey").select("p_partkey", "p_name", "pos")
+
+
+_DOC_PATH = "coalesce(lang, 'none') || CASE WHEN doc_id % 7 = 0 THEN '/node_modules/' ELSE '/d' END || (doc_id % 10) || '/' || doc_id || '.txt'"
+
+
+@query("s1_tree_scan", f"SELECT {_DOC_PATH} AS rel_fname, octet_length(encode(coalesce(text, '')))::BIGINT AS length, sha256(coalesce(text, '')) AS sha FROM documents WHERE lang = 'en' AND doc_id % 7 <> 0 AND octet_length(encode(coalesce(text, ''))) < 1500")
+def _tree_scan(spark, sf):
+    """The documents as files of a tree, some in an excluded folder, of which a scan opens the small ones of one folder alone."""
+    folder = f"{shared_dir(spark)}/graphloom/files-{uuid.uuid4().hex}"
+    write_pages(read(spark, sf, "documents").select(F.expr(_DOC_PATH).alias("path"), F.coalesce("text", F.lit("")).alias("page")), folder)
+    found = scan_tree(spark, folder, "").filter(F.startswith("rel_fname", F.lit("en/")) & (F.col("length") < 1500))
+    return found.select("rel_fname", "length", F.sha2("content", 256).alias("sha"))
