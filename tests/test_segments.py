@@ -145,7 +145,7 @@ def test_changes_reach_another_session_once(spark, tmp_path):
 
     def follow():
         q = cache_changes(other, folder).select("cache_key", "deleted", "version").writeStream.format("parquet").option("path", out).option("checkpointLocation", at).trigger(availableNow=True).start()
-        assert q.awaitTermination(120)
+        assert q.awaitTermination(600)
         return sorted((r.version, r.deleted, r.cache_key) for r in spark.read.parquet(out).collect())
 
     cache.write(frame(spark, [row("a"), row("b", "g")]))
@@ -161,4 +161,4 @@ def test_changes_reach_another_session_once(spark, tmp_path):
     cache.write(frame(spark, [row("z", "zz")]))
     late = cache_changes(other, folder).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "late")).trigger(availableNow=True).start()
     with pytest.raises(Exception, match="retention"):
-        late.awaitTermination(120)
+        late.awaitTermination(600)
