@@ -12,7 +12,7 @@ from graphloom.bindings.tables import read, registry
 from graphloom.functions import text as T
 from graphloom.operators import cache as CC
 from graphloom.operators import change as C
-from graphloom.operators import graph as G
+from graphloom.operators import factored as X
 from graphloom.operators import merkle, passes
 from graphloom.storage import shared_dir
 from graphloom.streaming import freshness
@@ -64,9 +64,8 @@ SELECT file AS rel_fname, name, r AS line FROM near JOIN parts ON p_partkey = r
 
 @query("r5_stale_propagation", "WITH " + STALE)
 def _stale(spark, sf):
-    e, imp = BG.ranked_graph(spark, sf)
     regenerated = BG.parts(spark, sf).filter("p_partkey % 5 = 0").select(F.col("file").alias("rel_fname"), "name", F.col("p_partkey").alias("line"))
-    return C.stale_dependents(BG.roots(spark, sf).drop("root"), G.function_context(e, imp), regenerated)
+    return C.stale_dependents(BG.roots(spark, sf).drop("root"), X.function_context(BG.walks(spark, sf)), regenerated)
 
 
 for _name in ("j10_stale_dependents", "u3_callers_union_callees"):
