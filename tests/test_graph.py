@@ -185,3 +185,18 @@ def test_rank_after_an_update_starts_from_the_rank_before(spark, monkeypatch):
     assert steps.count("rank-x") < cold
     bound = 2 * 0.85 / 0.15 * 301 * 1e-6
     assert warm.keys() == full.keys() and sum(abs(v - warm[k]) for k, v in full.items()) <= bound and abs(sum(warm.values()) - 1) < 1e-9
+
+
+def test_nearest_definition_in_a_hot_name_pairs_nothing(spark):
+    import random
+
+    rng = random.Random(2)
+    defs = [("f", "hot", rng.randint(0, 500), q) for q in range(120)] + [("f", "hot", 70, 900), ("f", "hot", 70, 1), (None, "hot", 3, 5), ("g", "one", 9, 1)]
+    probes = sorted({(i, "f", "hot", rng.randint(-20, 520)) for i in range(150)}) + [(900, "f", "gone", 3), (901, "g", "one", 100)]
+    P = spark.createDataFrame([*probes, probes[0], (902, "f", "hot", None), (903, None, "hot", 3)], "probe long, rel_fname string, name string, at_line long")
+    D = spark.createDataFrame(defs, "rel_fname string, name string, start_line long, tag_seq long")
+    out = G.nearest_def(P, D)
+    got = {r.probe: r.line for r in out.collect()}
+    want = {p: min(((abs(line - at), q, line) for f, n, line, q in defs if (f, n) == (file, name)), default=(0, 0, None))[2] for p, file, name, at in probes}
+    assert got == {**want, 902: None, 903: None}
+    assert out.count() == len(got) and "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
