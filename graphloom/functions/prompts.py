@@ -79,6 +79,9 @@ def json_prompt(source: Column, callers: Column, callees: Column, bundle: Column
     return F.concat(input_slot(source, callers, callees, bundle), F.lit(" "), F.trim(F.coalesce(reasoning, F.lit(""))), F.lit(JSON))
 
 
+NO_CALLERS = "  none"
+
+
 def _given(x: Column, default: str) -> Column:
     return F.coalesce(F.when(F.trim(x) != "", x), F.lit(default))
 
@@ -96,8 +99,16 @@ def file_summary_prompt(rel_fname: Column, functions: Column) -> Column:
 
 def cluster_summary_prompt(name: Column, role: Column, one_liner: Column, callers: Column) -> Column:
     """callers: array<struct<name, role_tag, one_liner, depth>> in rank order; role and one_liner are null where the root has none yet."""
+    return cluster_prompt_of(name, role, one_liner, F.when(F.size(callers) == 0, NO_CALLERS).otherwise(cluster_lines(callers)))
+
+
+def cluster_lines(callers: Column) -> Column:
+    """The callers' lines; where many roots have the same callers, make them once."""
+    return F.array_join(F.transform(callers, lambda c: summary_line(c["name"], c["role_tag"], c["one_liner"], c["depth"])), "\n")
+
+
+def cluster_prompt_of(name: Column, role: Column, one_liner: Column, listed: Column) -> Column:
+    """cluster_summary_prompt() with cluster_lines() made before, or NO_CALLERS."""
     known = F.concat(F.lit("  ("), _given(role, NO_ROLE), F.lit("): "), _given(one_liner, NO_SUMMARY))
     root = F.when((F.trim(F.coalesce(role, F.lit(""))) == "") & (F.trim(F.coalesce(one_liner, F.lit(""))) == ""), NO_ROOT).otherwise(known)
-    lines = F.transform(callers, lambda c: summary_line(c["name"], c["role_tag"], c["one_liner"], c["depth"]))
-    listed = F.when(F.size(callers) == 0, "  none").otherwise(F.array_join(lines, "\n"))
     return F.concat(F.lit(ROOT), name, F.lit("\n"), root, F.lit("\n\nKnown callers, direct or through others, most important first:\n"), listed, F.lit(PURPOSE))
