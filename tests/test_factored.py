@@ -83,3 +83,21 @@ def test_queries_write_no_edges(spark, monkeypatch):
     for name in ("a2_edge_fold", "a5_omitted_counts", "a15_dangling_nodes", "g4_pagerank_12iter", "t1_ranked_functions", "g5_function_context"):
         BG.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
     assert labels and not {"edges", "old-parts", "old-edges"} & set(labels)
+
+
+def test_rank_by_names_steps_over_kinds_of_nodes(spark, made, monkeypatch):
+    t, a, e, *_ = made
+    steps, cut = [], G.cut
+
+    def seen(df, label, *rest):
+        out = cut(df, label, *rest)
+        if label in ("rank-x", "rank-candidates"):
+            steps.append(out.count())
+        return out
+
+    monkeypatch.setattr(G, "cut", seen)
+    got = {r[:3]: r[3] for r in map(tuple, G.pagerank_by_names(G.nodes(t), G.enclosed_refs(t), G.candidates(t, a), iterations=6, tolerance=None).collect())}
+    assert max(steps) < G.nodes(t).count()
+    monkeypatch.setattr(G, "cut", cut)
+    want = {r[:3]: r[3] for r in map(tuple, G.pagerank(G.nodes(t), e, iterations=6, tolerance=None).collect())}
+    assert got.keys() == want.keys() and max(abs(v - got[k]) for k, v in want.items()) < 1e-12
