@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 
@@ -101,3 +102,22 @@ def test_rank_by_names_steps_over_kinds_of_nodes(spark, made, monkeypatch):
     monkeypatch.setattr(G, "cut", cut)
     want = {r[:3]: r[3] for r in map(tuple, G.pagerank(G.nodes(t), e, iterations=6, tolerance=None).collect())}
     assert got.keys() == want.keys() and max(abs(v - got[k]) for k, v in want.items()) < 1e-12
+
+
+def test_placing_references_shuffles_them_twice(spark):
+    """Once to their bucket and once to be counted; definitions that share a span or nest go by width, then tag."""
+    rows = [("f", "a", "def", 1, 9, 0, 9000, 1), ("f", "b", "def", 2, 3, 4000, 4200, 2), ("f", "c", "def", 2, 3, 4000, 4200, 3), ("f", "x", "ref", 2, 2, 4090, 4100, 4), ("f", "x", "ref", 2, 2, 4090, 4100, 5), ("f", "x", "ref", 2, 2, 4190, 4201, 6), ("f", "x", "ref", 9, 9, 8990, 9001, 7), ("g", "x", "ref", 1, 1, 5, 6, 8)]
+    out = G.enclosed_refs(spark.createDataFrame(rows, TAGS))
+    assert {tuple(r) for r in out.select("caller_name", "caller_line", "refs").collect()} == {("a", 1, 1), ("b", 2, 2)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "min_by" not in plan  # no row of a reference and one span of several is grouped by the reference
+
+
+def test_levels_of_a_walk_are_shuffled_once(spark, made, monkeypatch):
+    """What a level meets is not joined with what was seen before, but grouped with it."""
+    plans, cut = [], X.cut
+    seen = lambda df, label, *rest: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()) if label == "walk-new" else None, cut(df, label, *rest))[1]
+    monkeypatch.setattr(X, "cut", seen)
+    t, *_, walks = made
+    X.blast_radius(walks, G.nodes(t).withColumn("root", G.F.col("line")), 3, 2)
+    assert len(plans) == 2 and not any(re.search(r"LeftOuter, .*\bb#", p) for p in plans)
