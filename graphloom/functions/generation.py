@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import prompts as P
 from graphloom.functions import text as T
+from graphloom.storage import bounded_batches
 
 #: The fields of an explanation.
 EXPLANATION = "role_tag string, one_liner string, why_it_exists string, used_by array<string>, calls array<string>, side_effects array<string>, risk_note string"
@@ -121,6 +122,7 @@ def explain(functions: DataFrame, model: Model = stub, reason: Model | None = No
     stage, the same by default. A failure of either stage, or an answer that is no JSON object, leaves a null
     explanation and its error.
     """
+    bounded_batches(functions.sparkSession)  # a prompt is several KB, and a worker holds a batch of them
     names = lambda c: F.transform(c, lambda x: x["name"])
     bundle = P.context_bundle(F.col("callers"), F.col("callers_omitted"), F.col("callees"), F.col("callees_omitted"), F.col("retrieved"))
     parts = [F.col("fn_source"), names(F.col("callers")), names(F.col("callees"))]

@@ -18,3 +18,12 @@ def test_sources_of_a_small_file_of_parts_are_parsed_in_several_tasks(spark, mon
 def test_cluster_prompts_are_made_in_several_tasks_of_lines_made_once(spark):
     plan = scalar.QUERIES["f27_cluster_prompt"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan and "transform" not in plan and str(scalar.DEAL_TASKS) in plan
+
+
+def test_prompts_go_to_workers_in_bounded_batches(spark):
+    """A prompt is several KB; a batch of 10,000 of them is not held by a worker."""
+    for name in ("maxRecordsPerBatch", "maxBytesPerBatch"):
+        spark.conf.unset(f"spark.sql.execution.arrow.{name}")
+    code.QUERIES["x4_two_stages"](spark, "/root/testdata/sf0.001")
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 512
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").removesuffix("b")) <= 8 << 20
