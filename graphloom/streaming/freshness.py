@@ -54,11 +54,16 @@ class Machine(StatefulProcessor):
                 if self._state(tuple(seqs), before) != (now := self._state(tuple(seqs), saved)):
                     out.append((key[0], fn, "state", now, newest, 0, pd.NaT))
         own = frame[frame["kind"].isin(_KINDS) & frame["fn"].notna()]
-        for fn, group in own.groupby("fn"):
+        last: dict[str, dict[str, int]] = {}
+        for fn, kind, seq in zip(own["fn"].tolist(), own["kind"].tolist(), own["seq"].tolist(), strict=True):  # a file's rows: plain loops cost less than frames of a few rows
+            kinds = last.setdefault(fn, {})
+            if seq == seq and seq > kinds.get(kind, -1):
+                kinds[kind] = int(seq)
+        for fn in sorted(last):
             old = tuple(self.functions.getValue((fn,))) if self.functions.containsKey((fn,)) else (-1,) * len(_KINDS)
-            last = group.groupby("kind")["seq"].max()
-            new = tuple(max(a, int(last.get(k, -1))) for a, k in zip(old, _KINDS, strict=True))
-            self.functions.updateValue((fn,), new)
+            new = tuple(max(a, last[fn].get(k, -1)) for a, k in zip(old, _KINDS, strict=True))
+            if new != old:
+                self.functions.updateValue((fn,), new)
             out.append((key[0], fn, "state", self._state(new, saved), newest, 0, pd.NaT))
         due = {int(us) // 1000 + self.gap_ms + 1 for us in saves["us"]}
         if len(saves):
