@@ -30,34 +30,42 @@ SKETCH_ROWS, MIN_LOG2_CELLS, MAX_LOG2_CELLS = 2, 16, 28
 #: Cells in a slice, the unit in which partial sketches are merged.
 SLICE_BITS = 20
 #: Words that are sketched or compared at once within a task.
-CHUNK_WORDS = 1 << 19
+CHUNK_WORDS = 1 << 17
 #: Windows that a task remembers from its earlier chunks, so that one that stands in all documents goes out once a task, not once a chunk (24 bytes each).
 REMEMBERED = 1 << 18
 
 
 class _Texts:
-    """The windows of some documents: hashes, minimizers and owners."""
+    """The windows of some documents: minimizers, places and owners, and on demand the hashes of some of them."""
 
-    def __init__(self, batches: list[pa.RecordBatch], exact: bool) -> None:
+    def __init__(self, batches: list[pa.RecordBatch]) -> None:
         table = pa.Table.from_batches(batches)
         raw, offsets = utf8(table.column("text"))
         starts, ends, self.first = word_spans(raw, offsets)
-        words = word_hashes(raw, starts, ends)
-        at, self.owner = gram_owner(self.first, WINDOW)
-        core = grams(words, CORE, seed=7)
-        if len(at):
-            two = np.minimum(core[:-1], core[1:])
-            four = np.minimum(two[:-2], two[2:])
-            self.minimizer = np.minimum(four[:-2], two[4:])[at]
+        self.words = word_hashes(raw, starts, ends)
+        del raw, starts, ends
+        self.at, self.owner = gram_owner(self.first, WINDOW)
+        if len(self.at):
+            least = grams(self.words, CORE, seed=7)
+            for step in (1, 2, 2):
+                least = np.minimum(least[:-step], least[step:])
+            self.minimizer = least[self.at]
         else:
             self.minimizer = np.zeros(0, np.uint64)
-        self.position = at - self.first[self.owner]
-        self.hash = grams(words, WINDOW, seed=1)[at] if exact else None
-        self.second = grams(words, WINDOW, seed=2)[at] if exact else None
         ids = table.column("doc_id").combine_chunks()
         self.known = np.asarray(ids.is_valid())[self.owner]
         self.doc_id = np.asarray(ids.fill_null(0).cast(pa.int64()))
 
+    def hashes(self, keep: np.ndarray, seed: int) -> np.ndarray:
+        return grams(self.words, WINDOW, seed)[self.at[keep]]
+
+    def release(self) -> None:
+        """Drop what belongs to windows and words; documents stay."""
+        del self.words, self.at, self.owner, self.minimizer, self.known
+
+    def position(self, keep: np.ndarray) -> np.ndarray:
+        return self.at[keep] - self.first[self.owner[keep]]
+
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
     held, size = [], 0
@@ -80,7 +88,7 @@ def _sketch(log2: int):  # noqa: ANN202
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _chunks(batches):
-            t = _Texts(chunk, exact=False)
+            t = _Texts(chunk)
             new = np.ones(len(t.minimizer), bool)
             new[1:] = (t.minimizer[1:] != t.minimizer[:-1]) | (t.owner[1:] != t.owner[:-1])
             new &= t.known
@@ -185,12 +193,13 @@ def _find(shared, log2: int):  # noqa: ANN001, ANN202
         bits = shared.value
         seen = _Seen()
         for chunk in _chunks(batches):
-            t = _Texts(chunk, exact=True)
+            t = _Texts(chunk)
             step = np.ones(len(t.minimizer), bool)  # a minimizer mostly serves several windows in a row
             step[1:] = t.minimizer[1:] != t.minimizer[:-1]
             group = np.cumsum(step) - 1
             keep = np.flatnonzero(_repeated(bits, t.minimizer[step], log2)[group] & t.known)
-            h, s, owner, place = t.hash[keep], t.second[keep], t.owner[keep], t.position[keep]
+            h, s, owner, place = t.hashes(keep, 1), t.hashes(keep, 2), t.owner[keep], t.position(keep)
+            t.release()
             doc = t.doc_id[owner]
             order = np.lexsort((doc, s, h))
             h, s, doc, owner, place = h[order], s[order], doc[order], owner[order], place[order]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import io
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -376,6 +377,18 @@ def test_substrings_with_a_tiny_sketch_lose_nothing(spark, edge, monkeypatch):
     assert sorted(map(str, substring.digest(edge).collect())) == want
 
 
+def test_substrings_of_a_task_take_bounded_memory():
+    rng = np.random.default_rng(3)
+    lines = [" ".join(f"w{x}" for x in row) for row in rng.integers(0, 50_000, (4096, 300))]
+    batches = [pa.RecordBatch.from_pydict({"doc_id": pa.array(range(a, a + 256), pa.int64()), "text": lines[a : a + 256], "text_hash": pa.array(range(a, a + 256), pa.int64())}) for a in range(0, len(lines), 256)]
+    every = type("Every", (), {"value": np.full((substring.SKETCH_ROWS, 1 << 17), 255, np.uint8)})
+    tracemalloc.start()
+    assert sum(b.num_rows for b in substring._find(every, 20)(iter(batches))) == 4096 * 288
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 45e6, peak
+
+
 # 8, 9
 def doc_ids(text, end):
     t = tokens.tokenizer(tokens.default_vocabulary())
