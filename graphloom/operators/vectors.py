@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +23,10 @@ from graphloom.storage import bounded_batches
 MAX_LINES, MAX_CHARS = 12, 500
 EMBED_BATCH = 64
 OVERFETCH, KEEP = 20, 5
-#: Rows of a block in nearest(): a task holds two blocks and the distances of 256 queries.
-BLOCK = 2048
+#: Most rows of a block in nearest(): a task holds two blocks and a tile of distances. Blocks of tables below are as many as keep all cores busy, of SPREAD rows at least.
+BLOCK, SPREAD = 1 << 16, 2048
+#: Queries and rows of a tile.
+TILE = 128, 2048
 
 
 def chunk_lines(lines: list[str], max_lines: int = MAX_LINES, max_chars: int = MAX_CHARS) -> Iterator[tuple[int, int, str]]:
@@ -111,44 +116,89 @@ def _kept(near: DataFrame, keep: int) -> DataFrame:
     return left.select("query", "rank", "rel_fname", "start_line", "end_line", "distance")
 
 
+def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
+    if len(pc.unique(pc.fill_null(pc.list_value_length(column), -1))) > 1 or column.null_count:
+        raise ValueError("vectors must not be null and must have one length")
+    return pc.cast(column.combine_chunks().flatten(), pa.float64()).to_numpy(zero_copy_only=False).reshape(rows, -1)
+
+
+def closest(x: np.ndarray, y: np.ndarray, fetch: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of y, distance): the fetch nearest rows of y for each of x, ties to the first row of y.
+
+    A matrix product tells squared distances up to `slack`. Only the rows within it of the fetch nearest so far are
+    measured, in the order of the dimensions as a sum over the array goes, and rounded to nine digits.
+    """
+    found = []
+    with np.errstate(all="ignore"):  # components may be infinite or no numbers; pairs that can't be told are measured
+        far = (y * y).sum(1)
+        wide = np.column_stack([y, far])
+        most, eps = np.max(far, where=np.isfinite(far), initial=0.0), np.finfo(np.float64).eps
+        for at in range(0, len(x) if len(y) else 0, TILE[0]):
+            part = x[at : at + TILE[0]]
+            own, twice = (part * part).sum(1), np.column_stack([-2.0 * part, np.ones(len(part))])
+            slack = 8 * (part.shape[1] + 9) * eps * (np.where(np.isfinite(own), own, 0.0) + most) + 2e-9
+            bound = np.full(len(part), np.inf)
+            rows, columns, distance = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            for to in range(0, len(y), TILE[1]):
+                some = y[to : to + TILE[1]]
+                near = twice @ wide[to : to + TILE[1]].T  # squared distances less the query's own square
+                if not to and len(some) >= fetch:
+                    bound = np.where(np.isfinite(own), np.partition(near, fetch - 1, axis=1)[:, fetch - 1] + slack, np.inf)
+                r, c = np.divmod(np.flatnonzero(~(near > (bound + slack)[:, None])), len(some))
+                del near
+                for a in range(0, len(r), 1 << 16):
+                    p, q = r[a : a + (1 << 16)], c[a : a + (1 << 16)]
+                    gap = part[p]
+                    gap -= some[q]
+                    gap *= gap
+                    d = np.zeros(len(p))
+                    for k in range(gap.shape[1]):
+                        d += gap[:, k]
+                    d = np.floor(d * 1e9 + 0.5) / 1e9
+                    rows, columns, distance = np.concatenate([rows, p]), np.concatenate([columns, q + to]), np.concatenate([distance, d])
+                    order = np.lexsort((columns, distance, rows))
+                    rows, columns, distance = rows[order], columns[order], distance[order]
+                    first = np.searchsorted(rows, np.arange(len(part)))
+                    left = np.arange(len(rows)) - first[rows] < fetch
+                    rows, columns, distance = rows[left], columns[left], distance[left]
+                full = np.flatnonzero(np.bincount(rows, minlength=len(part)) == fetch)
+                last = distance[np.searchsorted(rows, full, side="right") - 1] - own[full] + slack[full]
+                bound[full] = np.fmin(bound[full], last)
+            found.append((rows + at, columns, distance))
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return tuple(np.concatenate(c) for c in zip(none, *found, strict=True))
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, fetch: int = OVERFETCH, keep: int = KEEP, block: int = BLOCK) -> DataFrame:
     """For each of queries(query, q_file, q_start, q_end, q_vector): the fetch nearest rows of vectors, less those that overlap the query's own lines, of which keep stay.
 
-    Every block of queries meets every block of vectors in a task of its own, so there may be any number of both.
+    Every block of queries meets every block of vectors once, so there may be any number of both.
 
     A pair of blocks sends the fetch nearest rows of each query on, ties by file and line, so the work is queries x
     vectors and the shuffle each table's rows once a block of the other. Blocks go by hash of row; none holds all.
     """
-    nq, nv = (max(1, -(-t.count() // block)) for t in (queries, vectors))
+    bounded_batches(queries.sparkSession)
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    nq, nv = (max(1, -(-n // block), min(-(-n // SPREAD), math.isqrt(4 * cores) + 1)) for n in (queries.count(), vectors.count()))
     own = [F.lit(None).cast(t).alias(n) for n, t in vectors.select("rel_fname", "start_line", "end_line").dtypes]
     none = [F.lit(None).cast(t).alias(n) for n, t in queries.select("query").dtypes]
-    q = queries.select("query", F.pmod(F.xxhash64("query"), F.lit(nq)).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(nv - 1))).alias("j"), *own, F.col("q_vector").cast("array<double>").alias("x"))
-    v = vectors.select(*none, F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("i"), F.pmod(F.xxhash64("rel_fname", "start_line", "end_line"), F.lit(nv)).cast("int").alias("j"), "rel_fname", "start_line", "end_line", F.col("vector").cast("array<double>").alias("x"))
+    q = queries.select("query", F.pmod(F.xxhash64("query"), F.lit(nq)).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(nv - 1))).alias("j"), *own, F.col("q_vector").alias("x"))
+    v = vectors.select(*none, F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("i"), F.pmod(F.xxhash64("rel_fname", "start_line", "end_line"), F.lit(nv)).cast("int").alias("j"), "rel_fname", "start_line", "end_line", F.col("vector").alias("x"))
     types = dict(q.dtypes)
     out = f"query {types['query']}, rel_fname {types['rel_fname']}, start_line {types['start_line']}, end_line {types['end_line']}, distance double"
 
     def top(met: pa.Table) -> pa.Table:
-        import numpy as np
-
-        asks = np.asarray(met.column("query").is_valid())
-        a, b = met.filter(pa.array(asks)), met.filter(pa.array(~asks)).sort_by([("rel_fname", "ascending"), ("start_line", "ascending")])
-        x, y = (np.array(t.column("x").to_pylist(), np.float64).reshape(t.num_rows, -1) for t in (a, b))
-        rows, columns, far = [], [], []
-        for at in range(0, len(x) if len(y) else 0, 256):
-            part = x[at : at + 256]
-            d = np.zeros((len(part), len(y)))
-            for k in range(part.shape[1]):  # in the order of the dimensions, as a sum over the array goes
-                d += (part[:, k, None] - y[None, :, k]) ** 2
-            d = np.floor(d * 1e9 + 0.5) / 1e9
-            best = np.argsort(d, axis=1, kind="stable")[:, :fetch]  # rows lie by file and line, so ties fall to the first
-            rows.append(np.repeat(np.arange(at, at + len(part)), best.shape[1]))
-            columns.append(best.ravel())
-            far.append(np.take_along_axis(d, best, 1).ravel())
-        rows, columns, far = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (rows, columns, far))
-        hit = b.take(pa.array(columns, pa.int64()))
-        return pa.table([a.column("query").take(pa.array(rows, pa.int64())), hit.column("rel_fname"), hit.column("start_line"), hit.column("end_line"), pa.array(far, pa.float64())], ["query", "rel_fname", "start_line", "end_line", "distance"])
-
-    met = q.unionByName(v).groupBy("i", "j").applyInArrow(top, out)
+        asks = pc.is_valid(met.column("query"))
+        a, b = met.filter(asks), met.filter(pc.invert(asks)).sort_by([("rel_fname", "ascending"), ("start_line", "ascending")])
+        if a.num_rows and b.num_rows:
+            rows, columns, far = closest(_matrix(a.column("x"), a.num_rows), _matrix(b.column("x"), b.num_rows), fetch)
+        else:
+            rows, columns, far = (np.zeros(0, t) for t in (np.int64, np.int64, np.float64))
+        hit = b.select(["rel_fname", "start_line", "end_line"]).take(pa.array(columns, pa.int64()))
+        return pa.table([a.column("query").take(pa.array(rows, pa.int64())), *hit.columns, pa.array(far, pa.float64())], ["query", "rel_fname", "start_line", "end_line", "distance"])
+
+    # As many partitions as pairs: a pair takes long however few its bytes are, so pairs must not be put together by size.
+    met = q.unionByName(v).repartition(max(1, nq * nv), "i", "j").groupBy("i", "j").applyInArrow(top, out)
     order = Window.partitionBy("query").orderBy("distance", "rel_fname", "start_line")
     near = met.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= fetch)
     return _kept(near.join(queries.drop("q_vector"), "query"), keep)

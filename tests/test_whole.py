@@ -59,6 +59,37 @@ def test_every_vector_has_its_neighbours(spark):
     assert run(spark, "v2_knn_overlap_filtered").select("query").distinct().count() == embeddings
 
 
+def test_few_pairs_of_vectors_are_measured():
+    import time
+
+    import numpy as np
+
+    from graphloom.operators import vectors as V
+
+    def every(x, y, fetch=20):
+        d = np.zeros((len(x), len(y)))
+        for k in range(x.shape[1]):
+            d += (x[:, k, None] - y[None, :, k]) ** 2
+        d = np.floor(d * 1e9 + 0.5) / 1e9
+        best = np.argsort(d, axis=1, kind="stable")[:, :fetch]
+        return np.repeat(np.arange(len(x)), best.shape[1]), best.ravel(), np.take_along_axis(d, best, 1).ravel()
+
+    rng = np.random.default_rng(5)
+    odd = rng.normal(size=(5000, 8))
+    odd[5], odd[9, 2], odd[4100:4130] = np.nan, np.inf, -np.inf
+    ties, far = rng.integers(0, 3, (5000, 4)).astype(float), rng.normal(size=(5000, 8)) + 1e6
+    with np.errstate(all="ignore"):
+        for x, y in ((odd[:200], odd), (odd[:200], odd[:7]), (ties[:200], ties), (far[:200], far), (ties[:9], np.zeros((5000, 4)))):
+            assert all(np.array_equal(a, b, equal_nan=True) for a, b in zip(every(x, y), V.closest(x, y, 20), strict=True))
+    x, y = rng.normal(size=(512, 64)), rng.normal(size=(16384, 64))
+    at = time.process_time()
+    V.closest(x, y, 20)
+    took = time.process_time() - at
+    at = time.process_time()
+    every(x[:64], y)
+    assert took < 8 * (time.process_time() - at) / 3
+
+
 def test_ranked_functions_hits_and_files_are_all_listed(spark):
     parts = spark.read.parquet(f"{SF}/part.parquet")
     ranked = run(spark, "t1_ranked_functions")
