@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
-from graphloom.storage import cut
+from graphloom.storage import cut, shuffled
 
 VERSION = ["model_id", "embedding_model_id", "prompt_version"]
 TUPLE = ["fn_id", *VERSION]
@@ -43,9 +43,9 @@ def numbered(rows: DataFrame, last: int, order: list[str]) -> DataFrame:
 
 def evicted(cache: DataFrame, rows: DataFrame) -> DataFrame:
     """(cache_key): what rows, one for each tuple, supersede: the key that was current before for the tuple, if it differs. A key that rows hold stays."""
-    prior = current_rows(cache.join(rows.select(*TUPLE).distinct(), TUPLE, "left_semi")).select(*TUPLE, F.col("cache_key").alias("prior"))
-    gone = rows.select(*TUPLE, "cache_key").join(prior, TUPLE).filter("prior <> cache_key").select(F.col("prior").alias("cache_key"))
-    return gone.join(rows.select("cache_key"), "cache_key", "left_anti").distinct()
+    prior = current_rows(cache.join(shuffled(rows.select(*TUPLE).distinct()), TUPLE, "left_semi")).select(*TUPLE, F.col("cache_key").alias("prior"))
+    gone = rows.select(*TUPLE, "cache_key").join(shuffled(prior), TUPLE).filter("prior <> cache_key").select(F.col("prior").alias("cache_key"))
+    return gone.join(shuffled(rows.select("cache_key")), "cache_key", "left_anti").distinct()
 
 
 def evicting_write(cache: DataFrame, rows: DataFrame) -> DataFrame:
@@ -54,7 +54,7 @@ def evicting_write(cache: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def delete(cache: DataFrame, keys: DataFrame) -> DataFrame:
-    return cache.join(keys, "cache_key", "left_anti")
+    return cache.join(shuffled(keys), "cache_key", "left_anti")
 
 
 def current_rows(cache: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -72,17 +72,17 @@ def current_for_versions(cache: DataFrame, model: str, embedding: str, prompt: s
 def lookup(cache: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted(LOOKUP) with the row that matches all five columns, or nulls; context_hash plays no part."""
     best = cache.groupBy(*LOOKUP).agg(F.max_by(F.struct("cache_key", "explanation_json"), F.struct("generated_at", "seq")).alias("hit"))
-    return wanted.join(best, LOOKUP, "left").select(*wanted.columns, "hit.cache_key", "hit.explanation_json")
+    return wanted.join(shuffled(best), LOOKUP, "left").select(*wanted.columns, "hit.cache_key", "hit.explanation_json")
 
 
 def uncached(wanted: DataFrame, cache: DataFrame) -> DataFrame:
     """wanted(LOOKUP, ...) for which cache has no row."""
-    return wanted.join(cache.select(*LOOKUP).distinct(), LOOKUP, "left_anti")
+    return wanted.join(shuffled(cache.select(*LOOKUP).distinct()), LOOKUP, "left_anti")
 
 
 def cached(wanted: DataFrame, cache: DataFrame) -> DataFrame:
     """wanted(LOOKUP, ...) for which cache has a row."""
-    return wanted.join(cache.select(*LOOKUP).distinct(), LOOKUP, "left_semi")
+    return wanted.join(shuffled(cache.select(*LOOKUP).distinct()), LOOKUP, "left_semi")
 
 
 def purge(cache: DataFrame) -> tuple[DataFrame, DataFrame]:

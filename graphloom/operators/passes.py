@@ -11,7 +11,7 @@ from graphloom.functions import generation
 from graphloom.functions import text as T
 from graphloom.operators import cache as C
 from graphloom.operators.change import stale_dependents
-from graphloom.storage import cut
+from graphloom.storage import cut, shuffled
 
 
 NODE = ["rel_fname", "name", "line"]
@@ -44,12 +44,12 @@ def with_context(functions: DataFrame, callers: DataFrame, retrieved: DataFrame
     side = lambda d: callers.filter(F.col("direction") == d).groupBy(*node).agg(
         F.transform(F.sort_array(F.collect_list(entry)), lambda x: x["n"]).alias(f"{d}s"), F.max("omitted").alias(f"{d}s_omitted")
     )
-    out = functions.join(side("caller"), node, "left").join(side("callee"), node, "left")
+    out = functions.join(shuffled(side("caller")), node, "left").join(shuffled(side("callee")), node, "left")
     kind = dict(side("caller").dtypes)["callers"]
     for c in ("callers", "callees"):
         out = out.withColumn(c, F.coalesce(c, F.array().cast(kind))).withColumn(f"{c}_omitted", F.coalesce(f"{c}_omitted", F.lit(0).cast("long")))
     none = F.array().cast("array<struct<rel_fname:string,start_line:int,end_line:int,text:string>>")
-    out = out.withColumn("retrieved", none) if retrieved is None else out.join(retrieved, node, "left").withColumn("retrieved", F.coalesce("retrieved", none))
+    out = out.withColumn("retrieved", none) if retrieved is None else out.join(shuffled(retrieved), node, "left").withColumn("retrieved", F.coalesce("retrieved", none))
     digest = T.context_hash(F.col("callers"), F.col("callers_omitted"), F.col("callees"), F.col("callees_omitted"), F.col("retrieved"))
     return out.withColumn("context_hash", digest).withColumn("context_tier", T.context_tier(F.col("retrieved")))
 
@@ -91,7 +91,7 @@ def save_outcomes(functions: DataFrame, cache: DataFrame, generated: DataFrame)
     prior = C.current_rows(cache).select(*C.TUPLE, F.col("fn_hash").alias("prior_hash"))
     hit = cache.select(*C.LOOKUP).distinct().withColumn("hit", F.lit(True))
     done = generated.select("fn_id").distinct().withColumn("done", F.lit(True))
-    out = functions.join(hit, C.LOOKUP, "left").join(prior, C.TUPLE, "left").join(done, "fn_id", "left")
+    out = functions.join(shuffled(hit), C.LOOKUP, "left").join(shuffled(prior), C.TUPLE, "left").join(shuffled(done), "fn_id", "left")
     outcome = F.when(F.col("hit"), "skipped").when(F.col("done"), "regenerated").otherwise("failed")
     out = out.withColumn("outcome", outcome)
     changed = (F.col("outcome") == "regenerated") & F.coalesce(F.col("prior_hash") != F.col("fn_hash"), F.lit(False))
@@ -112,7 +112,7 @@ def save_pass(table, targets: DataFrame, context: DataFrame, **options: object)
 def flush_pass(table, dirty: DataFrame, targets: DataFrame, context: DataFrame, **options: object) -> tuple[DataFrame, DataFrame]:  # noqa: ANN001
     """(outcomes, stale) of dirty(fn_id): (NODE, fn_id, outcome, changed). 'vanished' has no target, 'unchanged' is cached as it is, the others are generated: 'regenerated', or 'failed', which stay dirty."""
     held = table.read()
-    own = cut(targets.join(dirty.select("fn_id").distinct(), "fn_id", "left_semi"), "flushed")
+    own = cut(targets.join(shuffled(dirty.select("fn_id").distinct()), "fn_id", "left_semi"), "flushed")
     done = generate_and_cache(table, C.uncached(own, held), **options).filter("outcome = 'generated'")
     found = save_outcomes(own.select(*NODE, *C.LOOKUP), held, done)
     found = found.withColumn("outcome", F.when(F.col("outcome") == "skipped", "unchanged").otherwise(F.col("outcome"))).select(*NODE, "fn_id", "outcome", "changed")

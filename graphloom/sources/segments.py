@@ -19,7 +19,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.storage import delete_path
+from graphloom.storage import delete_path, shuffled
 
 #: Segments of one size class that are merged once there are so many; a class spans a factor of that many rows.
 FAN = 8
@@ -145,8 +145,8 @@ class SegmentLog:
         for x in later[1:]:
             deltas = deltas.unionByName(x)
         touched = deltas.select(self.key).distinct()
-        contested = base.join(touched, self.key, "left_semi").select(*base.columns).unionByName(deltas)
-        free = base.filter("NOT deleted").join(touched, self.key, "left_anti")
+        contested = base.join(shuffled(touched), self.key, "left_semi").select(*base.columns).unionByName(deltas)
+        free = base.filter("NOT deleted").join(shuffled(touched), self.key, "left_anti")
         return free.select(*names).unionByName(self._settled(contested, False).select(*names))
 
     def write(self, rows: Callable[[DataFrame, int], tuple[DataFrame, DataFrame | None, int]]) -> Manifest:

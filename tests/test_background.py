@@ -117,3 +117,13 @@ def test_a_pause_from_another_session_waits_for_the_batch(spark, tmp_path):
     assert cache.read().count() == 1 and other.counters().first().percent == 33
     assert C.current_rows(cache.read()).count() == 1
     assert work.run() and cache.read().count() == 3
+
+
+def test_joins_of_a_pass_collect_no_table(spark):
+    names = ["cache_key", "fn_id", "explanation_json", "fn_hash", "context_hash", "model_id", "embedding_model_id", "prompt_version", "context_tier", "generated_at"]
+    cache = spark.range(9).selectExpr(*[f"CAST(id AS string) AS {n}" for n in names], "id AS seq")
+    wanted, keys = cache.select("fn_id", "fn_hash", *C.VERSION), cache.select("cache_key")
+    made = [C.cached(wanted, cache), C.uncached(wanted, cache), C.lookup(cache, wanted), C.evicted(cache, cache), C.delete(cache, keys), passes.save_outcomes(wanted, cache, wanted)]
+    for df in made:
+        assert "Broadcast" not in df._jdf.queryExecution().sparkPlan().toString()
+    assert [df.count() for df in made] == [9, 0, 9, 0, 0, 9]
