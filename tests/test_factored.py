@@ -154,3 +154,15 @@ def test_last_level_of_a_walk_keeps_no_whole_sets(spark, made, monkeypatch):
     assert ["new" in df.columns for label, df in frames if label == "walk-new"] == [True, False]
     hits = [df._jdf.queryExecution().optimizedPlan().toString() for label, df in frames if label == "walk-hits"]
     assert not any("Join" in p for p in hits[1:])
+
+
+def test_edges_are_dealt_out_by_their_number(spark, made, monkeypatch):
+    """Two small tables that make many edges make them in many tasks, those of a hot name too."""
+    _, _, e, _, used, reached, _ = made
+    monkeypatch.setattr(X, "PAIRS", 8)
+    out = X.edges(used, G.cut(reached, "callees"))
+    assert table(out) == table(e)
+    sizes = [r["count"] for r in out.groupBy(G.F.spark_partition_id()).count().collect()]
+    hot = out.filter("callee_name = 'hot'").groupBy(G.F.spark_partition_id()).count().count()
+    assert len(sizes) > 5 and max(sizes) < sum(sizes) / 3 and hot > 1
+    assert X.edges(used, G.cut(reached.limit(0), "callees")).count() == 0
