@@ -208,3 +208,20 @@ def test_ignore_patterns_by_a_table(spark):
     assert {(t, p) for i, (t, yes, _) in enumerate(table) for p in yes if (i, p) not in hit} == set()
     assert {(t, p) for i, (t, _, no) in enumerate(table) for p in no if (i, p) in hit} == set()
     assert tree.ignore_rules("!\n/\n\n") == [] and [k for k, _ in tree.ignore_rules("*.a\n!b.a\n")] == [True, False]
+
+
+def test_copies_of_a_text_are_parsed_once_in_a_task(spark, tmp_path, monkeypatch):
+    """A text of two languages is two; texts beyond what a task keeps are parsed again; rows come for every copy."""
+    monkeypatch.setattr(tree, "KEPT_CHARS", 20)
+    log = tmp_path / "log"
+    texts = [("a.js", "f(1)"), ("b.js", "f(1)"), ("c.ts", "f(1)"), ("d.js", ""), ("e/a.js", "f(1)"), ("g.js", "f(2)" * 9), ("h.js", "f(3)"), ("i.js", "f(1)"), ("k.js", "f(1)")]
+
+    def parse(registry, path, text):
+        with log.open("a") as f:
+            f.write(path + "\n")
+        return tuple(zip(*registry.tags(path, text), strict=True)) if not text else (["n"] * 2, ["t"] * 2)
+
+    files = spark.createDataFrame([(p, t.encode()) for p, t in texts], "rel_fname string, content binary").coalesce(1)
+    out = [tuple(r) for r in tree._parsed(files, tree.ALIAS_SCHEMA, parse).collect()]
+    assert out == [(p, "n", "t") for p, t in texts if t for _ in range(2)]
+    assert log.read_text().split() == ["a.js", "c.ts", "d.js", "g.js", "h.js", "i.js"]
