@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from graphloom.operators import vectors as V
-from graphloom.sources import parse, tree
+from graphloom.sources import parse, script, tree
 
 PY = '''@wrap(1)
 def outer(x):
@@ -225,3 +225,11 @@ def test_copies_of_a_text_are_parsed_once_in_a_task(spark, tmp_path, monkeypatch
     out = [tuple(r) for r in tree._parsed(files, tree.ALIAS_SCHEMA, parse).collect()]
     assert out == [(p, "n", "t") for p, t in texts if t for _ in range(2)]
     assert log.read_text().split() == ["a.js", "c.ts", "d.js", "g.js", "h.js", "i.js"]
+
+
+def test_a_text_that_can_hold_no_alias_is_not_parsed_for_aliases(monkeypatch):
+    for text in ("Box.Close = table", "Box?.Close=table", "a . /* b */ c // d\n = e", "a.#p = b", "a.$ = b", "const M = Object.assign(Box, {})", "const M = Object // c\n .assign(Box)"):
+        assert script.may_alias(text)
+    monkeypatch.setattr(parse, "Script", None)
+    for text in ("", "function f() { return g(1); }", "a.b == c", "a.b => c", "x = a.b(c)", "let assigned = 1.5", "a." + "// " * 5_000 + "\n" + "/* " * 5_000):
+        assert parse.extract_aliases("a.ts", text) == []
